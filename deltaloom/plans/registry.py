@@ -1,6 +1,33 @@
-"""All queries of the engine's own operators and their SQL."""
+"""All queries of the engine's own operators and their SQL.
+
+Each query module registers its functions with :func:`query`; the SQL is DuckDB's over the same tables, or none where
+SQL can't express the operator.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import change_queries, merge_queries, quality_queries, relational_queries, stream_queries, text_queries  # noqa: E402, F401
