@@ -30,6 +30,8 @@ MARKERS = {
 }
 #: Probability that a turn opens with a marker, that a marker is of another role, and that a line that goes on looks like one.
 MARKED, WRONG, FALSE_MARK = 0.6, 0.01, 0.002
+#: Share of a feature's probability that is spread evenly, so that what a role never showed counts alike for all roles.
+SPREAD = 0.05
 LENGTHS = (1, 40, 80, 160, 320, 640)
 N_LENGTH, N_FIRST, N_LAST = len(LENGTHS) + 1, 4, 4
 #: Turns of one transcript; a conversation with more is parsed in parts of so many turns.
@@ -132,7 +134,7 @@ def fit(turns: DataFrame) -> Hmm:
             move[a, b] = (goes if x == y else 0) if k == GOES_ON else (1 - goes) * follow[x, y] / follow[x].sum()
     first_state = np.array([start[r] / start.sum() if k == OPENS else 0 for r, k in STATES])
     with np.errstate(divide="ignore"):
-        return Hmm(np.log(first_state), np.log(move), tuple(np.log(t / t.sum(axis=1, keepdims=True)) for t in seen))
+        return Hmm(np.log(first_state), np.log(move), tuple(np.log((1 - SPREAD) * t / t.sum(axis=1, keepdims=True) + SPREAD / t.shape[1]) for t in seen))
 
 
 def parse(model: Hmm, transcripts: list[str | None]) -> list[list[tuple[str, str]]]:

@@ -59,6 +59,14 @@ def small(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores as keep it from clashing with a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_array(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != F.lit(""))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import WHITESPACE, small, staged, without_ids
+from .common import WHITESPACE, fresh, small, staged, without_ids
 
 #: Distinct digests of a bucket, about; the number of buckets follows from the counted digests.
 BUCKET_DIGESTS = 1 << 16
@@ -111,10 +111,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if repeated.isEmpty():
         return without_ids(docs, found.where("not kept").select("doc_id"), id_col)
     # Ids that several rows share don't name a row: decide by id and digest, and drop the repeats.
-    stay = found.where("kept").select(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_text"))
-    marked = docs.withColumn("_row_text", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["_stay_id"]) & (marked["_row_text"] == stay["_stay_text"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_row_text"]).select(*docs.columns)
+    stay = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text"))
+    body = fresh(docs, "row_text")
+    marked = docs.withColumn(body, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[body] == stay["stay_text"]), "left_semi")
+    return kept.dropDuplicates([id_col, body]).select(*docs.columns)
 
 
 ORACLE = r"""

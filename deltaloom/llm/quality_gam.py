@@ -165,15 +165,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Gam:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold. Several labels of an id count as the least."""
+    """Fit on at most ``rows`` labelled documents outside the held-out fold. Several labels of an id count as the least, several texts as the first in order."""
     usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = usable.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("label_id"), "quality").toPandas()
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(chosen.astype({"label_id": "int64", "quality": "int32"}), "label_id long, quality int"))
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(wanted, "label_id").select("label_id", "quality", "text")
+    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(wanted, "label_id").groupBy("label_id", "quality").agg(F.min("text").alias("text"))
     got = arrow_map(texts, "label_id long, quality int, x array<double>", lambda r: {"label_id": r["label_id"], "quality": r["quality"], "x": [features(t) for t in r["text"]]}).toPandas()
-    got = got.drop_duplicates("label_id") if len(got) > rows else got
-    got = got.assign(key=got["x"].map(tuple)).sort_values(["label_id", "key"])  # the sums come out alike in every run
+    got = got.sort_values("label_id")  # the sums come out alike in every run
     return fit(np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), (got["quality"] == 1).to_numpy(np.float64))
 
 

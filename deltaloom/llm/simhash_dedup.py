@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged, without_ids
+from .common import arrow_map, fresh, staged, without_ids
 from .components import components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id. Columns stay as they are.
 
-    Rows that repeat an id keep one row too if their texts are in the same component as the id's.
+    Where rows share an id that stays, one row stays for each of their fingerprints.
     """
     found = staged(near_duplicates(docs, id_col, text_col), "components")
     removed = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -189,8 +189,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if repeated.isEmpty():
         return without_ids(docs, removed.select("doc_id"), id_col)
     # Ids that several rows share don't name a row: decide by id and fingerprint, and drop the repeats.
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_id"), F.conv("fingerprint", 16, -10).cast("long").alias("_stay_fp")).distinct()
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.conv("fingerprint", 16, -10).cast("long").alias("stay_fp")).distinct()
+    fp = fresh(docs, "row_fp")
     one = F.pandas_udf(lambda texts: texts.map(fingerprint).astype("int64"), "long")
-    marked = docs.withColumn("_row_fp", one(F.col(text_col)))
-    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["_stay_id"]) & (marked["_row_fp"] == stay["_stay_fp"]), "left_semi")
-    return kept.dropDuplicates([id_col]).select(*docs.columns)
+    marked = docs.withColumn(fp, one(F.col(text_col)))
+    kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[fp] == stay["stay_fp"]), "left_semi")
+    return kept.dropDuplicates([id_col, fp]).select(*docs.columns)
