@@ -54,13 +54,13 @@ def _record(df: DataFrame) -> DataFrame:
     return df.select(op.alias("op"), "key", "old", "new", changed.alias("changed"), "row_index", "new_index", hash_of.alias("hash"), F.current_timestamp().alias("ts"))
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    """Positions from 0 by the order column: ranks within ranges, then the ranges' offsets, so no task sorts everything."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
-    within = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order, *[F.col(c).cast("string") for c in df.columns])))
-    counts = within.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition
-    return within.join(F.broadcast(before), "_p").withColumn("pos", F.col("_r") + F.col("_b") - 1).drop("_p", "_r", "_b")
+def _numbered(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
+    """``pos, c``: positions from 0 by the order column and the cells of ``cols``: ranks within ranges, then the ranges' offsets, so no task sorts everything."""
+    ranged = df.select(F.col(order).alias("o"), cells(cols).alias("c")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
+    within = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "c")))
+    counts = within.groupBy("p").agg(F.count("*").alias("n"))
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # one row a partition
+    return within.join(F.broadcast(before), "p").select((F.col("r") + F.col("b") - 1).alias("pos"), "c")
 
 
 def by_key(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
@@ -79,8 +79,8 @@ def by_key(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
 def by_position(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """The n-th old row meets the n-th new one; what is left over at the end is inserted or deleted."""
     cols = old.columns
-    a = _numbered(old, order).select("pos", cells(cols).alias("old"))
-    b = _numbered(new.select(*cols), order).select("pos", cells(cols).alias("new"))
+    a = _numbered(old, order, cols).withColumnRenamed("c", "old")
+    b = _numbered(new, order, cols).withColumnRenamed("c", "new")
     both = a.join(b, "pos", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
     return _record(both.select(F.col("pos").cast("string").alias("key"), "old", "new", F.col("pos").alias("row_index"), F.col("pos").alias("new_index")))
 
@@ -99,7 +99,7 @@ def by_hash(old: DataFrame, new: DataFrame) -> DataFrame:
 def moves(old: DataFrame, new: DataFrame, old_order: str, new_order: str) -> DataFrame:
     """Rows with the same content (without the order columns) at another position; the first of each content."""
     cols = [c for c in old.columns if c not in (old_order, new_order)]
-    first = lambda df, o: _numbered(df, o).groupBy(row_sha256(cols).alias("key")).agg(F.min("pos").alias("p"), F.min_by(cells(cols), "pos").alias("c"))
+    first = lambda df, o: _numbered(df, o, cols).groupBy(F.sha2(F.to_json("c"), 256).alias("key")).agg(F.min("pos").alias("p"), F.min_by("c", "pos").alias("c"))
     both = first(old, old_order).alias("a").join(first(new, new_order).alias("b"), "key").where("a.p <> b.p")
     none = F.array().cast("array<int>")
     return both.select(F.lit("MOVE").alias("op"), "key", F.col("a.c").alias("old"), F.col("b.c").alias("new"), none.alias("changed"), F.col("a.p").alias("row_index"), F.col("b.p").alias("new_index"), F.col("key").alias("hash"), F.current_timestamp().alias("ts"))

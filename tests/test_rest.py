@@ -149,7 +149,7 @@ def test_scope_and_urls(spark):
 
 
 def test_scores(spark):
-    assert len(scoring.WEIGHTS) == 66
+    assert len(scoring.WEIGHTS) == 64
     signals = spark.createDataFrame([("t", "api_idor_potential", 0.9, "admin")] * 12 + [("u", "waf_detected", 1.0, "www"), ("u", "unknown", 1.0, "www")], "target string, signal string, confidence double, place string")
     got = {r["target"]: r for r in scoring.ranked(scoring.scores(signals, scoring.weights(spark), multiplier=scoring.factor(F.col("place"), scoring.SUBDOMAINS))).collect()}
     assert got["t"]["score"] == 100.0 and got["t"]["severity"] == "critical" and got["u"]["score"] == 0.0 and got["u"]["severity"] == "info"
