@@ -49,6 +49,7 @@ class MergeConfig:
     keys: tuple[str, ...] = ("id",)
     case_sensitive: bool = True
     trim: bool = True
+    phonetic: bool = False
     threshold: float = 0.85
     strict_schema: bool = True
     block: tuple[str, ...] = ()
@@ -109,12 +110,12 @@ def unify(sources: list[Source], strict: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def merge_key(cols: list[str] | tuple[str, ...], case_sensitive: bool = True, trim: bool = True) -> Column:
-    """Key cells with a bar between; null where all are empty, so that such rows have no duplicates."""
+def merge_key(cols: list[str] | tuple[str, ...], case_sensitive: bool = True, trim: bool = True, phonetic: bool = False) -> Column:
+    """Key cells (or the sound of them) with a bar between; null where all are empty, so that such rows have no duplicates."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
     cells = [trim_space(c) for c in cells] if trim else cells
     cells = cells if case_sensitive else [F.lower(c) for c in cells]
-    return F.when(reduce(Column.__or__, (c != "" for c in cells)), F.concat_ws("|", *cells))
+    return F.when(reduce(Column.__or__, (c != "" for c in cells)), F.concat_ws("|", *map(F.soundex, cells) if phonetic else cells))
 
 
 def _order(how: str) -> list[Column]:
@@ -190,13 +191,13 @@ def merge(sources: list[Source], config: MergeConfig = MergeConfig(), source_col
             keyed = numbered.join(groups, "_id").drop("_id")
         elif config.dedup == "custom":
             numbered = rows.withColumn("_id", F.concat_ws(":", "_ord", "_row"))
-            a, b = numbered.select("_id", F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim).alias("_b")), None
+            a, b = numbered.select("_id", F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim, config.phonetic).alias("_b")), None
             b = a.select(F.col("_id").alias("_other"), F.col("a").alias("b"), "_b")
             links = a.join(b, "_b").where("_id < _other").where(config.same("a", "b")).select("_id", "_other")
             found = clusters(links, "_id", "_other")
             keyed = numbered.join(found, numbered["_id"] == found["node"], "left").withColumn("_key", F.coalesce("cluster", "_id")).drop("_id", "node", "cluster")
         else:
-            key = {"key": merge_key([k for k in config.keys if k in data] or list(config.keys), config.case_sensitive, config.trim), "hash": row_sha256(data), "exact": F.to_json(F.struct(*data), {"ignoreNullFields": "false"})}[config.dedup]
+            key = {"key": merge_key([k for k in config.keys if k in data] or list(config.keys), config.case_sensitive, config.trim, config.phonetic), "hash": row_sha256(data), "exact": F.to_json(F.struct(*data), {"ignoreNullFields": "false"})}[config.dedup]
             keyed = rows.withColumn("_key", key)
         if how == "merge_values":
             merged = merge_values(keyed, "_key", data)

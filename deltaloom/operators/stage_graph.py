@@ -6,9 +6,10 @@ Closures are joins over the table of edges, repeated until nothing is added; ord
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -197,6 +198,13 @@ class Selection:
     order: list[str] = field(default_factory=list)
     messages: list[str] = field(default_factory=list)
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> Selection:
+        return Selection(**json.loads(text))
+
 
 def plan(stages: DataFrame, filters: list[Filter], with_dependencies: bool = True) -> Selection:
     """Filter, close over dependencies, check, order. Status: ok, empty, missing, cycle."""

@@ -50,6 +50,19 @@ def each_batch(df: DataFrame, action: Callable[[DataFrame, int], None], checkpoi
     return df.writeStream.outputMode(mode).foreachBatch(action).option("checkpointLocation", checkpoint).trigger(**flush.trigger()).start()
 
 
+def write_changes(snapshots: DataFrame, base: str, keys: tuple[str, ...], out: str, checkpoint: str, flush: Flush = Flush()) -> StreamingQuery:
+    """Each micro-batch holds new versions of keyed rows: its changes against the stored base table go to ``out``/<batch>. Keys that a batch lacks are unchanged."""
+    from ..operators.diff import DiffConfig, diff, write_delta
+
+    def action(rows: DataFrame, batch: int) -> None:
+        now = rows.select(*rows.sparkSession.read.parquet(base).columns)
+        known = rows.sparkSession.read.parquet(base).join(now.select(*keys).distinct(), list(keys), "left_semi").select(*now.columns)
+        changes = diff(known, now, DiffConfig("key_based", keys=keys))
+        write_delta(changes, f"{out}/{batch}", now.columns)
+
+    return each_batch(snapshots, action, checkpoint, flush)
+
+
 def windows(events: DataFrame, ts: str, length: str, slide: str | None = None, keys: list[str] = (), late: str | None = None, aggregates: list[Column] = ()) -> DataFrame:
     """Tumbling or sliding windows; rows later than ``late`` are dropped from streams."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp"))

@@ -62,6 +62,11 @@ def test_filters_renames_preview_and_statistics(spark):
     assert m.merge_statistics(a, m.merge([s])).first()["removed_share"] == pytest.approx(2 / 3)
 
 
+def test_keys_that_sound_alike(spark):
+    a = frame(spark, "name", [("Robert",), ("Rupert",), ("Anna",)])
+    assert got(m.merge([m.Source("a", a)], m.MergeConfig(keys=("name",), phonetic=True, resolve="first"))) == [("Anna",), ("Robert",)]
+
+
 def test_faults():
     assert len(m.MergeConfig(strategy="x", dedup="y", resolve="z", threshold=2).faults()) == 4
     assert m.MergeConfig(dedup="fuzzy").faults() and m.MergeConfig(keys=()).faults() and m.MergeConfig(dedup="custom", resolve="custom").faults()

@@ -130,7 +130,7 @@ def test_stage_graph(spark):
     looped = stage_graph.stages_of(spark, [("a", "a", "LOW", 1, [], ["b"]), ("b", "b", "LOW", 1, [], ["a"]), ("c", "c", "LOW", 1, [], ["b"]), ("d", "d", "LOW", 1, [], ["gone"])])
     assert stage_graph.cycles(looped) == ["a -> b -> a"] and stage_graph.levels(looped).count() == 0
     chosen = stage_graph.plan(s, [stage_graph.Filter("id", "s4")])
-    assert chosen.status == "ok" and chosen.order == ["s1", "s2", "s4"]
+    assert chosen.status == "ok" and chosen.order == ["s1", "s2", "s4"] and stage_graph.Selection.from_json(chosen.to_json()) == chosen
     assert stage_graph.plan(looped, [stage_graph.Filter("id", "c")]).status == "cycle" and stage_graph.plan(looped, [stage_graph.Filter("id", "d")]).status == "missing"
     assert stage_graph.plan(s, [stage_graph.Filter("name_regex", "^zzz")]).status == "empty"
     ran = []
@@ -205,6 +205,41 @@ def test_stream_dedup_and_bucket(spark, sf, tmp_path):
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, still.collect()))
 
 
+def test_stream_of_changes(spark, tmp_path):
+    from deltaloom.operators import diff
+
+    spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "id string, v string").write.parquet(f"{tmp_path}/base")
+    spark.createDataFrame([("1", "A"), ("2", "b"), ("4", "d")], "id string, v string").write.parquet(f"{tmp_path}/new")
+    streams.write_changes(streams.parquet_stream(spark, f"{tmp_path}/new"), f"{tmp_path}/base", ("id",), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    _, changes = diff.read_delta(spark, f"{tmp_path}/out/0")
+    assert sorted(r["op"] for r in changes.collect()) == ["INSERT", "UPDATE"]
+
+
+def test_recovery():
+    from deltaloom.operators.recovery import Backoff, Breaker, retry
+
+    now, tries, waits = [0.0], [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return 7
+
+    assert retry(flaky, Backoff(jitter=0), sleep=waits.append) == 7 and waits == [0.1, 0.2]
+    with pytest.raises(OSError):
+        tries.clear()
+        retry(flaky, worth=lambda e: False)
+    b = Breaker(failures=2, rest=5, clock=lambda: now[0])
+    for _ in range(2):
+        with pytest.raises(ZeroDivisionError):
+            b.call(lambda: 1 / 0)
+    with pytest.raises(RuntimeError):
+        b.call(lambda: 1)
+    now[0] = 6
+    assert b.state == "half_open" and b.call(lambda: 1) == 1 and b.state == "closed"
+
+
 def test_bucket_backs_off():
     b = streams.Bucket(rate=1, first_delay=2, growth=3, most_delay=5)
     state, ok = b.step((b.capacity, 0.0, 0.0), 1.0, failed=True)
