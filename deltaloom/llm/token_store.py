@@ -4,7 +4,7 @@ Format, version 1. A dataset ``blocks``, one row a block, in ascending order of
 number it, ``before`` counts the ids before it in its part, ``dictionary`` is the SHA-256 of the shared dictionary in lowercase hex, ``payload`` holds one
 independent zstandard frame a document, and the index arrays ``doc_ids, offsets, sizes, counts`` give for each
 document its id, the place of its frame in the payload and its number of ids. A frame holds the ids as little-endian
-unsigned 32-bit integers. Documents stand in ascending order of their id, nulls first, then of their text. The
+unsigned 32-bit integers. Documents stand in ascending order of their id, nulls first, then of a hash of their text. The
 dictionary itself is a dataset ``dictionary`` of one row. One document is read by the index arrays, a slice of the
 payload and the dictionary, without its neighbours. Blocks are written and read by Spark, so any store that Spark
 reaches will do and lost tasks are run again by its commit protocol.
@@ -110,8 +110,10 @@ def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
         if held:
             yield done()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    # The ranges are found from a sample of the keys, which comes to the driver: a hash stands for the text there.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    ordered.select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read_store(spark, path: str) -> DataFrame:
@@ -151,7 +153,7 @@ def stored_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """Write every whole text to a store in the shared folder and read it back: what :func:`read_store` returns.
 
     One row for each input row; a null text counts as empty and holds the end id alone. Rows that repeat an id stand
-    one after the other, ordered by text. Null ids come first and stay null. Further columns aren't read. An empty
+    one after the other, ordered by a hash of the text. Null ids come first and stay null. Further columns aren't read. An empty
     table gives an empty store and an empty result.
     """
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from deltaloom.llm import byte_bpe, pretoken, token_counts, token_store
 
@@ -86,7 +87,8 @@ def test_round_trip_operator(odd_docs, no_docs, ranked):
 
 def test_store_round_trip(spark, odd_docs, no_docs, library, tmp_path):
     got = sorted(map(tuple, token_store.stored_documents(odd_docs, JSON).collect()), key=lambda r: r[1])
-    rows = sorted(odd_docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, (r["text"] or "").encode()))
+    text = F.coalesce("text", F.lit(""))
+    rows = odd_docs.select("doc_id", text.alias("text")).orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text").collect()
     want, at = [], 0
     for r in rows:
         ids = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4")
