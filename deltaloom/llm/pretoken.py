@@ -29,31 +29,45 @@ def chunks(text: str) -> list[str]:
     return [first, *(c[1:] for c in rest)]
 
 
+class _Numbers(dict):
+    """Chunk -> number; an unknown chunk gets the next number and is put on the list of new ones."""
+
+    def __init__(self, coder: ChunkCoder, lead: str):
+        super().__init__()
+        self.coder, self.lead = coder, lead
+
+    def __missing__(self, chunk: str) -> int:
+        new = self.coder.new
+        number = self[chunk] = len(self.coder.known) + len(new)
+        new.append(self.lead + chunk)
+        return number
+
+
 class ChunkCoder:
-    """Values of the chunks of texts; ``encode_many`` gives the values of a list of chunks."""
+    """Values of the chunks of texts; ``encode_many`` gives the values of a list of chunks. Each chunk is looked up once."""
 
     def __init__(self, encode_many: Callable[[list[str]], list], limit: int = CACHE_CHUNKS):
         self.encode_many, self.limit = encode_many, limit
-        self.first: dict = {}
-        self.rest: dict = {}
-
-    def _learn(self, known: dict, wanted: set[str], lead: str) -> None:
-        new = list(wanted.difference(known))
-        if new and len(known) + len(new) > self.limit:
-            known.clear()
-            new = list(wanted)
-        if new:
-            known.update(zip(new, self.encode_many([lead + c for c in new]), strict=True))
+        self.known: list = []
+        self.new: list[str] = []
+        self.first, self.rest = _Numbers(self, ""), _Numbers(self, " ")
 
     def values(self, texts: list[str]) -> list[list]:
-        split = [chunks(t) for t in texts]
-        wanted: set[str] = set()
-        for c in split:
-            wanted.update(c[1:])
-        self._learn(self.first, {c[0] for c in split}, "")
-        self._learn(self.rest, wanted, " ")
-        rest = self.rest.__getitem__
-        return [[self.first[c[0]], *map(rest, c[1:])] for c in split]
+        if len(self.known) > self.limit:
+            for kept in (self.known, self.first, self.rest):
+                kept.clear()
+        first, rest = self.first, self.rest.__getitem__
+        try:
+            numbers = [[first[c[0]], *map(rest, c[1:])] for c in map(chunks, texts)]
+            if self.new:
+                self.known += self.encode_many(self.new)
+        except BaseException:
+            self.known, self.first, self.rest = [], _Numbers(self, ""), _Numbers(self, " ")
+            raise
+        finally:
+            self.new = []
+        value = self.known.__getitem__
+        return [[*map(value, n)] for n in numbers]
 
 
 def byte_chars() -> list[str]:

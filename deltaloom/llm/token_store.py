@@ -35,16 +35,53 @@ BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on at most so many documents (those with the smallest hashes) and bytes of each; its largest size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 16_384, 64 << 10
 LEVEL = 3
+#: Chunks that the library encodes as one text.
+JOINED = 256
 BLOCKS = "part int, block int, before long, dictionary string, payload binary, doc_ids array<long>, offsets array<long>, sizes array<long>, counts array<long>"
 
 
+class LibraryIds:
+    """Serialised ids of chunks by the library, many chunks to a text.
+
+    Tokens never run over the start of a chunk, so the ids of a joined text fall to its chunks by the tokens' bytes.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is one thread
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        size = np.zeros(1 + max(self.library.get_vocab(with_added_tokens=True).values()), np.int64)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            size[i] = len(token)  # one character a byte
+        for i, token in self.library.get_added_tokens_decoder().items():
+            size[i] = len(token.content.encode())
+        self.size = size
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        out = [b""] * len(chunks)
+        joined, alone = [], []
+        for k, c in enumerate(chunks):
+            (joined if c[:1] == " " and not c[1:2].isspace() and len(c) > 1 else alone).append(k)
+        for k, e in zip(alone, self.library.encode_batch_fast([chunks[k] for k in alone], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        groups = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(map(chunks.__getitem__, g)) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum([len(chunks[k].encode()) for k in group])
+            at = np.cumsum(self.size[ids])
+            cuts = np.searchsorted(at, ends)
+            if (at[cuts] != ends).any():
+                raise ValueError("a token runs over the start of a chunk")
+            data, cuts = ids.tobytes(), ((cuts + 1) * 4).tolist()
+            for k, a, b in zip(group, [0, *cuts], cuts, strict=False):
+                out[k] = data[a:b]
+        return out
+
+
 @lru_cache(maxsize=2)
 def _coder(path: str) -> ChunkCoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is one thread
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    return ChunkCoder(lambda chunks: [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(chunks, add_special_tokens=False)])
+    return ChunkCoder(LibraryIds(path))
 
 
 def encode(path: str, texts: list[str]) -> list[bytes]:
