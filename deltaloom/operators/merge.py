@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import row_sha256
@@ -118,17 +118,6 @@ def merge_key(cols: list[str] | tuple[str, ...], case_sensitive: bool = True, tr
     return F.when(reduce(Column.__or__, (c != "" for c in cells)), F.concat_ws("|", *map(F.soundex, cells) if phonetic else cells))
 
 
-def _order(how: str) -> list[Column]:
-    first = [F.col("_ord"), F.col("_row")]
-    return {
-        "first": first,
-        "last": [c.desc() for c in first],
-        "newest": [F.col("_ts").desc_nulls_last(), *(c.desc() for c in first)],
-        "oldest": [F.col("_ts").asc_nulls_last(), *first],
-        "priority": [F.col("_priority").desc(), *first],
-    }[how]
-
-
 def keep_one(df: DataFrame, key: str, how: str) -> DataFrame:
     """One row of each key by order; rows without a key stay. Rows are reduced before the shuffle, so a hot key is no burden."""
     order = [F.col("_ord"), F.col("_row")]
@@ -191,7 +180,7 @@ def merge(sources: list[Source], config: MergeConfig = MergeConfig(), source_col
             keyed = numbered.join(groups, "_id").drop("_id")
         elif config.dedup == "custom":
             numbered = rows.withColumn("_id", F.concat_ws(":", "_ord", "_row"))
-            a, b = numbered.select("_id", F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim, config.phonetic).alias("_b")), None
+            a = numbered.select("_id", F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim, config.phonetic).alias("_b"))
             b = a.select(F.col("_id").alias("_other"), F.col("a").alias("b"), "_b")
             links = a.join(b, "_b").where("_id < _other").where(config.same("a", "b")).select("_id", "_other")
             found = clusters(links, "_id", "_other")
