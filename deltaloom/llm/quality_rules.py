@@ -101,7 +101,8 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col
     rows = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("body"))
     held = measured(rows.join(small(marks, labels.count()), "label_id"), "body").where(~base_failed())
     each = held.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), _levels(s).alias("top")) for s in SIGNALS))).alias("x")).select("stratum", "good", "x.*")
-    counts = each.groupBy("stratum", "signal", "top").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad"))
+    # A few hundred rows a stratum, used several times below: written, so that the texts are measured once.
+    counts = staged(each.groupBy("stratum", "signal", "top").agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad")), "counts")
     # A row for each level: what stands at or above it is rejected there. A stratum has at most LEVELS + 1 rows for each signal.
     lists = counts.groupBy("stratum", "signal").agg(F.collect_list(F.struct("top", "good", "bad")).alias("c"), F.sum("good").alias("n"), F.sum("bad").alias("n_bad"))
     at = lists.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS)))).select(
