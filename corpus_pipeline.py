@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, quality classifier, exact dedup, SimHash near-dedup, best-fit packing.
+"""Corpus pipeline: quality rules, quality classifier, exact dedup, near-dedup, best-fit packing.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's documents. All but the last keep the columns of documents.
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deltaloom.llm import best_fit_packing, exact_dedup, quality_gam, quality_rules, simhash_dedup
+from deltaloom.llm import best_fit_packing, exact_dedup, near_texts, quality_gam, quality_rules
 from deltaloom.llm.common import staged, table
 
 
@@ -27,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_one(docs)
+    return near_texts.keep_one(docs)  # five-word shingles, Jaccard similarity of 0.8 or more; op6 has another contract
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -183,7 +183,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Where rows share an id that stays, one row stays for each of their fingerprints.
     """
-    found = staged(near_duplicates(docs, id_col, text_col), "components")
+    return keep_found(docs, near_duplicates(docs, id_col, text_col), fingerprint, id_col, text_col)
+
+
+def keep_found(docs: DataFrame, found: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each component in ``found`` (``doc_id, fingerprint, component_id``), made with ``print_of``."""
+    found = staged(found, "components")
     removed = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
@@ -191,7 +196,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Ids that several rows share don't name a row: decide by id and fingerprint, and drop the repeats.
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.conv("fingerprint", 16, -10).cast("long").alias("stay_fp")).distinct()
     fp = fresh(docs, "row_fp")
-    one = F.pandas_udf(lambda texts: texts.map(fingerprint).astype("int64"), "long")
+    one = F.pandas_udf(lambda texts: texts.map(print_of).astype("int64"), "long")
     marked = docs.withColumn(fp, one(F.col(text_col)))
     kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[fp] == stay["stay_fp"]), "left_semi")
     return kept.dropDuplicates([id_col, fp]).select(*docs.columns)

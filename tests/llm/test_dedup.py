@@ -151,3 +151,35 @@ def test_components_of_chains_and_loops(spark):
     chain = [(i, i + 1) for i in range(300)] + [(5, 5), (400, 401), (401, 400)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "x long, y long"), "x", "y").collect()}
     assert got == {**{i: 0 for i in range(301)}, 400: 400, 401: 400}
+
+
+def test_near_stage_finds_all_pairs_of_the_similarity(spark, monkeypatch):
+    """The pipeline's stage against all pairs of texts, with leaders, several chunks and common passages."""
+    import corpus_pipeline
+    from deltaloom.llm import near_texts
+
+    monkeypatch.setattr(near_texts, "CHUNK", 5)
+    monkeypatch.setattr(near_texts, "PAIRS_A_TEXT", 0)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    passage, texts = [word() for _ in range(15)], []
+    for _ in range(12):
+        base = [word() for _ in range(rnd.randint(20, 120))]
+        for _ in range(10):
+            own = list(base)
+            for _ in range(rnd.randint(0, 5)):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(" ".join(own + passage * rnd.randint(0, 1)))
+    texts += ["", None, "one two", "ONE  two", *(" ".join([*passage, word()]) for _ in range(20))]
+    sets = [{" ".join(w[a : a + 5]) for a in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    parent = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and parent[i] != parent[j]:
+                low, high = sorted((parent[i], parent[j]))
+                parent = [low if p == high else p for p in parent]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {i for i, p in enumerate(parent) if i == p}
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
+    monkeypatch.setattr(near_texts, "PAIRS_A_TEXT", 1_000)
+    assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
