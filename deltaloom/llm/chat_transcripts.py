@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small, staged
 
 ROLES = ("system", "user", "assistant")
 OPENS, GOES_ON = 0, 1
@@ -34,7 +35,7 @@ MARKED, WRONG, FALSE_MARK = 0.6, 0.01, 0.002
 SPREAD = 0.05
 LENGTHS = (1, 40, 80, 160, 320, 640)
 N_LENGTH, N_FIRST, N_LAST = len(LENGTHS) + 1, 4, 4
-#: Turns of one transcript; a conversation with more is parsed in parts of so many turns.
+#: Turns of one transcript; a conversation with more is stored in parts of so many turns, but parsed as a whole.
 PART_TURNS = 256
 
 _marker = re.compile(r"^\s*(?:#{2,4}\s*|\[|\*\*|<\|)?([A-Za-z]{1,12})(?:\]|\*\*|\|>)?\s*[:>\]]\s*")
@@ -76,14 +77,18 @@ class Hmm:
             out[:, s] += own
         return out
 
-    def viterbi(self, lines: list[np.ndarray]) -> list[np.ndarray]:
-        """Best states of each sequence of emissions; sequences of like length run side by side."""
+    def viterbi(self, lines: list[np.ndarray], first: list[int] | None = None, last: list[int] | None = None) -> list[np.ndarray]:
+        """Best states of each sequence of emissions; sequences of like length run side by side.
+
+        ``first`` and ``last`` hold the states that a sequence has to begin and end with, or -1 where it is free.
+        """
+        begins = np.vstack([np.where(np.eye(len(STATES), dtype=bool), 0.0, -np.inf), self.start])
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(lines)
         order = sorted((i for i in range(len(lines)) if len(lines[i])), key=lambda i: -len(lines[i]))
         for at in range(0, len(order), 64):
             group = order[at : at + 64]
             size = np.array([len(lines[i]) for i in group])
-            best = self.start + np.stack([lines[i][0] for i in group])
+            best = begins[[first[i] if first else -1 for i in group]] + np.stack([lines[i][0] for i in group])
             back = np.zeros((int(size[0]), len(group), len(STATES)), np.int8)
             for t in range(1, int(size[0])):
                 live = int((size > t).sum())
@@ -92,13 +97,43 @@ class Hmm:
                 best[:live] = step.max(axis=1) + np.stack([lines[i][t] for i in group[:live]])
             for k, i in enumerate(group):
                 path = np.empty(size[k], np.int64)
-                path[-1] = best[k].argmax()
+                path[-1] = last[i] if last and last[i] >= 0 else best[k].argmax()
                 for t in range(int(size[k]) - 1, 0, -1):
                     path[t - 1] = back[t, k, path[t]]
                 out[i] = path
         return out
 
 
+    def spans(self, lines: list[np.ndarray]) -> np.ndarray:
+        """For each sequence, the best log probability from a first to a last state: ``[sequence, first, last]``."""
+        out = np.empty((len(lines), len(STATES), len(STATES)))
+        for i, seen in enumerate(lines):
+            best = np.where(np.eye(len(STATES), dtype=bool), seen[0], -np.inf)
+            for line in seen[1:]:
+                best = (best[:, :, None] + self.move).max(axis=1) + line
+            out[i] = best
+        return out
+
+    def borders(self, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last state of each part of one conversation on its best path, from the parts' spans in order."""
+        n = len(spans)
+        back = np.empty((n, len(STATES)), np.int64)
+        came = np.empty((n, len(STATES)), np.int64)
+        best = self.start
+        for k in range(n):
+            if k:
+                step = best[:, None] + self.move
+                came[k], best = step.argmax(axis=0), step.max(axis=0)
+            step = best[:, None] + spans[k]
+            back[k], best = step.argmax(axis=0), step.max(axis=0)
+        first, last = np.empty(n, np.int64), np.empty(n, np.int64)
+        state = int(best.argmax())
+        for k in range(n - 1, -1, -1):
+            last[k], first[k] = state, back[k, state]
+            state = came[k, first[k]] if k else -1
+        return first, last
+
+
 def fit(turns: DataFrame) -> Hmm:
     """Count the model over all turns ``conv_id, turn, role, text`` with a known role; every count starts at one.
 
@@ -137,37 +172,63 @@ def fit(turns: DataFrame) -> Hmm:
         return Hmm(np.log(first_state), np.log(move), tuple(np.log((1 - SPREAD) * t / t.sum(axis=1, keepdims=True) + SPREAD / t.shape[1]) for t in seen))
 
 
-def parse(model: Hmm, transcripts: list[str | None]) -> list[list[tuple[str, str]]]:
-    """The turns (role, text) of each transcript; a null or empty transcript has none."""
-    split = [t.split("\n") if t else [] for t in transcripts]
+def _seen(model: Hmm, split: list[list[str]]) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Marker of every line, and the emissions of each list of lines."""
     flat = [line for lines in split for line in lines]
-    if not flat:
-        return [[] for _ in split]
     marks = [marker_of(line) for line in flat]
     seen = model.emissions(np.array([m for m, _ in marks]), np.array([look(line[at:]) for line, (_, at) in zip(flat, marks, strict=True)]))
     ends = np.cumsum([len(x) for x in split])
-    states = model.viterbi([seen[b - len(x) : b] for x, b in zip(split, ends, strict=True)])
+    return marks, [seen[b - len(x) : b] for x, b in zip(split, ends, strict=True)]
+
+
+def parse(model: Hmm, transcripts: list[str | None], first: list[int] | None = None, last: list[int] | None = None) -> list[list[tuple[str, str]]]:
+    """The turns (role, text) of each transcript; a null or empty transcript has none.
+
+    With ``first`` and ``last`` the transcripts are parts of longer ones: an empty part is an empty line, and a part
+    that begins in a state that goes on has the rest of the turn before it as its first turn.
+    """
+    split = [t.split("\n") if t or first else [] for t in transcripts]
+    if not any(split):
+        return [[] for _ in split]
+    marks, seen = _seen(model, split)
+    ends = np.cumsum([len(x) for x in split])
+    states = model.viterbi(seen, first, last)
     out = []
     for lines, end, path in zip(split, ends, states, strict=True):
         turns: list[tuple[str, list[str]]] = []
         for k, (line, s) in enumerate(zip(lines, path.tolist(), strict=True)):
             role, kind = STATES[s]
             mark, at = marks[end - len(lines) + k]
-            if kind == OPENS or not turns:
+            if kind == OPENS:
                 turns.append((ROLES[role], [line[at:] if mark >= 0 else line]))
+            elif not turns:
+                turns.append((ROLES[role], [line]))
             else:
                 turns[-1][1].append(line)
         out.append([(role, "\n".join(x)) for role, x in turns])
     return out
 
 
-def render(turns: list[tuple[str, str]]) -> str:
-    """Canonical text; ``<|`` inside a turn becomes ``<\\|``."""
-    return "".join(f"<|{role}|>\n{_open_tag.sub(lambda _: '<\\|', text)}\n<|end|>\n" for role, text in turns)
+def render(turns: list[tuple[str, str]], from_before: bool = False, goes_on: bool = False) -> str:
+    """Canonical text; ``<|`` inside a turn becomes ``<\\|``.
+
+    A first turn that comes from the part before has no head, a last one that goes on in the next part no end, so the
+    texts of a conversation's parts one after the other are the text of the whole.
+    """
+    heads = [f"<|{role}|>\n" for role, _ in turns]
+    ends = ["<|end|>\n"] * len(turns)
+    if from_before:
+        heads[0] = ""
+    if goes_on:
+        ends[-1] = ""
+    return "".join(f"{head}{_open_tag.sub(lambda _: '<\\|', text)}\n{end}" for head, (_, text), end in zip(heads, turns, ends, strict=True))
+
 
+def parse_transcripts(transcripts: DataFrame, model: Hmm, text_col: str = "transcript", parts: bool = False) -> DataFrame:
+    """``transcripts`` with ``turns`` (array of role and text) and ``rendered``. Its other columns stay.
 
-def parse_transcripts(transcripts: DataFrame, model: Hmm, text_col: str = "transcript") -> DataFrame:
-    """``transcripts`` with ``turns`` (array of role and text) and ``rendered``. Its other columns stay."""
+    With ``parts`` the rows are parts with the columns ``first``, ``last`` and ``goes_on`` of :func:`bordered`.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -178,13 +239,40 @@ def parse_transcripts(transcripts: DataFrame, model: Hmm, text_col: str = "trans
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                turns = parse(model, part.column(text_col).to_pylist())
-                more = (pa.array([[{"role": r, "text": t} for r, t in x] for x in turns], arrow.field("turns").type), pa.array([render(x) for x in turns], pa.string()))
+                first, last, goes_on = (part.column(c).to_pylist() if parts else None for c in ("first", "last", "goes_on"))
+                turns = parse(model, part.column(text_col).to_pylist(), first, last)
+                rendered = [render(x, STATES[f][1] == GOES_ON, g) for x, f, g in zip(turns, first, goes_on, strict=True)] if parts else [render(x) for x in turns]
+                more = (pa.array([[{"role": r, "text": t} for r, t in x] for x in turns], arrow.field("turns").type), pa.array(rendered, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], schema=arrow)
 
     return transcripts.mapInArrow(run, schema)
 
 
+def bordered(parts: DataFrame, model: Hmm) -> DataFrame:
+    """``parts`` (a written table) with the states ``first`` and ``last`` of each on the best path of its whole conversation.
+
+    Each part gives the best probabilities from state to state; only these 36 numbers a part are chained by
+    conversation. ``goes_on``: the part's last turn goes on in the next part.
+    """
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                _, seen = _seen(model, [t.split("\n") for t in part.column("transcript").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("part"), pa.array(list(model.spans(seen).reshape(len(seen), -1)))], names=["conv_id", "part", "span"])
+
+    def chained(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        first, last = model.borders(np.array(rows["span"].to_pylist()).reshape(-1, len(STATES), len(STATES)))
+        goes_on = np.append(first[1:] % 2 == GOES_ON, False)
+        return pa.table([rows["conv_id"], rows["part"], pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(goes_on)], names=["conv_id", "part", "first", "last", "goes_on"])
+
+    found = parts.select("conv_id", "part", "transcript").mapInArrow(spans, "conv_id long, part long, span array<double>")
+    found = found.groupBy("conv_id").applyInArrow(chained, "conv_id long, part long, first int, last int, goes_on boolean").withColumnsRenamed({"conv_id": "of_conv", "part": "of_part"})
+    return parts.join(found, parts["conv_id"].eqNullSafe(found["of_conv"]) & (parts["part"] == found["of_part"])).drop("of_conv", "of_part")
+
+
 def as_marked(role: Column, style: Column, dropped: Column) -> Column:
     """A speaker marker of a role in one of four styles, or nothing."""
     names = F.create_map(*(F.lit(x) for pair in (("system", "System"), ("user", "User"), ("assistant", "Assistant")) for x in pair))
@@ -199,7 +287,7 @@ def transcripts_of(turns: DataFrame) -> DataFrame:
 
     Each turn is its marker and text; the style of the markers goes by conversation, and by a hash of conversation and
     turn one marker in four is missing. Turns are ordered by number, role and text. A conversation of more than
-    PART_TURNS turns is cut into parts of so many, so no row grows without bound. Null texts are empty lines, null roles have
+    PART_TURNS turns is stored in parts of so many, so no row grows without bound. Null texts are empty lines, null roles have
     no marker.
     """
     row = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
@@ -215,9 +303,24 @@ def parsed_conversations(turns: DataFrame) -> DataFrame:
     """Write each conversation as a raw transcript, recover the roles, render canonical turns.
 
     Returns a row for each conversation part: ``conv_id, part, n_given, given, n_turns, roles`` (recovered, in order)
-    and ``rendered``. Turns without a conversation form one with a null id. Roles other than the three known ones are
-    never recovered. An empty table gives an empty result; further columns aren't read.
+    and ``rendered``. Parts are only how a long conversation is stored: its best path runs over all of them, a turn
+    counts in the part where it opens, and the rendered parts one after the other are the whole. Turns without a
+    conversation form one with a null id. Roles other than the three known ones are never recovered. An empty table
+    gives an empty result; further columns aren't read.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = parse_transcripts(transcripts_of(rows), fit(rows))
-    return parsed.select("conv_id", "part", "n_given", "given", F.size("turns").cast("long").alias("n_turns"), F.array_join("turns.role", ",").alias("roles"), "rendered")
+    model = fit(rows)
+
+    def result(parsed: DataFrame, opened: Column) -> DataFrame:
+        return parsed.select("conv_id", "part", "n_given", "given", F.size(opened).cast("long").alias("n_turns"), F.array_join(opened["role"], ",").alias("roles"), "rendered")
+
+    long = staged(rows.groupBy("conv_id").count().where(F.col("count") > PART_TURNS).select(F.col("conv_id").alias("long_id")), "long")
+    n_long = long.count()
+    if not n_long:
+        return result(parse_transcripts(transcripts_of(rows), model), F.col("turns"))
+    same = rows["conv_id"].eqNullSafe(F.col("long_id"))
+    short = parse_transcripts(transcripts_of(rows.join(small(long, n_long), same, "left_anti")), model)
+    parts = staged(transcripts_of(rows.join(small(long, n_long), same, "left_semi")), "parts")
+    whole = parse_transcripts(bordered(parts, model), model, parts=True)
+    from_before = F.col("first") % 2 == GOES_ON
+    return result(short, F.col("turns")).unionByName(result(whole, F.when(from_before, F.slice("turns", 2, F.size("turns"))).otherwise(F.col("turns"))))

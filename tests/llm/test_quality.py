@@ -212,6 +212,22 @@ def test_transcripts_odd_rows(spark):
     assert chat_transcripts.parsed_conversations(turns.limit(0)).count() == 0
 
 
+def test_long_conversations_are_parsed_as_a_whole(spark, monkeypatch):
+    """Parts one after the other against a single transcript of the whole conversation."""
+    texts = ["Fine.", "be kind", "what now?", "And then\nmore of it", "", "go on\n\nso"]
+    rows = [(c, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], texts[(k * k + (c or 7)) % 6]) for c in (1, 2, 3, None) for k in range(83)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat_transcripts, "PART_TURNS", 1_000)
+    whole = {r["conv_id"]: r for r in chat_transcripts.parsed_conversations(turns).collect()}
+    monkeypatch.setattr(chat_transcripts, "PART_TURNS", 3)
+    parts = sorted(chat_transcripts.parsed_conversations(turns).collect(), key=lambda r: r["part"])
+    for c, want in whole.items():
+        own = [r for r in parts if r["conv_id"] == c]
+        assert len(own) == 28 and "".join(r["rendered"] for r in own) == want["rendered"]
+        assert ",".join(r["roles"] for r in own if r["n_turns"]) == want["roles"]
+        assert sum(r["n_turns"] for r in own) == want["n_turns"]
+
+
 def test_viterbi_is_the_best_path(spark):
     from itertools import product
 
