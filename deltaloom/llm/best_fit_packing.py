@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words_array
+from .common import arrow_map, staged, words_array
+from .token_counts import count_texts
 
 SIZES = (256, 512, 1024, 2048, 4096)
 #: Cost of a bin of size s: s + FIXED + s * s / SQUARE.
@@ -86,14 +87,20 @@ def pack_lengths(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, shard_piece
     return sharded.groupBy("shard").applyInPandas(per_shard, "doc_id long, piece long, start long, length int, bin_id long, bin_offset int, bin_used int, bin_size int")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = SIZES) -> DataFrame:
-    """Pack whole texts, measured in words plus one end mark, so a null or blank text is a piece of one token.
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = SIZES, vocabulary: str | None = None) -> DataFrame:
+    """Pack whole texts, measured in tokens of ``vocabulary`` plus one end mark, so a null or empty text is a piece of one token.
+
+    Without a vocabulary they are measured in words, which are fewer than the tokens.
 
     Returns what :func:`pack_lengths` returns. Repeated rows are packed as often as they occur, dealt by a hash of
     their text; further columns of ``docs`` aren't read. An empty table gives an empty result.
     """
-    n = (F.size(words_array(F.col(text_col))) + 1).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n_tokens"), F.xxhash64(text_col).alias("salt"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("salt"))
+    if vocabulary is None:
+        rows = rows.select("doc_id", (F.size(words_array(F.col("text"))) + 1).cast("long").alias("n_tokens"), "salt")
+    else:
+        counted = lambda r: {"doc_id": r["doc_id"], "n_tokens": [n + 1 for n in count_texts(r["text"], vocabulary)], "salt": r["salt"]}
+        rows = arrow_map(rows, "doc_id long, n_tokens long, salt long", counted)
     # Rows alike in id and text would all be dealt to one shard: number them apart.
     alike = rows.groupBy("doc_id", "n_tokens", "salt").agg(F.count("*").alias("copies"))
     return pack_lengths(staged(alike.select("doc_id", "n_tokens", F.explode(F.expr("transform(sequence(1L, copies), i -> if(i = 1, salt, xxhash64(salt, i)))")).alias("salt")), "lengths"), sizes)

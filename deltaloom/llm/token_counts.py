@@ -104,6 +104,11 @@ def _coder(path: str) -> ChunkCoder:
     return ChunkCoder(MergeTable(path).count_chunks)
 
 
+def count_texts(texts: list[str | None], vocabulary: str) -> list[int]:
+    """Tokens of each text; a null counts as empty."""
+    return [sum(v) for v in _coder(vocabulary).values([t or "" for t in texts])]
+
+
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Bytes and tokens of every whole text.
 
@@ -113,7 +118,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
 
     def per_chunk(rows: dict[str, list]) -> dict[str, list]:
         texts = [t or "" for t in rows["text"]]
-        counts = [sum(v) for v in _coder(vocabulary).values(texts)]
+        counts = count_texts(texts, vocabulary)
         return {"doc_id": rows["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
 
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", per_chunk)

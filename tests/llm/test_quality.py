@@ -191,6 +191,25 @@ def test_pack_documents(odd_docs, no_docs):
     assert best_fit_packing.pack_documents(no_docs).count() == 0
 
 
+def test_packed_lengths_are_tokens(spark, odd_docs, tmp_path):
+    """Of the query and of the pipeline's last stage, against the library; texts without white space are cut too."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r in odd_docs.collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1
+    for got in (queries.op2_best_fit_packing(spark, f"{tmp_path}"), corpus_pipeline.packing_stage(spark, odd_docs, f"{tmp_path}")):
+        rows = got.collect()
+        held = {}
+        for r in rows:
+            held[r["doc_id"]] = held.get(r["doc_id"], 0) + r["length"]
+        assert held == want and max(r["bin_used"] for r in rows) <= max(best_fit_packing.SIZES)
+        assert sum(r["doc_id"] == 301 for r in rows) > 1
+
+
 def test_transcripts(spark):
     turns = table(spark, SF01, "conversations")
     got = chat_transcripts.parsed_conversations(turns).toPandas()
