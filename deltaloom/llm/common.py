@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
+#: Paths written within each open scope, the innermost last.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving whatever was staged inside, also after an error. What was only read lazily from it is gone then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_staged(spark, path)
+
+
+def lasting(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` staged; all that it staged on the way is deleted. The one table left belongs to the scope outside, if any."""
+    with scope(spark):
+        df = make()
+        path = write_staged(df, name)
+        _scopes[-1].remove(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return read_staged(spark, path, df)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it again: lineage ends there."""
     return read_staged(df.sparkSession, write_staged(df, name), df)
@@ -41,6 +68,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def write_staged(df: DataFrame, name: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return path
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import WHITESPACE, fresh, small, staged, without_ids
+from .common import WHITESPACE, fresh, lasting, small, staged, without_ids
 
 #: Distinct digests of a bucket, about; the number of buckets follows from the counted digests.
 BUCKET_DIGESTS = 1 << 16
@@ -68,6 +68,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns of ``docs`` aren't read. An empty table gives an empty result. ``digest`` maps the normalised text to a
     binary column; a weak one slows the check of bytes but changes no result but ``text_sha256``.
     """
+    return lasting(docs.sparkSession, "exact", lambda: _groups(docs, id_col, text_col, snapshot_upto, digest))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, snapshot_upto: int | None, digest) -> DataFrame:
     text = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"))
     per_id = staged(rows.select("doc_id", digest(F.col("body")).alias("digest")).groupBy("digest", "doc_id").agg(F.count("*").alias("copies")), "digests")
@@ -106,7 +110,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, that of the smallest id. Columns stay as they are."""
-    found = staged(exact_duplicates(docs, id_col, text_col), "exact")
+    found = exact_duplicates(docs, id_col, text_col)
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
         return without_ids(docs, found.where("not kept").select("doc_id"), id_col)

@@ -1,21 +1,26 @@
-"""Near-duplicate texts by the exact Jaccard similarity of their word shingles.
-
-Two sets of similarity ``t`` or more share an element among the first ``n - ceil(t * n) + 1`` of each, under any order
-of all elements (prefix filter). The order used here puts shingles last that are common in a sample, then goes by
-hash: it decides how many pairs are looked at, never which are found. Pairs that share a prefix shingle, and whose
-sizes and positions still allow the similarity, are bounded by counts of their shingles in a few buckets (what two sets
-share is at most the sum of the lesser counts), and the others are verified on their whole sets. No pair is lost or
-only estimated.
-
-A prefix shingle that many texts share would give all their pairs. Where the pairs would be many, each text is first
-verified against a few leaders of its groups, and then only pairs across the components found so far are formed, by
-pairs of chunks. Links inside a component don't change it.
+"""SimHash near-duplicates at a given similarity of whole texts: pivot distance tables, then an exact check.
+
+The wide form of ``simhash_dedup``: fingerprints are made of the distinct shingles of five words, and two texts are
+linked if the Jaccard similarity of their shingle sets is 0.8 or more. At that similarity fingerprints differ in 10 of
+64 bits on average, so no choice of bit runs can serve as a block. Blocks are single shingles instead: two sets of
+similarity ``t`` or more share an element among the first ``n - ceil(t * n) + 1`` of each, under any order of all
+elements (prefix filter). The order used here puts shingles last that are common in a sample, then goes by hash: it
+decides how many pairs are looked at, never which are found.
+
+Inside a block pairs are discarded whose sizes and positions rule the similarity out, then those whose pivot distances
+or fingerprints differ by more than :func:`radius`, which lies five standard deviations above what a pair at the
+threshold has. Survivors are verified on their whole sets.
+
+A shingle that many texts share would give all their pairs. Where the pairs would be many, each text is first verified
+against a few leaders of its blocks, and then only pairs across the components found so far are formed, by pairs of
+chunks of bounded size. Links inside a component don't change it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import lasting, small, staged
 from .components import components
-from .simhash_dedup import keep_found
+from .simhash_dedup import distance_table, keep_found, print_of_digests, whole_tasks
 
 SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
 #: Least and most texts in the sample that orders the shingles (else an eighth), the least count in it that makes a shingle common, and how many are kept.
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = (4_096, 32_768), 3, 100_000
-#: Buckets of the counts, and the set size up to which a count surely fits in two bytes (larger sets aren't bounded).
-BUCKETS, COUNTED = 128, 65_535
 #: Pairs a text from which leaders are tried first, and how often they are.
 PAIRS_A_TEXT, LEADER_ROUNDS = 200, 3
-#: Texts of a group that are compared with each other or with those of one other chunk.
-CHUNK = 256
+#: Texts of a block that are compared with each other or with those of one other chunk, and the most pairs formed at once.
+CHUNK, PAIRS_AT_ONCE = 1024, 1 << 19
+
+
+def radius(similarity: float) -> int:
+    """Differing bits that a pair of the similarity (sets of one size, the worst case) has, and five standard deviations more."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return min(64, math.ceil(64 * p + 5 * math.sqrt(64 * p * (1 - p))))
 
 
 def text_key(text: str | None) -> int:
@@ -80,94 +89,125 @@ def common_shingles(texts: DataFrame, n_texts: int, size: int) -> tuple[np.ndarr
 
 
 def postings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> DataFrame:
-    """``token, key, n, at`` for the prefix of each text in ``key, text``: shingle, text, size of its set and position."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)
+    """A row for each shingle in the prefix of each text: ``token, key, fp, n, at, is_common`` (``n`` size of the set, ``at`` position)."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)  # COMMON_KEPT entries at most
 
-    def rows_of(keys: list[int], texts: list[str | None]) -> list[np.ndarray]:
+    def rows_of(texts: list[str | None]) -> list[np.ndarray]:
         tokens, counts = shared.value
-        out, size_of, prefix = [], [], []
+        out, is_common, size_of, prefix, prints = [], [], [], [], []
         for text in texts:
             own = shingles(text, size)
+            prints.append(print_of_digests(own.byteswap().tobytes()))
+            count = np.zeros(len(own), np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
-                own = own[np.argsort(np.where(tokens[at] == own, counts[at], 0), kind="stable")]
+                count = np.where(tokens[at] == own, counts[at], 0)
+                order = np.argsort(count, kind="stable")
+                own, count = own[order], count[order]
             size_of.append(len(own))
             prefix.append(prefix_length(len(own), similarity))
             out.append(own[: prefix[-1]])
-        where = [np.arange(p, dtype=np.int32) for p in prefix]
-        return [np.concatenate(out), np.repeat(np.array(keys, np.int64), prefix), np.repeat(np.array(size_of, np.int32), prefix), np.concatenate(where)]
-
-    return _map(texts.select("key", "text"), "token long, key long, n int, at int", rows_of)
-
-
-def _of_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``key, text`` of the texts in the pairs."""
-    keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    return texts.join(small(keys, keys.count()), "key", "left_semi").select("key", "text")
-
+            is_common.append(count[: prefix[-1]] > 0)
+        keys, prints = (np.array(x, np.int64) for x in ([text_key(t) for t in texts], prints))
+        where = np.concatenate([np.arange(p, dtype=np.int32) for p in prefix])
+        return [np.concatenate(out), np.repeat(keys, prefix), np.repeat(prints, prefix), np.repeat(np.array(size_of, np.int32), prefix), where, np.concatenate(is_common)]
 
-def _bounded(pairs: DataFrame, texts: DataFrame, size: int, share: float) -> DataFrame:
-    """The pairs that the counts of their shingles in buckets don't rule out."""
+    return _map(texts.select("text"), "token long, key long, fp long, n int, at int, is_common boolean", rows_of)
 
-    def counts(keys: list[int], texts: list[str | None]) -> list:
-        sets = [shingles(t, size) for t in texts]
-        held = [np.bincount(s & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint16).tobytes() if len(s) <= COUNTED else b"" for s in sets]
-        return [np.array(keys, np.int64), np.array([len(s) for s in sets], np.int64), pa.array(held, pa.binary())]
 
-    def allowed(a: list[int], b: list[int], n_a: list[int], n_b: list[int], held_a: list[bytes], held_b: list[bytes]) -> list:
-        most = [np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16)).sum(dtype=np.int64) if x and y else min(n, m) for x, y, n, m in zip(held_a, held_b, n_a, n_b, strict=True)]
-        keep = np.array(most) >= share * (np.array(n_a) + np.array(n_b)) - 1e-9
-        return [np.array(a, np.int64)[keep], np.array(b, np.int64)[keep]]
-
-    held = staged(_map(_of_pairs(pairs, texts), "key long, n long, held binary", counts), "counts")
-    both = pairs.join(held.toDF("a", "n_a", "held_a"), "a").join(held.toDF("b", "n_b", "held_b"), "b").select("a", "b", "n_a", "n_b", "held_a", "held_b")
-    return _map(both, "a long, b long", allowed)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those of the distinct pairs ``a, b`` of keys whose whole sets have the similarity."""
     share = similarity / (1 + similarity)
-    pairs = staged(_bounded(staged(pairs, "pairs"), texts, size, share), "bounded")
-    sets = _map(_of_pairs(pairs, texts), "key long, own array<long>", lambda keys, texts: [np.array(keys, np.int64), pa.array([shingles(t, size) for t in texts], pa.list_(pa.int64()))])
+    pairs = staged(pairs, "pairs")
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+    wanted = staged(ids.join(asked.select("key").distinct(), "key", "left_semi").select("id"), "wanted")
+    some = texts.join(small(wanted, wanted.count()), "id", "left_semi").select("text")
+    sets = _map(some, "key long, own array<long>", lambda texts: [np.array([text_key(t) for t in texts], np.int64), pa.array([shingles(t, size) for t in texts], pa.list_(pa.int64()))])
     both = sets.join(small(asked, 2 * pairs.count()), "key").groupBy("a", "b").agg(F.collect_list("own").alias("own"))
     x, y = F.col("own")[0], F.col("own")[1]
     return staged(both.where(F.size(F.array_intersect(x, y)) >= F.lit(share) * (F.size(x) + F.size(y)) - 1e-9).select("a", "b"), "links")
 
 
-def _across(groups: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of texts of different roots in a group whose sizes and positions allow the similarity."""
-    inside = groups.withColumn("row", F.row_number().over(Window.partitionBy("token").orderBy("root", "key"))).withColumn("own", F.floor((F.col("row") - 1) / CHUNK))
-    chunks = inside.groupBy("token", "own").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    left, right = chunks.toDF("token", "a", "low_a", "high_a"), chunks.toDF("token", "b", "low_b", "high_b")
-    # Two chunks of one root have nothing to compare.
-    tasks = left.join(right, "token").where("a <= b and low_a <> high_b").select("token", "a", "b")
-    x = inside.select("token", F.col("own").alias("a"), F.col("key").alias("key_x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("root").alias("root_x"), F.col("row").alias("row_x"))
-    y = inside.select("token", F.col("own").alias("b"), F.col("key").alias("key_y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("root").alias("root_y"), F.col("row").alias("row_y"))
-    share = similarity / (1 + similarity)
-    met = tasks.join(x, ["token", "a"]).join(y, ["token", "b"]).where("row_x < row_y and root_x <> root_y")
-    # What they share lies at or behind the first shared shingle, so the rest of the smaller side must be long enough.
-    met = met.where(F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) >= share * (F.col("n_x") + F.col("n_y")) - 1e-9)
-    return met.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
+@lru_cache(maxsize=256)
+def _within(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
 
+def _candidates(similarity: float, farthest: int):
+    """Rows ``token, a, b, own, key, fp, n, at, root`` sorted by task (token, a, b) -> pairs that are left to verify."""
+    share = similarity / (1 + similarity)
 
-def links(texts: DataFrame, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b`` between the distinct texts ``key, text`` (read several times): every component is joined up."""
-    n_texts = texts.select("key").count()
-    key = Window.partitionBy("token")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_tasks(batches, 3):
+            own, key, n, at, root = (rows[:, k] for k in (3, 4, 6, 7, 8))
+            fps = rows[:, 5].copy().view(np.uint64)
+            table = distance_table(fps).astype(np.int8)
+            found: list[np.ndarray] = []
+
+            def look(x: np.ndarray, y: np.ndarray) -> None:
+                keep = root[x] != root[y]
+                # What they share lies at or behind the first shared shingle, so the rest of the smaller side must be long enough.
+                keep &= np.minimum(n[x] - at[x], n[y] - at[y]) >= share * (n[x] + n[y]) - 1e-9
+                x, y = x[keep], y[keep]
+                keep = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= farthest
+                x, y = x[keep], y[keep]
+                keep = np.bitwise_count(fps[x] ^ fps[y]) <= farthest
+                x, y = key[x[keep]], key[y[keep]]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+
+            sizes = np.diff(bounds)
+            square = (rows[bounds[:-1], 1] == rows[bounds[:-1], 2]) & (sizes <= 64)
+            # Small tasks of one size all at once.
+            for size in np.unique(sizes[square & (sizes > 1)]).tolist():
+                i, j = _within(size)
+                starts = bounds[:-1][square & (sizes == size)]
+                step = max(1, PAIRS_AT_ONCE // len(i))
+                for k in range(0, len(starts), step):
+                    first = starts[k : k + step, None]
+                    look((first + i).ravel(), (first + j).ravel())
+            for a, b in zip(bounds[:-1][~square].tolist(), bounds[1:][~square].tolist(), strict=True):
+                left, right = (np.flatnonzero(own[a:b] == rows[a, k]) + a for k in (1, 2))
+                same = rows[a, 1] == rows[a, 2]
+                step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+                for k in range(0, len(left), step):
+                    x, y = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
+                    look(x[x < y], y[x < y]) if same else look(x, y)
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    return run
+
+
+def _across(blocks: DataFrame, similarity: float, farthest: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of keys of different roots in a block that may have the similarity."""
+    large = staged(blocks.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select(F.col("token").alias("large"), F.ceil(F.col("m") / CHUNK).alias("chunks")), "large")
+    n_large = large.count()
+    cut = blocks.withColumns({"own": F.lit(0).cast("long"), "other": F.lit(0).cast("long")})
+    if n_large:
+        cut = blocks.join(small(large, n_large), blocks["token"] == large["large"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
+    tasks = cut.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "fp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "root")
+    return tasks.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_candidates(similarity, farthest), "a long, b long").distinct()
+
+
+def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` between the keys of the distinct ``texts`` (``id, text``; ``ids``: ``key, id``): every component is joined up."""
+    farthest = radius(similarity)
+    # A shingle that is common in the sample surely has a block, so its rows needn't meet to be counted.
+    apart = Window.partitionBy("token", F.when(F.col("is_common"), F.col("key")))
     found = postings(texts, common_shingles(texts, n_texts, size), size, similarity)
-    shared = staged(found.withColumn("in_group", F.count("*").over(key)).where("in_group > 1").drop("in_group"), "postings")
+    shared = staged(found.withColumn("in_block", F.count("*").over(apart)).where("is_common or in_block > 1").drop("in_block", "is_common"), "postings")
     rooted, sure = shared.withColumn("root", F.col("key")), None
     for _ in range(LEADER_ROUNDS):
         sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("alike"))
-        pairs = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("alike")) / 2)).first()[0] or 0
+        pairs = sizes.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("alike")) / 2)).first()[0] or 0
         if pairs <= PAIRS_A_TEXT * n_texts:
             break
-        # Leaders differ by group, so that a text which is unlike one of them can still meet another.
-        led = rooted.groupBy("token").agg(F.min_by(F.struct("key", "root"), F.xxhash64("root", "key", "token")).alias("leader"))
-        met = rooted.join(led, "token").where("root <> leader.root").groupBy("key").agg(F.min("leader.key").alias("low"), F.max("leader.key").alias("high"))
-        met = met.select("key", F.explode(F.array("low", "high")).alias("other"))
-        more = verified(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), texts, size, similarity)
+        # Leaders differ by block, so that a text which is unlike one of them can still meet another.
+        led = rooted.groupBy("token").agg(F.min_by(F.struct("key", "root", "fp"), F.xxhash64("root", "key", "token")).alias("leader"))
+        met = rooted.join(led, "token").where((F.col("root") != F.col("leader.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader.fp"))) <= farthest))
+        met = met.groupBy("key").agg(F.min("leader.key").alias("low"), F.max("leader.key").alias("high")).select("key", F.explode(F.array("low", "high")).alias("other"))
+        more = verified(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), texts, ids, size, similarity)
         if more.isEmpty():
             break
         sure = more if sure is None else sure.unionByName(more)
@@ -175,27 +215,40 @@ def links(texts: DataFrame, size: int = SHINGLE_WORDS, similarity: float = SIMIL
         rooted = shared.join(roots, shared["key"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "key").alias("root"))
         mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
         rooted = staged(rooted.join(mixed, "token", "left_semi"), "rooted")
-    rest = verified(_across(rooted, similarity), texts, size, similarity)
+    rest = verified(_across(rooted, similarity, farthest), texts, ids, size, similarity)
     return rest if sure is None else sure.unionByName(rest)
 
 
+def _found(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    prints = staged(_map(rows, "doc_id long, key long", lambda ids, texts: [pa.array(ids, pa.int64()), pa.array([text_key(t) for t in texts], pa.int64())]), "prints")
+    keys = staged(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "keys")
+    n_texts, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    # One row of each key stands for it, named by its id if ids name rows.
+    if prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        ids = keys.select("key", F.col("least_id").alias("id"))
+        texts = rows.withColumnRenamed("doc_id", "id")
+        if n_texts < n_rows:
+            others = staged(prints.join(keys.where("copies > 1"), "key").where("doc_id <> least_id").select(F.col("doc_id").alias("id")), "others")
+            texts = texts.join(small(others, others.count()), "id", "left_anti")
+    else:
+        ids = keys.select("key", F.col("key").alias("id"))
+        keyed = _map(rows.select("text"), "id long, text string", lambda texts: [pa.array([text_key(t) for t in texts], pa.int64()), pa.array(texts, pa.string())])
+        texts = staged(keyed.dropDuplicates(["id"]), "texts")
+    roots = components(links(texts, ids, n_texts, size, similarity), "a", "b")
+    rooted = keys.join(roots, keys["key"] == roots["node"], "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")
+    return prints.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; the fingerprint is the text's key in hexadecimal.
 
     ``component_id`` is the smallest id reachable over links of texts whose shingle sets have the similarity. Null and
-    blank texts are alike. Null ids stay null and count only where a component has no other id.
+    blank texts are alike. Null ids stay null and count only where a component has no other id. Further columns of
+    ``docs`` aren't read. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = _map(rows, "doc_id long, key long, text string", lambda ids, texts: [pa.array(ids, pa.int64()), pa.array([text_key(t) for t in texts], pa.int64()), pa.array(texts, pa.string())])
-    prints = staged(_map(rows, "doc_id long, key long", lambda ids, texts: [pa.array(ids, pa.int64()), pa.array([text_key(t) for t in texts], pa.int64())]), "prints")
-    ids = prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    texts = keyed.select("key", "text")
-    if not ids.where("copies > 1").isEmpty():
-        texts = staged(texts.dropDuplicates(["key"]), "texts")
-    roots = components(links(texts, size, similarity), "a", "b")
-    rooted = ids.join(roots, ids["key"] == roots["node"], "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")
-    return prints.join(named, "key").select("doc_id", F.lower(F.lpad(F.hex("key"), 16, "0")).alias("fingerprint"), "component_id")
+    return lasting(docs.sparkSession, "components", lambda: _found(docs, id_col, text_col, size, similarity))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:

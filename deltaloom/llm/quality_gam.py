@@ -195,6 +195,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score at least the threshold, with their columns."""
-    return docs.where(scored(train(docs, labels), F.col("text")) >= THRESHOLD)
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score at least the threshold, with their columns.
+
+    The model is fitted on the labelled rows of ``learn_from`` (else of ``docs``): where an earlier filter has already
+    taken the bad ones out of ``docs``, these would have one class only, and every text would get the same score. A null or blank
+    text is scored like any other; repeated rows stay or go together; an empty table gives an empty result. Without
+    labels every text scores one half and nothing is kept.
+    """
+    return docs.where(scored(train(docs if learn_from is None else learn_from, labels), F.col("text")) >= THRESHOLD)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, staged, without_ids
+from .common import arrow_map, fresh, lasting, staged, without_ids
 from .components import components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -47,6 +47,11 @@ def fingerprint(text: str | None) -> int:
         start = end - size
         hashed = xxhash.xxh64_digest
         digests = b"".join([hashed(joined[a:b], SEED) for a, b in zip(start[: 1 - SHINGLE_WORDS].tolist(), end[SHINGLE_WORDS - 1 :].tolist(), strict=True)])
+    return print_of_digests(digests)
+
+
+def print_of_digests(digests: bytes) -> int:
+    """A signed 64-bit number with the bits that are set in over half of the big-endian 64-bit digests."""
     rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(rows), 1 << 16):
@@ -107,44 +112,48 @@ def forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task (block, a, b) -> links; a task's rows may run over several batches."""
+def whole_tasks(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of long columns sorted by the first ``n_keys`` of them -> rows of whole tasks and the bounds of the tasks; a task may run over several batches."""
     held: list[np.ndarray] = []
     task = None
 
-    def done(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def done(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         rows = np.concatenate(parts)
+        cuts = np.flatnonzero((rows[1:, :n_keys] != rows[:-1, :n_keys]).any(axis=1)) + 1
+        return rows, np.concatenate([[0], cuts, [len(rows)]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        last = rows[-1, :n_keys].copy()
+        first_of_last = int(np.argmax((rows[:, :n_keys] == last).all(axis=1)))
+        if task is not None and first_of_last == 0 and (task == last).all():
+            held.append(rows)
+            continue
+        if held or first_of_last:
+            yield done([*held, rows[:first_of_last]])
+        held, task = [rows[first_of_last:]], last
+    if held:
+        yield done(held)
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by task (block, a, b) -> links."""
+    for rows, bounds in whole_tasks(batches, 3):
         fps = rows[:, 3].copy().view(np.uint64)
         table = np.ascontiguousarray(rows[:, 4:6]).view(np.uint8)
-        cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        out: list[np.ndarray] = []
-        bounds = np.concatenate([[0], cuts, [len(rows)]])
         # Tasks of two rows, the most common kind, all at once.
         two = bounds[:-1][np.diff(bounds) == 2]
         near = two[np.abs(table[two].astype(np.int16) - table[two + 1].astype(np.int16)).max(axis=1) <= RADIUS] if two.size else two
         near = near[np.bitwise_count(fps[near] ^ fps[near + 1]) <= RADIUS]
-        out.append(np.stack([fps[near], fps[near + 1]], axis=1))
+        out = [np.stack([fps[near], fps[near + 1]], axis=1)]
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a > 2:
                 pairs = np.array(forest(fps[a:b], table[a:b]), dtype=np.int64).reshape(-1, 2) + a
                 out.append(fps[pairs])
         links = np.concatenate(out).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], axis=1)
-        last = rows[-1, :3].copy()
-        same = (rows[:, :3] == last).all(axis=1)
-        first_of_last = int(np.argmax(same))
-        if task is not None and first_of_last == 0 and (task == last).all():
-            held.append(rows)
-            continue
-        yield done([*held, rows[:first_of_last]]) if held or first_of_last else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        held, task = [rows[first_of_last:]], last
-    if held:
-        yield done(held)
+        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -170,6 +179,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null ids stay null and count only where a component has no other id. Repeated rows share their component.
     Further columns of ``docs`` aren't read. An empty table gives an empty result.
     """
+    return lasting(docs.sparkSession, "components", lambda: _found(docs, id_col, text_col))
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(distinct), "a", "b")
@@ -187,8 +200,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def keep_found(docs: DataFrame, found: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with one row of each component in ``found`` (``doc_id, fingerprint, component_id``), made with ``print_of``."""
-    found = staged(found, "components")
+    """``docs`` with one row of each component in ``found`` (``doc_id, fingerprint, component_id``), made with ``print_of``; read several times, so a written table."""
     removed = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.isEmpty():
