@@ -12,7 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm import best_fit_packing, exact_dedup, near_texts, quality_gam, quality_rules
-from deltaloom.llm.common import staged, table
+from deltaloom.llm.common import lasting, table
+
+# Every stage takes null and repeated ids, null, empty and very long texts, further columns and empty tables; what it does with them
+# is stated by the operator that it calls.
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +23,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"))
+    # The rules leave hardly any bad document to learn from, so the model learns from all labelled documents.
+    return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +32,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_texts.keep_one(docs)  # five-word shingles, Jaccard similarity of 0.8 or more; op6 has another contract
+    return near_texts.keep_one(docs)  # the wide form of op6: five-word shingles, similarity of 0.8 or more
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing.pack_documents(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_packing.pack_documents(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -48,7 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents. Each stage's output is written, what lies before it is deleted; only the lengths to be packed are left behind."""
+
+    def kept() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = lasting(spark, name, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+        return docs
+
+    def packed() -> DataFrame:
+        return STAGES[-1][1](spark, kept(), sf_dir)
+
+    return lasting(spark, STAGES[-1][0], packed)
