@@ -1,19 +1,20 @@
 """SimHash near-duplicates at a given similarity of whole texts: pivot distance tables, then an exact check.
 
-The wide form of ``simhash_dedup``: fingerprints are made of the distinct shingles of five words, and two texts are
-linked if the Jaccard similarity of their shingle sets is 0.8 or more. At that similarity fingerprints differ in 10 of
-64 bits on average, so no choice of bit runs can serve as a block. Blocks are single shingles instead: two sets of
-similarity ``t`` or more share an element among the first ``n - ceil(t * n) + 1`` of each, under any order of all
-elements (prefix filter). The order used here puts shingles last that are common in a sample, then goes by hash: it
-decides how many pairs are looked at, never which are found.
+The wide form of ``simhash_dedup``: fingerprints (of 128 bits here) are made of the distinct shingles of five words,
+and two texts are linked if the Jaccard similarity of their shingle sets is 0.8 or more. At that similarity
+fingerprints differ in 19 of 128 bits on average, so no choice of bit runs can serve as a block. Blocks are single
+shingles instead: two sets of similarity ``t`` or more share an element among the first ``n - ceil(t * n) + 1`` of
+each, under any order of all elements (prefix filter). The order used here puts shingles last that are common in a
+sample, then goes by hash: it decides how many pairs are looked at, never which are found.
 
 Inside a block pairs are discarded whose sizes and positions rule the similarity out, then those whose pivot distances
 or fingerprints differ by more than :func:`radius`, which lies five standard deviations above what a pair at the
 threshold has. Survivors are verified on their whole sets.
 
-A shingle that many texts share would give all their pairs. Where the pairs would be many, each text is first verified
-against a few leaders of its blocks, and then only pairs across the components found so far are formed, by pairs of
-chunks of bounded size. Links inside a component don't change it.
+A shingle that many texts share would give all their pairs. So each text is first verified against a few leaders: of
+the blocks of its first shingles, where near copies nearly always meet, and then, where the pairs would still be many,
+of all its blocks. Blocks within one component are left out from then on, and only pairs across the components found so
+far are formed, by pairs of chunks of bounded size. Links inside a component don't change it.
 """
 
 from __future__ import annotations
@@ -32,11 +33,13 @@ from .common import lasting, small, staged
 from .components import components
 from .simhash_dedup import distance_table, keep_found, print_of_digests, whole_tasks
 
-SHINGLE_WORDS, SIMILARITY, SEED = 5, 0.8, 42
+SHINGLE_WORDS, SIMILARITY, SEED, BITS = 5, 0.8, 42, 128
 #: Least and most texts in the sample that orders the shingles (else an eighth), the least count in it that makes a shingle common, and how many are kept.
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = (4_096, 32_768), 3, 100_000
-#: Pairs a text from which leaders are tried first, and how often they are.
-PAIRS_A_TEXT, LEADER_ROUNDS = 200, 3
+#: Shingles of a text whose blocks' leaders are tried first.
+FIRST = 4
+#: Pairs a text from which leaders of all blocks are tried, and how often they are.
+PAIRS_A_TEXT, LEADER_ROUNDS = 10, 3
 #: Texts of a block that are compared with each other or with those of one other chunk, and the most pairs formed at once.
 CHUNK, PAIRS_AT_ONCE = 1024, 1 << 19
 
@@ -44,7 +47,7 @@ CHUNK, PAIRS_AT_ONCE = 1024, 1 << 19
 def radius(similarity: float) -> int:
     """Differing bits that a pair of the similarity (sets of one size, the worst case) has, and five standard deviations more."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return min(64, math.ceil(64 * p + 5 * math.sqrt(64 * p * (1 - p))))
+    return min(BITS, math.ceil(BITS * p + 5 * math.sqrt(BITS * p * (1 - p))))
 
 
 def text_key(text: str | None) -> int:
@@ -88,31 +91,39 @@ def common_shingles(texts: DataFrame, n_texts: int, size: int) -> tuple[np.ndarr
     return most["token"].to_numpy(np.int64)[order], most["count"].to_numpy(np.int64)[order]
 
 
-def postings(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> DataFrame:
-    """A row for each shingle in the prefix of each text: ``token, key, fp, n, at, is_common`` (``n`` size of the set, ``at`` position)."""
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit halves: the bits that over half of the hashes have, and that over half of the mixed hashes have."""
+    x = hashes.view(np.uint64)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    x ^= x >> np.uint64(31)
+    return print_of_digests(hashes.byteswap().tobytes()), print_of_digests(x.byteswap().tobytes())
+
+
+def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int, similarity: float) -> DataFrame:
+    """A row for each text: ``key, f0, f1`` (fingerprint), ``n`` (size of its set), ``rare`` (how many of its prefix aren't common) and ``tokens``, its prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(common)  # COMMON_KEPT entries at most
 
-    def rows_of(texts: list[str | None]) -> list[np.ndarray]:
+    def rows_of(texts: list[str | None]) -> list:
         tokens, counts = shared.value
-        out, is_common, size_of, prefix, prints = [], [], [], [], []
+        sizes, rare, prints, out = [], [], [], []
         for text in texts:
             own = shingles(text, size)
-            prints.append(print_of_digests(own.byteswap().tobytes()))
+            prints.append(fingerprint(own))
             count = np.zeros(len(own), np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
                 count = np.where(tokens[at] == own, counts[at], 0)
                 order = np.argsort(count, kind="stable")
                 own, count = own[order], count[order]
-            size_of.append(len(own))
-            prefix.append(prefix_length(len(own), similarity))
-            out.append(own[: prefix[-1]])
-            is_common.append(count[: prefix[-1]] > 0)
-        keys, prints = (np.array(x, np.int64) for x in ([text_key(t) for t in texts], prints))
-        where = np.concatenate([np.arange(p, dtype=np.int32) for p in prefix])
-        return [np.concatenate(out), np.repeat(keys, prefix), np.repeat(prints, prefix), np.repeat(np.array(size_of, np.int32), prefix), where, np.concatenate(is_common)]
+            held = prefix_length(len(own), similarity)
+            sizes.append(len(own))
+            rare.append(int((count[:held] == 0).sum()))
+            out.append(own[:held])
+        f0, f1 = np.array(prints, np.int64).reshape(-1, 2).T
+        return [np.array([text_key(t) for t in texts], np.int64), f0.copy(), f1.copy(), np.array(sizes, np.int64), np.array(rare, np.int32), pa.array(out, pa.list_(pa.int64()))]
 
-    return _map(texts.select("text"), "token long, key long, fp long, n int, at int, is_common boolean", rows_of)
+    return _map(texts.select("text"), "key long, f0 long, f1 long, n long, rare int, tokens array<long>", rows_of)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -133,15 +144,20 @@ def _within(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+def pivot_table(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
+    """Distances of each fingerprint to each pivot, whose halves are alike; one byte each."""
+    return (distance_table(f0) + distance_table(f1)).astype(np.int16)
+
+
 def _candidates(similarity: float, farthest: int):
-    """Rows ``token, a, b, own, key, fp, n, at, root`` sorted by task (token, a, b) -> pairs that are left to verify."""
+    """Rows ``token, a, b, own, key, f0, f1, n, at, root`` sorted by task (token, a, b) -> pairs that are left to verify."""
     share = similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in whole_tasks(batches, 3):
-            own, key, n, at, root = (rows[:, k] for k in (3, 4, 6, 7, 8))
-            fps = rows[:, 5].copy().view(np.uint64)
-            table = distance_table(fps).astype(np.int8)
+            own, key, n, at, root = (rows[:, k] for k in (3, 4, 7, 8, 9))
+            f0, f1 = (rows[:, k].copy().view(np.uint64) for k in (5, 6))
+            table = pivot_table(f0, f1)
             found: list[np.ndarray] = []
 
             def look(x: np.ndarray, y: np.ndarray) -> None:
@@ -151,7 +167,7 @@ def _candidates(similarity: float, farthest: int):
                 x, y = x[keep], y[keep]
                 keep = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= farthest
                 x, y = x[keep], y[keep]
-                keep = np.bitwise_count(fps[x] ^ fps[y]) <= farthest
+                keep = np.bitwise_count(f0[x] ^ f0[y]) + np.bitwise_count(f1[x] ^ f1[y]) <= farthest
                 x, y = key[x[keep]], key[y[keep]]
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
 
@@ -186,37 +202,53 @@ def _across(blocks: DataFrame, similarity: float, farthest: int) -> DataFrame:
     if n_large:
         cut = blocks.join(small(large, n_large), blocks["token"] == large["large"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
-    tasks = cut.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "fp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"), "root")
+    tasks = cut.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "f0", "f1", "n", F.col("at").cast("long").alias("at"), "root")
     return tasks.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_candidates(similarity, farthest), "a long, b long").distinct()
 
 
+def _led(blocks: DataFrame, farthest: int) -> DataFrame:
+    """Distinct pairs ``a, b``: each text and the least and greatest of the leaders of its blocks that may be like it.
+
+    Leaders differ by block, so that a text which is unlike one of them can still meet another.
+    """
+    led = blocks.groupBy("token").agg(F.min_by(F.struct("key", "root", "f0", "f1"), F.xxhash64("root", "key", "token")).alias("leader"))
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("leader.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("leader.f1")))
+    met = blocks.join(led, "token").where((F.col("root") != F.col("leader.root")) & (apart <= farthest))
+    met = met.groupBy("key").agg(F.min("leader.key").alias("low"), F.max("leader.key").alias("high")).select("key", F.explode(F.array("low", "high")).alias("other"))
+    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a, b`` between the keys of the distinct ``texts`` (``id, text``; ``ids``: ``key, id``): every component is joined up."""
     farthest = radius(similarity)
-    # A shingle that is common in the sample surely has a block, so its rows needn't meet to be counted.
-    apart = Window.partitionBy("token", F.when(F.col("is_common"), F.col("key")))
-    found = postings(texts, common_shingles(texts, n_texts, size), size, similarity)
-    shared = staged(found.withColumn("in_block", F.count("*").over(apart)).where("is_common or in_block > 1").drop("in_block", "is_common"), "postings")
-    rooted, sure = shared.withColumn("root", F.col("key")), None
+    held = staged(prefixes(texts, common_shingles(texts, n_texts, size), size, similarity), "prefixes")
+    first = held.select(F.explode(F.slice("tokens", 1, FIRST)).alias("token"), "key", "f0", "f1", F.col("key").alias("root"))
+    sure = verified(_led(first, farthest), texts, ids, size, similarity)
+    roots = components(sure, "a", "b")
+    rooted = held.join(roots, held["key"] == roots["node"], "left").select("key", "f0", "f1", "n", "rare", "tokens", F.coalesce("root", "key").alias("root"))
+    rooted = staged(rooted, "rooted")
+    mixed = F.min("root") < F.max("root")
+    # Blocks of common shingles are judged by an aggregate and only the others by a window; at most COMMON_KEPT shingles are common.
+    often = rooted.select(F.explode(F.slice("tokens", F.col("rare") + 1, F.size("tokens"))).alias("token"), "root").groupBy("token").agg(mixed.alias("mixed")).where("mixed").select(F.col("token").alias("often"))
+    each = rooted.select("key", "f0", "f1", "n", "rare", "root", F.posexplode("tokens").alias("at", "token"))
+    block = Window.partitionBy("token")
+    few = each.where("at < rare").withColumn("mixed", F.min("root").over(block) < F.max("root").over(block)).where("mixed").drop("mixed")
+    many = each.where("at >= rare").join(F.broadcast(often), F.col("token") == F.col("often"), "left_semi")
+    blocks = staged(few.unionByName(many).drop("rare"), "blocks")
     for _ in range(LEADER_ROUNDS):
-        sizes = rooted.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("alike"))
+        sizes = blocks.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("alike"))
         pairs = sizes.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("alike")) / 2)).first()[0] or 0
         if pairs <= PAIRS_A_TEXT * n_texts:
             break
-        # Leaders differ by block, so that a text which is unlike one of them can still meet another.
-        led = rooted.groupBy("token").agg(F.min_by(F.struct("key", "root", "fp"), F.xxhash64("root", "key", "token")).alias("leader"))
-        met = rooted.join(led, "token").where((F.col("root") != F.col("leader.root")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("leader.fp"))) <= farthest))
-        met = met.groupBy("key").agg(F.min("leader.key").alias("low"), F.max("leader.key").alias("high")).select("key", F.explode(F.array("low", "high")).alias("other"))
-        more = verified(met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), texts, ids, size, similarity)
+        more = verified(_led(blocks, farthest), texts, ids, size, similarity)
         if more.isEmpty():
             break
-        sure = more if sure is None else sure.unionByName(more)
+        sure = sure.unionByName(more)
         roots = components(sure, "a", "b")
-        rooted = shared.join(roots, shared["key"] == roots["node"], "left").select(*shared.columns, F.coalesce("root", "key").alias("root"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        rooted = staged(rooted.join(mixed, "token", "left_semi"), "rooted")
-    rest = verified(_across(rooted, similarity, farthest), texts, ids, size, similarity)
-    return rest if sure is None else sure.unionByName(rest)
+        again = blocks.drop("root").join(roots, blocks["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key"))
+        still = again.groupBy("token").agg(mixed.alias("mixed")).where("mixed").select("token")
+        blocks = staged(again.join(still, "token", "left_semi"), "blocks")
+    return sure.unionByName(verified(_across(blocks, similarity, farthest), texts, ids, size, similarity))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
