@@ -1,15 +1,17 @@
 """Roles of the lines of chat transcripts by a hidden Markov model, and canonical turns.
 
-States are a role and whether the line opens a turn or goes on in it. A line is seen through its speaker marker (if any)
-and through three features: length, first character and last character. Feature and transition probabilities are
-counted over all conversations whose roles are known; marker probabilities are fixed, as such conversations have no
-markers. Viterbi runs over a whole batch of transcripts at once; then the lines of a turn are joined, markers are
-taken off, and each turn is rendered as ``<|role|>``, its text and ``<|end|>``.
+States are a role and whether the line opens a turn or goes on in it. A line is seen through its speaker label (a word
+before a colon, in brackets or behind ###, if any) and through four features: length, first character, last character,
+and, where the transcript has blank lines, whether the line before is one. All probabilities, those of the labels included, are counted over the transcripts
+of one part of the conversations (:func:`held_out` is the other); a label that these never showed opens a turn of any
+role. Viterbi runs over a whole batch of transcripts at once; then the lines of a turn are joined, labels and
+separating blank lines are taken off, and each turn is rendered as ``<|role|>``, its text and ``<|end|>``.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,64 +20,81 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged
+from .common import lasting, small, staged
 
 ROLES = ("system", "user", "assistant")
 OPENS, GOES_ON = 0, 1
 STATES = tuple((r, k) for r in range(len(ROLES)) for k in (OPENS, GOES_ON))
-#: Words before a colon (or in brackets, or after ###) that name a speaker; compared in lower case.
-MARKERS = {
-    "system": 0, "instruction": 0, "instructions": 0, "context": 0,
-    "user": 1, "human": 1, "customer": 1, "question": 1, "q": 1, "prompter": 1, "me": 1,
-    "assistant": 2, "ai": 2, "bot": 2, "agent": 2, "answer": 2, "a": 2, "gpt": 2, "model": 2,
-}
-#: Probability that a turn opens with a marker, that a marker is of another role, and that a line that goes on looks like one.
-MARKED, WRONG, FALSE_MARK = 0.6, 0.01, 0.002
-#: Share of a feature's probability that is spread evenly, so that what a role never showed counts alike for all roles.
-SPREAD = 0.05
+#: Labels that the model tells apart, those seen most; and the probability of any other label on a line that opens a turn and on one that goes on.
+LABELS, UNSEEN = 256, (0.02, 0.0005)
+#: What is added to the count of every label with a state, so that one that a rare state never showed stays improbable there.
+ADDED = 0.01
 LENGTHS = (1, 40, 80, 160, 320, 640)
-N_LENGTH, N_FIRST, N_LAST = len(LENGTHS) + 1, 4, 4
+#: Share of each feature's probability that is spread evenly, so that what a role never showed counts alike for all roles.
+SPREAD = (0.02, 0.02, 0.02, 0.002)
+N_FEATURE = (len(LENGTHS) + 1, 4, 4, 3)
 #: Turns of one transcript; a conversation with more is stored in parts of so many turns, but parsed as a whole.
 PART_TURNS = 256
-
-_marker = re.compile(r"^\s*(?:#{2,4}\s*|\[|\*\*|<\|)?([A-Za-z]{1,12})(?:\]|\*\*|\|>)?\s*[:>\]]\s*")
+#: Forms of raw transcripts: names of system, user and assistant, what stands before and after a name, and whether a blank line parts the turns.
+FORMS = (
+    (("System", "User", "Assistant"), "", ": ", False),
+    (("System", "User", "Assistant"), "### ", ": ", True),
+    (("System", "User", "Assistant"), "[", "]: ", True),
+    (("Context", "Human", "AI"), "", ": ", False),
+    (("Instructions", "Question", "Answer"), "**", "**: ", True),
+)
+#: Forms of held-out conversations beside those.
+UNSEEN_FORMS = ((("Setup", "Client", "Helper"), "", "> ", True),)
+
+#: A blank line anywhere, and at the end of a transcript.
+BLANK_LINE, ENDS_BLANK = r"(?:^|\n)[\x20\x09\x0B-\x0D]*(?:\n|$)", r"(?:^|\n)[\x20\x09\x0B-\x0D]*$"
+
+_label = re.compile(r"^\s*(?:#{2,4}\s*|\[|\*\*|<\|)?([A-Za-z]{1,12})(?:\]|\*\*|\|>)?\s*[:>\]]\s*")
 _open_tag = re.compile(r"<\|")
 
 
-def marker_of(line: str) -> tuple[int, int]:
-    """Role of the line's marker (or -1) and where the text behind it starts."""
-    m = _marker.match(line)
-    role = MARKERS.get(m[1].lower(), -1) if m else -1
-    return (role, m.end()) if role >= 0 else (-1, 0)
+def label_of(line: str) -> tuple[str, int]:
+    """The line's label in lower case (or nothing) and where the text behind it starts."""
+    m = _label.match(line)
+    return (m[1].lower(), m.end()) if m else ("", 0)
 
 
-def look(text: str) -> tuple[int, int, int]:
-    """Length class, kind of the first and of the last character of a line without its marker."""
+def look(text: str, after: int) -> tuple[int, int, int, int]:
+    """Length class, kind of the first and of the last character of a line without its label, and what was given."""
     t = text.strip(" \t\n\r\v\f")
     if not t:
-        return 0, 0, 0
+        return 0, 0, 0, after
     first = 1 if t[0].isupper() else 2 if t[0].islower() else 3
-    return int(np.searchsorted(LENGTHS, len(t), side="right")), first, 1 if t[-1] == "?" else 2 if t[-1] in ".!:" else 3
+    return int(np.searchsorted(LENGTHS, len(t), side="right")), first, 1 if t[-1] == "?" else 2 if t[-1] in ".!:" else 3, after
+
+
+def seen_lines(lines: list[str], after_blank: bool, has_blank: bool | None = None) -> tuple[list[tuple[str, int]], list[tuple[int, int, int, int]]]:
+    """Labels and features of the lines of one transcript, or of a part of one behind a blank line or not (``has_blank``: the whole has one)."""
+    labels = [label_of(line) for line in lines]
+    blank = [not line.strip(" \t\n\r\v\f") for line in lines]
+    after = [1 + x for x in (after_blank, *blank[:-1])] if (any(blank) if has_blank is None else has_blank) else [0] * len(lines)
+    return labels, [look(line[at:], a) for line, (_, at), a in zip(lines, labels, after, strict=True)]
 
 
 @dataclass
 class Hmm:
-    """Log probabilities: of the first state, of moves, and of each feature given the state."""
+    """Log probabilities: of the first state, of moves, of each feature and of each label (none, any other, those known) given the state."""
 
     start: np.ndarray
     move: np.ndarray
-    seen: tuple[np.ndarray, np.ndarray, np.ndarray]
-
-    def emissions(self, marks: np.ndarray, looks: np.ndarray) -> np.ndarray:
-        """Log probability of each line (marker role or -1, three features) in each state."""
-        out = sum(t[:, looks[:, k]].T for k, t in enumerate(self.seen))
-        for s, (role, kind) in enumerate(STATES):
-            if kind == GOES_ON:
-                own = np.where(marks < 0, np.log(1 - FALSE_MARK), np.log(FALSE_MARK / len(ROLES)))
-            else:
-                own = np.where(marks < 0, np.log(1 - MARKED), np.where(marks == role, np.log(MARKED * (1 - WRONG)), np.log(MARKED * WRONG / 2)))
-            out[:, s] += own
-        return out
+    seen: tuple[np.ndarray, ...]
+    labels: dict[str, int]
+    labelled: np.ndarray
+
+    def emissions(self, labels: list[str], looks: np.ndarray) -> np.ndarray:
+        """Log probability of each line in each state."""
+        kinds = np.array([self.labels.get(x, 1) if x else 0 for x in labels], np.int64)
+        return self.labelled[:, kinds].T + sum(t[:, looks[:, k]].T for k, t in enumerate(self.seen))
+
+    def names_speaker(self, label: str) -> bool:
+        """True where the label is likelier on a line that opens a turn, as any unknown one is."""
+        by_state = self.labelled[:, self.labels.get(label, 1)]
+        return bool(label) and by_state[OPENS::2].max() > by_state[GOES_ON::2].max()
 
     def viterbi(self, lines: list[np.ndarray], first: list[int] | None = None, last: list[int] | None = None) -> list[np.ndarray]:
         """Best states of each sequence of emissions; sequences of like length run side by side.
@@ -103,7 +122,6 @@ class Hmm:
                 out[i] = path
         return out
 
-
     def spans(self, lines: list[np.ndarray]) -> np.ndarray:
         """For each sequence, the best log probability from a first to a last state: ``[sequence, first, last]``."""
         out = np.empty((len(lines), len(STATES), len(STATES)))
@@ -134,100 +152,122 @@ class Hmm:
         return first, last
 
 
-def fit(turns: DataFrame) -> Hmm:
-    """Count the model over all turns ``conv_id, turn, role, text`` with a known role; every count starts at one.
-
-    Only the counts come to the driver: at most a few hundred rows for any input.
+def held_out(conv_id: Column) -> Column:
+    """True for the conversations that the model isn't fitted on; a null id isn't one of them."""
+    return F.coalesce(F.crc32(conv_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns with their roles (``x``: line and role of each turn; columns of :func:`transcripts_of`) -> counts ``what, a, b, label, n``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part, found = batch.slice(at, 256), Counter()
+            for turns, after_blank, has_blank, is_first in zip(*(part.column(c).to_pylist() for c in ("x", "after_blank", "has_blank", "is_first")), strict=True):
+                lines, states = [], []
+                for turn in turns:
+                    own = turn["line"].split("\n")
+                    lines += own
+                    role = ROLES.index(turn["role"]) if turn["role"] in ROLES else -1
+                    states += [2 * role + (GOES_ON if k else OPENS) if role >= 0 else -1 for k in range(len(own))]
+                labels, looks = seen_lines(lines, after_blank, has_blank)
+                found["start", states[0], 0, ""] += is_first
+                found.update(("move", a, b, "") for a, b in zip(states, states[1:], strict=False))
+                found.update(("label", s, 0, label) for s, (label, _) in zip(states, labels, strict=True))
+                found.update((f"seen{k}", s, f[k], "") for s, f in zip(states, looks, strict=True) for k in range(len(f)))
+            what, a, b, label = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(label), pa.array(list(found.values()), pa.int64())], names=["what", "a", "b", "label", "n"])
+
+
+def fit(parts: DataFrame) -> Hmm:
+    """Count the model over transcripts ``x, after_blank, has_blank, is_first`` whose roles are known; every count starts at one, those of labels at ADDED.
+
+    Only counts come to the driver: a few hundred rows, and the LABELS labels seen most with each state. Moves are counted
+    inside parts. Lines of other roles than the three don't count.
     """
-    known = turns.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
-    line = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    first, last = F.substring(line, 1, 1), F.substring(line, -1, 1)
-    n = F.length(line)
-    length = sum((F.when(n >= x, 1).otherwise(0) for x in LENGTHS), F.lit(0))
-    kind = F.when(n == 0, 0).when(first.rlike(r"^\p{Lu}"), 1).when(first.rlike(r"^\p{Ll}"), 2).otherwise(3)
-    end = F.when(n == 0, 0).when(last == "?", 1).when(last.isin(".", "!", ":"), 2).otherwise(3)
-    looks = known.select("role", F.posexplode("lines").alias("pos", "line")).select("role", (F.col("pos") > 0).cast("int").alias("kind"), length.alias("length"), kind.alias("first"), end.alias("last"))
-    seen = [np.ones((len(STATES), k)) for k in (N_LENGTH, N_FIRST, N_LAST)]
-    for r in looks.groupBy("role", "kind", "length", "first", "last").count().collect():
-        s = STATES.index((ROLES.index(r["role"]), r["kind"]))
-        for table, x in zip(seen, (r["length"], r["first"], r["last"]), strict=True):
-            table[s, x] += r["count"]
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role"))
-    start, follow = np.ones(len(ROLES)), np.ones((len(ROLES), len(ROLES)))
-    for r in known.select("role", before.alias("before")).groupBy("before", "role").count().collect():
-        if r["before"] is None:
-            start[ROLES.index(r["role"])] += r["count"]
-        else:
-            follow[ROLES.index(r["before"]), ROLES.index(r["role"])] += r["count"]
-    more = np.ones((len(ROLES), 2))
-    for r in known.groupBy("role").agg(F.count("*").alias("ends"), F.sum(F.size("lines") - 1).alias("goes")).collect():
-        more[ROLES.index(r["role"])] += r["ends"], r["goes"]
-    move = np.zeros((len(STATES), len(STATES)))
+    counts = staged(parts.select("x", "after_blank", "has_blank", "is_first").mapInArrow(_counted, "what string, a int, b int, label string, n long").groupBy("what", "a", "b", "label").agg(F.sum("n").alias("n")).where("a >= 0 and b >= 0"), "counts")
+    start, move = np.array([1.0 if k == OPENS else 0.0 for _, k in STATES]), np.zeros((len(STATES), len(STATES)))
     for a, (x, _) in enumerate(STATES):
-        goes = more[x, 1] / more[x].sum()
         for b, (y, k) in enumerate(STATES):
-            move[a, b] = (goes if x == y else 0) if k == GOES_ON else (1 - goes) * follow[x, y] / follow[x].sum()
-    first_state = np.array([start[r] / start.sum() if k == OPENS else 0 for r, k in STATES])
+            move[a, b] = 1.0 if k == OPENS or x == y else 0.0
+    seen = [np.ones((len(STATES), k)) for k in N_FEATURE]
+    for r in counts.where("label = ''").collect():
+        if r["what"] == "start":
+            start[r["a"]] += r["n"] if STATES[r["a"]][1] == OPENS else 0
+        elif r["what"] == "move":
+            move[r["a"], r["b"]] += r["n"]
+        elif r["what"] != "label":
+            seen[int(r["what"][4:])][r["a"], r["b"]] += r["n"]
+    most = counts.where("what = 'label' and label <> ''").groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS)
+    labels = {r["label"]: k + 2 for k, r in enumerate(most.collect())}
+    labelled = np.full((len(STATES), len(labels) + 2), ADDED)
+    for r in counts.where("what = 'label'").join(F.broadcast(most.select("label").unionByName(counts.sparkSession.createDataFrame([("",)], "label string"))), "label").collect():
+        labelled[r["a"], labels.get(r["label"], 0)] += r["n"]
+    labelled[:, 1] = 0
+    labelled /= labelled.sum(axis=1, keepdims=True)
+    other = np.array([UNSEEN[k] for _, k in STATES])
+    labelled *= 1 - other[:, None]
+    labelled[:, 1] = other
     with np.errstate(divide="ignore"):
-        return Hmm(np.log(first_state), np.log(move), tuple(np.log((1 - SPREAD) * t / t.sum(axis=1, keepdims=True) + SPREAD / t.shape[1]) for t in seen))
+        tables = tuple(np.log((1 - x) * t / t.sum(axis=1, keepdims=True) + x / t.shape[1]) for x, t in zip(SPREAD, seen, strict=True))
+        return Hmm(np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True)), tables, labels, np.log(labelled))
 
 
-def _seen(model: Hmm, split: list[list[str]]) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-    """Marker of every line, and the emissions of each list of lines."""
-    flat = [line for lines in split for line in lines]
-    marks = [marker_of(line) for line in flat]
-    seen = model.emissions(np.array([m for m, _ in marks]), np.array([look(line[at:]) for line, (_, at) in zip(flat, marks, strict=True)]))
+def _seen(model: Hmm, split: list[list[str]], after_blank: list[bool], has_blank: list[bool | None]) -> tuple[list[list[tuple[str, int]]], list[np.ndarray]]:
+    """Labels of every list of lines, and the emissions of each."""
+    found = [seen_lines(lines, a, b) if lines else ([], []) for lines, a, b in zip(split, after_blank, has_blank, strict=True)]
+    flat = model.emissions([label for labels, _ in found for label, _ in labels], np.array([f for _, looks in found for f in looks]))
     ends = np.cumsum([len(x) for x in split])
-    return marks, [seen[b - len(x) : b] for x, b in zip(split, ends, strict=True)]
+    return [labels for labels, _ in found], [flat[b - len(x) : b] for x, b in zip(split, ends, strict=True)]
 
 
-def parse(model: Hmm, transcripts: list[str | None], first: list[int] | None = None, last: list[int] | None = None) -> list[list[tuple[str, str]]]:
-    """The turns (role, text) of each transcript; a null or empty transcript has none.
+def parse(model: Hmm, transcripts: list[str | None], first: list[int] | None = None, last: list[int] | None = None, goes_on: list[bool] | None = None, after_blank: list[bool] | None = None, has_blank: list[bool] | None = None) -> list[list[tuple[str, str | None]]]:
+    """The turns (role, text) of each transcript; a null or empty transcript has none. A blank line before the next turn isn't part of the text.
 
-    With ``first`` and ``last`` the transcripts are parts of longer ones: an empty part is an empty line, and a part
-    that begins in a state that goes on has the rest of the turn before it as its first turn.
+    With the other arguments (see :func:`bordered`) the transcripts are parts of longer ones: an empty part is an empty
+    line, and a part that begins in a state that goes on has the rest of the turn before it as its first turn, whose
+    text is None if nothing of it is left.
     """
     split = [t.split("\n") if t or first else [] for t in transcripts]
     if not any(split):
         return [[] for _ in split]
-    marks, seen = _seen(model, split)
-    ends = np.cumsum([len(x) for x in split])
-    states = model.viterbi(seen, first, last)
+    labels, seen = _seen(model, split, after_blank or [True] * len(split), has_blank or [None] * len(split))
     out = []
-    for lines, end, path in zip(split, ends, states, strict=True):
+    for lines, own, path, more in zip(split, labels, model.viterbi(seen, first, last), goes_on or [False] * len(split), strict=True):
         turns: list[tuple[str, list[str]]] = []
-        for k, (line, s) in enumerate(zip(lines, path.tolist(), strict=True)):
+        states = path.tolist()
+        following = [*states[1:], GOES_ON if more else OPENS]
+        for line, (label, at), s, after in zip(lines, own, states, following, strict=True):
             role, kind = STATES[s]
-            mark, at = marks[end - len(lines) + k]
             if kind == OPENS:
-                turns.append((ROLES[role], [line[at:] if mark >= 0 else line]))
-            elif not turns:
-                turns.append((ROLES[role], [line]))
-            else:
+                turns.append((ROLES[role], [line[at:] if model.names_speaker(label) else line]))
+                continue
+            if not turns:
+                turns.append((ROLES[role], []))
+            if line.strip(" \t\r\v\f") or after % 2 == GOES_ON:
                 turns[-1][1].append(line)
-        out.append([(role, "\n".join(x)) for role, x in turns])
+        out.append([(role, "\n".join(x) if x else None) for role, x in turns])
     return out
 
 
-def render(turns: list[tuple[str, str]], from_before: bool = False, goes_on: bool = False) -> str:
+def render(turns: list[tuple[str, str | None]], from_before: bool = False, goes_on: bool = False) -> str:
     """Canonical text; ``<|`` inside a turn becomes ``<\\|``.
 
     A first turn that comes from the part before has no head, a last one that goes on in the next part no end, so the
     texts of a conversation's parts one after the other are the text of the whole.
     """
-    heads = [f"<|{role}|>\n" for role, _ in turns]
-    ends = ["<|end|>\n"] * len(turns)
-    if from_before:
-        heads[0] = ""
-    if goes_on:
-        ends[-1] = ""
-    return "".join(f"{head}{_open_tag.sub(lambda _: '<\\|', text)}\n{end}" for head, (_, text), end in zip(heads, turns, ends, strict=True))
+    out = []
+    for k, (role, text) in enumerate(turns):
+        head = "" if from_before and k == 0 else f"<|{role}|>\n"
+        end = "" if goes_on and k == len(turns) - 1 else "<|end|>\n"
+        body = "" if text is None else _open_tag.sub(lambda _: "<\\|", text) + "\n"
+        out.append(head + body + end)
+    return "".join(out)
 
 
 def parse_transcripts(transcripts: DataFrame, model: Hmm, text_col: str = "transcript", parts: bool = False) -> DataFrame:
     """``transcripts`` with ``turns`` (array of role and text) and ``rendered``. Its other columns stay.
 
-    With ``parts`` the rows are parts with the columns ``first``, ``last`` and ``goes_on`` of :func:`bordered`.
+    With ``parts`` the rows are parts with the columns ``first``, ``last``, ``goes_on``, ``after_blank`` and ``has_blank`` of :func:`bordered`.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -239,8 +279,8 @@ def parse_transcripts(transcripts: DataFrame, model: Hmm, text_col: str = "trans
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                first, last, goes_on = (part.column(c).to_pylist() if parts else None for c in ("first", "last", "goes_on"))
-                turns = parse(model, part.column(text_col).to_pylist(), first, last)
+                first, last, goes_on, *blank = (part.column(c).to_pylist() if parts else None for c in ("first", "last", "goes_on", "after_blank", "has_blank"))
+                turns = parse(model, part.column(text_col).to_pylist(), first, last, goes_on, *blank)
                 rendered = [render(x, STATES[f][1] == GOES_ON, g) for x, f, g in zip(turns, first, goes_on, strict=True)] if parts else [render(x) for x in turns]
                 more = (pa.array([[{"role": r, "text": t} for r, t in x] for x in turns], arrow.field("turns").type), pa.array(rendered, pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], schema=arrow)
@@ -249,7 +289,7 @@ def parse_transcripts(transcripts: DataFrame, model: Hmm, text_col: str = "trans
 
 
 def bordered(parts: DataFrame, model: Hmm) -> DataFrame:
-    """``parts`` (a written table) with the states ``first`` and ``last`` of each on the best path of its whole conversation.
+    """``parts`` (a written table) with the states ``first`` and ``last`` of each on the best path of its whole conversation, and ``part`` counted from 0.
 
     Each part gives the best probabilities from state to state; only these 36 numbers a part are chained by
     conversation. ``goes_on``: the part's last turn goes on in the next part.
@@ -259,68 +299,82 @@ def bordered(parts: DataFrame, model: Hmm) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                _, seen = _seen(model, [t.split("\n") for t in part.column("transcript").to_pylist()])
+                _, seen = _seen(model, *([x.split("\n") if c == "transcript" else x for x in part.column(c).to_pylist()] for c in ("transcript", "after_blank", "has_blank")))
                 yield pa.RecordBatch.from_arrays([part.column("conv_id"), part.column("part"), pa.array(list(model.spans(seen).reshape(len(seen), -1)))], names=["conv_id", "part", "span"])
 
     def chained(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")
         first, last = model.borders(np.array(rows["span"].to_pylist()).reshape(-1, len(STATES), len(STATES)))
         goes_on = np.append(first[1:] % 2 == GOES_ON, False)
-        return pa.table([rows["conv_id"], rows["part"], pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(goes_on)], names=["conv_id", "part", "first", "last", "goes_on"])
+        return pa.table([rows["conv_id"], rows["part"], pa.array(np.arange(len(first))), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(goes_on)], names=["of_conv", "of_part", "nth", "first", "last", "goes_on"])
 
-    found = parts.select("conv_id", "part", "transcript").mapInArrow(spans, "conv_id long, part long, span array<double>")
-    found = found.groupBy("conv_id").applyInArrow(chained, "conv_id long, part long, first int, last int, goes_on boolean").withColumnsRenamed({"conv_id": "of_conv", "part": "of_part"})
-    return parts.join(found, parts["conv_id"].eqNullSafe(found["of_conv"]) & (parts["part"] == found["of_part"])).drop("of_conv", "of_part")
+    found = parts.select("conv_id", "part", "transcript", "after_blank", "has_blank").mapInArrow(spans, "conv_id long, part long, span array<double>")
+    found = found.groupBy("conv_id").applyInArrow(chained, "of_conv long, of_part long, nth long, first int, last int, goes_on boolean")
+    return parts.join(found, (parts["conv_id"] == found["of_conv"]) & (parts["part"] == found["of_part"])).drop("of_conv", "of_part").withColumn("part", F.col("nth")).drop("nth")
 
 
-def as_marked(role: Column, style: Column, dropped: Column) -> Column:
-    """A speaker marker of a role in one of four styles, or nothing."""
-    names = F.create_map(*(F.lit(x) for pair in (("system", "System"), ("user", "User"), ("assistant", "Assistant")) for x in pair))
-    other = F.create_map(*(F.lit(x) for pair in (("system", "Context"), ("user", "Human"), ("assistant", "AI")) for x in pair))
-    plain = F.coalesce(F.try_element_at(names, role), F.lit(""))
-    text = F.when(style == 0, F.concat(plain, F.lit(": "))).when(style == 1, F.concat(F.lit("### "), plain, F.lit(": "))).when(style == 2, F.concat(F.lit("["), plain, F.lit("]: "))).otherwise(F.concat(F.try_element_at(other, role), F.lit(": ")))
-    return F.when(dropped | (plain == ""), F.lit("")).otherwise(text)
+def _form(conv_id: Column) -> tuple[Column, Column]:
+    """Of a conversation's form: the texts before a turn by role, as a map, and whether a blank line parts the turns."""
+    texts = lambda form: F.create_map(*(x for role, name in zip(ROLES, form[0], strict=True) for x in (F.lit(role), F.lit(form[1] + name + form[2]))))
+    every, known = (*FORMS, *UNSEEN_FORMS), len(FORMS)
+    nth = F.pmod(F.xxhash64(conv_id), F.when(held_out(conv_id), F.lit(len(every))).otherwise(F.lit(known)))
+    pick = lambda of: F.element_at(F.array(*map(of, every)), (nth + 1).cast("int"))
+    return pick(texts), pick(lambda form: F.lit(form[3]))
 
 
 def transcripts_of(turns: DataFrame) -> DataFrame:
-    """Raw transcripts of stored conversations: ``conv_id, part, transcript, n_given, given`` (roles in order).
+    """Raw transcripts of stored conversations: ``conv_id, part, x`` (line and role of each turn), ``transcript, n_given, given`` (roles in order).
 
-    Each turn is its marker and text; the style of the markers goes by conversation, and by a hash of conversation and
-    turn one marker in four is missing. Turns are ordered by number, role and text. A conversation of more than
-    PART_TURNS turns is stored in parts of so many, so no row grows without bound. Null texts are empty lines, null roles have
-    no marker.
+    Each turn is its label and text; the form goes by conversation, and by a hash of conversation and turn one label in
+    four is missing. Turns are ordered by number, role and text. A conversation is stored in parts of at most
+    PART_TURNS turns, cut by their numbers, so no row grows without bound and no task holds a whole long conversation.
+    Null texts are empty lines, null roles have no label. A turn without a conversation is a transcript of its own.
     """
-    row = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    numbered = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", row)
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(4))
-    dropped = F.pmod(F.xxhash64("conv_id", "row"), F.lit(4)) == 0
-    line = F.concat(as_marked(F.col("role"), style, dropped), F.col("text"))
-    grouped = numbered.select("conv_id", F.floor((F.col("row") - 1) / PART_TURNS).cast("long").alias("part"), F.struct("row", line.alias("line"), "role").alias("x")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    return grouped.select("conv_id", "part", F.array_join("x.line", "\n").alias("transcript"), F.size("x").cast("long").alias("n_given"), F.array_join("x.role", ",", "?").alias("given"))
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-(2**30))).cast("long"))
+    # Turns that repeat a number past measure are cut by their order.
+    row = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text"))
+    of_one = rows.where("conv_id is not null").withColumn("row", row).withColumn("part", F.col("range") * (1 << 24) + F.floor((F.col("row") - 1) / PART_TURNS))
+    labels, blank = _form(F.col("conv_id"))
+    missing = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(4)) == 0
+    label = F.when(~missing, F.try_element_at(labels, F.coalesce("role", F.lit(""))))
+    line = F.concat(F.coalesce(label, F.lit("")), F.col("text"), F.when(blank, F.lit("\n")).otherwise(F.lit("")))
+    grouped = of_one.select("conv_id", "part", F.struct("row", line.alias("line"), "role").alias("x")).groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    alone = rows.where("conv_id is null").select("conv_id", F.lit(0).cast("long").alias("part"), F.array(F.struct(F.lit(1).alias("row"), F.col("text").alias("line"), "role")).alias("x"))
+    return grouped.unionByName(alone).select("conv_id", "part", "x", F.array_join("x.line", "\n").alias("transcript"), F.size("x").cast("long").alias("n_given"), F.array_join("x.role", ",", "?").alias("given"))
 
 
 def parsed_conversations(turns: DataFrame) -> DataFrame:
     """Write each conversation as a raw transcript, recover the roles, render canonical turns.
 
-    Returns a row for each conversation part: ``conv_id, part, n_given, given, n_turns, roles`` (recovered, in order)
-    and ``rendered``. Parts are only how a long conversation is stored: its best path runs over all of them, a turn
-    counts in the part where it opens, and the rendered parts one after the other are the whole. Turns without a
-    conversation form one with a null id. Roles other than the three known ones are never recovered. An empty table
-    gives an empty result; further columns aren't read.
+    Returns a row for each conversation part: ``conv_id, part, held_out, n_given, given, n_turns, roles`` (recovered,
+    in order) and ``rendered``. Parts are only how a long conversation is stored: its best path runs over all of them,
+    a turn counts in the part where it opens, and the rendered parts one after the other are the whole. Each turn
+    without a conversation is a transcript of its own with a null id. Roles other than the three known ones are never
+    recovered. Repeated turns stay. An empty table gives an empty result; further columns aren't read.
     """
+    return lasting(turns.sparkSession, "conversations", lambda: _parsed(turns))
+
+
+def _parsed(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    model = fit(rows)
+    every = staged(transcripts_of(rows), "transcripts")
+    # Conversations of several parts, in rows of a few bytes a part: what holds for the whole, and how the part before ends.
+    conv = Window.partitionBy("conv_id")
+    ends = every.where("conv_id is not null").select("conv_id", "part", F.col("transcript").rlike(BLANK_LINE).alias("blank"), F.col("transcript").rlike(ENDS_BLANK).alias("ends_blank"))
+    ends = ends.withColumns({"n": F.count("*").over(conv), "any_blank": F.max("blank").over(conv), "behind": F.lag("ends_blank").over(conv.orderBy("part"))}).where("n > 1")
+    long = staged(ends.select(F.col("conv_id").alias("long_id"), F.col("part").alias("long_part"), "any_blank", "behind"), "long")
+    n_long = long.count()
+    whole = every.join(small(long, n_long), (every["conv_id"] == long["long_id"]) & (every["part"] == long["long_part"]), "left")
+    whole = whole.withColumns({"has_blank": F.coalesce("any_blank", F.col("transcript").rlike(BLANK_LINE)), "is_first": F.col("long_id").isNull() | F.col("behind").isNull(), "after_blank": F.coalesce("behind", F.lit(True))})
+    model = fit(whole.where(~held_out(F.col("conv_id"))))
 
     def result(parsed: DataFrame, opened: Column) -> DataFrame:
-        return parsed.select("conv_id", "part", "n_given", "given", F.size(opened).cast("long").alias("n_turns"), F.array_join(opened["role"], ",").alias("roles"), "rendered")
+        return parsed.select("conv_id", "part", held_out(F.col("conv_id")).alias("held_out"), "n_given", "given", F.size(opened).cast("long").alias("n_turns"), F.array_join(opened["role"], ",").alias("roles"), "rendered")
 
-    long = staged(rows.groupBy("conv_id").count().where(F.col("count") > PART_TURNS).select(F.col("conv_id").alias("long_id")), "long")
-    n_long = long.count()
+    whole = whole.select("conv_id", "part", "after_blank", "has_blank", "transcript", "n_given", "given", "long_id")
+    short = parse_transcripts(whole.where("long_id is null").withColumn("part", F.lit(0).cast("long")), model)
     if not n_long:
-        return result(parse_transcripts(transcripts_of(rows), model), F.col("turns"))
-    same = rows["conv_id"].eqNullSafe(F.col("long_id"))
-    short = parse_transcripts(transcripts_of(rows.join(small(long, n_long), same, "left_anti")), model)
-    parts = staged(transcripts_of(rows.join(small(long, n_long), same, "left_semi")), "parts")
-    whole = parse_transcripts(bordered(parts, model), model, parts=True)
+        return result(short, F.col("turns"))
+    parts = parse_transcripts(bordered(staged(whole.where("long_id is not null"), "parts"), model), model, parts=True)
     from_before = F.col("first") % 2 == GOES_ON
-    return result(short, F.col("turns")).unionByName(result(whole, F.when(from_before, F.slice("turns", 2, F.size("turns"))).otherwise(F.col("turns"))))
+    return result(short, F.col("turns")).unionByName(result(parts, F.when(from_before, F.slice("turns", 2, F.size("turns"))).otherwise(F.col("turns"))))

@@ -38,8 +38,8 @@ SHINGLE_WORDS, SIMILARITY, SEED, BITS = 5, 0.8, 42, 128
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = (4_096, 32_768), 3, 100_000
 #: Shingles of a text whose blocks' leaders are tried first.
 FIRST = 4
-#: Pairs a text from which leaders of all blocks are tried, and how often they are.
-PAIRS_A_TEXT, LEADER_ROUNDS = 10, 3
+#: Pairs a text from which leaders of all blocks are tried, how often at most, and the share of the pairs that a round has to save for another one.
+PAIRS_A_TEXT, LEADER_ROUNDS, SAVED = 10, 4, 0.3
 #: Texts of a block that are compared with each other or with those of one other chunk, and the most pairs formed at once.
 CHUNK, PAIRS_AT_ONCE = 1024, 1 << 19
 
@@ -235,11 +235,13 @@ def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WO
     few = each.where("at < rare").withColumn("mixed", F.min("root").over(block) < F.max("root").over(block)).where("mixed").drop("mixed")
     many = each.where("at >= rare").join(F.broadcast(often), F.col("token") == F.col("often"), "left_semi")
     blocks = staged(few.unionByName(many).drop("rare"), "blocks")
+    before = math.inf
     for _ in range(LEADER_ROUNDS):
         sizes = blocks.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("alike"))
         pairs = sizes.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("alike")) / 2)).first()[0] or 0
-        if pairs <= PAIRS_A_TEXT * n_texts:
+        if pairs <= PAIRS_A_TEXT * n_texts or pairs > (1 - SAVED) * before:
             break
+        before = pairs
         more = verified(_led(blocks, farthest), texts, ids, size, similarity)
         if more.isEmpty():
             break

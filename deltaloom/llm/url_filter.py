@@ -2,16 +2,21 @@
 
 A unigram model splits every host label and path part into words by Viterbi; its lexicon is a public vocabulary whose
 entries stand in order of frequency, so an entry's probability follows from its rank by Zipf's law. A multinomial
-naive Bayes model, trained here on labelled names, scores the words; the host's suffix isn't scored.
+naive Bayes model scores the words; the host's suffix isn't scored. It starts from labelled names and is then
+re-estimated by expectation maximisation over all urls that no rule judges: each counts for both classes by its
+probabilities, and each of its words once. Both classes' counts are scaled to one mass, as blocked urls are few, so words seen in neither say nothing.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
-from math import log
+from math import exp, log
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +37,13 @@ ALLOW_NAMES = (
     "museum art", "national park", "community forum", "support help", "online course", "book store", "photo gallery", "math lessons", "language learning", "sports results",
     "state government", "law review", "world map", "family tree", "car repair", "home design", "kids games", "chess club", "bird watching", "m mobile",
 )
-#: Prior probability of a block, and the added count of every word.
-PRIOR, ADDED = 0.2, 0.5
+#: Prior probability of a block, the mass that the counts of a class are scaled to, and the added count of every word.
+PRIOR, MASS, ADDED = 0.2, 200.0, 0.5
+#: Rounds over all urls, and what a word of a labelled name counts for beside those of the urls.
+ROUNDS, NAME_WEIGHT = 2, 10.0
 LONGEST_WORD = 24
-#: Longer runs of letters than this are cut there before the search; longest labels of a host have 63 characters.
-LONGEST_RUN = 256
+#: Longer runs of letters than this aren't kept in the cache of a worker.
+LONGEST_KEPT = 256
 
 _letters = re.compile(r"[a-z]+")
 _lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -56,8 +63,8 @@ class Segmenter:
         self.letter = log(total * (len(ranked) + 10)) * 1.2
 
     def words(self, run: str) -> tuple[str, ...]:
-        if len(run) > LONGEST_RUN:
-            return tuple(w for at in range(0, len(run), LONGEST_RUN) for w in self.words(run[at : at + LONGEST_RUN]))
+        if len(run) > LONGEST_KEPT:
+            return self._viterbi(run)
         if run not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
@@ -82,27 +89,66 @@ class Segmenter:
 
 
 class NameBayes:
-    """Log odds of a block from counts of words in labelled names."""
-
-    def __init__(self, block: tuple[str, ...], allow: tuple[str, ...], prior: float = PRIOR):
-        counts = [{}, {}]
-        for side, names in enumerate((allow, block)):
-            for name in names:
-                for w in name.split():
-                    counts[side][w] = counts[side].get(w, 0) + 1
-        words = {*counts[0], *counts[1]}
-        sums = [sum(c.values()) + ADDED * (len(words) + 1) for c in counts]
-        self.odds = {w: log((counts[1].get(w, 0) + ADDED) / sums[1]) - log((counts[0].get(w, 0) + ADDED) / sums[0]) for w in words}
+    """Log odds of a block from counts of words in both classes."""
+
+    def __init__(self, block: dict[str, float], allow: dict[str, float], prior: float = PRIOR):
+        words = {*block, *allow}
+        scale = [MASS / max(sum(c.values()), 1e-9) for c in (block, allow)]
+        self.odds = {w: round(log(block.get(w, 0) * scale[0] + ADDED) - log(allow.get(w, 0) * scale[1] + ADDED), 9) for w in words}
         self.prior = log(prior / (1 - prior))
 
     def score(self, words: list[str]) -> float:
-        """Words that no name holds say nothing."""
+        """Words that neither class holds say nothing."""
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
+def name_counts(names: tuple[str, ...]) -> dict[str, float]:
+    return {w: n * NAME_WEIGHT for w, n in Counter(w for name in names for w in name.split()).items()}
+
+
 @lru_cache(maxsize=2)
-def _models(path: str, block: tuple[str, ...], allow: tuple[str, ...]) -> tuple[Segmenter, NameBayes]:
-    return Segmenter(path), NameBayes(block, allow)
+def _segmenter(path: str) -> Segmenter:
+    return Segmenter(path)
+
+
+def url_words(host: str, path: str, lexicon: str) -> list[str]:
+    """The words of a host without its suffix and port, and of a path."""
+    labels = host.split(":")[0].split(".")
+    named = labels[:-1] if len(labels) > 1 else labels
+    return [w for part in (*named, path.translate(_lower)) for run in _letters.findall(part) for w in _segmenter(lexicon).words(run)]
+
+
+def fit(pages: DataFrame, lexicon: str, rules: tuple[tuple[str, str, str], ...], block: tuple[str, ...], allow: tuple[str, ...], rounds: int = ROUNDS) -> NameBayes:
+    """The model of the labelled names and of all urls that no rule judges.
+
+    A word is an entry of the lexicon or a letter, so what comes to the driver and goes into the tasks is bounded by the
+    lexicon; counts are combined before the shuffle.
+    """
+    named = [name_counts(block), name_counts(allow)]
+    model = NameBayes(*named)
+    for _ in range(rounds):
+
+        def weighed(batches: Iterator[pa.RecordBatch], model: NameBayes = model) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums: dict[str, list[float]] = {}
+                for url in batch.column(0).to_pylist():
+                    host, path = split_url(url)
+                    if host and fitting_rule(host, path, rules) is None:
+                        words = url_words(host, path, lexicon)
+                        p = 1 / (1 + exp(-max(-700.0, min(700.0, model.score(words)))))
+                        for w in {*words}:
+                            both = sums.setdefault(w, [0.0, 0.0])
+                            both[0] += p
+                            both[1] += 1 - p
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], pa.float64()) for k in (0, 1))], names=["word", "block", "allow"])
+
+        found = pages.select("url").mapInArrow(weighed, "word string, block double, allow double").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).collect()
+        counts = [dict(n) for n in named]
+        for r in found:
+            for c, n in zip(counts, (r["block"], r["allow"]), strict=True):
+                c[r["word"]] = c.get(r["word"], 0) + n
+        model = NameBayes(*counts)
+    return model
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -125,19 +171,17 @@ def url_verdicts(pages: DataFrame, lexicon: str, rules: tuple[tuple[str, str, st
 
     Returns ``page_id, host, path, rule, verdict, words, score``, one row for each input row: ``rule`` null and the
     verdict by the model's score (log odds of a block; ``words`` are the segmented words) where no rule fits. A null
-    url, or one without ``://``, has an empty host and path and is judged by the prior. Null ids stay null. Further columns
-    aren't read.
+    url, or one without ``://``, has an empty host and path and is judged by the prior. Null ids stay null; repeated
+    rows are judged alike. Further columns aren't read. An empty table gives an empty result.
     """
+    model = fit(pages, lexicon, rules, block, allow)
 
     def per_chunk(rows: dict[str, list]) -> dict[str, list]:
-        segmenter, bayes = _models(lexicon, block, allow)
         out: dict[str, list] = {k: [] for k in ("host", "path", "rule", "verdict", "words", "score")}
         for url in rows["url"]:
             host, path = split_url(url)
-            labels = host.split(":")[0].split(".")
-            named = labels[:-1] if len(labels) > 1 else labels
-            words = [w for part in (*named, path.translate(_lower)) for run in _letters.findall(part) for w in segmenter.words(run)]
-            rule, score = fitting_rule(host, path, rules), bayes.score(words)
+            words = url_words(host, path, lexicon)
+            rule, score = fitting_rule(host, path, rules), model.score(words)
             for k, v in zip(out, (host, path, rule and rule[0], rule[1] if rule else "block" if score > 0 else "allow", " ".join(words), score), strict=True):
                 out[k].append(v)
         return {"page_id": rows["page_id"], **out}

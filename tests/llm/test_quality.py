@@ -3,6 +3,7 @@
 import math
 import os
 import re
+from difflib import SequenceMatcher
 
 import duckdb
 import numpy as np
@@ -131,6 +132,26 @@ def test_url_verdicts(spark):
     assert (by[2]["rule"], by[3]["rule"], by[8]["rule"]) == ("example.com/de/", "org/fr/", None)
     assert (by[4]["host"], by[5]["path"], by[9]["host"]) == ("", "", "")
     assert (by[6]["verdict"], by[7]["verdict"], by[None]["verdict"]) == ("block", "allow", "block")
+    # The model recomputed: two rounds over the urls without a rule.
+    names = lambda some: {w: 10.0 * sum(n.split().count(w) for n in some) for n in some for w in n.split()}
+    counts = [names(url_filter.BLOCK_NAMES), names(url_filter.ALLOW_NAMES)]
+    start = [dict(c) for c in counts]
+    prior = math.log(0.2 / 0.8)
+    for _ in range(2):
+        sums = [sum(c.values()) for c in counts]
+        odds = {w: math.log(counts[0].get(w, 0) * 200 / sums[0] + 0.5) - math.log(counts[1].get(w, 0) * 200 / sums[1] + 0.5) for c in counts for w in c}
+        counts = [dict(c) for c in start]
+        for r in got:
+            if r["host"] and r["rule"] is None:
+                words = r["words"].split()
+                p = 1 / (1 + math.exp(-max(-700, min(700, prior + sum(odds.get(w, 0) for w in words)))))
+                for c, v in zip(counts, (p, 1 - p), strict=True):
+                    for w in {*words}:
+                        c[w] = c.get(w, 0) + v
+    sums = [sum(c.values()) for c in counts]
+    for r in got:
+        want = prior + sum(math.log(counts[0].get(w, 0) * 200 / sums[0] + 0.5) - math.log(counts[1].get(w, 0) * 200 / sums[1] + 0.5) for w in r["words"].split())
+        assert abs(r["score"] - want) < 1e-5 * max(1, len(r["words"])) and (r["rule"] is not None or (r["verdict"] == "block") == (r["score"] > 0))
     assert by[10]["host"] == "b:" and by[10]["path"] == "//c/d"
     assert by[12]["rule"] is None and by[13]["rule"] is None
     for r in got:
@@ -263,12 +284,70 @@ def test_packed_lengths_are_tokens(spark, odd_docs, tmp_path):
         assert sum(r["doc_id"] == 301 for r in rows) > 1
 
 
+def _fitted(turns):
+    every = chat_transcripts.transcripts_of(turns)
+    return chat_transcripts.fit(every.withColumns({"has_blank": F.col("transcript").rlike(chat_transcripts.BLANK_LINE), "is_first": F.lit(True), "after_blank": F.lit(True)}))
+
+
+def test_transcripts_against_brute_force(spark):
+    """The whole query recomputed: counts, probabilities and the best path in plain Python."""
+    C = chat_transcripts
+    turns = table(spark, "/root/testdata/sf0.001", "conversations")
+    rows = C.transcripts_of(turns).withColumn("out", C.held_out(F.col("conv_id"))).collect()
+    cut = lambda r: [x for t in r["x"] for x in t["line"].split("\n")]
+    states = lambda r: [2 * C.ROLES.index(t["role"]) + (k > 0) for t in r["x"] for k in range(len(t["line"].split("\n")))]
+    start, move, seen, labels = {}, {}, {}, {}
+    for r in rows:
+        if not r["out"]:
+            s, (own, looks) = states(r), C.seen_lines(cut(r), True)
+            start[s[0]] = start.get(s[0], 0) + 1
+            for a, b in zip(s, s[1:], strict=False):
+                move[a, b] = move.get((a, b), 0) + 1
+            for a, (label, _), f in zip(s, own, looks, strict=True):
+                labels[a, label] = labels.get((a, label), 0) + 1
+                for k, v in enumerate(f):
+                    seen[a, k, v] = seen.get((a, k, v), 0) + 1
+    S, names = range(6), {x for _, x in labels if x}
+    assert len(names) <= C.LABELS
+    log = lambda x: math.log(x) if x else -math.inf
+    p_start = [log((start.get(a, 0) + 1 if a % 2 == 0 else 0) / (sum(start.values()) + 3)) for a in S]
+    allowed = lambda a, b: b % 2 == 0 or a // 2 == b // 2
+    p_move = [[log((move.get((a, b), 0) + 1 if allowed(a, b) else 0) / sum(move.get((a, c), 0) + 1 for c in S if allowed(a, c))) for b in S] for a in S]
+
+    def emit(a, label, f):
+        total = sum(labels.get((a, x), 0) + C.ADDED for x in {"", *names})
+        p = C.UNSEEN[a % 2] if label and label not in names else (1 - C.UNSEEN[a % 2]) * (labels.get((a, label), 0) + C.ADDED) / total
+        out = math.log(p)
+        for k, v in enumerate(f):
+            n = C.N_FEATURE[k]
+            out += math.log((1 - C.SPREAD[k]) * (seen.get((a, k, v), 0) + 1) / sum(seen.get((a, k, x), 0) + 1 for x in range(n)) + C.SPREAD[k] / n)
+        return out
+
+    got = {r["conv_id"]: r for r in queries.op9_chat_transcripts(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        own, looks = C.seen_lines(cut(r), True)
+        best = [[p_start[a] + emit(a, own[0][0], looks[0]) for a in S]]
+        back = []
+        for (label, _), f in zip(own[1:], looks[1:], strict=True):
+            came = [max(S, key=lambda a, b=b: best[-1][a] + p_move[a][b]) for b in S]
+            back.append(came)
+            best.append([best[-1][came[b]] + p_move[came[b]][b] + emit(b, label, f) for b in S])
+        path = [max(S, key=lambda a: best[-1][a])]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        assert got[r["conv_id"]]["roles"] == ",".join(C.ROLES[a // 2] for a in reversed(path) if a % 2 == 0)
+
+
 def test_transcripts(spark):
     turns = table(spark, SF01, "conversations")
     got = chat_transcripts.parsed_conversations(turns).toPandas()
     assert len(got) == turns.select("conv_id").distinct().count()
-    assert (got["given"] == got["roles"]).mean() > 0.7
-    model = chat_transcripts.fit(turns)
+    # Held-out conversations: an unseen form among them, one label in four missing.
+    got = chat_transcripts.parsed_conversations(table(spark, "/root/testdata/sf0.1", "conversations")).where("held_out").toPandas()
+    right = [sum(m.size for m in SequenceMatcher(None, a.split(","), b.split(","), False).get_matching_blocks()) for a, b in zip(got["given"], got["roles"], strict=True)]
+    assert sum(right) / max(got["n_given"].sum(), got["n_turns"].sum()) > 0.95 and (got["given"] == got["roles"]).mean() > 0.85
+    model = _fitted(turns)
     parsed = chat_transcripts.parse(model, ["User: hi there\nAssistant: hello\nand more\nUser: <|x|>", None, "", "[System]: be kind\nHuman: what now?"])
     assert [r for r, _ in parsed[0]] == ["user", "assistant", "user"] and parsed[1] == parsed[2] == []
     assert [r for r, _ in parsed[3]] == ["system", "user"]
@@ -287,8 +366,10 @@ def test_transcripts_odd_rows(spark):
 def test_long_conversations_are_parsed_as_a_whole(spark, monkeypatch):
     """Parts one after the other against a single transcript of the whole conversation."""
     texts = ["Fine.", "be kind", "what now?", "And then\nmore of it", "", "go on\n\nso"]
-    rows = [(c, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], texts[(k * k + (c or 7)) % 6]) for c in (1, 2, 3, None) for k in range(83)]
+    rows = [(c, k, "system" if k == 0 else ("user", "assistant")[k % 2 == 0], texts[(k * k + c) % 6]) for c in (1, 2, 3, 4, 7) for k in range(83)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    model = _fitted(table(spark, SF01, "conversations"))
+    monkeypatch.setattr(chat_transcripts, "fit", lambda _: model)
     monkeypatch.setattr(chat_transcripts, "PART_TURNS", 1_000)
     whole = {r["conv_id"]: r for r in chat_transcripts.parsed_conversations(turns).collect()}
     monkeypatch.setattr(chat_transcripts, "PART_TURNS", 3)
@@ -303,7 +384,7 @@ def test_long_conversations_are_parsed_as_a_whole(spark, monkeypatch):
 def test_viterbi_is_the_best_path(spark):
     from itertools import product
 
-    model = chat_transcripts.fit(table(spark, SF01, "conversations"))
+    model = _fitted(table(spark, SF01, "conversations"))
     rng = np.random.default_rng(1)
     seen = [rng.normal(size=(n, len(chat_transcripts.STATES))) for n in (1, 3, 4)]
     for e, path in zip(seen, model.viterbi(seen), strict=True):
