@@ -235,7 +235,7 @@ def parse(model: Hmm, transcripts: list[str | None], first: list[int] | None = N
     for lines, own, path, more in zip(split, labels, model.viterbi(seen, first, last), goes_on or [False] * len(split), strict=True):
         turns: list[tuple[str, list[str]]] = []
         states = path.tolist()
-        following = [*states[1:], GOES_ON if more else OPENS]
+        following = [*states[1:], GOES_ON if more else OPENS][: len(states)]
         for line, (label, at), s, after in zip(lines, own, states, following, strict=True):
             role, kind = STATES[s]
             if kind == OPENS:

@@ -66,10 +66,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return read_staged(df.sparkSession, write_staged(df, name), df)
 
 
-def write_staged(df: DataFrame, name: str) -> str:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that the innermost scope deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
+    return path
+
+
+def write_staged(df: DataFrame, name: str) -> str:
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return path
 

@@ -3,7 +3,8 @@
 Format, version 1. A dataset ``blocks``, one row a block, in ascending order of (part, block): ``part`` and ``block``
 number it, ``before`` counts the ids before it in its part, ``dictionary`` is the SHA-256 of the shared dictionary in lowercase hex, ``payload`` holds one
 independent zstandard frame a document, and the index arrays ``doc_ids, offsets, sizes, counts`` give for each
-document its id, the place of its frame in the payload and its number of ids. A frame holds the ids as little-endian
+document its id, the place of its frame in the payload and its number of ids; ``first_id`` and ``last_id`` are the least and
+greatest of the ids. A frame holds the ids as little-endian
 unsigned 32-bit integers. Documents stand in ascending order of their id, nulls first, then of a hash of their text. The
 dictionary itself is a dataset ``dictionary`` of one row. One document is read by the index arrays, a slice of the
 payload and the dictionary, without its neighbours. Blocks are written and read by Spark, so any store that Spark
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,17 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, shared_dir
+from .common import drop_staged, lasting, new_path
 from .pretoken import ChunkCoder
 
 END_ID = 0
 BLOCK_BYTES = 1 << 20
 #: The dictionary is trained on at most so many documents (those with the smallest hashes) and bytes of each; its largest size.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1024, 16_384, 64 << 10
+#: Pieces, spread over the whole, that are taken of a longer document.
+SAMPLE_PIECES = 8
 LEVEL = 3
 #: Chunks that the library encodes as one text.
 JOINED = 256
-BLOCKS = "part int, block int, before long, dictionary string, payload binary, doc_ids array<long>, offsets array<long>, sizes array<long>, counts array<long>"
+BLOCKS = "part int, block int, before long, dictionary string, payload binary, doc_ids array<long>, offsets array<long>, sizes array<long>, counts array<long>, first_id long, last_id long"
 
 
 class LibraryIds:
@@ -96,12 +98,21 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[dict[s
             yield batch.slice(at, size).to_pydict()
 
 
+def spread(ids: bytes) -> list[bytes]:
+    """The whole array if it is short, else SAMPLE_PIECES pieces of whole ids, evenly spread over it."""
+    size = SAMPLE_BYTES // SAMPLE_PIECES
+    if len(ids) <= SAMPLE_BYTES:
+        return [ids]
+    last = (len(ids) - size) // 4
+    return [ids[4 * at : 4 * at + size] for at in (k * last // (SAMPLE_PIECES - 1) for k in range(SAMPLE_PIECES))]
+
+
 def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
     """A dictionary from a bounded sample; empty where the sample is too small to train one."""
 
     def ids(batches):
         for rows in _rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_BYTES] for x in encode(vocabulary, [t or "" for t in rows["text"]])], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([piece for x in encode(vocabulary, [t or "" for t in rows["text"]]) for piece in spread(x)], pa.binary())], names=["ids"])
 
     # Only hashes are sorted; the texts of the chosen ones are looked up afterwards.
     chosen = docs.select(F.xxhash64("doc_id", "text").alias("key")).distinct().orderBy("key").limit(SAMPLE_DOCS)
@@ -133,9 +144,10 @@ def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
         def done() -> pa.RecordBatch:
             ids, frames, counts = zip(*held, strict=True)
             sizes = list(map(len, frames))
-            row = (part, block, before, name, b"".join(frames), list(ids), [0, *accumulate(sizes)][:-1], sizes, list(counts))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4)
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "dictionary", "payload", "doc_ids", "offsets", "sizes", "counts"])
+            known = [x for x in ids if x is not None]
+            row = (part, block, before, name, b"".join(frames), list(ids), [0, *accumulate(sizes)][:-1], sizes, list(counts), min(known, default=None), max(known, default=None))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "dictionary", "payload", "doc_ids", "offsets", "sizes", "counts", "first_id", "last_id"])
 
         for rows in _rows(batches):
             for doc_id, ids in zip(rows["doc_id"], encode(vocabulary, [t or "" for t in rows["text"]]), strict=True):
@@ -153,15 +165,42 @@ def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
     ordered.select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
 
 
+def _trained(spark, path: str) -> tuple[str, bytes]:
+    name, data = spark.read.parquet(f"{path}/dictionary").first()
+    trained = bytes(data)
+    if hashlib.sha256(trained).hexdigest() != name:
+        raise ValueError("the dictionary isn't the one that its hash names")
+    return name, trained
+
+
+def read_document(spark, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents of one id, in the order of the store; none if there is no such id.
+
+    The range of ids of each block is pushed down to the files; of the block that holds the id only the frame itself is
+    taken out, and nothing else is decompressed.
+    """
+    name, trained = _trained(spark, path)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    each = blocks.select("part", "block", "dictionary", "payload", F.posexplode(F.arrays_zip("doc_ids", "offsets", "sizes", "counts")).alias("at", "x")).where(F.col("x.doc_ids") == doc_id)
+    frames = each.orderBy("part", "block", "at").select("dictionary", F.expr("substring(payload, int(x.offsets) + 1, int(x.sizes))").alias("frame"), F.col("x.counts").alias("n")).collect()
+    unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(trained)).decompress
+    out = []
+    for r in frames:
+        if r["dictionary"] != name:
+            raise ValueError(f"a block was written with dictionary {r['dictionary']}")
+        ids = np.frombuffer(unpack(bytes(r["frame"])), "<u4")
+        if len(ids) != r["n"]:
+            raise ValueError("a frame and its index disagree")
+        out.append(ids)
+    return out
+
+
 def read_store(spark, path: str) -> DataFrame:
     """Every document of a store: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids_crc32``.
 
     A block whose dictionary isn't the store's, or a frame whose length isn't the index's, is an error.
     """
-    name, data = spark.read.parquet(f"{path}/dictionary").first()
-    trained = bytes(data)
-    if hashlib.sha256(trained).hexdigest() != name:
-        raise ValueError("the dictionary isn't the one that its hash names")
+    name, trained = _trained(spark, path)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     # One number a part, that is a task of the writing job, comes to the driver.
@@ -191,11 +230,16 @@ def stored_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     One row for each input row; a null text counts as empty and holds the end id alone. Rows that repeat an id stand
     one after the other, ordered by a hash of the text. Null ids come first and stay null. Further columns aren't read. An empty
-    table gives an empty store and an empty result.
+    table gives an empty store and an empty result. The store is deleted once the result is written.
     """
-    path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write_store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocabulary, path)
-    return read_store(docs.sparkSession, path)
+    spark = docs.sparkSession
+
+    def through() -> DataFrame:
+        path = new_path(spark, "tokens")
+        write_store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocabulary, path)
+        return read_store(spark, path)
+
+    return lasting(spark, "read_back", through)
 
 
 def drop_store(spark, path: str) -> None:

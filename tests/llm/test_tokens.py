@@ -98,6 +98,18 @@ def test_store_round_trip(spark, odd_docs, no_docs, library, tmp_path):
     assert token_store.stored_documents(no_docs, JSON).count() == 0
 
 
+def test_one_document_is_read_by_itself(spark, odd_docs, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_BYTES", 2_000)
+    path = f"file://{tmp_path}/store"
+    token_store.write_store(odd_docs.select("doc_id", "text").repartition(3), JSON, path)
+    texts = {}
+    for r in odd_docs.collect():
+        texts.setdefault(r["doc_id"], []).append([*library.encode(r["text"] or "", add_special_tokens=False).ids, 0])
+    for doc_id in (0, 5, 200, 201, 300, 301, 304):
+        assert sorted(x.tolist() for x in token_store.read_document(spark, path, doc_id)) == sorted(texts[doc_id])
+    assert token_store.read_document(spark, path, 999) == []
+
+
 def test_store_finds_a_wrong_dictionary(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(40)], "doc_id long, text string")
     path = f"file://{tmp_path}/store"
