@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Words that are null, empty, true or false.
 NULL_WORDS = ("NULL", "null")
 EMPTY_WORDS = ("", "NULL", "null", "N/A")
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes", "y", "on"), ("false", "0", "no", "n", "off")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def row_text(cols: list[str | Column], empty: str = "") -> Column:
-    """Cells as text, a bar between them; null as empty."""
+    """Cells as text, a bar between them; null as empty. A form to show: rows that differ in bars or nulls can look alike."""
     return F.concat_ws("|", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(empty)) for c in cols))
 
 
@@ -15,6 +15,12 @@ def row_sha256(cols: list[str | Column]) -> Column:
     return F.sha2(row_text(cols), 256)
 
 
+def content_sha256(cols: list[str | Column]) -> Column:
+    """Equal for equal rows only: cells are kept apart, and null from empty."""
+    cells = [(F.col(c) if isinstance(c, str) else c).cast("string").alias(f"c{k}") for k, c in enumerate(cols)]
+    return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
+
+
 def row_md5(cols: list[str | Column]) -> Column:
     return F.md5(row_text(cols))
 

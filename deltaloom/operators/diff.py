@@ -12,8 +12,10 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
-from ..functions.hashing import row_sha256
+from . import staging
+from ..functions.hashing import content_sha256
 
 OPS = {"INSERT": 1, "DELETE": 2, "UPDATE": 3, "MOVE": 4}
 MODES = ("content_hash", "field_by_field", "key_based", "semantic", "timestamp_based")
@@ -49,31 +51,53 @@ def changed_columns(old: Column, new: Column) -> Column:
 
 def _record(df: DataFrame) -> DataFrame:
     op = F.when(F.col("old").isNull(), "INSERT").when(F.col("new").isNull(), "DELETE").otherwise("UPDATE")
-    hash_of = F.sha2(F.concat(F.coalesce(F.concat_ws("|", "old"), F.lit("")), F.lit("\u0001"), F.coalesce(F.concat_ws("|", "new"), F.lit(""))), 256)
+    hash_of = F.sha2(F.to_json(F.struct("old", "new"), {"ignoreNullFields": "false"}), 256)
     changed = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), changed_columns(F.col("old"), F.col("new"))).otherwise(F.array().cast("array<int>"))
     return df.select(op.alias("op"), "key", "old", "new", changed.alias("changed"), "row_index", "new_index", hash_of.alias("hash"), F.current_timestamp().alias("ts"))
 
 
 def _numbered(df: DataFrame, order: str, cols: list[str]) -> DataFrame:
-    """``pos, c``: positions from 0 by the order column and the cells of ``cols``: ranks within ranges, then the ranges' offsets, so no task sorts everything."""
-    ranged = df.select(F.col(order).alias("o"), cells(cols).alias("c")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
-    within = ranged.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "c")))
-    counts = within.groupBy("p").agg(F.count("*").alias("n"))
-    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # one row a partition
-    return within.join(F.broadcast(before), "p").select((F.col("r") + F.col("b") - 1).alias("pos"), "c")
+    """``pos, c``: positions from 0 by the order column (then by the cells' hash) and the cells of ``cols``.
+
+    The ranges are written once, as a range partitioning that is planned twice can cut twice in two ways; a row's place in
+    its range comes from its id, and the ranges' offsets are one row a range.
+    """
+    ranged = df.select(F.col(order).alias("o"), cells(cols).alias("c")).withColumn("h", F.xxhash64("c")).repartitionByRange("o", "h").sortWithinPartitions("o", "h", "c")
+    within = staging.staged(ranged.select(F.monotonically_increasing_id().alias("m"), "c"), "ranges")
+    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
+    counts = within.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # one row a range
+    return within.withColumn("p", part).join(F.broadcast(before), "p").select((place + F.col("b")).alias("pos"), "c")
 
 
 def by_key(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """Full outer match on the key columns; of repeated keys the n-th old row meets the n-th new one."""
+    """Full outer match on the key columns; of repeated keys the n-th old row meets the n-th new one.
+
+    Keys are counted by an aggregate, and only the rows of those that repeat are numbered. Rows whose key cells are all
+    null have no key: they match by their whole content, and what is left of them is deleted or inserted.
+    """
     cols = old.columns
+    key = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)), {"ignoreNullFields": "false"})
+    has_key = F.coalesce(*(F.col(k).cast("string") for k in keys)).isNotNull()
+    none = F.lit(None).cast("long")
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        key = F.to_json(F.struct(*(F.col(k).cast("string").alias(k) for k in keys)), {"ignoreNullFields": "false"})
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(*([F.col(order)] if order else []), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols))))
-        return df.select(*cols, key.alias("key")).select("key", rank.alias("nth"), cells(cols).alias(name))
+    def side(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.where(has_key).select(key.alias("key"), cells(cols).alias(name), *([F.col(order).alias("o")] if order else []))
+        return rows, rows.groupBy("key").agg(F.count("*").alias(f"n_{name}"), F.min(name).alias(name))
 
-    both = side(old, "old").join(side(new, "new"), ["key", "nth"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
-    return _record(both.withColumns({"row_index": F.lit(None).cast("long"), "new_index": F.lit(None).cast("long")}))
+    (old_rows, old_keys), (new_rows, new_keys) = side(old, "old"), side(new, "new")
+    both = old_keys.join(new_keys, "key", "full_outer")
+    repeats = (F.col("n_old") > 1) | (F.col("n_new") > 1)
+    single = both.where(~F.coalesce(repeats, F.lit(False)) & ~F.col("old").eqNullSafe(F.col("new"))).select("key", "old", "new")
+    again = both.where(repeats).select("key")
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(*(["o"] if order else []), F.to_json(name)))
+        return rows.join(again, "key", "left_semi").select("key", nth.alias("nth"), name)
+
+    several = numbered(old_rows, "old").join(numbered(new_rows, "new"), ["key", "nth"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))).select("key", "old", "new")
+    keyless = by_hash(old.where(~has_key), new.where(~has_key).select(*cols)).select("key", "old", "new")
+    return _record(single.unionByName(several).unionByName(keyless).select("key", "old", "new", none.alias("row_index"), none.alias("new_index")))
 
 
 def by_position(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
@@ -86,14 +110,15 @@ def by_position(old: DataFrame, new: DataFrame, order: str) -> DataFrame:
 
 
 def by_hash(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Inserts: new rows whose content no old row has, each as often as it occurs. Deletes: old contents that are gone, once each."""
+    """Contents that one side has more often than the other, as often as they are more: deletes or inserts. Only counts of contents are shuffled."""
     cols = old.columns
-    h = row_sha256(cols)
-    a, b = old.select(cells(cols).alias("old"), h.alias("key")), new.select(*cols).select(cells(cols).alias("new"), h.alias("key"))
-    empty = F.lit(None).cast("array<string>")
-    inserts = b.join(a.select("key"), "key", "left_anti").select("key", empty.alias("old"), "new")
-    deletes = a.dropDuplicates(["key"]).join(b.select("key"), "key", "left_anti").select("key", "old", empty.alias("new"))
-    return _record(inserts.unionByName(deletes).withColumns({"row_index": F.lit(None).cast("long"), "new_index": F.lit(None).cast("long")}))
+    side = lambda df, n: df.select(cells(cols).alias("c"), F.lit(n).alias("n"))
+    left = side(old, 1).unionByName(side(new, -1)).groupBy("c").agg(F.sum("n").alias("n")).where("n <> 0")
+    each = left.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))))
+    key = content_sha256([F.get("c", F.lit(k)) for k in range(len(cols))])
+    gone = F.col("n") > 0
+    none = F.lit(None).cast("long")
+    return _record(each.select(key.alias("key"), F.when(gone, F.col("c")).alias("old"), F.when(~gone, F.col("c")).alias("new"), none.alias("row_index"), none.alias("new_index")))
 
 
 def moves(old: DataFrame, new: DataFrame, old_order: str, new_order: str) -> DataFrame:
@@ -105,6 +130,31 @@ def moves(old: DataFrame, new: DataFrame, old_order: str, new_order: str) -> Dat
     return both.select(F.lit("MOVE").alias("op"), "key", F.col("a.c").alias("old"), F.col("b.c").alias("new"), none.alias("changed"), F.col("a.p").alias("row_index"), F.col("b.p").alias("new_index"), F.col("key").alias("hash"), F.current_timestamp().alias("ts"))
 
 
+def _later(a: Column, b: Column, kind) -> Column:
+    """Compared as what the column is; text as numbers, else as timestamps, else as text, by what both cells can be read as."""
+    forms = ["decimal(38,9)"] if isinstance(kind, NumericType) else ["timestamp"] if isinstance(kind, (DateType, TimestampType, TimestampNTZType)) else ["decimal(38,9)", "timestamp"]
+    return F.coalesce(*(a.try_cast(f) > b.try_cast(f) for f in forms), a > b)
+
+
+def diff_files(spark: SparkSession, old: str, new: str, config: DiffConfig = DiffConfig(), options=None) -> DataFrame:
+    """The changes from one CSV file to another; the header of the old one counts. A file without a header line is an error."""
+    from ..sources.csv_source import CsvOptions, read_csv
+    from ..sources.sniff import file_size, read_header
+
+    options = options or CsvOptions()
+    for path in (old, new):
+        if not file_size(spark, path) or not read_header(spark, path, options.delimiter):
+            raise ValueError(f"{path} is empty")
+    a, b = (read_csv(spark, path, options) for path in (old, new))
+    return diff(a, b.toDF(*a.columns) if len(a.columns) == len(b.columns) else b.select(*(F.col(c) if c in b.columns else F.lit(None).cast("string").alias(c) for c in a.columns)), config)
+
+
+def sorted_unique(changes: DataFrame) -> DataFrame:
+    """Records without repeats, by kind (inserts, deletes, updates, moves), then key."""
+    rank = F.create_map(*(F.lit(x) for pair in OPS.items() for x in pair))
+    return changes.dropDuplicates(["op", "key", "old", "new", "row_index", "new_index"]).orderBy(rank[F.col("op")], "key", "row_index")
+
+
 def diff(old: DataFrame, new: DataFrame, config: DiffConfig = DiffConfig()) -> DataFrame:
     if faults := config.faults(old.columns):
         raise ValueError("; ".join(faults))
@@ -116,7 +166,7 @@ def diff(old: DataFrame, new: DataFrame, config: DiffConfig = DiffConfig()) -> D
         out = by_key(old, new, list(config.keys), config.order)
         if config.mode == "timestamp_based":
             at = old.columns.index(config.timestamp)
-            newer = F.col("old").isNull() | F.col("new").isNull() | (F.get("new", F.lit(at)) > F.get("old", F.lit(at)))
+            newer = F.col("old").isNull() | F.col("new").isNull() | _later(F.get("new", F.lit(at)), F.get("old", F.lit(at)), old.schema[config.timestamp].dataType)
             out = out.where(F.coalesce(newer, F.lit(True)))
     if config.detect_moves and config.order:
         out = out.unionByName(moves(old, new, config.order, config.order))
@@ -149,11 +199,11 @@ def size_ratio(new: DataFrame, changes: DataFrame) -> DataFrame:
     return whole.crossJoin(part).withColumn("ratio", F.when(F.col("part") > 0, F.col("whole") / F.col("part")))  # two single rows
 
 
-def write_delta(changes: DataFrame, path: str, columns: list[str], config: DiffConfig = DiffConfig(), codec: str = "zstd") -> None:
+def write_delta(changes: DataFrame, path: str, columns: list[str], config: DiffConfig = DiffConfig(), codec: str = "zstd", mode: str = "errorifexists") -> None:
     """Changes as Parquet beside a header of one row."""
     header = {"version": "1", "columns": columns, "config": asdict(config)}
-    changes.write.option("compression", codec).parquet(f"{path}/changes")
-    changes.sparkSession.createDataFrame([(json.dumps(header),)], "header string").coalesce(1).write.json(f"{path}/header")
+    changes.write.mode(mode).option("compression", codec).parquet(f"{path}/changes")
+    changes.sparkSession.createDataFrame([(json.dumps(header),)], "header string").coalesce(1).write.mode(mode).json(f"{path}/header")
 
 
 def read_delta(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:

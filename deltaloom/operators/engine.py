@@ -7,15 +7,23 @@ import re
 import time
 import uuid
 from collections import OrderedDict
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import staging
 from ..functions.strings import tokens
 from ..sources.csv_source import CsvOptions, read_csv, text_schema
+from ..sources.sniff import file_size
+
+#: About what a bucket of an index holds.
+BUCKET_BYTES = 128 << 20
 
 _TOKEN = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`\\]|\\.)*`|[A-Za-z_][A-Za-z0-9_]*|\s+|.)""", re.S)
 
@@ -41,9 +49,10 @@ def _argument(parts: list[str], at: int) -> tuple[int, int] | None:
 
 
 def rewrite(sql: str, compat: bool = False) -> str:
-    """The dialect as Spark SQL: DISTINCT(c) as an aggregate, GROUP_CONCAT, REGEX, double-quoted identifiers, a trailing semicolon; in compat LIMIT 0 is no limit.
+    """The dialect as Spark SQL: DISTINCT(c) as an aggregate, GROUP_CONCAT, REGEX, double-quoted identifiers, a trailing semicolon.
 
-    Strings and quoted identifiers are never looked into.
+    In compat LIMIT 0 is no limit, COUNT(c) counts rows, and c NOT IN (...) holds for a null. Strings and quoted
+    identifiers are never looked into.
     """
     parts = tokenise(sql.strip().rstrip(";"))
     out: list[str] = []
@@ -60,11 +69,19 @@ def rewrite(sql: str, compat: bool = False) -> str:
             out.append(f"listagg({inside}, ',') WITHIN GROUP (ORDER BY {re.sub(r'^(?i:distinct) ', '', inside)})")
             k, before = span[1] + 1, ")"
             continue
+        if compat and word == "COUNT" and (span := _argument(parts, k)) and re.fullmatch(r"\s*[A-Za-z_`\"][^()\s]*\s*", "".join(parts[span[0] : span[1]])):
+            out.append("count(*)")
+            k, before = span[1] + 1, ")"
+            continue
+        if compat and word == "IN" and before == "NOT" and (span := _argument(parts, k)) and (start := _operand(out)) is not None:
+            inside = rewrite("".join(parts[span[0] : span[1]]), compat)
+            name = "".join(out[start:]).strip()[: -len("NOT")].strip()
+            out[start:] = [f"coalesce({name} NOT IN ({inside}), true)"]
+            k, before = span[1] + 1, ")"
+            continue
         if word == "REGEX" and before not in ("", ".", "SELECT", ",", "(", "AS", "BY"):
             p = "RLIKE"
-        elif p.startswith('"') and len(p) > 1:
-            p = "`" + re.sub(r"\\(.)", r"\1", p[1:-1]).replace("`", "``") + "`"
-        elif p.startswith("`") and len(p) > 1:
+        elif p[0] in "\"`" and len(p) > 1:
             p = "`" + re.sub(r"\\(.)", r"\1", p[1:-1]).replace("`", "``") + "`"
         if compat and word == "LIMIT":
             rest = "".join(parts[k + 1 :]).lstrip()
@@ -78,37 +95,95 @@ def rewrite(sql: str, compat: bool = False) -> str:
     return "".join(out)
 
 
+def _operand(out: list[str]) -> int | None:
+    """Where the (qualified) name before a final NOT begins."""
+    k = len(out) - 1
+    while k >= 0 and (out[k].isspace() or out[k].upper() == "NOT"):
+        k -= 1
+    if k < 0 or not re.fullmatch(r"[A-Za-z_]\w*|`.*`", out[k], re.S):
+        return None
+    while k >= 2 and out[k - 1] == ".":
+        k -= 2
+    return k
+
+
+_CLAUSES = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "ON")
+
+
+def without_column(sql: str, name: str) -> str:
+    """Spark SQL without an unknown column: an empty text where it is selected or sorted by; a condition that asks for it holds."""
+    parts = [x for x in tokenise(sql)]
+    wanted = lambda x: x.lower() == name.lower() or (x.startswith("`") and x[1:-1].lower() == name.lower())
+    solid = [k for k, x in enumerate(parts) if not x.isspace()]
+    clause, depth, clause_depth = "", 0, 0
+    for at, k in enumerate(solid):
+        x = parts[k]
+        depth += {"(": 1, ")": -1}.get(x, 0)
+        if x.upper() in _CLAUSES and not (at and parts[solid[at - 1]] == "."):
+            clause, clause_depth = x.upper(), depth
+        if not wanted(x) or (at + 1 < len(solid) and parts[solid[at + 1]] in (".", "(")):
+            continue
+        first = at
+        while first >= 2 and parts[solid[first - 1]] == ".":
+            first -= 2
+        if clause in ("WHERE", "HAVING", "ON"):
+            low = first
+            while low and parts[solid[low - 1]].upper() not in ("AND", "OR", "NOT", "(", *_CLAUSES):
+                low -= 1
+            high, inner, between = at + 1, 0, False
+            while high < len(solid):
+                y = parts[solid[high]].upper()
+                inner += {"(": 1, ")": -1}.get(y, 0)
+                if inner < 0 or (inner == 0 and (y in ("OR", *_CLAUSES) or (y == "AND" and not between))):
+                    break
+                between = y == "BETWEEN" or (between and y != "AND")
+                high += 1
+            return "".join(parts[: solid[low]]) + "TRUE " + "".join(parts[solid[high] :] if high < len(solid) else [])
+        bare = clause == "SELECT" and depth == clause_depth and parts[solid[first - 1]].upper() in ("SELECT", ",", "DISTINCT") and (at + 1 == len(solid) or parts[solid[at + 1]].upper() in (",", "FROM"))
+        return "".join(parts[: solid[first]]) + ("''" + (f" AS `{name}`" if bare else "")) + "".join(parts[k + 1 :])
+    return sql
+
+
 def names_in(spark: SparkSession, sql: str) -> list[str]:
     """Tables that a statement reads, by Spark's own parser."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(rewrite(sql)).toString()
     return sorted(set(re.findall(r"'UnresolvedRelation \[([^\]]+)\]", plan)))
 
 
+class TooManyRows(ValueError):
+    """A result has more rows than the engine's configuration permits."""
+
+
 @dataclass
 class Result:
-    """A query's table and ways to take it out. Text forms bring the result to the driver: they're for results, not tables."""
+    """A query's table and ways to take it out. Text forms bring the result to the driver: they're for results, not tables.
+
+    ``timed`` runs what brings rows to the driver, within the engine's time limit.
+    """
 
     df: DataFrame
     seconds: float = 0.0
     cached: bool = False
+    timed: Callable[[Callable], object] = lambda run: run()
 
     @property
     def columns(self) -> list[str]:
         return self.df.columns
 
     def rows(self) -> list[tuple]:
-        return [tuple(r) for r in self.df.collect()]
+        return [tuple(r) for r in self.timed(self.df.collect)]
 
     def row(self, k: int) -> tuple:
-        got = self.df.offset(k).limit(1).collect()
-        if k < 0 or not got:
+        """The k-th row; of a result without an order, in that of its partitions, which is stable once the result is cached."""
+        got = self.timed(self.df.offset(k).limit(1).collect) if k >= 0 else []
+        if not got:
             raise IndexError(k)
         return tuple(got[0])
 
     def column(self, name: str) -> list:
         if name not in self.columns:
             raise KeyError(name)
-        return [r[0] for r in self.df.select(F.col(f"`{name}`")).collect()]
+        return [r[0] for r in self.timed(self.df.select(F.col(f"`{name}`")).collect)]
 
     def cell(self, k: int, name: str):
         if name not in self.columns:
@@ -116,10 +191,10 @@ class Result:
         return self.row(k)[self.columns.index(name)]
 
     def sort(self, *by: str, ascending: bool | list[bool] = True) -> Result:
-        return Result(self.df.orderBy(*by, ascending=ascending))
+        return Result(self.df.orderBy(*by, ascending=ascending), timed=self.timed)
 
     def slice(self, start: int, n: int) -> Result:
-        return Result(self.df.offset(max(0, start)).limit(max(0, n)))
+        return Result(self.df.offset(max(0, start)).limit(max(0, n)), timed=self.timed)
 
     def to_csv(self) -> str:
         quote = lambda v: '"' + ("" if v is None else str(v)).replace('"', '""') + '"'
@@ -148,7 +223,10 @@ class Result:
 class EngineConfig:
     cache_results: bool = True
     cache_size: int = 100
-    max_rows: int = 1_000_000
+    #: More rows than this are an error; None plans no limit at all.
+    max_rows: int | None = None
+    #: Larger results aren't kept in the cache.
+    max_bytes: int = 500 << 20
     timeout_seconds: float = 300.0
     compat: bool = False
     auto_index: bool = False
@@ -156,13 +234,15 @@ class EngineConfig:
 
 @dataclass
 class Index:
-    """``hash`` and ``composite``: a bucketed copy; ``btree``: a sorted copy with file statistics; ``fulltext``: tokens to rows."""
+    """A written copy of a table. ``hash`` and ``composite``: bucketed by the columns; ``btree``: ranges in order, so files and row groups are left out by their statistics; ``fulltext``: tokens to rows."""
 
     table: str
     columns: tuple[str, ...]
     kind: str
     data: DataFrame
     version: int
+    places: list[str]
+    name: str | None = None
 
 
 @dataclass
@@ -219,10 +299,23 @@ class Engine:
     # Queries
 
     def plan(self, sql: str) -> DataFrame:
-        return self.spark.sql(rewrite(sql, self.config.compat))
+        """The statement's table; in compat, unknown columns are taken out one after the other."""
+        text, seen = rewrite(sql, self.config.compat), set()
+        while True:
+            try:
+                return self.spark.sql(text)
+            except AnalysisException as e:
+                name = ((e.getMessageParameters() or {}).get("objectName") or "").split("`.`")[-1].strip("`")
+                if not self.config.compat or not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN") or (text, name) in seen:
+                    raise
+                seen.add((text, name))
+                text = without_column(text, name)
 
     def execute(self, sql: str) -> Result:
-        """Run a statement: at most ``max_rows`` rows, an error after the timeout. Equal text over equal table versions is a cache hit."""
+        """Run a statement; an error after the timeout or beyond ``max_rows``. Equal text over equal table versions is a cache hit.
+
+        Without the cache the result stays lazy and the limits act when its rows are fetched.
+        """
         began = time.monotonic()
         try:
             key = (sql, tuple((n, self.versions.get(n, 0)) for n in names_in(self.spark, sql)))
@@ -230,41 +323,71 @@ class Engine:
                 self.cache.move_to_end(key)
                 self.statistics.hits += 1
                 self.statistics.executed += 1
-                return Result(self.cache[key], time.monotonic() - began, True)
-            df = self.plan(sql).limit(self.config.max_rows)
+                return Result(self.cache[key], time.monotonic() - began, True, self._timed)
+            df, most = self.plan(sql), self.config.max_rows
+            # One row more than permitted tells that there are too many; a limit is only planned where one is set.
+            df = df if most is None else df.limit(most + 1)
             if self.config.cache_results:
-                df = self._materialised(df)
-                self.cache[key] = df
-                while len(self.cache) > self.config.cache_size:
-                    self.cache.popitem(last=False)[1].unpersist()
+                df = df.persist()
+                try:
+                    n = self._timed(df.count)
+                    if most is not None and n > most:
+                        raise TooManyRows(f"the result has more than {most} rows")
+                except Exception:
+                    df.unpersist()
+                    raise
+                self._keep(key, df)
+            elif most is not None:
+                df = df.observe(watch := Observation(), F.count("*").alias("n"))
         except Exception:
             self.statistics.failed += 1
             raise
         self.statistics.misses += 1
         self.statistics.executed += 1
         self.statistics.seconds += time.monotonic() - began
-        return Result(df, time.monotonic() - began)
-
-    def _materialised(self, df: DataFrame) -> DataFrame:
-        """Cached by an action that is cancelled at the timeout."""
-        df, tag = df.persist(), f"query-{uuid.uuid4().hex}"
-
-        def run() -> None:
+        if self.config.cache_results or most is None:
+            return Result(df, time.monotonic() - began, False, self._timed)
+
+        def within(run: Callable) -> object:
+            got = self._timed(run)
+            if watch.get["n"] > most:
+                raise TooManyRows(f"the result has more than {most} rows")
+            return got
+
+        return Result(df, time.monotonic() - began, False, within)
+
+    def _keep(self, key: tuple, df: DataFrame) -> None:
+        """Into the cache unless it is too large for it; it is computed again then whenever it is read."""
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size > self.config.max_bytes:
+            df.unpersist()
+            return
+        self.cache[key] = df
+        while len(self.cache) > self.config.cache_size:
+            self.cache.popitem(last=False)[1].unpersist()
+
+    def _timed(self, run: Callable) -> object:
+        """``run()``; its jobs are cancelled at the timeout."""
+        tag = f"query-{uuid.uuid4().hex}"
+
+        def tagged() -> object:
             self.spark.addTag(tag)
             try:
-                df.write.format("noop").mode("overwrite").save()
+                return run()
             finally:
                 self.spark.removeTag(tag)
 
         with ThreadPoolExecutor(1) as pool:
-            job = pool.submit(run)
+            job = pool.submit(tagged)
             try:
-                job.result(self.config.timeout_seconds)
+                return job.result(self.config.timeout_seconds)
             except FutureTimeout:
                 self.spark.interruptTag(tag)
-                df.unpersist()
                 raise TimeoutError(f"the query took more than {self.config.timeout_seconds:g} s") from None
-        return df
+
+    def register_function(self, name: str, function: Callable, returns: str = "string", vectorised: bool = True) -> None:
+        """A function that statements can call: of Arrow batches (pandas Series to Series), or of single rows."""
+        self.spark.udf.register(name, F.pandas_udf(function, returns) if vectorised else F.udf(function, returns))
 
     def explain(self, sql: str, mode: str = "formatted") -> str:
         return self.spark._jvm.PythonSQLUtils.explainString(self.plan(sql)._jdf.queryExecution(), mode)
@@ -276,53 +399,92 @@ class Engine:
     # Indexes
 
     def create_index(self, table: str, columns: tuple[str, ...], kind: str = "hash") -> Index:
-        """A copy of the table laid out for lookups; ``fulltext`` is an inverted index of one column's tokens."""
-        df = self.spark.table(table)
+        """A written copy of the table laid out for lookups; ``fulltext`` is an inverted index of one column's tokens beside a copy with row numbers."""
+        df, columns, name = self.spark.table(table), tuple(columns), None
+        path = f"{staging.shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+        places = [path]
         if kind in ("hash", "composite"):
-            data = df.repartition(*columns).sortWithinPartitions(*columns)
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            # Tables of unknown size are given the most that the optimiser can name.
+            n = int(self.spark.conf.get("spark.sql.shuffle.partitions")) if size >= 1 << 62 else max(8, min(4096, size // BUCKET_BYTES))
+            name = f"index_{uuid.uuid4().hex}"
+            df.repartition(n, *columns).write.option("path", path).bucketBy(n, *columns).sortBy(*columns).saveAsTable(name)
+            data = self.spark.table(name)
         elif kind == "btree":
-            data = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+            df.repartitionByRange(*columns).sortWithinPartitions(*columns).write.parquet(path)
+            data = self.spark.read.schema(df.schema).parquet(path)
         elif kind == "fulltext":
-            data = inverted_index(df.withColumn("_row", F.xxhash64(*df.columns)), "_row", columns[0])
+            row = staging.fresh(df.columns, "row_id")
+            df.withColumn(row, F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+            copy = self.spark.read.parquet(f"{path}/rows")
+            inverted_index(copy, row, columns[0]).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
+            data = self.spark.read.parquet(f"{path}/tokens")
         else:
             raise ValueError(f"no index kind {kind!r}")
-        self.indexes[table, tuple(columns), kind] = index = Index(table, tuple(columns), kind, data.persist(), self.versions.get(table, 0))
+        self.drop_index(table, columns, kind)
+        self.indexes[table, columns, kind] = index = Index(table, columns, kind, data, self.versions.get(table, 0), places, name)
         return index
 
     def drop_index(self, table: str, columns: tuple[str, ...], kind: str) -> bool:
         index = self.indexes.pop((table, tuple(columns), kind), None)
-        if index:
-            index.data.unpersist()
-        return index is not None
+        if index is None:
+            return False
+        if index.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {index.name}")
+        for path in index.places:
+            staging.drop(self.spark, path)
+        return True
 
     def rebuild_index(self, table: str, columns: tuple[str, ...], kind: str) -> Index:
         self.drop_index(table, columns, kind)
         return self.create_index(table, columns, kind)
 
+    def optimise_indexes(self) -> int:
+        """Write the indexes of tables that have changed since anew; how many they were."""
+        stale = [k for k, i in self.indexes.items() if i.version != self.versions.get(k[0], 0)]
+        for key in stale:
+            self.rebuild_index(*key)
+        return len(stale)
+
     def list_indexes(self) -> list[tuple[str, tuple[str, ...], str]]:
         return sorted(self.indexes)
 
-    def _rows_for(self, table: str, column: str) -> DataFrame:
-        """The copy that leads with the column, else the table; stale copies aren't used."""
-        for (t, cols, kind), index in self.indexes.items():
-            if t == table and cols[0] == column and kind != "fulltext" and index.version == self.versions.get(table, 0):
-                return index.data
+    def index_bytes(self) -> dict[tuple[str, tuple[str, ...], str], int]:
+        """What each index takes on disk."""
+        return {key: sum(file_size(self.spark, p) for p in index.places) for key, index in self.indexes.items()}
+
+    def _rows_for(self, table: str, columns: list[str], equal: bool) -> DataFrame:
+        """The copy that serves best, else the table; stale copies aren't used. A bucketed copy needs all its columns by value, a sorted one its first."""
+        for kinds in (("hash", "composite"), ("btree",)) if equal else (("btree",),):
+            for (t, cols, kind), index in self.indexes.items():
+                if t == table and kind in kinds and index.version == self.versions.get(table, 0) and (set(cols) <= {*columns} if index.name else cols[0] in columns):
+                    return index.data
         return self.spark.table(table)
 
-    def lookup(self, table: str, column: str, value) -> DataFrame:
-        return self._rows_for(table, column).where(F.col(column) == value)
+    def lookup(self, table: str, column: str | tuple[str, ...], value) -> DataFrame:
+        """Rows where the column has the value, or all columns have theirs."""
+        columns, values = ([column], [value]) if isinstance(column, str) else (list(column), list(value))
+        return self._rows_for(table, columns, True).where(reduce(Column.__and__, (F.col(c) == v for c, v in zip(columns, values, strict=True))))
 
     def lookup_range(self, table: str, column: str, low, high) -> DataFrame:
-        return self._rows_for(table, column).where(F.col(column).between(low, high))
+        return self._rows_for(table, [column], False).where(F.col(column).between(low, high))
 
     def lookup_pattern(self, table: str, column: str, pattern: str) -> DataFrame:
-        return self._rows_for(table, column).where(F.col(column).rlike(pattern))
+        """Rows whose text matches; what stands before the first special character of an anchored pattern is a range of the sorted copy."""
+        df, fixed = self._rows_for(table, [column], False), re.match(r"\^([A-Za-z0-9 _-]+)(?![*?{|])", pattern)
+        if fixed and "|" not in pattern:
+            df = df.where(F.col(column).startswith(fixed[1]))
+        return df.where(F.col(column).rlike(pattern))
 
     def lookup_token(self, table: str, column: str, token: str) -> DataFrame:
-        index = self.indexes.get((table, (column,), "fulltext")) or self.create_index(table, (column,), "fulltext")
+        """Rows whose text has the token, each as often as it is in the table."""
+        index = self.indexes.get((table, (column,), "fulltext"))
+        if index is None or index.version != self.versions.get(table, 0):
+            index = self.create_index(table, (column,), "fulltext")
         df = self.spark.table(table)
-        rows = index.data.where(F.col("token") == token.lower()).select(F.col("row_id").alias("_row"))
-        return df.withColumn("_row", F.xxhash64(*df.columns)).join(rows, "_row", "left_semi").drop("_row")
+        row = staging.fresh(df.columns, "row_id")
+        rows = index.data.where(F.col("token") == token.lower()).select(F.col("row_id").alias(row))
+        return self.spark.read.parquet(f"{index.places[0]}/rows").join(rows, row, "left_semi").select(*df.columns)
 
 
 def inverted_index(df: DataFrame, id_col: str, text_col: str, kind: str = "standard") -> DataFrame:

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import row_sha256
+from ..functions.hashing import content_sha256
 from ..functions.similarity import mean_similarity
 from ..functions.strings import trim_space
 from .clusters import clusters
+from .staging import fresh
 
 STRATEGIES = ("append", "smart", "priority", "time", "schema")
 DEDUPS = ("none", "exact", "key", "hash", "fuzzy", "custom")
 RESOLVERS = ("first", "last", "newest", "oldest", "merge_values", "priority", "custom")
-_TAGS = ("_source", "_priority", "_ord", "_row", "_ts")
+#: What the merge notes of each row: source, its priority and order, the row's order in it, and its time.
+_TAGS = ("source", "priority", "ord", "row", "ts")
 
 
 @dataclass
@@ -98,36 +101,39 @@ def append(sources: list[Source]) -> DataFrame:
     return reduce(DataFrame.union, (s.prepared() for s in sources))
 
 
-def unify(sources: list[Source], strict: bool = False) -> DataFrame:
-    """UNION ALL by name with tags: source, priority, order of sources, order of rows within one read, time."""
+def unify(sources: list[Source], strict: bool = False, tag: str = "_tag") -> DataFrame:
+    """UNION ALL by name with a struct column ``tag``: source, priority, order of sources, order of rows within one read, time."""
     tables = []
     for k, s in enumerate(sources):
         df = s.prepared()
         if strict and df.columns != sources[0].prepared().columns:
             raise ValueError(f"source {s.name} has other columns than {sources[0].name}")
         ts = F.col(s.timestamp_column).try_cast("timestamp") if s.timestamp_column in df.columns else F.lit(None).cast("timestamp")
-        tables.append(df.withColumns({"_source": F.lit(s.name), "_priority": F.lit(s.priority), "_ord": F.lit(k), "_row": F.monotonically_increasing_id(), "_ts": ts}))
+        values = (F.lit(s.name), F.lit(s.priority), F.lit(k), F.monotonically_increasing_id(), ts)
+        tables.append(df.withColumn(tag, F.struct(*(v.alias(n) for n, v in zip(_TAGS, values, strict=True)))))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def merge_key(cols: list[str] | tuple[str, ...], case_sensitive: bool = True, trim: bool = True, phonetic: bool = False) -> Column:
-    """Key cells (or the sound of them) with a bar between; null where all are empty, so that such rows have no duplicates."""
+    """Key cells (or the sound of them) as one text that keeps them apart; null where all are empty, so that such rows have no duplicates."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
     cells = [trim_space(c) for c in cells] if trim else cells
     cells = cells if case_sensitive else [F.lower(c) for c in cells]
-    return F.when(reduce(Column.__or__, (c != "" for c in cells)), F.concat_ws("|", *map(F.soundex, cells) if phonetic else cells))
+    return F.when(reduce(Column.__or__, (c != "" for c in cells)), F.to_json(F.array(*map(F.soundex, cells) if phonetic else cells)))
 
 
-def keep_one(df: DataFrame, key: str, how: str) -> DataFrame:
+def keep_one(df: DataFrame, key: str, how: str, tag: str = "_tag") -> DataFrame:
     """One row of each key by order; rows without a key stay. Rows are reduced before the shuffle, so a hot key is no burden."""
-    order = [F.col("_ord"), F.col("_row")]
+    of = lambda name: F.col(f"{tag}.{name}")
+    order = [of("ord").alias("ord"), of("row").alias("row")]
     rank = {
-        "first": F.struct(*order), "last": F.struct(*order), "newest": F.struct("_ts", *order), "oldest": F.struct(F.coalesce("_ts", F.lit("9999-12-31").cast("timestamp")).alias("t"), *order),
-        "priority": F.struct((-F.col("_priority")).alias("p"), *order),
+        "first": F.struct(*order), "last": F.struct(*order), "newest": F.struct(of("ts").alias("t"), *order), "oldest": F.struct(F.coalesce(of("ts"), F.lit("9999-12-31").cast("timestamp")).alias("t"), *order),
+        "priority": F.struct((-of("priority")).alias("p"), *order),
     }[how]
     rest = [c for c in df.columns if c != key]
     pick = F.max_by if how in ("last", "newest") else F.min_by
-    one = df.where(F.col(key).isNotNull()).groupBy(key).agg(pick(F.struct(*rest), rank).alias("r")).select(key, "r.*")
+    whole = fresh(df.columns, "_whole")
+    one = df.where(F.col(key).isNotNull()).groupBy(key).agg(pick(F.struct(*rest), rank).alias(whole)).select(key, f"{whole}.*")
     return one.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
@@ -148,7 +154,9 @@ def fuzzy_clusters(df: DataFrame, id_col: str, cols: list[str], block: list[str]
     before distances are computed; a block should be narrow, as its different rows are compared with one another.
     """
     fields = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols))
-    rows = df.select(F.col(id_col).alias("_id"), F.concat_ws("|", *(F.col(b).cast("string") for b in block)).alias("_b"), fields.alias("_f"))
+    # Rows whose block columns are all null are a block each.
+    of_block = F.coalesce(F.when(reduce(Column.__or__, (F.col(b).isNotNull() for b in block)), F.to_json(F.array(*(F.col(b).cast("string") for b in block)))), F.concat(F.lit("null "), F.col(id_col).cast("string")))
+    rows = df.select(F.col(id_col).alias("_id"), of_block.alias("_b"), fields.alias("_f"))
     alike = rows.groupBy("_b", "_f").agg(F.min("_id").alias("_id"))
     a, b = alike.select("_b", F.col("_f").alias("fa"), F.col("_id").alias("a")), alike.select("_b", F.col("_f").alias("fb"), F.col("_id").alias("b"))
     near = mean_similarity([(F.col(f"fa.{c}"), F.col(f"fb.{c}")) for c in cols]) >= threshold
@@ -169,34 +177,41 @@ def merge(sources: list[Source], config: MergeConfig = MergeConfig(), source_col
         return append(sources)
     how = {"priority": "priority", "time": "newest"}.get(config.strategy, config.resolve)
     lenient = config.strategy in ("schema", "time", "priority") or not config.strict_schema
-    rows = unify(sources, strict=not lenient)
-    data = [c for c in rows.columns if c not in _TAGS]
+    every = merged_columns(sources)
+    tag, key, own_id = (fresh(every, name) for name in ("_tag", "_key", "_id"))
+    rows = unify(sources, not lenient, tag)
+    data = [c for c in rows.columns if c != tag]
     if config.dedup == "none":
         out = rows
     else:
         if config.dedup == "fuzzy":
-            numbered = rows.withColumn("_id", F.struct("_ord", "_row").cast("string"))
-            groups = fuzzy_clusters(numbered, "_id", data, list(config.block), config.threshold).withColumnRenamed("cluster", "_key")
-            keyed = numbered.join(groups, "_id").drop("_id")
+            numbered = rows.withColumn(own_id, F.concat_ws(":", f"{tag}.ord", f"{tag}.row"))
+            groups = fuzzy_clusters(numbered, own_id, data, list(config.block), config.threshold).withColumnRenamed("cluster", key)
+            keyed = numbered.join(groups, own_id).drop(own_id)
         elif config.dedup == "custom":
-            numbered = rows.withColumn("_id", F.concat_ws(":", "_ord", "_row"))
-            a = numbered.select("_id", F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim, config.phonetic).alias("_b"))
-            b = a.select(F.col("_id").alias("_other"), F.col("a").alias("b"), "_b")
-            links = a.join(b, "_b").where("_id < _other").where(config.same("a", "b")).select("_id", "_other")
-            found = clusters(links, "_id", "_other")
-            keyed = numbered.join(found, numbered["_id"] == found["node"], "left").withColumn("_key", F.coalesce("cluster", "_id")).drop("_id", "node", "cluster")
+            numbered = rows.withColumn(own_id, F.concat_ws(":", f"{tag}.ord", f"{tag}.row"))
+            a = numbered.select(F.col(own_id).alias("x"), F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim, config.phonetic).alias("block"))
+            b = a.select(F.col("x").alias("y"), F.col("a").alias("b"), "block")
+            links = a.join(b, "block").where("x < y").where(config.same("a", "b")).select("x", "y")
+            found = clusters(links, "x", "y").toDF("node", "cluster_of")
+            keyed = numbered.join(found, numbered[own_id] == found["node"], "left").select(*rows.columns, F.coalesce("cluster_of", F.col(own_id)).alias(key))
         else:
-            key = {"key": merge_key([k for k in config.keys if k in data] or list(config.keys), config.case_sensitive, config.trim, config.phonetic), "hash": row_sha256(data), "exact": F.to_json(F.struct(*data), {"ignoreNullFields": "false"})}[config.dedup]
-            keyed = rows.withColumn("_key", key)
+            by = {"key": merge_key([k for k in config.keys if k in data] or list(config.keys), config.case_sensitive, config.trim, config.phonetic), "hash": content_sha256(data), "exact": F.to_json(F.struct(*data), {"ignoreNullFields": "false"})}[config.dedup]
+            keyed = rows.withColumn(key, by)
         if how == "merge_values":
-            merged = merge_values(keyed, "_key", data)
-            out = merged.select(*data).unionByName(keyed.where("_key is null").select(*data))
+            merged = merge_values(keyed, key, data)
+            out = merged.select(*data).unionByName(keyed.where(F.col(key).isNull()).select(*data))
         elif how == "custom":
-            out = keyed.groupBy("_key").applyInPandas(config.resolver, keyed.drop("_key").schema)
+            # The function sees a group's rows with their tags in columns of their own; rows without a key have no group.
+            flat = [F.col(f"{tag}.{n}").alias(fresh(every, f"_{n}")) for n in _TAGS]
+            groups = keyed.where(F.col(key).isNotNull()).select(key, *data, *flat)
+            one = groups.groupBy(key).applyInPandas(lambda group: config.resolver(group.drop(columns=[key])), groups.drop(key).schema)
+            packed = F.struct(*(F.col(fresh(every, f"_{n}")).alias(n) for n in _TAGS)).alias(tag)
+            out = one.select(*data, packed).unionByName(keyed.where(F.col(key).isNull()).select(*data, tag))
         else:
-            out = keep_one(keyed, "_key", how)
-    if source_column and "_source" in out.columns:
-        return out.select(*data, F.col("_source").alias(source_column))
+            out = keep_one(keyed, key, how, tag)
+    if source_column and tag in out.columns:
+        return out.select(*data, F.col(f"{tag}.source").alias(source_column))
     return out.select(*data)
 
 
@@ -204,6 +219,43 @@ def preview(sources: list[Source], config: MergeConfig, n: int = 10) -> DataFram
     return merge(sources, config).limit(n)
 
 
+def merge_with_callback(sources: list[Source], config: MergeConfig, on_row: Callable[[dict], bool | None], on_error: Callable[[Exception], None] | None = None) -> int:
+    """Hand the merged rows to ``on_row`` one after the other, until it returns False; returns how many were handed over.
+
+    Rows come to the driver a partition at a time, never all at once. Without ``on_error`` an error is raised, else handed over.
+    """
+    n = 0
+    try:
+        for row in merge(sources, config).toLocalIterator(prefetchPartitions=True):
+            n += 1
+            if on_row(row.asDict(recursive=True)) is False:
+                break
+    except Exception as e:
+        if on_error is None:
+            raise
+        on_error(e)
+    return n
+
+
+def estimates(sources: list[Source]) -> DataFrame:
+    """``source, rows, bytes`` by the optimiser's statistics, without reading a row; null where they don't say."""
+    out = []
+    for s in sources:
+        stats = s.prepared()._jdf.queryExecution().optimizedPlan().stats()
+        rows, size = stats.rowCount(), Decimal(str(stats.sizeInBytes()))
+        out.append((s.name, int(str(rows.get())) if rows.isDefined() else None, size))
+    return sources[0].rows.sparkSession.createDataFrame(out, "source string, rows long, bytes decimal(38,0)")
+
+
+def from_file(spark: SparkSession, name: str, path: str, priority: int = 0, delimiter: str | None = None, encoding: str | None = None, **more) -> Source:
+    """A source from a CSV file; what isn't given is found by looking at the file's beginning."""
+    from ..sources import sniff
+    from ..sources.csv_source import CsvOptions, read_csv
+
+    options = CsvOptions(delimiter=delimiter or sniff.detect_delimiter(spark, path), encoding=encoding or sniff.detect_encoding(spark, path))
+    return Source(name, read_csv(spark, path, options), priority, **more)
+
+
 def merge_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows in, rows out, share removed."""
     a, b = before.agg(F.count("*").alias("rows_in")), after.agg(F.count("*").alias("rows_out"))

@@ -28,6 +28,11 @@ SUBDOMAINS = {"www": 1.0, "api": 1.3, "test": 1.3, "dev": 1.4, "staging": 1.4, "
 PATHS = {"root": 1.0, "api": 1.3, "dev": 1.4, "backup": 1.4, "config": 1.4, "admin": 1.5}
 SEVERITIES = ((80, "critical"), (60, "high"), (40, "medium"), (20, "low"), (0, "info"))
 BOOST_CONFIDENCE, BOOST, AMPLIFY_ABOVE, AMPLIFY, MOST = 0.7, 1.2, 70.0, 1.3, 100.0
+# Points of combinations that raise a score, and of signs of a false alarm that lower it.
+PATTERNS = {
+    "admin_panel_with_weak_auth": 15.0, "api_with_no_auth": 12.0, "backup_with_sensitive_data": 10.0, "dev_env_in_production": 8.0,
+    "honeypot_detected": -20.0, "waf_blocking_everything": -10.0, "rate_limited_heavily": -5.0,
+}
 DECAY, DECAY_HOURS, OUTLIER = 0.95, 24.0, 3.0
 
 
@@ -44,9 +49,11 @@ def severity(score: Column) -> Column:
     return reduce(lambda chain, x: chain.when(score >= x[0], x[1]), SEVERITIES, F.when(score.isNull(), F.lit(None).cast("string"))).otherwise("info")
 
 
-def scores(signals: DataFrame, weight_table: DataFrame, target: str = "target", signal: str = "signal", confidence: str = "confidence", multiplier: Column | None = None, age_hours: Column | None = None) -> DataFrame:
+def scores(signals: DataFrame, weight_table: DataFrame, target: str = "target", signal: str = "signal", confidence: str = "confidence", multiplier: Column | None = None, age_hours: Column | None = None, patterns: DataFrame | None = None) -> DataFrame:
     """``target, n_signals, confidence, score, severity``. Unknown signals weigh nothing.
 
+    ``patterns`` (target, pattern) adds the points of each of a target's patterns once, before the score is cut to its range.
+
     The weight table is a fixed list of settings, so it is broadcast; signals are summed before the shuffle.
     """
     w = F.broadcast(weight_table.select(F.col("signal").alias("_s"), "weight"))
@@ -56,6 +63,11 @@ def scores(signals: DataFrame, weight_table: DataFrame, target: str = "target",
     summed = signals.join(w, F.col(signal) == F.col("_s"), "left").groupBy(target).agg(F.count("*").alias("n_signals"), F.avg(confidence).alias("confidence"), F.sum(part).alias("raw"))
     boosted = F.when(F.col("confidence") >= BOOST_CONFIDENCE, F.col("raw") * BOOST).otherwise(F.col("raw"))
     amplified = F.when(boosted > AMPLIFY_ABOVE, boosted * AMPLIFY).otherwise(boosted)
+    if patterns is not None:
+        points = reduce(lambda chain, x: chain.when(F.col("pattern") == x[0], F.lit(x[1])), PATTERNS.items(), F.when(F.lit(False), 0.0))
+        extra = patterns.select(target, "pattern").distinct().groupBy(target).agg(F.sum(points).alias("points"))
+        summed = summed.join(extra, target, "left")
+        amplified = amplified + F.coalesce("points", F.lit(0.0))
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(MOST), amplified)), 2)
     return summed.select(target, "n_signals", F.round("confidence", 4).alias("confidence"), score.alias("score"), severity(score).alias("severity"))
 
@@ -71,4 +83,5 @@ def normalised(df: DataFrame, column: str, how: str = "min_max") -> DataFrame:
 
 def ranked(scored: DataFrame, target: str = "target", group: str | None = None) -> DataFrame:
     """Rank by falling score within a group (severity by default), ties by target."""
+    # A group's rows are sorted in one task: give a narrower group where a severity is large.
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group or "severity").orderBy(F.desc("score"), target)))

@@ -178,6 +178,33 @@ def bottlenecks(stages: DataFrame) -> DataFrame:
     return stages.where(slow | many).select("id", slow.alias("long"), many.alias("many_dependencies"))
 
 
+def efficiency(stages: DataFrame) -> DataFrame:
+    """One row: stages, seconds one after the other, seconds of the critical path, and how many times faster that is."""
+    path, seconds = critical_path(stages)
+    total = F.coalesce(F.sum("timeout"), F.lit(0)).cast("long")
+    return stages.agg(F.count("*").alias("stages"), total.alias("sequential_seconds"), F.lit(seconds).cast("long").alias("parallel_seconds"), F.lit(" -> ".join(path)).alias("critical_path")).withColumn(
+        "speedup", F.when(F.col("parallel_seconds") > 0, F.col("sequential_seconds") / F.col("parallel_seconds")).otherwise(1.0)
+    )
+
+
+def suggestions(stages: DataFrame) -> DataFrame:
+    """``id, suggestion``: shorten what is long, split what waits for many, run side by side what shares a level."""
+    slow = bottlenecks(stages)
+    wide = levels(stages).groupBy("level").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
+    return (
+        slow.where("long").select("id", F.lit("takes long: divide it or shorten its timeout").alias("suggestion"))
+        .unionByName(slow.where("many_dependencies").select("id", F.lit("waits for many stages: divide it").alias("suggestion")))
+        .unionByName(wide.select("id", F.concat(F.lit("can run side by side with "), F.col("n") - 1, F.lit(" more of its level")).alias("suggestion")))
+    )
+
+
+def report(stages: DataFrame) -> DataFrame:
+    """A line of JSON, in column ``value``, for each stage in order: level, limits, constraints and suggestions."""
+    hints = suggestions(stages).groupBy("id").agg(F.sort_array(F.collect_list("suggestion")).alias("suggestions"))
+    known = constraints(stages).groupBy("id").agg(F.sort_array(F.collect_list("constraint")).alias("constraints"))
+    return execution_order(stages).join(known, "id", "left").join(hints, "id", "left").orderBy("level", rank(F.col("priority")).desc(), "timeout", "id").select(F.to_json(F.struct("*")).alias("value"))
+
+
 def constraints(stages: DataFrame) -> DataFrame:
     """``id, constraint`` inferred from tags: what is active needs the network, passive may run beside anything, final runs alone."""
     rules = (("active", "network"), ("passive", "concurrent"), ("final", "exclusive"), ("testing", "rate_limited"))
@@ -225,6 +252,28 @@ def plan(stages: DataFrame, filters: list[Filter], with_dependencies: bool = Tru
     return Selection("ok", [r["id"] for r in execution_order(part).collect()], notes)
 
 
+class SelectionCache:
+    """Plans kept for a time; the key holds the stages' contents, the filters and whether dependencies are taken in."""
+
+    def __init__(self, size: int = 100, ttl: float = 300.0, clock: Callable[[], float] | None = None):
+        from .engine import TimedCache
+
+        self.held, self.ttl = TimedCache(size=size, **({"clock": clock} if clock else {})), ttl
+        self.hits = self.misses = 0
+
+    def plan(self, stages: DataFrame, filters: list[Filter], with_dependencies: bool = True) -> Selection:
+        version = stages.agg(F.count("*"), F.sum(F.xxhash64(*stages.columns).cast("decimal(38,0)"))).first()
+        key = (tuple(version), repr(filters), with_dependencies)
+        found, state = self.held.get(key)
+        if state == "miss":
+            self.misses += 1
+            found = plan(stages, filters, with_dependencies)
+            self.held.put(key, found, self.ttl)
+        else:
+            self.hits += 1
+        return found
+
+
 def run(stages: DataFrame, actions: dict[str, Callable[[], object]], mode: str = "hybrid", workers: int = 4) -> dict[str, object]:
     """Run the stages' actions: one by one, or side by side within a level; hybrid runs exclusive stages alone."""
     rows = execution_order(stages).collect()

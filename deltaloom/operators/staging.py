@@ -21,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name`` with as many underscores as keep it from clashing with a column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def write(df: DataFrame, name: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

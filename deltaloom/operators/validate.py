@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import EMPTY_WORDS, FALSE_WORDS, TRUE_WORDS
+from .staging import fresh
 
 KINDS = ("STRING", "INTEGER", "FLOAT", "BOOLEAN", "DATE", "DATETIME", "EMAIL", "URL", "IP", "UUID", "ENUM", "CUSTOM")
 
@@ -23,6 +24,7 @@ IPV4, IPV6 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", r"^[0-9a-fA-F:]{2,
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 ERROR_FIELDS = "severity string, field string, position int, message string, actual string, expected string"
+ERROR_TYPE = f"array<struct<{ERROR_FIELDS.replace(' ', ':').replace(',:', ',')}>>"
 
 
 @dataclass
@@ -84,7 +86,7 @@ NAMED: dict[str, Callable[[Column], Column]] = {
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(" \t\n\r"))
 
 
 def is_empty(v: Column) -> Column:
@@ -92,7 +94,9 @@ def is_empty(v: Column) -> Column:
 
 
 def _error(f: Field, position: int, v: Column, bad: Column, message: str, expected: str, severity: str = "ERROR") -> Column:
-    return F.when(F.coalesce(bad, F.lit(True)), F.struct(F.lit(severity).alias("severity"), F.lit(f.name).alias("field"), F.lit(position).alias("position"), F.lit(message).alias("message"), v.alias("actual"), F.lit(expected).alias("expected")))
+    """An array of the error, or an empty one: arrays are joined in compiled code, which a filter over one array isn't."""
+    error = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(f.name).alias("field"), F.lit(position).alias("position"), F.lit(message).alias("message"), v.alias("actual"), F.lit(expected).alias("expected")))
+    return F.when(F.coalesce(bad, F.lit(True)), error).otherwise(F.array().cast(ERROR_TYPE))
 
 
 def _number_checks(f: Field, kind: str) -> list[tuple[Callable[[Column], Column], str, str]]:
@@ -150,34 +154,45 @@ def header_errors(columns: list[str], schema: Schema) -> list[dict]:
     return out + [{"severity": severity, "field": c, "message": "column is unknown"} for c in columns if c not in known]
 
 
-def with_errors(df: DataFrame, schema: Schema) -> DataFrame:
-    """``df`` with ``errors``, an array that is empty for a valid row. A missing column counts as empty cells."""
-    found = []
+def with_errors(df: DataFrame, schema: Schema, into: str = "errors") -> DataFrame:
+    """``df`` with the array ``into``, empty for a valid row. A missing column counts as empty cells.
+
+    Cells are trimmed and tested for emptiness once, in a projection of their own.
+    """
+    cells = fresh([*df.columns, into], "cells")
+    found, values = [], []
     for k, f in enumerate(schema.fields):
         name = _column(df, f)
-        v = trimmed(F.col(f"`{name}`")) if name else F.lit("")
+        values.append(trimmed(F.col(f"`{name}`")).alias(f"v{k}") if name else F.lit("").alias(f"v{k}"))
+        v = F.col(f"{cells}.v{k}")
         empty = is_empty(v)
         if f.required and f.default is None:
             found.append(_error(f, k, v, empty, "required value is missing", "a value"))
         found += [_error(f, k, v, ~empty & bad(v), message, expected) for bad, message, expected in checks(f)]
     if not found:
-        return df.withColumn("errors", F.array().cast(f"array<struct<{ERROR_FIELDS.replace(' ', ':').replace(',:', ',')}>>"))
-    return df.withColumn("errors", F.filter(F.array(*found), lambda e: e.isNotNull()))
+        return df.withColumn(into, F.array().cast(ERROR_TYPE))
+    return df.withColumn(cells, F.struct(*values)).withColumn(into, F.concat(*found)).drop(cells)
 
 
 def valid_rows(df: DataFrame, schema: Schema) -> DataFrame:
-    return with_errors(df, schema).where(F.size("errors") == 0).drop("errors")
+    into = fresh(df.columns, "errors")
+    return with_errors(df, schema, into).where(F.size(into) == 0).drop(into)
 
 
 def error_rows(df: DataFrame, schema: Schema, id_cols: list[str], severity: str | None = None, most_per_field: int | None = None) -> DataFrame:
-    """A row for each error with the row's id columns; a cap keeps the first of each field by the ids."""
-    out = with_errors(df, schema).select(*id_cols, F.explode("errors").alias("e")).select(*id_cols, "e.*")
+    """A row for each error with the row's id columns; a cap keeps the first of each field by the ids.
+
+    The cap is met in each partition first, so no task sorts all errors of a field.
+    """
+    into = fresh(df.columns, "errors")
+    out = with_errors(df, schema, into).select(*id_cols, F.explode(into).alias(into)).select(*id_cols, f"{into}.*")
     if severity:
         out = out.where(F.col("severity") == severity)
     if most_per_field:
-        from pyspark.sql import Window
-
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy("field").orderBy(*id_cols, "message"))).where(F.col("_n") <= most_per_field).drop("_n")
+        part, nth = fresh(out.columns, "part"), fresh(out.columns, "nth")
+        for by in (["field", part], ["field"]):
+            ranked = out.withColumn(part, F.spark_partition_id()) if part in by else out
+            out = ranked.withColumn(nth, F.row_number().over(Window.partitionBy(*by).orderBy(*id_cols, "message"))).where(F.col(nth) <= most_per_field).drop(nth, part)
     return out
 
 
@@ -188,14 +203,16 @@ def first_error(df: DataFrame, schema: Schema, id_cols: list[str]) -> DataFrame:
 
 def summary(df: DataFrame, schema: Schema) -> DataFrame:
     """One row: rows, valid rows, errors, success percent."""
-    n = F.size("errors")
-    out = with_errors(df, schema).agg(F.count("*").alias("rows"), F.count_if(n == 0).alias("valid_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("errors"))
+    into = fresh(df.columns, "errors")
+    n = F.size(into)
+    out = with_errors(df, schema, into).agg(F.count("*").alias("rows"), F.count_if(n == 0).alias("valid_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("errors"))
     return out.withColumn("success_percent", F.when(F.col("rows") > 0, 100.0 * F.col("valid_rows") / F.col("rows")).otherwise(100.0))
 
 
 def report(df: DataFrame, schema: Schema) -> DataFrame:
     """``field, message, n`` over all errors."""
-    return with_errors(df, schema).select(F.explode("errors").alias("e")).groupBy("e.field", "e.message").agg(F.count("*").alias("n"))
+    into = fresh(df.columns, "errors")
+    return with_errors(df, schema, into).select(F.explode(into).alias("e")).groupBy("e.field", "e.message").agg(F.count("*").alias("n"))
 
 
 def _version(text: str) -> tuple[int, int, int]:
@@ -240,38 +257,89 @@ class Registry:
         return df.select(*((F.col(_column(df, f)) if _column(df, f) else F.lit(f.default)).cast("string").alias(f.name) for f in target.fields))
 
 
-def _field(text: str) -> Field:
-    """``name! kind(limits)``: ! for required, ? for optional."""
-    head, _, rest = text.partition(" ")
-    kind, _, limits = rest.rstrip(")").partition("(")
-    names = {"str": "STRING", "int": "INTEGER", "float": "FLOAT", "bool": "BOOLEAN", "date": "DATE", "url": "URL", "enum": "ENUM"}
-    out = Field(head[:-1], names[kind], head[-1] == "!")
-    if kind == "enum":
-        out.values = tuple(limits.split("|"))
-    elif limits:
-        low, _, high = limits.partition("..")
-        out.low, out.high = float(low) if low else None, float(high) if high else None
-    return out
-
-
 # The built-in schemas, version 1.0.0.
-_BUILTIN = {
-    "scope": "domain! str(1..253); program! str(1..100); status! enum(active|inactive|paused); notes? str(..500)",
-    "subdomains": "subdomain! str(1..253); source! str(1..50); wildcard? bool; discovered_at! date",
-    "probe": "url! url; status_code! int(100..599); content_length? int(0..); title? str(..200); technologies? str(..500)",
-    "headless": "url! url; js_frameworks? str(..200); forms? str(..1000); xhr_endpoints? str(..2000); spa_detected? bool",
-    "discovery": "url! url; status_code! int(100..599); content_length? int(0..); content_type? str(..100); discovery_type! enum(directory|file|backup|config|source)",
-    "jsintel": "js_url! url; endpoints? str(..2000); api_keys? str(..1000); secrets? str(..500); comments? str(..1000)",
-    "api_catalog": "api_endpoint! url; api_type! enum(REST|GraphQL|SOAP|gRPC); methods! str(1..100); parameters? str(..2000); authentication_required? bool",
-    "api_findings": "api_endpoint! url; vulnerability_type! enum(IDOR|SQLi|XSS|Auth_Bypass|Rate_Limit); severity! enum(Low|Medium|High|Critical); description! str(1..1000); proof_of_concept? str(..2000)",
-    "mobile_intel": "app_package! str(1..200); platform! enum(Android|iOS); endpoints? str(..2000); certificates? str(..1000); deep_links? str(..1000)",
-    "changes": "url! url; change_type! enum(content|certificate|dns|headers|technology); previous_value? str(..1000); current_value? str(..1000); detected_at! date",
-    "final_ranked": "target! url; finding_type! enum(vulnerability|information|technology|endpoint); severity! enum(Info|Low|Medium|High|Critical); risk_score! float(0..10); description! str(1..1000); source_module! str(1..50)",
+BUILTIN: dict[str, list[Field]] = {
+    "scope": [
+        Field("domain", "STRING", low=1, high=253),
+        Field("program", "STRING", low=1, high=100),
+        Field("status", "ENUM", values=("active", "inactive", "paused")),
+        Field("notes", "STRING", required=False, high=500),
+    ],
+    "subdomains": [
+        Field("subdomain", "STRING", low=1, high=253),
+        Field("source", "STRING", low=1, high=50),
+        Field("wildcard", "BOOLEAN", required=False),
+        Field("discovered_at", "DATE"),
+    ],
+    "probe": [
+        Field("url", "URL"),
+        Field("status_code", "INTEGER", low=100, high=599),
+        Field("content_length", "INTEGER", required=False, low=0),
+        Field("title", "STRING", required=False, high=200),
+        Field("technologies", "STRING", required=False, high=500),
+    ],
+    "headless": [
+        Field("url", "URL"),
+        Field("js_frameworks", "STRING", required=False, high=200),
+        Field("forms", "STRING", required=False, high=1000),
+        Field("xhr_endpoints", "STRING", required=False, high=2000),
+        Field("spa_detected", "BOOLEAN", required=False),
+    ],
+    "discovery": [
+        Field("url", "URL"),
+        Field("status_code", "INTEGER", low=100, high=599),
+        Field("content_length", "INTEGER", required=False, low=0),
+        Field("content_type", "STRING", required=False, high=100),
+        Field("discovery_type", "ENUM", values=("directory", "file", "backup", "config", "source")),
+    ],
+    "jsintel": [
+        Field("js_url", "URL"),
+        Field("endpoints", "STRING", required=False, high=2000),
+        Field("api_keys", "STRING", required=False, high=1000),
+        Field("secrets", "STRING", required=False, high=500),
+        Field("comments", "STRING", required=False, high=1000),
+    ],
+    "api_catalog": [
+        Field("api_endpoint", "URL"),
+        Field("api_type", "ENUM", values=("REST", "GraphQL", "SOAP", "gRPC")),
+        Field("methods", "STRING", low=1, high=100),
+        Field("parameters", "STRING", required=False, high=2000),
+        Field("authentication_required", "BOOLEAN", required=False),
+    ],
+    "api_findings": [
+        Field("api_endpoint", "URL"),
+        Field("vulnerability_type", "ENUM", values=("IDOR", "SQLi", "XSS", "Auth_Bypass", "Rate_Limit")),
+        Field("severity", "ENUM", values=("Low", "Medium", "High", "Critical")),
+        Field("description", "STRING", low=1, high=1000),
+        Field("proof_of_concept", "STRING", required=False, high=2000),
+    ],
+    "mobile_intel": [
+        Field("app_package", "STRING", low=1, high=200),
+        Field("platform", "ENUM", values=("Android", "iOS")),
+        Field("endpoints", "STRING", required=False, high=2000),
+        Field("certificates", "STRING", required=False, high=1000),
+        Field("deep_links", "STRING", required=False, high=1000),
+    ],
+    "changes": [
+        Field("url", "URL"),
+        Field("change_type", "ENUM", values=("content", "certificate", "dns", "headers", "technology")),
+        Field("previous_value", "STRING", required=False, high=1000),
+        Field("current_value", "STRING", required=False, high=1000),
+        Field("detected_at", "DATE"),
+    ],
+    "final_ranked": [
+        Field("target", "URL"),
+        Field("finding_type", "ENUM", values=("vulnerability", "information", "technology", "endpoint")),
+        Field("severity", "ENUM", values=("Info", "Low", "Medium", "High", "Critical")),
+        Field("risk_score", "FLOAT", low=0, high=10),
+        Field("description", "STRING", low=1, high=1000),
+        Field("source_module", "STRING", low=1, high=50),
+    ],
 }
 
 
 def builtin() -> Registry:
     registry = Registry()
-    for name, fields in _BUILTIN.items():
-        registry.add(Schema(name, "1.0.0", [_field(f) for f in fields.split("; ")]))
+    for name, fields in BUILTIN.items():
+        registry.add(Schema(name, "1.0.0", [replace(f) for f in fields]))
     return registry

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diff as d
 from ..operators import encode as e
+from ..operators import staging
+from ..sources import csv_sink
 from .registry import query, table
 
 _OLD = "SELECT o_orderkey AS id, o_orderstatus AS status, o_orderpriority AS priority FROM orders"
@@ -62,11 +66,98 @@ def diff_apply(spark, sf):
     return d.apply(old, d.diff(old, new, d.DiffConfig("key_based")))
 
 
-@query("SELECT o_orderkey AS id, o_custkey AS pos_new FROM orders WHERE false")
-def diff_no_damage(spark, sf):
-    """Changes whose hash doesn't fit: none."""
+@query(f"SELECT id FROM ({_OLD}) a WHERE id % 5 = 0 AND NOT EXISTS (SELECT 1 FROM ({_NEW}) b WHERE b.id = a.id AND b.status = a.status)")
+def diff_damage(spark, sf):
+    """Changes whose old cells no longer fit their hash: those of every fifth key."""
+    old, new = versions(spark, sf)
+    changes = d.diff(old, new, d.DiffConfig("key_based")).where("old is not null")
+    key = F.get("old", F.lit(0)).cast("long")
+    spoilt = changes.withColumn("old", F.when(key % 5 == 0, F.array(F.get("old", F.lit(0)), F.lit(None).cast("string"), F.get("old", F.lit(2)))).otherwise(F.col("old")))
+    return d.damaged(spoilt).select(F.get_json_object("key", "$.id").cast("long").alias("id"))
+
+
+_OLD_BAG = "SELECT o_orderstatus AS status, nullif(o_orderpriority, '5-LOW') AS priority FROM orders"
+_NEW_BAG = "SELECT CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '|' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN coalesce(nullif(o_orderpriority, '5-LOW'), '') ELSE nullif(o_orderpriority, '5-LOW') END AS priority FROM orders WHERE o_orderkey % 7 <> 0"
+
+
+def bags(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that repeat, with nulls, empty cells and bars, and no key."""
+    o = table(spark, sf, "orders")
+    priority = F.nullif("o_orderpriority", F.lit("5-LOW"))
+    old = o.select(F.col("o_orderstatus").alias("status"), priority.alias("priority"))
+    status = F.when(F.col("o_orderkey") % 3 == 0, F.concat("o_orderstatus", F.lit("|"))).otherwise(F.col("o_orderstatus"))
+    new = o.where("o_orderkey % 7 <> 0").select(status.alias("status"), F.when(F.col("o_orderkey") % 5 == 0, F.coalesce(priority, F.lit(""))).otherwise(priority).alias("priority"))
+    return old, new
+
+
+@query(_NEW_BAG)
+def diff_apply_content(spark, sf):
+    """The default mode restores the new version also where rows repeat."""
+    old, new = bags(spark, sf)
+    return d.apply(old, d.diff(old, new))
+
+
+@query(f"""SELECT op, status, priority, n FROM (SELECT CASE WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN 'INSERT' ELSE 'DELETE' END AS op, coalesce(a.status, b.status) AS status, coalesce(a.priority, b.priority) AS priority, abs(coalesce(b.n, 0) - coalesce(a.n, 0)) AS n
+FROM (SELECT status, priority, count(*) AS n FROM ({_OLD_BAG}) GROUP BY ALL) a FULL JOIN (SELECT status, priority, count(*) AS n FROM ({_NEW_BAG}) GROUP BY ALL) b ON a.status IS NOT DISTINCT FROM b.status AND a.priority IS NOT DISTINCT FROM b.priority) WHERE n > 0""")
+def diff_repeated_content(spark, sf):
+    old, new = bags(spark, sf)
+    row = F.coalesce("new", "old")
+    return d.diff(old, new).groupBy("op", F.get(row, F.lit(0)).alias("status"), F.get(row, F.lit(1)).alias("priority")).agg(F.count("*").alias("n"))
+
+
+@query(_NEW)
+def diff_by_position_apply(spark, sf):
+    old, new = versions(spark, sf)
+    return d.apply(old, d.diff(old, new, d.DiffConfig("field_by_field", order="id")))
+
+
+@query("SELECT o_orderkey AS id, old_version, new_version FROM (SELECT o_orderkey, o_orderkey % 13 AS old_version, o_orderkey % 17 AS new_version FROM orders) WHERE new_version > old_version")
+def diff_by_timestamp(spark, sf):
+    """Only later versions count, and a later one is a greater number, not a greater text."""
+    o = table(spark, sf, "orders")
+    version = lambda n: o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % n).cast("string").alias("version"))
+    changes = d.diff(version(13), version(17), d.DiffConfig("timestamp_based", timestamp="version"))
+    return changes.select(F.get("new", F.lit(0)).cast("long").alias("id"), F.get("old", F.lit(1)).cast("long").alias("old_version"), F.get("new", F.lit(1)).cast("long").alias("new_version"))
+
+
+_FIRST = "SELECT {name} AS name, min(pos) AS pos FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM customer) GROUP BY 1"
+
+
+@query(f"SELECT a.name, a.pos AS row_index, b.pos AS new_index FROM ({_FIRST.format(name='c_name', order='c_custkey')}) a JOIN ({_FIRST.format(name='c_name', order='c_custkey % 10, c_custkey')}) b ON a.name = b.name WHERE a.pos <> b.pos")
+def diff_moves(spark, sf):
+    c = table(spark, sf, "customer")
+    old = c.select(F.col("c_custkey").alias("o"), F.lit(0).cast("long").alias("p"), F.col("c_name").alias("name"))
+    new = c.select(F.lit(0).cast("long").alias("o"), (F.col("c_custkey") % 10 * 10_000_000 + F.col("c_custkey")).alias("p"), F.col("c_name").alias("name"))
+    return d.moves(old, new, "o", "p").select(F.get("old", F.lit(0)).alias("name"), "row_index", "new_index")
+
+
+@query(f"SELECT op, count(*) AS n FROM (SELECT CASE WHEN a.id IS NULL THEN 'INSERT' WHEN b.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op FROM ({_OLD}) a FULL JOIN ({_NEW}) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status <> b.status) GROUP BY op")
+def diff_file_round_trip(spark, sf):
+    """Changes written, read, turned to lines and back, doubled and made unique again."""
     old, new = versions(spark, sf)
-    return d.damaged(d.diff(old, new)).select(F.col("key").try_cast("long").alias("id"), F.lit(0).cast("long").alias("pos_new"))
+    path = f"{staging.shared_dir(spark)}/delta-{uuid.uuid4().hex}"
+    d.write_delta(d.diff(old, new, d.DiffConfig("key_based")), path, old.columns)
+    try:
+        _, changes = d.read_delta(spark, path)
+        again = d.from_json(d.to_json(changes))
+        return staging.staged(d.statistics(d.sorted_unique(again.unionByName(again))), "kinds")
+    finally:
+        staging.drop(spark, path)
+
+
+@query("SELECT 'UPDATE' AS op, n_nationkey::VARCHAR AS id, n_name AS old_name, lower(n_name) AS new_name FROM nation WHERE n_nationkey % 2 = 0")
+def diff_csv_files(spark, sf):
+    """Two CSV files compared by key."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    paths = [f"{staging.shared_dir(spark)}/{side}-{uuid.uuid4().hex}" for side in ("old", "new")]
+    csv_sink.write_csv(n, paths[0])
+    csv_sink.write_csv(n.withColumn("name", F.when(F.col("id") % 2 == 0, F.lower("name")).otherwise(F.col("name"))), paths[1])
+    try:
+        changes = d.diff_files(spark, *paths, d.DiffConfig("key_based"))
+        return staging.staged(changes.select("op", F.get("old", F.lit(0)).alias("id"), F.get("old", F.lit(1)).alias("old_name"), F.get("new", F.lit(1)).alias("new_name")), "changes")
+    finally:
+        for p in paths:
+            staging.drop(spark, p)
 
 
 _RUNS = "SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run, event_type FROM (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"

@@ -113,3 +113,36 @@ def fuzzy_clusters(spark, sf):
     name = F.upper(F.concat("p_brand", F.lit(" "), "p_name", F.when(F.col("p_partkey") % 4 == 1, "s").otherwise("")))
     t = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("block"), name.alias("name"))
     return m.fuzzy_clusters(t, "id", ["name"], ["block"])
+
+
+_CELLS = "SELECT c_mktsegment || '|' AS a, c_nationkey::VARCHAR AS b FROM customer UNION ALL SELECT c_mktsegment, '|' || c_nationkey FROM customer UNION ALL SELECT c_mktsegment, NULL FROM customer UNION ALL SELECT c_mktsegment, '' FROM customer"
+
+
+def _cells(spark: SparkSession, sf: str) -> list[m.Source]:
+    """Rows that are alike only where bars and nulls aren't told apart."""
+    c = table(spark, sf, "customer")
+    segment, nation = F.col("c_mktsegment"), F.col("c_nationkey").cast("string")
+    pairs = [(F.concat(segment, F.lit("|")), nation), (segment, F.concat(F.lit("|"), nation)), (segment, F.lit(None).cast("string")), (segment, F.lit(""))]
+    return [m.Source(str(k), c.select(a.alias("a"), b.alias("b"))) for k, (a, b) in enumerate(pairs)]
+
+
+@query(f"SELECT DISTINCT a, b FROM ({_CELLS})")
+def merge_hash_collision(spark, sf):
+    return m.merge(_cells(spark, sf), m.MergeConfig(dedup="hash"))
+
+
+@query(f"SELECT a, coalesce(b, '') AS b, count(*) AS n FROM (SELECT DISTINCT a, coalesce(b, '') AS b FROM ({_CELLS})) GROUP BY ALL")
+def merge_key_of_two_columns(spark, sf):
+    """Keys of two columns keep the columns apart; null and empty cells are one key."""
+    return m.merge(_cells(spark, sf), m.MergeConfig(keys=("a", "b"))).groupBy("a", F.coalesce("b", F.lit("")).alias("b")).agg(F.count("*").alias("n"))
+
+
+_ODD = f"SELECT CASE WHEN id % 10 = 0 THEN NULL ELSE id END AS id, name AS _row, balance AS _ts FROM {_BOTH}"
+
+
+@query(f"SELECT id, _row, round(_ts, 2) AS _ts FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY _ts DESC, _row) AS k FROM ({_ODD})) WHERE k = 1 OR id IS NULL")
+def merge_custom(spark, sf):
+    """A resolver of one's own: the greatest balance. Rows without a key stay, and columns named like the merge's own notes are kept."""
+    odd = [m.Source(s.name, s.rows.select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), F.col("name").alias("_row"), F.col("balance").alias("_ts"))) for s in sources(spark, sf)]
+    greatest = lambda rows: rows.sort_values(["_ts", "_row"], ascending=[False, True]).head(1)
+    return m.merge(odd, m.MergeConfig(resolve="custom", resolver=greatest)).select("id", "_row", F.round("_ts", 2).alias("_ts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import joins, staging
 from ..operators.engine import Engine, EngineConfig
 from .registry import query, table
 
@@ -48,8 +49,81 @@ def above_average(spark, sf):
 @query("SELECT '' AS missing, n_name FROM nation")
 def compat_unknown_column(spark, sf):
     """A column that the table lacks is an empty column in compat mode."""
-    df = table(spark, sf, "nation")
-    return df.select((F.col("missing") if "missing" in df.columns else F.lit("")).alias("missing"), "n_name")
+    return _compat(spark, sf, "SELECT missing, n_name FROM nation", "nation")
+
+
+def _compat(spark, sf, sql, *names):
+    engine = Engine(spark, EngineConfig(cache_results=False, compat=True))
+    for n in names:
+        engine.register(n, table(spark, sf, n))
+    return engine.execute(sql).df
+
+
+@query("SELECT n_name FROM nation WHERE n_nationkey < 5")
+def compat_unknown_condition(spark, sf):
+    """A condition that asks for a column that the table lacks holds in compat mode."""
+    return _compat(spark, sf, "SELECT n_name FROM nation WHERE missing BETWEEN 'a' AND 'b' AND n_nationkey < 5", "nation")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'R'")
+def compat_not_in(spark, sf):
+    """In compat mode NOT IN holds for a null."""
+    return _compat(spark, sf, "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS flag FROM lineitem) t WHERE flag NOT IN ('R')", "lineitem")
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def compat_count(spark, sf):
+    """In compat mode COUNT of a column counts rows."""
+    return _compat(spark, sf, "SELECT COUNT(flag) AS n FROM (SELECT nullif(l_returnflag, 'N') AS flag FROM lineitem) t", "lineitem")
+
+
+@query("SELECT s_name || '!' AS loud FROM supplier")
+def registered_function(spark, sf):
+    engine = Engine(spark, EngineConfig(cache_results=False))
+    engine.register("supplier", table(spark, sf, "supplier"))
+    engine.register_function("loud", lambda s: s + "!")
+    return engine.execute("SELECT loud(s_name) AS loud FROM supplier").df
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf):
+    return _sql(spark, sf, "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", "lineitem")
+
+
+@query("SELECT l_returnflag, sum(DISTINCT l_linenumber)::BIGINT AS total FROM lineitem GROUP BY l_returnflag")
+def sum_distinct(spark, sf):
+    return _sql(spark, sf, "SELECT l_returnflag, SUM(DISTINCT l_linenumber) AS total FROM lineitem GROUP BY l_returnflag", "lineitem")
+
+
+@query("SELECT a.event_id, b.event_id AS last_click FROM events a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def join_as_of(spark, sf):
+    """The last click of the user at or before each event."""
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("last_click"))
+    return joins.as_of(events.select("event_id", "user_id", "ts"), clicks, "ts", ["user_id"]).select("event_id", "last_click")
+
+
+@query("SELECT o_orderkey, n_name FROM orders JOIN (SELECT n_name, n_nationkey * 10000 AS low, n_nationkey * 10000 + 14999 AS high FROM nation) ON o_totalprice BETWEEN low AND high")
+def join_range(spark, sf):
+    """Orders whose price lies in the overlapping bands of nations."""
+    bands = table(spark, sf, "nation").select("n_name", (F.col("n_nationkey") * 10_000).alias("low"), (F.col("n_nationkey") * 10_000 + 14_999).alias("high"))
+    return joins.in_interval(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high", 10_000).select("o_orderkey", "n_name")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N' AND NOT (l_linestatus = 'O')")
+def filter_null_cells(spark, sf):
+    """IS NULL and IS NOT NULL over columns with nulls."""
+    return _sql(spark, sf, "SELECT l_orderkey, l_linenumber FROM (SELECT *, nullif(l_returnflag, 'N') AS flag, nullif(l_linestatus, 'O') AS status FROM lineitem) t WHERE flag IS NULL AND status IS NOT NULL", "lineitem")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def join_anti_some(spark, sf):
+    return table(spark, sf, "part").join(table(spark, sf, "lineitem").where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def set_except_repeated(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).exceptAll(table(spark, sf, "supplier").select("s_nationkey"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 10")
@@ -257,16 +331,39 @@ def set_except(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).exceptAll(table(spark, sf, "supplier").select("s_nationkey"))
 
 
+def _indexed(spark, sf, name, columns, kind, ask):
+    """The answer through an index, which is dropped once the answer is written."""
+    engine = Engine(spark, EngineConfig(cache_results=False))
+    engine.register(name, table(spark, sf, name))
+    engine.create_index(name, columns, kind)
+    try:
+        return staging.staged(ask(engine), "answer")
+    finally:
+        engine.drop_index(name, columns, kind)
+
+
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_partkey BETWEEN 10 AND 60 GROUP BY l_orderkey")
 def indexed_range_lookup(spark, sf):
-    """A lookup by range reads the file statistics of the sorted copy or, as here, of the table itself."""
-    engine = Engine(spark, EngineConfig(cache_results=False))
-    engine.register("lineitem", table(spark, sf, "lineitem"))
-    return engine.lookup_range("lineitem", "l_partkey", 10, 60).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    """A lookup by range reads only the files and row groups of the sorted copy that can hold it."""
+    return _indexed(spark, sf, "lineitem", ("l_partkey",), "btree", lambda e: e.lookup_range("lineitem", "l_partkey", 10, 60).groupBy("l_orderkey").agg(F.count("*").alias("n")))
 
 
 @query("SELECT * FROM customer WHERE c_custkey = 42")
 def indexed_point_lookup(spark, sf):
-    engine = Engine(spark, EngineConfig(cache_results=False))
-    engine.register("customer", table(spark, sf, "customer"))
-    return engine.lookup("customer", "c_custkey", 42)
+    """A lookup by value reads one bucket."""
+    return _indexed(spark, sf, "customer", ("c_custkey",), "hash", lambda e: e.lookup("customer", "c_custkey", 42))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = 3 AND l_returnflag = 'R'")
+def indexed_composite_lookup(spark, sf):
+    return _indexed(spark, sf, "lineitem", ("l_suppkey", "l_returnflag"), "composite", lambda e: e.lookup("lineitem", ("l_suppkey", "l_returnflag"), (3, "R")).select("l_orderkey", "l_linenumber"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#00000000%'")
+def indexed_pattern_lookup(spark, sf):
+    return _indexed(spark, sf, "customer", ("c_name",), "btree", lambda e: e.lookup_pattern("customer", "c_name", "^Customer#00000000").select("c_custkey"))
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), 'part')")
+def indexed_token_lookup(spark, sf):
+    return _indexed(spark, sf, "part", ("p_name",), "fulltext", lambda e: e.lookup_token("part", "p_name", "Part").select("p_partkey"))

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import csv_escape
@@ -25,6 +25,8 @@ class SinkOptions:
     rows_per_file: int = 0
     max_cell: int = 1 << 20
     mode: str = "overwrite"
+    bom: bool = False
+    backup: bool = False
 
     def codec(self, path: str) -> str:
         """``auto`` goes by the path's suffix."""
@@ -38,7 +40,11 @@ def write_csv(df: DataFrame, path: str, options: SinkOptions = SinkOptions()) ->
 
     Returns rows written, rows skipped and characters. The figures come from the writing job itself.
     """
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    if options.backup:
+        _rename(df.sparkSession, path, f"{path}.bak")
+    if options.bom and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
     chars = sum((F.length(c) for c in cells), F.lit(0))
     empty = chars == 0
     long = F.greatest(*(F.length(c) for c in cells), F.lit(0)) > options.max_cell
@@ -52,6 +58,21 @@ def write_csv(df: DataFrame, path: str, options: SinkOptions = SinkOptions()) ->
     return dict(seen.get)
 
 
+def _rename(spark: SparkSession, old: str, new: str) -> bool:
+    """In any store that Spark reaches; what is at the new place goes. False if there is nothing at the old one."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(a):
+        return False
+    fs.delete(b, True)
+    return fs.rename(a, b)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put the backup of an earlier write back in its place; False if there is none."""
+    return _rename(spark, f"{path}.bak", path)
+
+
 def csv_line(cols: list[str], delimiter: str = ",", always: bool = True) -> Column:
     """One CSV line of a row's cells; quotes are doubled."""
     return F.concat_ws(delimiter, *(csv_escape(F.coalesce(F.col(c).cast("string"), F.lit("")), delimiter, always=always) for c in cols))

@@ -15,9 +15,9 @@ from ..operators.staging import shared_dir
 from ..sources.csv_source import CsvOptions
 
 
-def csv_stream(spark: SparkSession, folder: str, schema: StructType, options: CsvOptions = CsvOptions(), files_per_trigger: int = 0) -> DataFrame:
+def csv_stream(spark: SparkSession, folder: str, schema: StructType, options: CsvOptions = CsvOptions(), files_per_trigger: int = 0, flush: Flush | None = None) -> DataFrame:
     """New files of a folder as they come."""
-    reader = spark.readStream.schema(schema).options(**options.spark_options())
+    reader = spark.readStream.schema(schema).options(**options.spark_options(), **(flush.source_options() if flush else {}))
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).csv(folder).na.fill("")
 
 
@@ -29,20 +29,56 @@ def parquet_stream(spark: SparkSession, path: str, files_per_trigger: int = 0) -
 
 @dataclass(frozen=True)
 class Flush:
-    """When a sink is flushed: ``manual`` (what is there, then stop), ``interval`` seconds, or ``rows`` a file."""
+    """When a sink is flushed: ``manual`` (what is there, then stop), ``interval`` seconds, ``rows`` a file, ``buffer`` (bytes a batch), or ``mixed``: whichever of the last three comes first."""
 
     kind: str = "manual"
     interval: float = 5.0
     rows: int = 1000
+    size: int = 32 << 10
 
     def trigger(self) -> dict:
-        return {"availableNow": True} if self.kind == "manual" else {"processingTime": f"{self.interval} seconds"}
+        if self.kind == "manual":
+            return {"availableNow": True}
+        return {"processingTime": "0 seconds" if self.kind in ("rows", "buffer") else f"{self.interval} seconds"}
+
+    def source_options(self) -> dict[str, str]:
+        """For the reader of files: how much a batch takes."""
+        return {"maxBytesPerTrigger": str(self.size)} if self.kind in ("buffer", "mixed") else {}
+
+    def sink_options(self) -> dict[str, str]:
+        return {"maxRecordsPerFile": str(self.rows)} if self.kind in ("rows", "mixed") else {}
+
+
+class Controlled:
+    """A stream that can be paused and resumed: its checkpoint holds where it was."""
+
+    def __init__(self, start: Callable[[], StreamingQuery]):
+        self.start, self.query = start, start()
+
+    @property
+    def state(self) -> str:
+        return "stopped" if self.query is None else "running" if self.query.isActive else "paused"
+
+    def pause(self) -> None:
+        """The batch at work is given up and run again on resuming."""
+        if self.query is not None:
+            self.query.stop()
+
+    def resume(self) -> None:
+        if self.query is None:
+            raise ValueError("the stream has been stopped")
+        if not self.query.isActive:
+            self.query = self.start()
+
+    def stop(self) -> None:
+        self.pause()
+        self.query = None
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, flush: Flush = Flush(), kind: str = "parquet") -> StreamingQuery:
     """To files, exactly once over restarts by the checkpoint."""
     writer = df.writeStream.format(kind).option("checkpointLocation", checkpoint).option("path", path).trigger(**flush.trigger())
-    return (writer.option("maxRecordsPerFile", flush.rows) if flush.kind == "rows" else writer).start()
+    return writer.options(**flush.sink_options()).start()
 
 
 def each_batch(df: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, flush: Flush = Flush(), mode: str = "append") -> StreamingQuery:
@@ -58,7 +94,7 @@ def write_changes(snapshots: DataFrame, base: str, keys: tuple[str, ...], out: s
         now = rows.select(*rows.sparkSession.read.parquet(base).columns)
         known = rows.sparkSession.read.parquet(base).join(now.select(*keys).distinct(), list(keys), "left_semi").select(*now.columns)
         changes = diff(known, now, DiffConfig("key_based", keys=keys))
-        write_delta(changes, f"{out}/{batch}", now.columns)
+        write_delta(changes, f"{out}/{batch}", now.columns, mode="overwrite")  # a batch that is run again after a failure
 
     return each_batch(snapshots, action, checkpoint, flush)
 

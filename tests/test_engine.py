@@ -2,7 +2,7 @@
 
 import pytest
 
-from deltaloom.operators.engine import Engine, EngineConfig, TimedCache, names_in, rewrite
+from deltaloom.operators.engine import Engine, EngineConfig, TimedCache, TooManyRows, names_in, rewrite
 
 EMPLOYEES = [["1", "Ann", "ann@example.com", "Engineering", "75000", "30"], ["2", "Bo", "bo@example.com", "Marketing", "65000", "25"], ["3", "Cy", "cy@example.com", "Engineering", "80000", "35"], ["4", "Di", "", "Sales", "NULL", "28"], ["5", "E.d", "ed@example.com", "Engineering", "70000", "32"]]
 
@@ -90,6 +90,12 @@ def test_indexes(engine):
     engine.create_index("employees", ("department",), "hash")
     engine.create_index("employees", ("age",), "btree")
     engine.create_index("employees", ("department", "age"), "composite")
+    plan = lambda df: engine.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    engine.spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # only then the plan shows the buckets
+    assert "SelectedBucketsCount: 1 out of 4" in plan(engine.lookup("employees", "department", "Engineering"))
+    assert "SelectedBucketsCount: 1 out of 4" in plan(engine.lookup("employees", ("department", "age"), ("Engineering", "30")))
+    engine.spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    assert "GreaterThanOrEqual(age,28)" in plan(engine.lookup_range("employees", "age", "28", "31")) and all(n > 0 for n in engine.index_bytes().values())
     assert {r["name"] for r in engine.lookup("employees", "department", "Engineering").collect()} == {"Ann", "Cy", "E.d"}
     assert {r["name"] for r in engine.lookup_range("employees", "age", "28", "31").collect()} == {"Ann", "Di"}
     assert engine.lookup_pattern("employees", "name", "^[AB]").count() == 2
@@ -97,6 +103,11 @@ def test_indexes(engine):
     assert len(engine.list_indexes()) == 4 and engine.drop_index("employees", ("age",), "btree") and not engine.drop_index("employees", ("age",), "btree")
     engine.register_rows("employees", ["department"], [["New"]])
     assert engine.lookup("employees", "department", "New").count() == 1  # a stale copy isn't used
+    engine.drop_index("employees", ("department", "age"), "composite")
+    engine.drop_index("employees", ("email",), "fulltext")
+    assert engine.optimise_indexes() == 1 and engine.lookup("employees", "department", "New").count() == 1
+    engine.register_rows("notes", ["t"], [["same words"], ["same words"], ["other"]])
+    assert engine.lookup_token("notes", "t", "same").count() == 2  # repeated rows stay
     with pytest.raises(ValueError):
         engine.create_index("employees", ("department",), "odd")
 
@@ -104,12 +115,23 @@ def test_indexes(engine):
 def test_limits_and_unload(spark):
     e = Engine(spark, EngineConfig(max_rows=2, cache_size=1))
     e.register("r", spark.range(10))
-    assert len(e.execute("SELECT id FROM r").rows()) == 2
-    e.execute("SELECT id + 1 AS id FROM r")
+    with pytest.raises(TooManyRows):
+        e.execute("SELECT id FROM r")
+    assert len(e.execute("SELECT id FROM r WHERE id < 2").rows()) == 2
+    e.execute("SELECT id + 1 AS id FROM r WHERE id < 2")
     assert len(e.cache) == 1
+    lazy = Engine(spark, EngineConfig(cache_results=False, max_rows=2, timeout_seconds=2))
+    lazy.register("lazy_r", spark.range(10))
+    assert len(lazy.execute("SELECT id FROM lazy_r WHERE id < 2").rows()) == 2
+    with pytest.raises(TooManyRows):
+        lazy.execute("SELECT id FROM lazy_r").rows()
+    lazy.register_function("slow", lambda x: (__import__("time").sleep(30), x)[1], "long")
+    with pytest.raises(TimeoutError):
+        lazy.execute("SELECT slow(id) AS id FROM lazy_r WHERE id < 1").rows()
+    assert "limit" not in Engine(spark).plan("SELECT id FROM lazy_r")._jdf.queryExecution().optimizedPlan().toString().lower()
     with pytest.raises(Exception, match="nothing"):
         e.execute("SELECT * FROM nothing")
-    assert e.statistics.failed == 1 and e.unload("r") and not e.unload("r") and e.tables() == []
+    assert e.statistics.failed == 2 and e.unload("r") and not e.unload("r") and e.tables() == []
 
 
 def test_timed_cache():

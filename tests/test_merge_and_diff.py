@@ -51,7 +51,7 @@ def test_exact_hash_custom_and_idempotence(spark):
     same = lambda x, y: F.lower(f"{x}.v") == F.lower(f"{y}.v")
     assert got(m.merge(s, m.MergeConfig(dedup="custom", same=same, resolve="first")))[-1] == ("3", "z")
     longest = lambda rows: rows.sort_values("v").head(1)[["id", "v", "_source", "_priority", "_ord", "_row", "_ts"]]
-    assert len(got(m.merge(s, m.MergeConfig(resolve="custom", resolver=longest)))) == 4
+    assert len(got(m.merge(s, m.MergeConfig(resolve="custom", resolver=longest)))) == 5  # rows without a key have no group
 
 
 def test_filters_renames_preview_and_statistics(spark):
@@ -138,3 +138,60 @@ def test_moves_timestamps_files_and_damage(spark, tmp_path):
 def test_best_encoding(spark):
     df = spark.createDataFrame([(0, i, "same") for i in range(50)], "p int, k int, v string")
     assert e.best_encoding(df, "v", ["k"], ["p"]).first()["encoding"] == "run_length"
+
+
+def test_positions_over_many_partitions(spark):
+    """Positions are 0 to n - 1 without gaps, whatever the partitions, and ties and nulls count too."""
+    df = spark.range(0, 300_000, 1, 23).select((F.col("id") * 7919 % 300_007).alias("k"), F.when(F.col("id") % 1000 == 0, None).otherwise(F.col("id") % 5000).alias("o"))
+    got = d._numbered(df, "o", ["k"]).agg(F.count("*"), F.countDistinct("pos"), F.min("pos"), F.max("pos")).first()
+    assert tuple(got) == (300_000, 300_000, 0, 299_999)
+    shifted = df.where("k <> 12345").withColumn("o", F.col("o"))
+    assert d.diff(df, df, d.DiffConfig("field_by_field", order="o")).isEmpty()
+    changes = d.diff(df, shifted, d.DiffConfig("field_by_field", order="o"))
+    assert d.apply(df, changes).exceptAll(shifted).isEmpty() and changes.where("op = 'DELETE'").count() == df.count() - shifted.count()
+
+
+def test_content_diff_counts_repeats(spark):
+    a, b = frame(spark, "v", [("x",), ("x",), ("y",)]), frame(spark, "v", [("y",), ("y",)])
+    changes = d.diff(a, b)
+    assert got(d.apply(a, changes)) == got(b) and changes.where("op = 'DELETE'").count() == 2
+    c, e2 = frame(spark, "v,w", [("a|b", "c"), (None, "z")]), frame(spark, "v,w", [("a", "b|c"), ("", "z")])
+    assert d.diff(c, e2).count() == 4
+
+
+def test_numbers_are_later_as_numbers(spark):
+    t = d.DiffConfig("timestamp_based", timestamp="ts")
+    assert d.diff(frame(spark, "id,ts", [("1", "9"), ("2", "10")]), frame(spark, "id,ts", [("1", "10"), ("2", "9")]), t).select("key").collect()[0][0] == '{"id":"1"}'
+
+
+def test_keyless_and_hot_keys(spark):
+    """Null keys match by content; one key with a third of the rows doesn't gather its rows unless it changes."""
+    old = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id")).alias("id"), (F.col("id") % 7).alias("v"))
+    new = old.withColumn("v", F.when(F.col("id").isNull() & (F.col("v") == 3), 99).otherwise(F.col("v")))
+    changes = d.diff(old, new, d.DiffConfig("key_based"))
+    n = old.where("id is null and v = 3").count()
+    assert {r["op"]: r["n"] for r in d.statistics(changes).collect()} == {"INSERT": n, "DELETE": n}
+    assert d.apply(old, changes).exceptAll(new).isEmpty()
+
+
+def test_names_of_ones_own(spark):
+    a = frame(spark, "id,_row,_tag,_key,_source", [("1", "r", "t", "k", "s"), ("1", "q", "u", "l", "z"), (None, "r2", "t2", "k2", "s2")])
+    for how in ("first", "newest", "merge_values"):
+        out = m.merge([m.Source("a", a)], m.MergeConfig(resolve=how))
+        assert out.columns == a.columns and out.count() == 2
+    first = m.merge([m.Source("a", a)], m.MergeConfig(resolve="first"), "origin").where("id = '1'").first()
+    assert tuple(first)[1:] == ("r", "t", "k", "s", "a")
+
+
+def test_callbacks_estimates_and_files(spark, tmp_path):
+    a = frame(spark, "id,v", [("1", "x"), ("2", "y")])
+    seen = []
+    assert m.merge_with_callback([m.Source("a", a)], m.MergeConfig(), lambda r: seen.append(r["id"])) == 2 and sorted(seen) == ["1", "2"]
+    failed = []
+    assert m.merge_with_callback([m.Source("a", a)], m.MergeConfig(), lambda r: 1 / 0, failed.append) == 1 and len(failed) == 1
+    assert m.estimates([m.Source("a", a)]).count() == 1
+    (tmp_path / "s.csv").write_text("id;v\n3;z\n")
+    assert got(m.merge([m.Source("a", a), m.from_file(spark, "b", f"{tmp_path}/s.csv")], m.MergeConfig())) == [("1", "x"), ("2", "y"), ("3", "z")]
+    (tmp_path / "e.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        d.diff_files(spark, f"{tmp_path}/e.csv", f"{tmp_path}/s.csv")
