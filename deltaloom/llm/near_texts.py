@@ -11,10 +11,11 @@ Inside a block pairs are discarded whose sizes and positions rule the similarity
 or fingerprints differ by more than :func:`radius`, which lies five standard deviations above what a pair at the
 threshold has. Survivors are verified on their whole sets.
 
-A shingle that many texts share would give all their pairs. So each text is first verified against a few leaders: of
-the blocks of its first shingles, where near copies nearly always meet, and then, where the pairs would still be many,
-of all its blocks. Blocks within one component are left out from then on, and only pairs across the components found so
-far are formed, by pairs of chunks of bounded size. Links inside a component don't change it.
+A shingle that many texts share would give all their pairs. So each text is first verified against a few leaders of the
+blocks of its first shingles, where near copies nearly always meet. Blocks within one component are left out from then
+on. In the rest each text is verified against the few texts whose fingerprints are nearest to its own, round by round,
+as long as many pairs are left over; at last all pairs across the components found so far are formed, by pairs of
+chunks of bounded size. Links inside a component don't change it.
 """
 
 from __future__ import annotations
@@ -38,10 +39,14 @@ SHINGLE_WORDS, SIMILARITY, SEED, BITS = 5, 0.8, 42, 128
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = (4_096, 32_768), 3, 100_000
 #: Shingles of a text whose blocks' leaders are tried first.
 FIRST = 4
-#: Pairs a text from which leaders of all blocks are tried, how often at most, and the share of the pairs that a round has to save for another one.
-PAIRS_A_TEXT, LEADER_ROUNDS, SAVED = 10, 4, 0.3
+#: Partners that a text gets in a block in one round, pairs a text that may be left over for the last pass, and most rounds before it.
+PARTNERS, LEFT_A_TEXT, ROUNDS = 3, 1, 8
+#: A round that links fewer than one text in so many is the last.
+LEAST_GAIN = 1000
 #: Texts of a block that are compared with each other or with those of one other chunk, and the most pairs formed at once.
 CHUNK, PAIRS_AT_ONCE = 1024, 1 << 19
+#: Rows up to which a table of pairs or ids is broadcast here.
+FEW_ROWS = 200_000
 
 
 def radius(similarity: float) -> int:
@@ -126,15 +131,18 @@ def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
     return _map(texts.select("text"), "key long, f0 long, f1 long, n long, rare int, tokens array<long>", rows_of)
 
 
+def _few(df: DataFrame, n_rows: int) -> DataFrame:
+    return F.broadcast(df) if n_rows <= FEW_ROWS else df
+
+
 def verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the distinct pairs ``a, b`` of keys whose whole sets have the similarity."""
+    """Those of the distinct pairs ``a, b`` of keys (a written table) whose whole sets have the similarity."""
     share = similarity / (1 + similarity)
-    pairs = staged(pairs, "pairs")
     asked = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
     wanted = staged(ids.join(asked.select("key").distinct(), "key", "left_semi").select("id"), "wanted")
-    some = texts.join(small(wanted, wanted.count()), "id", "left_semi").select("text")
+    some = texts.join(_few(wanted, wanted.count()), "id", "left_semi").select("text")
     sets = _map(some, "key long, own array<long>", lambda texts: [np.array([text_key(t) for t in texts], np.int64), pa.array([shingles(t, size) for t in texts], pa.list_(pa.int64()))])
-    both = sets.join(small(asked, 2 * pairs.count()), "key").groupBy("a", "b").agg(F.collect_list("own").alias("own"))
+    both = sets.join(_few(asked, 2 * pairs.count()), "key").groupBy("a", "b").agg(F.collect_list("own").alias("own"))
     x, y = F.col("own")[0], F.col("own")[1]
     return staged(both.where(F.size(F.array_intersect(x, y)) >= F.lit(share) * (F.size(x) + F.size(y)) - 1e-9).select("a", "b"), "links")
 
@@ -149,16 +157,35 @@ def pivot_table(f0: np.ndarray, f1: np.ndarray) -> np.ndarray:
     return (distance_table(f0) + distance_table(f1)).astype(np.int16)
 
 
-def _candidates(similarity: float, farthest: int):
-    """Rows ``token, a, b, own, key, f0, f1, n, at, root`` sorted by task (token, a, b) -> pairs that are left to verify."""
+def _nearest(x: np.ndarray, y: np.ndarray, key: np.ndarray, apart: np.ndarray, nth: int) -> np.ndarray:
+    """Which of the pairs are the best of one of their rows, by distance and, from round to round more, by chance."""
+    keep = np.zeros(len(x), bool)
+    pair = (key[x].view(np.uint64) + key[y].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(nth * PARTNERS, (nth + 1) * PARTNERS):
+        chance = (pair * np.uint64(2 * k + 0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+        rank = apart + chance * (1 + 4 * k)
+        best = np.full(len(key), np.inf)
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        keep |= (rank == best[x]) | (rank == best[y])
+    return keep
+
+
+def _candidates(similarity: float, farthest: int, nth: int | None):
+    """Rows ``token, a, b, own, key, f0, f1, n, at, root`` sorted by task (token, a, b) -> pairs that are left to verify.
+
+    With ``nth`` (a round) only the best few of each row, and rows (number of pairs left out, null).
+    """
     share = similarity / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in whole_tasks(batches, 3):
-            own, key, n, at, root = (rows[:, k] for k in (3, 4, 7, 8, 9))
+            own, key, n, at, root = (rows[:, k].copy() for k in (3, 4, 7, 8, 9))
             f0, f1 = (rows[:, k].copy().view(np.uint64) for k in (5, 6))
             table = pivot_table(f0, f1)
-            found: list[np.ndarray] = []
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            pairs: list[np.ndarray] = []
+            left = 0
 
             def look(x: np.ndarray, y: np.ndarray) -> None:
                 keep = root[x] != root[y]
@@ -167,9 +194,22 @@ def _candidates(similarity: float, farthest: int):
                 x, y = x[keep], y[keep]
                 keep = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= farthest
                 x, y = x[keep], y[keep]
-                keep = np.bitwise_count(f0[x] ^ f0[y]) + np.bitwise_count(f1[x] ^ f1[y]) <= farthest
-                x, y = key[x[keep]], key[y[keep]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                apart = np.bitwise_count(f0[x] ^ f0[y]).astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y])
+                keep = apart <= farthest
+                found.append((x[keep], y[keep], apart[keep]))
+
+            def settle() -> None:
+                """Take over what whole tasks have found."""
+                nonlocal left
+                if found:
+                    x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
+                    found.clear()
+                    if nth is not None and len(x):
+                        keep = _nearest(x, y, key, apart, nth)
+                        left += int((~keep).sum())
+                        x, y = x[keep], y[keep]
+                    x, y = key[x], key[y]
+                    pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
 
             sizes = np.diff(bounds)
             square = (rows[bounds[:-1], 1] == rows[bounds[:-1], 2]) & (sizes <= 64)
@@ -181,29 +221,33 @@ def _candidates(similarity: float, farthest: int):
                 for k in range(0, len(starts), step):
                     first = starts[k : k + step, None]
                     look((first + i).ravel(), (first + j).ravel())
+            settle()
             for a, b in zip(bounds[:-1][~square].tolist(), bounds[1:][~square].tolist(), strict=True):
-                left, right = (np.flatnonzero(own[a:b] == rows[a, k]) + a for k in (1, 2))
+                one, other = (np.flatnonzero(own[a:b] == rows[a, k]) + a for k in (1, 2))
                 same = rows[a, 1] == rows[a, 2]
-                step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
-                for k in range(0, len(left), step):
-                    x, y = np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step]))
+                step = max(1, PAIRS_AT_ONCE // max(1, len(other)))
+                for k in range(0, len(one), step):
+                    x, y = np.repeat(one[k : k + step], len(other)), np.tile(other, len(one[k : k + step]))
                     look(x[x < y], y[x < y]) if same else look(x, y)
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                settle()
+            both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            if nth is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([left], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _across(blocks: DataFrame, similarity: float, farthest: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of keys of different roots in a block that may have the similarity."""
+def _across(blocks: DataFrame, similarity: float, farthest: int, nth: int | None = None) -> DataFrame:
+    """Pairs ``a, b`` of keys of different roots in a block that may have the similarity; in a round, those of each chunk by itself, chunks dealt anew each time."""
     large = staged(blocks.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select(F.col("token").alias("large"), F.ceil(F.col("m") / CHUNK).alias("chunks")), "large")
     n_large = large.count()
     cut = blocks.withColumns({"own": F.lit(0).cast("long"), "other": F.lit(0).cast("long")})
     if n_large:
-        cut = blocks.join(small(large, n_large), blocks["token"] == large["large"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key"), F.col("chunks")), F.lit(0)))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
+        cut = blocks.join(_few(large, n_large), blocks["token"] == large["large"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key", F.lit(nth or 0)), F.col("chunks")), F.lit(0)))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))) if nth is None else F.col("own"))
     tasks = cut.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "f0", "f1", "n", F.col("at").cast("long").alias("at"), "root")
-    return tasks.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_candidates(similarity, farthest), "a long, b long").distinct()
+    return tasks.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_candidates(similarity, farthest, nth), "a long, b long")
 
 
 def _led(blocks: DataFrame, farthest: int) -> DataFrame:
@@ -223,7 +267,7 @@ def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WO
     farthest = radius(similarity)
     held = staged(prefixes(texts, common_shingles(texts, n_texts, size), size, similarity), "prefixes")
     first = held.select(F.explode(F.slice("tokens", 1, FIRST)).alias("token"), "key", "f0", "f1", F.col("key").alias("root"))
-    sure = verified(_led(first, farthest), texts, ids, size, similarity)
+    sure = verified(staged(_led(first, farthest), "pairs"), texts, ids, size, similarity)
     roots = components(sure, "a", "b")
     rooted = held.join(roots, held["key"] == roots["node"], "left").select("key", "f0", "f1", "n", "rare", "tokens", F.coalesce("root", "key").alias("root"))
     rooted = staged(rooted, "rooted")
@@ -235,22 +279,18 @@ def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WO
     few = each.where("at < rare").withColumn("mixed", F.min("root").over(block) < F.max("root").over(block)).where("mixed").drop("mixed")
     many = each.where("at >= rare").join(F.broadcast(often), F.col("token") == F.col("often"), "left_semi")
     blocks = staged(few.unionByName(many).drop("rare"), "blocks")
-    before = math.inf
-    for _ in range(LEADER_ROUNDS):
-        sizes = blocks.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("alike"))
-        pairs = sizes.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("alike")) / 2)).first()[0] or 0
-        if pairs <= PAIRS_A_TEXT * n_texts or pairs > (1 - SAVED) * before:
-            break
-        before = pairs
-        more = verified(_led(blocks, farthest), texts, ids, size, similarity)
-        if more.isEmpty():
-            break
+    for nth in range(ROUNDS):
+        asked = staged(_across(blocks, similarity, farthest, nth), "pairs")
+        left = asked.where("b is null").agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+        more = verified(staged(asked.where("b is not null").distinct(), "pairs"), texts, ids, size, similarity)
         sure = sure.unionByName(more)
         roots = components(sure, "a", "b")
         again = blocks.drop("root").join(roots, blocks["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key"))
         still = again.groupBy("token").agg(mixed.alias("mixed")).where("mixed").select("token")
         blocks = staged(again.join(still, "token", "left_semi"), "blocks")
-    return sure.unionByName(verified(_across(blocks, similarity, farthest), texts, ids, size, similarity))
+        if left <= LEFT_A_TEXT * n_texts or LEAST_GAIN * more.count() < n_texts:
+            break
+    return sure.unionByName(verified(staged(_across(blocks, similarity, farthest).distinct(), "pairs"), texts, ids, size, similarity))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:

@@ -159,7 +159,8 @@ def test_near_stage_finds_all_pairs_of_the_similarity(spark, monkeypatch):
     from deltaloom.llm import near_texts
 
     monkeypatch.setattr(near_texts, "CHUNK", 5)
-    monkeypatch.setattr(near_texts, "PAIRS_A_TEXT", 0)
+    monkeypatch.setattr(near_texts, "LEFT_A_TEXT", 0)
+    monkeypatch.setattr(near_texts, "ROUNDS", 3)
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
     passage, texts = [word() for _ in range(15)], []
@@ -181,5 +182,5 @@ def test_near_stage_finds_all_pairs_of_the_similarity(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = {i for i, p in enumerate(parent) if i == p}
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
-    monkeypatch.setattr(near_texts, "PAIRS_A_TEXT", 1_000)
+    monkeypatch.setattr(near_texts, "ROUNDS", 0)
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
