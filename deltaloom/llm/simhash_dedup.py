@@ -18,10 +18,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, lasting, staged, without_ids
+from .common import arrow_map, fresh, lasting, small, staged, without_ids
 from .components import components
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 3
@@ -78,7 +78,7 @@ def distance_table(fps: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["block", "fp", "near", "p0", "p1"]
+    names = ["block", "fp", "p0", "p1"]
     for batch in batches:
         for at in range(0, batch.num_rows, 8192):
             fp = batch.column(0).slice(at, 8192).to_numpy(zero_copy_only=False).view(np.uint64)
@@ -86,7 +86,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = table.view(np.int64)
             runs = [fp >> np.uint64(s) & np.uint64((1 << w) - 1) for s, w in RUNS]
             block = np.concatenate([(runs[a] << np.uint64(13) | runs[b] | np.uint64(k << 26)).view(np.int64) for k, (a, b) in enumerate(BLOCKS)])
-            again = [np.tile(x, len(BLOCKS)) for x in (fp.view(np.int64), table[:, 0].astype(np.int32), packed[:, 0], packed[:, 1])]
+            again = [np.tile(x, len(BLOCKS)) for x in (fp.view(np.int64), packed[:, 0], packed[:, 1])]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, *again)], names=names)
 
 
@@ -148,26 +148,25 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = two[np.abs(table[two].astype(np.int16) - table[two + 1].astype(np.int16)).max(axis=1) <= RADIUS] if two.size else two
         near = near[np.bitwise_count(fps[near] ^ fps[near + 1]) <= RADIUS]
         out = [np.stack([fps[near], fps[near + 1]], axis=1)]
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a > 2:
-                pairs = np.array(forest(fps[a:b], table[a:b]), dtype=np.int64).reshape(-1, 2) + a
-                out.append(fps[pairs])
+        more = np.diff(bounds) > 2
+        for a, b in zip(bounds[:-1][more].tolist(), bounds[1:][more].tolist(), strict=True):
+            pairs = np.array(forest(fps[a:b], table[a:b]), dtype=np.int64).reshape(-1, 2) + a
+            out.append(fps[pairs])
         links = np.concatenate(out).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], names=["a", "b"])
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links ``a, b`` between the distinct fingerprints in column ``fp`` (no null): every component is joined up."""
-    blocks = distinct.select("fp").mapInArrow(_blocks, "block long, fp long, near int, p0 long, p1 long")
-    key = Window.partitionBy("block")
-    inside = (
-        blocks.withColumn("n", F.count("*").over(key))
-        .withColumn("row", F.row_number().over(key.orderBy("near", "fp")))
-        .where("n > 1")
-        .withColumn("own", F.floor((F.col("row") - 1) / CHUNK))
-        .withColumn("other", F.explode(F.expr(f"sequence(0L, cast(floor((n - 1) / {CHUNK}) as long))")))
-    )
-    tasks = inside.select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "p0", "p1")
+    """Links ``a, b`` between the distinct fingerprints in column ``fp`` (no null): every component is joined up.
+
+    The rows of each block are counted by an aggregate; those of a block of more than CHUNK are dealt to chunks by a
+    hash, so that no block is ever sorted or held as a whole, and each pair of its chunks is a task.
+    """
+    blocks = distinct.select("fp").mapInArrow(_blocks, "block long, fp long, p0 long, p1 long")
+    large = staged(blocks.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(F.col("block").alias("large"), F.ceil(F.col("n") / CHUNK).alias("chunks")), "large_blocks")
+    dealt = blocks.join(small(large, large.count()), blocks["block"] == large["large"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("chunks")), F.lit(0)))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
+    tasks = paired.select("block", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", "p0", "p1")
     return tasks.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(_search, "a long, b long")
 
 
@@ -184,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = components(links(distinct), "a", "b")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
