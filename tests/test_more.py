@@ -1,8 +1,9 @@
-"""Stage reports and cache, writer backup, flush triggers, scope shapes, score patterns."""
+"""Stage reports and cache, writer backup, flush triggers, scope shapes, score patterns, clashing names of encodings."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from deltaloom.operators import scoring, urls
+from deltaloom.operators import encode, scoring, urls
 from deltaloom.operators import stage_graph as g
 from deltaloom.sources import csv_sink
 from deltaloom.streaming.streams import Flush
@@ -45,3 +46,16 @@ def test_scope_shapes_and_patterns(spark):
     w = scoring.weights(spark)
     plain, more = (scoring.scores(signals, w, patterns=p).first()["score"] for p in (None, patterns))
     assert more - plain == 12.0 and urls.class_report(basic).select(F.get_json_object("value", "$.n_urls")).first()[0] == "2"
+
+
+def test_encodings_keep_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, 1, 7), (1, 2, 7), (1, 3, None), (2, 4, None)], "opens int, run int, entry int")
+    runs = encode.run_lengths(df, "entry", ["run"], ["opens"])
+    assert sorted(map(tuple, runs.collect()), key=str) == [(1, 1, 7, 2), (1, 2, None, 1), (2, 1, None, 1)]
+    codes = encode.dictionary(df, "entry")
+    assert sorted(map(tuple, encode.decode(encode.encode(df, "entry", codes), "entry", codes).select(*df.columns).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    for name in ("delta", "Delta"):
+        with pytest.raises(ValueError):
+            encode.differences(df.withColumn(name, df["run"]), "entry", ["run"], ["opens"])
+    with pytest.raises(ValueError):
+        encode.encode(df.withColumn("rest", df["run"]), "entry", codes)
