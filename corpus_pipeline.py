@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from deltaloom.llm import best_fit_packing, exact_dedup, near_texts, quality_gam, quality_rules
 from deltaloom.llm.common import lasting, table
 
-# Every stage takes null and repeated ids, null, empty and very long texts, further columns and empty tables; what it does with them
+# Every stage takes null and repeated ids, null, empty and very long texts and broken UTF-8, further columns and empty tables; what it does with them
 # is stated by the operator that it calls.
 
 

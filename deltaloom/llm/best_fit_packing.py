@@ -146,7 +146,8 @@ def pack_lengths(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, shard_piece
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: tuple[int, ...] = SIZES, vocabulary: str | None = None) -> DataFrame:
     """Pack whole texts, measured in tokens of ``vocabulary`` (a file of ranks) plus one end mark, so a null or empty text is a piece of one token.
 
-    Without a vocabulary they are measured in words, which are fewer than the tokens.
+    Without a vocabulary they are measured in words, which are fewer than the tokens. Bytes that are no UTF-8 are
+    measured as replacement characters.
 
     Returns what :func:`pack_lengths` returns. Repeated rows are packed as often as they occur, dealt by a hash of
     their text; further columns of ``docs`` aren't read. An empty table gives an empty result.
@@ -155,8 +156,9 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if vocabulary is None:
         rows = rows.select("doc_id", (F.size(words_array(F.col("text"))) + 1).cast("long").alias("n_tokens"), "salt")
     else:
-        counted = lambda r: {"doc_id": r["doc_id"], "n_tokens": [n + 1 for n in token_lengths(r["text"], vocabulary)], "salt": r["salt"]}
-        rows = arrow_map(rows, "doc_id long, n_tokens long, salt long", counted)
+        read = lambda texts: [t and t.decode(errors="replace") for t in texts]
+        counted = lambda r: {"doc_id": r["doc_id"], "n_tokens": [n + 1 for n in token_lengths(read(r["text"]), vocabulary)], "salt": r["salt"]}
+        rows = arrow_map(rows.withColumn("text", F.col("text").cast("binary")), "doc_id long, n_tokens long, salt long", counted)
     # Rows alike in id and text would all be dealt to one shard: number them apart.
     alike = rows.groupBy("doc_id", "n_tokens", "salt").agg(F.count("*").alias("copies"))
     return pack_lengths(staged(alike.select("doc_id", "n_tokens", F.explode(F.expr("transform(sequence(1L, copies), i -> if(i = 1, salt, xxhash64(salt, i)))")).alias("salt")), "lengths"), sizes)

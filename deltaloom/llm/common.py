@@ -102,6 +102,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def utf8(text: str | bytes | None) -> bytes:
+    """The bytes of a text. Broken UTF-8 can only be handed to Python as binary: as a string it is an error there."""
+    return text if isinstance(text, bytes) else (text or "").encode()
+
+
 def words_array(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != F.lit(""))

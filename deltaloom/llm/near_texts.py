@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lasting, small, staged
+from .common import lasting, small, staged, utf8
 from .components import components
 from .simhash_dedup import distance_table, keep_found, print_of_digests, whole_tasks
 
@@ -55,15 +55,15 @@ def radius(similarity: float) -> int:
     return min(BITS, math.ceil(BITS * p + 5 * math.sqrt(BITS * p * (1 - p))))
 
 
-def text_key(text: str | None) -> int:
+def text_key(text: str | bytes | None) -> int:
     """A signed 64-bit hash of the words in lower case; 0 for a text without words."""
-    words = (text or "").encode().lower().split()
+    words = utf8(text).lower().split()
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), SEED), "big", signed=True) if words else 0
 
 
-def shingles(text: str | None, size: int = SHINGLE_WORDS) -> np.ndarray:
+def shingles(text: str | bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct shingle hashes of a text in rising order; a text of fewer words is one shingle."""
-    words = (text or "").encode().lower().split()
+    words = utf8(text).lower().split()
     hashed = xxhash.xxh64_intdigest
     found = {hashed(b" ".join(words[a : a + size]), SEED) for a in range(max(1, len(words) - size + 1))}
     return np.sort(np.fromiter(found, np.uint64, len(found))).view(np.int64)
@@ -109,7 +109,7 @@ def prefixes(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int,
     """A row for each text: ``key, f0, f1`` (fingerprint), ``n`` (size of its set), ``rare`` (how many of its prefix aren't common) and ``tokens``, its prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(common)  # COMMON_KEPT entries at most
 
-    def rows_of(texts: list[str | None]) -> list:
+    def rows_of(texts: list[bytes | None]) -> list:
         tokens, counts = shared.value
         sizes, rare, prints, out = [], [], [], []
         for text in texts:
@@ -294,7 +294,7 @@ def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WO
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     prints = staged(_map(rows, "doc_id long, key long", lambda ids, texts: [pa.array(ids, pa.int64()), pa.array([text_key(t) for t in texts], pa.int64())]), "prints")
     keys = staged(prints.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "keys")
     n_texts, n_rows = keys.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
@@ -307,7 +307,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: f
             texts = texts.join(small(others, others.count()), "id", "left_anti")
     else:
         ids = keys.select("key", F.col("key").alias("id"))
-        keyed = _map(rows.select("text"), "id long, text string", lambda texts: [pa.array([text_key(t) for t in texts], pa.int64()), pa.array(texts, pa.string())])
+        keyed = _map(rows.select("text"), "id long, text binary", lambda texts: [pa.array([text_key(t) for t in texts], pa.int64()), pa.array(texts, pa.binary())])
         texts = staged(keyed.dropDuplicates(["id"]), "texts")
     roots = components(links(texts, ids, n_texts, size, similarity), "a", "b")
     rooted = keys.join(roots, keys["key"] == roots["node"], "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
@@ -327,4 +327,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest id. Columns stay as they are."""
-    return keep_found(docs, near_duplicates(docs, id_col, text_col, size, similarity), text_key, id_col, text_col)
+    return keep_found(docs, near_duplicates(docs, id_col, text_col, size, similarity), text_key, id_col, text_col, "binary")

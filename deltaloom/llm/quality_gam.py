@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, utf8
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their id.
 TRAIN_ROWS = 20_000
@@ -33,9 +33,9 @@ _UPPER, _DIGITS, _SYMBOLS, _STOPS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 _HIGH = bytes(range(128, 256))
 
 
-def features(text: str | None) -> list[float]:
+def features(text: str | bytes | None) -> list[float]:
     """The features of one whole text; all zero for a text without words."""
-    data = (text or "").encode()
+    data = utf8(text)
     words = data.split()
     n = len(words)
     if not n:
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = usable.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("label_id"), "quality").toPandas()
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame(chosen.astype({"label_id": "int64", "quality": "int32"}), "label_id long, quality int"))
-    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(wanted, "label_id").groupBy("label_id", "quality").agg(F.min("text").alias("text"))
+    texts = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(wanted, "label_id").groupBy("label_id", "quality").agg(F.min("text").cast("binary").alias("text"))
     got = arrow_map(texts, "label_id long, quality int, x array<double>", lambda r: {"label_id": r["label_id"], "quality": r["quality"], "x": [features(t) for t in r["text"]]}).toPandas()
     got = got.sort_values("label_id")  # the sums come out alike in every run
     return fit(np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES)), (got["quality"] == 1).to_numpy(np.float64))
@@ -181,7 +181,7 @@ def scored(model: Gam, text: Column) -> Column:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([features(t) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))))
 
-    return score(text)
+    return score(text.cast("binary"))  # a text may be broken UTF-8
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return keep_found(docs, near_duplicates(docs, id_col, text_col), fingerprint, id_col, text_col)
 
 
-def keep_found(docs: DataFrame, found: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str) -> DataFrame:
+def keep_found(docs: DataFrame, found: DataFrame, print_of: Callable[[str | None], int], id_col: str, text_col: str, text_type: str = "string") -> DataFrame:
     """``docs`` with one row of each component in ``found`` (``doc_id, fingerprint, component_id``), made with ``print_of``; read several times, so a written table."""
     removed = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -208,6 +208,6 @@ def keep_found(docs: DataFrame, found: DataFrame, print_of: Callable[[str | None
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id"), F.conv("fingerprint", 16, -10).cast("long").alias("stay_fp")).distinct()
     fp = fresh(docs, "row_fp")
     one = F.pandas_udf(lambda texts: texts.map(print_of).astype("int64"), "long")
-    marked = docs.withColumn(fp, one(F.col(text_col)))
+    marked = docs.withColumn(fp, one(F.col(text_col).cast(text_type)))
     kept = marked.join(stay, marked[id_col].eqNullSafe(stay["stay_id"]) & (marked[fp] == stay["stay_fp"]), "left_semi")
     return kept.dropDuplicates([id_col, fp]).select(*docs.columns)

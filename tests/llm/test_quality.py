@@ -438,3 +438,22 @@ def test_pipeline_stages_take_odd_tables(spark, odd_docs, no_docs, tmp_path):
             out = stage(spark, docs, f"{tmp_path}")
             assert name == "best_fit_packing" or out.columns == docs.columns
             out.count()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_pipeline_stages_take_broken_utf8(spark, tmp_path, repeated):
+    sf = "/root/testdata/sf0.001"
+    table(spark, sf, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    tail = F.expr("cast(concat(cast(text as binary), X'20C3') as string)")
+    docs = table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 10 == 3, tail).otherwise(F.col("text")))
+    (docs.unionByName(docs.where("doc_id % 20 = 3")) if repeated else docs).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, f"{tmp_path}", "documents")
+    given = {tuple(r) for r in docs.select("doc_id", F.hex(F.col("text").cast("binary"))).collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, f"{tmp_path}").write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            kept = {tuple(r) for r in docs.select("doc_id", F.hex(F.col("text").cast("binary"))).collect()}
+            assert kept <= given
+            assert any(h.endswith("20C3") for _, h in kept)
+    assert docs.count()
