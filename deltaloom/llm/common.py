@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,11 @@ def utf8(text: str | bytes | None) -> bytes:
     return text if isinstance(text, bytes) else (text or "").encode()
 
 
+def decoded(data: bytes | None) -> str | None:
+    """The text of some bytes, each broken part replaced by U+FFFD; null stays null."""
+    return None if data is None else data.decode("utf-8", "replace")
+
+
 def words_array(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != F.lit(""))
@@ -119,17 +126,40 @@ def without_ids(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id") ->
     return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
 
 
-def arrow_map(df: DataFrame, schema: str, per_chunk: Callable[[dict[str, list]], dict[str, list]], chunk_rows: int = 512) -> DataFrame:
-    """Apply ``per_chunk`` (columns in, columns out) to slices of at most ``chunk_rows`` rows of each Arrow batch."""
-    from pyspark.sql.types import StructType
+#: Rows and bytes of texts that are turned into Python objects at once; a single longer text is a chunk of its own.
+CHUNK_ROWS, CHUNK_BYTES = 512, 8 << 20
+
+
+def table_chunks(batches: Iterator[pa.RecordBatch], chunk_rows: int = CHUNK_ROWS) -> Iterator[dict[str, list]]:
+    """Columns of the batches as Python lists, in slices of bounded rows and bytes."""
+    for batch in batches:
+        wide = [c for c in batch.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type) or pa.types.is_large_binary(c.type)]
+        size = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in wide), np.zeros(batch.num_rows, np.int64))
+        at = 0
+        while at < batch.num_rows:
+            sums = np.cumsum(size[at : at + chunk_rows])
+            n = max(1, int(np.searchsorted(sums, CHUNK_BYTES, side="right")))
+            yield batch.slice(at, n).to_pydict()
+            at += n
+
+
+def arrow_map(df: DataFrame, schema: str, per_chunk: Callable[[dict[str, list]], dict[str, list]], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Apply ``per_chunk`` (columns in, columns out) to slices of bounded rows and bytes of each Arrow batch.
+
+    Strings are handed over as bytes, as broken UTF-8 can't be handed over as text, and decoded here; each broken part
+    becomes U+FFFD. Binary columns stay bytes.
+    """
+    from pyspark.sql.types import StringType, StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(StructType.fromDDL(schema))
+    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, chunk_rows):
-                got = per_chunk(batch.slice(at, chunk_rows).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+        for rows in table_chunks(batches, chunk_rows):
+            for name in texts:
+                rows[name] = [decoded(t) for t in rows[name]]
+            got = per_chunk(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.select(*(F.col(f.name).cast("binary").alias(f.name) if f.name in texts else F.col(f.name) for f in df.schema)).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, chat_transcripts, exact_dedup, quality_gam, quality_rules, simhash_dedup, token_counts, token_store, url_filter
+from . import best_fit_packing, byte_bpe, chat_transcripts, exact_dedup, filter_audit, quality_gam, quality_rules, simhash_dedup, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -51,15 +51,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_best_fit_packing, op3_token_counts, op4_quality_rules, op5_quality_classifier,
-        op6_simhash_dedup, op7_exact_dedup, op8_token_store, op9_chat_transcripts, op10_byte_bpe,
+        op6_simhash_dedup, op7_exact_dedup, op8_token_store, op9_chat_transcripts, op10_byte_bpe, op11_filter_audit,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
