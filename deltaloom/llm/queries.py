@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, byte_bpe, chat_transcripts, exact_dedup, filter_audit, quality_gam, quality_rules, simhash_dedup, token_counts, token_store, url_filter
+from . import best_fit_packing, byte_bpe, chat_transcripts, exact_dedup, filter_audit, merkle_manifest, pii_boosting, quality_gam, quality_rules, simhash_dedup, token_counts, token_store, url_filter
 from .common import table
 
 
@@ -55,11 +55,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boosting.find(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_best_fit_packing, op3_token_counts, op4_quality_rules, op5_quality_classifier,
-        op6_simhash_dedup, op7_exact_dedup, op8_token_store, op9_chat_transcripts, op10_byte_bpe, op11_filter_audit,
+        op6_simhash_dedup, op7_exact_dedup, op8_token_store, op9_chat_transcripts, op10_byte_bpe, op11_filter_audit, op12_pii_boosting, op13_merkle_manifest,
     )
 }
 
@@ -67,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op11_filter_audit": filter_audit.ORACLE,
+    "op13_merkle_manifest": merkle_manifest.ORACLE,
 }
