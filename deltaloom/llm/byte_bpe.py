@@ -71,18 +71,18 @@ class ByteBpe:
 
         ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(ranks))
-        self.whole = {token: struct.pack("<I", rank) for token, rank in ranks.items()}
         self.table = {b: c for b, c in enumerate(byte_chars())}
         self.piece = sorted(ranks, key=ranks.__getitem__)
         self.split = splitter(pattern)
         self.coder = ChunkCoder(self._chunks)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """A pre-token that is an entry is that entry, as in the rank library; others are merged."""
+        """The model's ids of the pre-tokens of each chunk, each distinct pre-token encoded once."""
         split = [[t.encode() for t in self.split(c)] for c in chunks]
-        new = list({t for c in split for t in c if t not in self.whole})
-        ids = dict(zip(new, self.model.encode([t.decode("latin-1").translate(self.table) for t in new], num_threads=1), strict=True)) if new else {}
-        return [b"".join(self.whole[t] if t in self.whole else struct.pack(f"<{len(ids[t])}I", *ids[t]) for t in c) for c in split]
+        each = list({t for c in split for t in c})
+        found = self.model.encode([t.decode("latin-1").translate(self.table) for t in each], num_threads=1) if each else []
+        ids = {t: struct.pack(f"<{len(x)}I", *x) for t, x in zip(each, found, strict=True)}
+        return [b"".join(map(ids.__getitem__, c)) for c in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [b"".join(v) for v in self.coder.values(texts)]
@@ -100,7 +100,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
     """Encode every whole text and decode the ids again.
 
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``, one row for each input row. A null text counts as empty
-    (0 tokens, the digests of no bytes). Special strings are ordinary text. Further columns of ``docs`` aren't read.
+    (0 tokens, the digests of no bytes), broken UTF-8 as U+FFFD. An empty table gives an empty result. Special strings are ordinary text. Further columns of ``docs`` aren't read.
     """
 
     def per_chunk(rows: dict[str, list]) -> dict[str, list]:

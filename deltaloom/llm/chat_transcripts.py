@@ -349,14 +349,14 @@ def parsed_conversations(turns: DataFrame) -> DataFrame:
     Returns a row for each conversation part: ``conv_id, part, held_out, n_given, given, n_turns, roles`` (recovered,
     in order) and ``rendered``. Parts are only how a long conversation is stored: its best path runs over all of them,
     a turn counts in the part where it opens, and the rendered parts one after the other are the whole. Each turn
-    without a conversation is a transcript of its own with a null id. Roles other than the three known ones are never
+    without a conversation is a transcript of its own with a null id. Broken UTF-8 becomes U+FFFD. Roles other than the three known ones are never
     recovered. Repeated turns stay. An empty table gives an empty result; further columns aren't read.
     """
     return lasting(turns.sparkSession, "conversations", lambda: _parsed(turns))
 
 
 def _parsed(turns: DataFrame) -> DataFrame:
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.make_valid_utf8(F.col("role").cast("string")).alias("role"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
     every = staged(transcripts_of(rows), "transcripts")
     # Conversations of several parts, in rows of a few bytes a part: what holds for the whole, and how the part before ends.
     conv = Window.partitionBy("conv_id")

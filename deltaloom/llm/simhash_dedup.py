@@ -60,7 +60,7 @@ def print_of_digests(digests: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row."""
+    """``doc_id, fp`` of every row; broken UTF-8 counts as U+FFFD."""
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, fp long", lambda rows: {"doc_id": rows["doc_id"], "fp": [fingerprint(t) for t in rows["text"]]})
 
 

@@ -113,7 +113,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     """Bytes and tokens of every whole text.
 
     Returns ``doc_id, n_bytes, n_tokens, over_limit``, one row for each input row (repeated ids included). A null text
-    counts as empty: 0 bytes, 0 tokens. Null ids stay null; further columns of ``docs`` aren't read.
+    counts as empty: 0 bytes, 0 tokens. Broken UTF-8 counts as U+FFFD, in both numbers. An empty table gives an empty result. Null ids stay null; further columns of ``docs`` aren't read.
     """
 
     def per_chunk(rows: dict[str, list]) -> dict[str, list]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, lasting, new_path
+from .common import drop_staged, lasting, new_path, table_chunks
 from .pretoken import ChunkCoder
 
 END_ID = 0
@@ -92,12 +92,6 @@ def encode(path: str, texts: list[str]) -> list[bytes]:
     return [b"".join(v) + end for v in _coder(path).values(texts)]
 
 
-def _rows(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[dict[str, list]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size).to_pydict()
-
-
 def spread(ids: bytes) -> list[bytes]:
     """The whole array if it is short, else SAMPLE_PIECES pieces of whole ids, evenly spread over it."""
     size = SAMPLE_BYTES // SAMPLE_PIECES
@@ -111,7 +105,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
     """A dictionary from a bounded sample; empty where the sample is too small to train one."""
 
     def ids(batches):
-        for rows in _rows(batches):
+        for rows in table_chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([piece for x in encode(vocabulary, [t or "" for t in rows["text"]]) for piece in spread(x)], pa.binary())], names=["ids"])
 
     # Only hashes are sorted; the texts of the chosen ones are looked up afterwards.
@@ -149,7 +143,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "dictionary", "payload", "doc_ids", "offsets", "sizes", "counts", "first_id", "last_id"])
 
-        for rows in _rows(batches):
+        for rows in table_chunks(batches, 256):
             for doc_id, ids in zip(rows["doc_id"], encode(vocabulary, [t or "" for t in rows["text"]]), strict=True):
                 held.append((doc_id, pack(ids), len(ids) // 4))
                 size += len(held[-1][1])
@@ -209,7 +203,7 @@ def read_store(spark, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(trained)).decompress
-        for rows in _rows(batches, 1):
+        for rows in table_chunks(batches, 1):
             if rows["dictionary"] != [name]:
                 raise ValueError(f"a block was written with dictionary {rows['dictionary'][0]}")
             payload, counts = memoryview(rows["payload"][0]), rows["counts"][0]
@@ -229,14 +223,14 @@ def stored_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     """Write every whole text to a store in the shared folder and read it back: what :func:`read_store` returns.
 
     One row for each input row; a null text counts as empty and holds the end id alone. Rows that repeat an id stand
-    one after the other, ordered by a hash of the text. Null ids come first and stay null. Further columns aren't read. An empty
+    one after the other, ordered by a hash of the text. Broken UTF-8 is encoded as U+FFFD. Null ids come first and stay null. Further columns aren't read. An empty
     table gives an empty store and an empty result. The store is deleted once the result is written.
     """
     spark = docs.sparkSession
 
     def through() -> DataFrame:
         path = new_path(spark, "tokens")
-        write_store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocabulary, path)
+        write_store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.coalesce(F.col(text_col), F.lit(""))).alias("text")), vocabulary, path)
         return read_store(spark, path)
 
     return lasting(spark, "read_back", through)

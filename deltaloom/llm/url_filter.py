@@ -2,9 +2,11 @@
 
 A unigram model splits every host label and path part into words by Viterbi; its lexicon is a public vocabulary whose
 entries stand in order of frequency, so an entry's probability follows from its rank by Zipf's law. A multinomial
-naive Bayes model scores the words; the host's suffix isn't scored. It starts from labelled names and is then
-re-estimated by expectation maximisation over all urls that no rule judges: each counts for both classes by its
-probabilities, and each of its words once. Both classes' counts are scaled to one mass, as blocked urls are few, so words seen in neither say nothing.
+naive Bayes model scores the words; neither the host's suffix nor words that most urls share say anything. It is learned from
+labelled names. Rounds of expectation maximisation over all urls that no rule judges then add words that go with those
+of the names: what the urls add to a class is scaled to a fixed share of the names' own mass, so it depends on shares of
+words and not on how many urls there are, and a round after which a labelled name is judged worse is dropped. So no table
+can dilute what the names say.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, decoded, table_chunks
 
 #: (host, path, verdict): fits the host and its subdomains if the url's path starts with the rule's; the longest wins.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -37,10 +39,10 @@ ALLOW_NAMES = (
     "museum art", "national park", "community forum", "support help", "online course", "book store", "photo gallery", "math lessons", "language learning", "sports results",
     "state government", "law review", "world map", "family tree", "car repair", "home design", "kids games", "chess club", "bird watching", "m mobile",
 )
-#: Prior probability of a block, the mass that the counts of a class are scaled to, and the added count of every word.
+#: Prior probability of a block, the mass that the names' words of a class are scaled to, and the added count of every word.
 PRIOR, MASS, ADDED = 0.2, 200.0, 0.5
-#: Rounds over all urls, and what a word of a labelled name counts for beside those of the urls.
-ROUNDS, NAME_WEIGHT = 2, 10.0
+#: Rounds over all urls, the mass of their words beside that of the names, and the share of urls from which on a word says nothing.
+ROUNDS, URL_SHARE, COMMON = 2, 0.2, 0.05
 LONGEST_WORD = 24
 #: Longer runs of letters than this aren't kept in the cache of a worker.
 LONGEST_KEPT = 256
@@ -89,21 +91,36 @@ class Segmenter:
 
 
 class NameBayes:
-    """Log odds of a block from counts of words in both classes."""
-
-    def __init__(self, block: dict[str, float], allow: dict[str, float], prior: float = PRIOR):
-        words = {*block, *allow}
-        scale = [MASS / max(sum(c.values()), 1e-9) for c in (block, allow)]
-        self.odds = {w: round(log(block.get(w, 0) * scale[0] + ADDED) - log(allow.get(w, 0) * scale[1] + ADDED), 9) for w in words}
+    """Log odds of a block from counts of words in both classes, by names and (scaled to their share) by urls."""
+
+    def __init__(self, block: dict[str, float], allow: dict[str, float], urls: tuple[dict[str, float], dict[str, float]] = ({}, {}), silent: frozenset[str] = frozenset(), prior: float = PRIOR):
+        mass = lambda counts, total: {w: n * total / max(sum(counts.values()), 1e-9) for w, n in counts.items()}
+        said = [mass(c, MASS) for c in (block, allow)]
+        seen = [mass(c, MASS * URL_SHARE) for c in urls]
+        count = lambda k, w: said[k].get(w, 0) + seen[k].get(w, 0) + ADDED
+        self.odds = {w: round(log(count(0, w)) - log(count(1, w)), 9) for w in {w for c in (*said, *seen) for w in c} - silent}
         self.prior = log(prior / (1 - prior))
 
     def score(self, words: list[str]) -> float:
         """Words that neither class holds say nothing."""
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
+    def wrong(self, block: tuple[str, ...], allow: tuple[str, ...]) -> set[str]:
+        """Names that aren't judged as they are labelled."""
+        return {n for names, blocked in ((block, True), (allow, False)) for n in names if (self.score(n.split()) > 0) is not blocked}
+
 
 def name_counts(names: tuple[str, ...]) -> dict[str, float]:
-    return {w: n * NAME_WEIGHT for w, n in Counter(w for name in names for w in name.split()).items()}
+    return dict(Counter(w for name in names for w in name.split()))
+
+
+def left_out_accuracy(block: tuple[str, ...], allow: tuple[str, ...]) -> float:
+    """Share of the labelled names that a model of all others judges as they are labelled."""
+    right = 0
+    for k, name in enumerate((*block, *allow)):
+        rest = [tuple(n for n in names if n != name) for names in (block, allow)]
+        right += (NameBayes(*map(name_counts, rest)).score(name.split()) > 0) is (k < len(block))
+    return right / max(1, len(block) + len(allow))
 
 
 @lru_cache(maxsize=2)
@@ -122,32 +139,43 @@ def fit(pages: DataFrame, lexicon: str, rules: tuple[tuple[str, str, str], ...],
     """The model of the labelled names and of all urls that no rule judges.
 
     A word is an entry of the lexicon or a letter, so what comes to the driver and goes into the tasks is bounded by the
-    lexicon; counts are combined before the shuffle.
+    lexicon; counts are combined before the shuffle. Words of more than COMMON of these urls, and single letters that no
+    name has, are left out, unless a labelled name has the word.
     """
-    named = [name_counts(block), name_counts(allow)]
-    model = NameBayes(*named)
-    for _ in range(rounds):
+    named = name_counts(block), name_counts(allow)
+    texts = pages.select(F.col("url").cast("binary").alias("url"))
 
-        def weighed(batches: Iterator[pa.RecordBatch], model: NameBayes = model) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                sums: dict[str, list[float]] = {}
-                for url in batch.column(0).to_pylist():
-                    host, path = split_url(url)
+    def summed(model: NameBayes) -> list[tuple[str, float, float, int]]:
+        """For each word the sums of both classes' probabilities and the number of urls that have it; of all urls under the empty word."""
+
+        def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in table_chunks(batches):
+                sums: dict[str, list] = {}
+                for url in rows["url"]:
+                    host, path = split_url(decoded(url))
                     if host and fitting_rule(host, path, rules) is None:
                         words = url_words(host, path, lexicon)
                         p = 1 / (1 + exp(-max(-700.0, min(700.0, model.score(words)))))
-                        for w in {*words}:
-                            both = sums.setdefault(w, [0.0, 0.0])
+                        for w in {*words, ""}:
+                            both = sums.setdefault(w, [0.0, 0.0, 0])
                             both[0] += p
                             both[1] += 1 - p
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], pa.float64()) for k in (0, 1))], names=["word", "block", "allow"])
-
-        found = pages.select("url").mapInArrow(weighed, "word string, block double, allow double").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).collect()
-        counts = [dict(n) for n in named]
-        for r in found:
-            for c, n in zip(counts, (r["block"], r["allow"]), strict=True):
-                c[r["word"]] = c.get(r["word"], 0) + n
-        model = NameBayes(*counts)
+                            both[2] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], t) for k, t in enumerate((pa.float64(), pa.float64(), pa.int64())))], names=["word", "block", "allow", "n"])
+
+        found = texts.mapInArrow(weighed, "word string, block double, allow double, n long").groupBy("word").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.sum("n").alias("n"))
+        return sorted(map(tuple, found.collect()))
+
+    model = NameBayes(*named)
+    for _ in range(rounds):
+        found = summed(model)
+        total = next((n for w, _, _, n in found if w == ""), 0)
+        silent = frozenset(w for w, _, _, n in found if (n > COMMON * total or len(w) < 2) and w not in named[0] and w not in named[1])
+        urls = {w: b for w, b, _, _ in found if w not in silent}, {w: a for w, _, a, _ in found if w not in silent}
+        after = NameBayes(*named, urls, silent)
+        if after.wrong(block, allow) - model.wrong(block, allow):
+            break
+        model = after
     return model
 
 
@@ -171,7 +199,7 @@ def url_verdicts(pages: DataFrame, lexicon: str, rules: tuple[tuple[str, str, st
 
     Returns ``page_id, host, path, rule, verdict, words, score``, one row for each input row: ``rule`` null and the
     verdict by the model's score (log odds of a block; ``words`` are the segmented words) where no rule fits. A null
-    url, or one without ``://``, has an empty host and path and is judged by the prior. Null ids stay null; repeated
+    url, or one without ``://``, has an empty host and path and is judged by the prior; broken UTF-8 counts as U+FFFD. Null ids stay null; repeated
     rows are judged alike. Further columns aren't read. An empty table gives an empty result.
     """
     model = fit(pages, lexicon, rules, block, allow)

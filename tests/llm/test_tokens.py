@@ -118,3 +118,26 @@ def test_store_finds_a_wrong_dictionary(spark, tmp_path):
     spark.createDataFrame([("0" * 64, bytearray(b"x"))], "dictionary string, data binary").write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(ValueError):
         token_store.read_store(spark, path)
+
+
+def test_every_entry_is_its_own_merge():
+    """All pre-tokens go through the model; entries come out as themselves, as in the rank library."""
+    bpe = byte_bpe.load(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    tokens = sorted(byte_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")).items(), key=lambda x: x[1])
+    assert [*bpe.model.encode([t.decode("latin-1").translate(bpe.table) for t, _ in tokens], num_threads=1)] == [[r] for _, r in tokens]
+
+
+def test_broken_utf8_is_replaced(spark):
+    """Bytes that are no UTF-8 count as U+FFFD in every operator, and nothing fails."""
+    from deltaloom.llm import chat_transcripts, simhash_dedup, url_filter
+
+    broken = spark.sql("SELECT 1L AS doc_id, CAST(X'6120C3' AS STRING) AS text UNION ALL SELECT 2L, 'plain'")
+    mended = spark.createDataFrame([(1, "a \ufffd"), (2, "plain")], "doc_id long, text string")
+    every = (
+        lambda d: token_counts.token_counts(d, P.path("byte_bpe_50k.json")), lambda d: token_store.stored_documents(d, P.path("byte_bpe_50k.json")),
+        lambda d: byte_bpe.round_trip(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), simhash_dedup.near_duplicates,
+        lambda d: url_filter.url_verdicts(d.selectExpr("doc_id AS page_id", "concat('http://casino.', text) AS url"), P.path("word_bpe_49k.json")).drop("score"),
+        lambda d: chat_transcripts.parsed_conversations(d.selectExpr("doc_id AS conv_id", "1L AS turn", "'user' AS role", "text")),
+    )
+    for f in every:
+        assert sorted(map(tuple, f(broken).collect())) == sorted(map(tuple, f(mended).collect()))
