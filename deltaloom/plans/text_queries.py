@@ -36,6 +36,16 @@ def csv_quoted_gzip(spark, sf):
     return csv_source.read_csv(spark, path, csv_source.CsvOptions(delimiter=";"))
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS text, coalesce(lang, '') AS kind FROM documents UNION ALL SELECT CAST(page_id AS VARCHAR), coalesce(html, ''), 'page' FROM pages")
+def csv_quoted_breaks(spark, sf):
+    """Whole texts and raw pages through CSV: line breaks and quotes inside cells, files still read in splits."""
+    path = _folder(spark, "texts-csv")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("kind"))
+    both = docs.union(table(spark, sf, "pages").select("page_id", "html", F.lit("page")))
+    csv_sink.write_csv(both, path, csv_sink.SinkOptions(max_cell=1 << 30))
+    return csv_source.read_csv(spark, path, csv_source.CsvOptions(multi_line=True, trim=False, max_cell=-1))
+
+
 @query("SELECT r_regionkey, '\"' || r_regionkey || '\",\"' || r_name || '\"' AS line FROM region")
 def csv_lines(spark, sf):
     return table(spark, sf, "region").select("r_regionkey", csv_sink.csv_line(["r_regionkey", "r_name"]).alias("line"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.compat import to_bool
+from . import quoted_csv
 
 SCOPE_COLUMNS = (
     "identifier", "asset_type", "instruction", "eligible_for_bounty", "eligible_for_submission", "availability_requirement",
@@ -44,13 +45,28 @@ def text_schema(columns: tuple[str, ...] | list[str]) -> StructType:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], options: CsvOptions = CsvOptions()) -> DataFrame:
-    """A table of text columns; cells that a short row lacks are empty. Only files with line breaks inside quotes need ``multi_line``, which forgoes splitting files."""
+    """A table of text columns; cells that a short row lacks are empty, blank lines are dropped.
+
+    Files with line breaks inside quotes need ``multi_line``: quotes are then counted first, so that files are split all the
+    same (see :mod:`quoted_csv`). Only encodings other than UTF-8 are read a file a task there.
+    """
+    if options.multi_line and options.encoding.upper().replace("-", "") == "UTF8":
+        return _read_quoted(spark, path, options)
     reader = spark.read.options(**options.spark_options())
     if options.columns:
         reader = reader.schema(text_schema(options.columns))
     return reader.csv(path).na.fill("")
 
 
+def _read_quoted(spark: SparkSession, path: str | list[str], options: CsvOptions) -> DataFrame:
+    given = options.spark_options()
+    columns = list(options.columns) or spark.read.options(**given).csv(path).columns
+    rows = quoted_csv.read_records(spark, path, options.quote).where(F.trim("record", F.lit(" \t\r\n")) != "")
+    cells = quoted_csv.parsed(F.col("record"), columns, given)
+    kept = rows.where("not first") if options.header else rows
+    return kept.select(cells.alias("r")).select(*(F.coalesce(F.col("r")[c], F.lit("")).alias(c) for c in columns))
+
+
 def parse_lines(lines: DataFrame, columns: tuple[str, ...], options: CsvOptions = CsvOptions(), line_col: str = "value") -> DataFrame:
     """Rows from a column of CSV lines (no header among them); blank lines are dropped."""
     given = {k: v for k, v in options.spark_options().items() if k in ("sep", "quote", "escape", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode")}
