@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import fresh
@@ -25,12 +25,40 @@ def as_of(left: DataFrame, right: DataFrame, at: str, by: list[str]) -> DataFram
     return both.withColumn(last, F.last(other, ignorenulls=True).over(up_to)).where(F.col(own).isNotNull()).select(f"{own}.*", *(F.col(f"{last}.{c}").alias(c) for c in more))
 
 
-def in_interval(points: DataFrame, intervals: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs of points and intervals with ``low <= value <= high``, by an equality join on cells of ``width``.
+#: Points of a cell from which on it is dealt to several tasks, and into how many at most.
+POINTS_A_TASK, MOST_TASKS = 1 << 20, 256
 
-    An interval is repeated for each cell that it reaches, so the width should be about that of an interval.
+
+def in_interval(points: DataFrame, intervals: DataFrame, value: str, low: str, high: str, width: float = 1.0) -> DataFrame:
+    """Pairs of points and intervals with ``low <= value <= high``, by an equality join on dyadic cells.
+
+    Values are cut into cells of ``width`` (of seconds for timestamps), and cells into pairs, pairs of pairs and so on. An
+    interval is a union of at most two cells a level, so of 2 log n cells whatever its length; a point is in one cell a level,
+    and is repeated only for the levels that some interval has. Cells that would hold very many points, by their even share
+    of them, are dealt to several tasks by a hash of the point. Rows with a null value or bound, and intervals whose low is above their high, match nothing.
     """
-    cell = fresh([*points.columns, *intervals.columns], "cell")
-    of = lambda c: F.floor(F.col(c) / width)
-    spread = intervals.where(F.col(low) <= F.col(high)).withColumn(cell, F.explode(F.sequence(of(low), of(high))))
-    return points.withColumn(cell, of(value)).join(spread, cell).where(F.col(value).between(F.col(low), F.col(high))).drop(cell)
+    names = [*points.columns, *intervals.columns]
+    level, cell, deal, at = (fresh(names, n) for n in ("level", "cell", "deal", "at"))
+    kinds = dict(points.dtypes) | dict(intervals.dtypes)
+
+    def place(c: str) -> Column:
+        number = F.unix_micros(F.col(c).cast("timestamp")) / 1e6 if kinds[c].startswith(("timestamp", "date")) else F.col(c)
+        return F.floor(number / width).cast("long")
+
+    held = intervals.where(F.col(low) <= F.col(high)).withColumn("_a", place(low)).withColumn("_b", place(high))
+    # At level j the interval still holds the cells from l to r - 1; an odd l or r has its cell here, the rest goes up.
+    of_level = (
+        "flatten(transform(sequence(0, 62), j -> transform(array(struct(j AS j, _a + shiftleft(1L, j) - 1 AS up, _b + 1 AS down)), s -> struct(j AS j, shiftright(s.up, j) AS l, shiftright(s.down, j) AS r))))"
+    )
+    spread = held.withColumn("_s", F.expr(f"filter({of_level}, s -> s.l < s.r)"))
+    cells = "flatten(transform(_s, s -> concat(if(s.l % 2 <> 0, array(struct(s.j AS j, s.l AS c)), array()), if(s.r % 2 <> 0, array(struct(s.j AS j, s.r - 1 AS c)), array()))))"
+    spread = spread.withColumn("_c", F.explode(F.expr(cells))).select(*intervals.columns, F.col("_c.j").alias(level), F.col("_c.c").alias(cell))
+    levels = sorted(r[0] for r in spread.select(level).distinct().collect())  # 63 at most
+    known = points.where(F.col(value).isNotNull()).withColumn(at, place(value))
+    n, first, last = known.agg(F.count("*"), F.min(at), F.max(at)).first()
+    tasks = {j: max(1, min(MOST_TASKS, int(n * min(1.0, 2.0**j / (last - first + 1)) // POINTS_A_TASK))) if n else 1 for j in levels}
+    n_tasks = F.element_at(F.create_map(*(F.lit(x) for j, k in tasks.items() for x in (j, k))), F.col(level)) if levels else F.lit(1)
+    placed = known.withColumn(level, F.explode(F.lit(levels).cast("array<int>"))).withColumn(cell, F.expr(f"shiftright(`{at}`, `{level}`)"))
+    placed = placed.withColumn(deal, F.pmod(F.xxhash64(*points.columns), n_tasks).cast("int")).drop(at)
+    dealt = spread.withColumn(deal, F.explode(F.sequence(F.lit(0), n_tasks - 1)))
+    return placed.join(dealt, [level, cell, deal]).where(F.col(value).between(F.col(low), F.col(high))).drop(level, cell, deal)

@@ -14,7 +14,8 @@ from ..functions.hashing import content_sha256
 from ..functions.similarity import mean_similarity
 from ..functions.strings import trim_space
 from .clusters import clusters
-from .staging import fresh
+from .segments import LEAST, edit_candidates
+from .staging import fresh, staged
 
 STRATEGIES = ("append", "smart", "priority", "time", "schema")
 DEDUPS = ("none", "exact", "key", "hash", "fuzzy", "custom")
@@ -150,20 +151,24 @@ def merge_values(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 def fuzzy_clusters(df: DataFrame, id_col: str, cols: list[str], block: list[str], threshold: float = 0.85) -> DataFrame:
     """``id_col, cluster``: rows of a block whose mean field similarity reaches the threshold, and what they reach through others.
 
-    Rows alike in every field are one before they are compared, and lengths that can't reach the threshold are left out
-    before distances are computed; a block should be narrow, as its different rows are compared with one another.
+    Rows alike in every field are one before they are compared. A mean that reaches the threshold needs a field that does, so
+    only rows are compared that share a segment of one such field (see :mod:`segments`). A field with few values belongs into
+    the block: all rows alike in it are compared. Thresholds too low for segments compare all rows of a block.
     """
     fields = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols))
     # Rows whose block columns are all null are a block each.
     of_block = F.coalesce(F.when(reduce(Column.__or__, (F.col(b).isNotNull() for b in block)), F.to_json(F.array(*(F.col(b).cast("string") for b in block)))), F.concat(F.lit("null "), F.col(id_col).cast("string")))
     rows = df.select(F.col(id_col).alias("_id"), of_block.alias("_b"), fields.alias("_f"))
-    alike = rows.groupBy("_b", "_f").agg(F.min("_id").alias("_id"))
-    a, b = alike.select("_b", F.col("_f").alias("fa"), F.col("_id").alias("a")), alike.select("_b", F.col("_f").alias("fb"), F.col("_id").alias("b"))
+    alike = staged(rows.groupBy("_b", "_f").agg(F.min("_id").alias("_id")), "alike")
+    a, b = alike.select("_b", F.col("_f").alias("fa"), F.col("_id").alias("a")), alike.select(F.col("_b").alias("_b2"), F.col("_f").alias("fb"), F.col("_id").alias("b"))
     near = mean_similarity([(F.col(f"fa.{c}"), F.col(f"fb.{c}")) for c in cols]) >= threshold
-    links = a.join(b, "_b").where("a < b")
-    if len(cols) == 1:
-        x, y = F.length(f"fa.{cols[0]}"), F.length(f"fb.{cols[0]}")
-        links = links.where(F.abs(x - y) <= (1 - F.lit((threshold - 0.3) / 0.7)) * F.greatest(x, y))
+    least = (threshold - 0.3) / 0.7  # edit similarity of a field that reaches the threshold
+    if least >= LEAST:
+        each = [alike.select(F.col("_id").alias("id"), F.col("_b").alias("block"), F.col(f"_f.{c}").alias("text")).where("text <> ''") for c in cols]
+        found = reduce(DataFrame.union, (edit_candidates(v, least) for v in each))
+        links = (found.distinct() if len(each) > 1 else found).join(a, "a").join(b, "b")
+    else:
+        links = a.join(b, F.col("_b") == F.col("_b2")).where("a < b")
     found = clusters(links.where(near).select("a", "b"), "a", "b")
     named = alike.join(found, alike["_id"] == found["node"], "left").select("_b", "_f", F.coalesce("cluster", "_id").alias("cluster"))
     return rows.join(named, ["_b", "_f"]).select(F.col("_id").alias(id_col), "cluster")

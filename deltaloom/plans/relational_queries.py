@@ -110,6 +110,18 @@ def join_range(spark, sf):
     return joins.in_interval(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), bands, "o_totalprice", "low", "high", 10_000).select("o_orderkey", "n_name")
 
 
+_SPANS = "SELECT event_id AS span_id, ts AS low, ts + to_seconds(CAST(pow(4, event_id % 13) AS BIGINT)) AS high FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0"
+
+
+@query(f"SELECT span_id, count(*) AS n, min(event_id) AS first_event, round(sum(value), 4) AS total FROM events e JOIN ({_SPANS}) s ON e.ts BETWEEN s.low AND s.high WHERE e.event_type = 'click' GROUP BY span_id")
+def join_range_lengths(spark, sf):
+    """The clicks inside intervals of a second to half a year."""
+    events = table(spark, sf, "events")
+    spans = events.where("event_type = 'purchase' AND event_id % 7 = 0").select(F.col("event_id").alias("span_id"), F.col("ts").alias("low"), F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, pow(4, event_id % 13))").alias("high"))
+    clicks = events.where("event_type = 'click'").select("event_id", "ts", "value")
+    return joins.in_interval(clicks, spans, "ts", "low", "high").groupBy("span_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N' AND NOT (l_linestatus = 'O')")
 def filter_null_cells(spark, sf):
     """IS NULL and IS NOT NULL over columns with nulls."""
