@@ -137,7 +137,7 @@ def _later(a: Column, b: Column, kind) -> Column:
 
 
 def diff_files(spark: SparkSession, old: str, new: str, config: DiffConfig = DiffConfig(), options=None) -> DataFrame:
-    """The changes from one CSV file to another; the header of the old one counts. A file without a header line is an error."""
+    """The changes from one CSV file to another, columns matched by their names. A file without a header line is an error."""
     from ..sources.csv_source import CsvOptions, read_csv
     from ..sources.sniff import file_size, read_header
 
@@ -146,7 +146,7 @@ def diff_files(spark: SparkSession, old: str, new: str, config: DiffConfig = Dif
         if not file_size(spark, path) or not read_header(spark, path, options.delimiter):
             raise ValueError(f"{path} is empty")
     a, b = (read_csv(spark, path, options) for path in (old, new))
-    return diff(a, b.toDF(*a.columns) if len(a.columns) == len(b.columns) else b.select(*(F.col(c) if c in b.columns else F.lit(None).cast("string").alias(c) for c in a.columns)), config)
+    return diff(a, b, config)
 
 
 def sorted_unique(changes: DataFrame) -> DataFrame:
@@ -155,9 +155,26 @@ def sorted_unique(changes: DataFrame) -> DataFrame:
     return changes.dropDuplicates(["op", "key", "old", "new", "row_index", "new_index"]).orderBy(rank[F.col("op")], "key", "row_index")
 
 
+def both_columns(old: DataFrame, new: DataFrame) -> list[tuple[str, str]]:
+    """Name and type of the columns of both sides: the old ones, then those that only the new side has."""
+    return [*old.dtypes, *((c, t) for c, t in new.dtypes if c not in old.columns)]
+
+
+def aligned(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    """The columns by name; those that ``df`` lacks are null."""
+    return df.select(*(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in columns))
+
+
 def diff(old: DataFrame, new: DataFrame, config: DiffConfig = DiffConfig()) -> DataFrame:
-    if faults := config.faults(old.columns):
+    """The changes from ``old`` to ``new``.
+
+    Cells stand in order of :func:`both_columns`. A column that one side lacks is null there, so an added or dropped column
+    is a change of each row that has something in it.
+    """
+    columns = both_columns(old, new)
+    if faults := config.faults([c for c in old.columns if c in new.columns]):
         raise ValueError("; ".join(faults))
+    old, new = aligned(old, columns), aligned(new, columns)
     if config.mode == "content_hash":
         out = by_hash(old, new)
     elif config.mode in ("field_by_field", "semantic"):
@@ -173,18 +190,21 @@ def diff(old: DataFrame, new: DataFrame, config: DiffConfig = DiffConfig()) -> D
     return out
 
 
-def apply(base: DataFrame, changes: DataFrame) -> DataFrame:
+def apply(base: DataFrame, changes: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """The new snapshot: old contents that were deleted or updated go, as often as they were; new contents come.
 
-    The order of rows isn't kept, as tables have none.
+    ``like`` has the new snapshot's columns, where these aren't the old ones. The order of rows isn't kept, as tables have none.
     """
-    cols, types = base.columns, dict(base.dtypes)
+    columns = both_columns(base, like) if like is not None else base.dtypes
+    cols, types = [c for c, _ in columns], dict(columns)
+    base = aligned(base, columns)
     left = base.select(cells(cols).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     out = changes.where("op in ('DELETE', 'UPDATE')").groupBy(F.col("old").alias("c")).agg((-F.count("*")).alias("n"))
     come = changes.where("op in ('INSERT', 'UPDATE')").groupBy(F.col("new").alias("c")).agg(F.count("*").alias("n"))
     summed = left.unionByName(out).unionByName(come).groupBy("c").agg(F.sum("n").alias("n")).where("n > 0")
     each = summed.select("c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return each.select(*(F.get("c", F.lit(i)).cast(types[c]).alias(c) for i, c in enumerate(cols)))
+    out = each.select(*(F.get("c", F.lit(i)).cast(types[c]).alias(c) for i, c in enumerate(cols)))
+    return out if like is None else out.select(*(f"`{c}`" for c in like.columns))
 
 
 def statistics(changes: DataFrame) -> DataFrame:

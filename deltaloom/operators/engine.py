@@ -7,21 +7,24 @@ import re
 import time
 import uuid
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+import pandas as pd
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from . import staging
+from . import staging, text_index
 from ..functions.strings import tokens
 from ..sources.csv_source import CsvOptions, read_csv, text_schema
 from ..sources.sniff import file_size
 
+#: Groups whose states a task holds before it hands them on.
+HELD_GROUPS = 100_000
 #: About what a bucket of an index holds.
 BUCKET_BYTES = 128 << 20
 
@@ -138,6 +141,15 @@ def without_column(sql: str, name: str) -> str:
                     break
                 between = y == "BETWEEN" or (between and y != "AND")
                 high += 1
+            # What is skipped holds under NOT too: the NOT goes with it, and so do brackets around nothing else.
+            while True:
+                word = parts[solid[low - 1]].upper() if low else ""
+                if word == "NOT":
+                    low -= 1
+                elif word == "(" and high < len(solid) and parts[solid[high]] == ")" and low > 1 and parts[solid[low - 2]].upper() in ("NOT", "AND", "OR", "(", *_CLAUSES):
+                    low, high = low - 1, high + 1
+                else:
+                    break
             return "".join(parts[: solid[low]]) + "TRUE " + "".join(parts[solid[high] :] if high < len(solid) else [])
         bare = clause == "SELECT" and depth == clause_depth and parts[solid[first - 1]].upper() in ("SELECT", ",", "DISTINCT") and (at + 1 == len(solid) or parts[solid[at + 1]].upper() in (",", "FROM"))
         return "".join(parts[: solid[first]]) + ("''" + (f" AS `{name}`" if bare else "")) + "".join(parts[k + 1 :])
@@ -145,8 +157,13 @@ def without_column(sql: str, name: str) -> str:
 
 
 def names_in(spark: SparkSession, sql: str) -> list[str]:
+    """Tables that a statement of the dialect reads."""
+    return relations(spark, rewrite(sql))
+
+
+def relations(spark: SparkSession, text: str) -> list[str]:
     """Tables that a statement reads, by Spark's own parser."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(rewrite(sql)).toString()
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
     return sorted(set(re.findall(r"'UnresolvedRelation \[([^\]]+)\]", plan)))
 
 
@@ -234,7 +251,7 @@ class EngineConfig:
 
 @dataclass
 class Index:
-    """A written copy of a table. ``hash`` and ``composite``: bucketed by the columns; ``btree``: ranges in order, so files and row groups are left out by their statistics; ``fulltext``: tokens to rows."""
+    """A written copy of a table. ``hash`` and ``composite``: bucketed by the columns; ``btree``: ranges in order, so files and row groups are left out by their statistics; ``bloom``: row groups are left out by their filters; ``fulltext``, ``trigram``: tokens or trigrams to rows."""
 
     table: str
     columns: tuple[str, ...]
@@ -255,10 +272,11 @@ class Statistics:
 
 
 class Engine:
-    """Tables and queries of one session. Table names are the engine's; views carry a prefix of their own."""
+    """Tables and queries of one session. Table names are the engine's own: their views have a prefix that no other engine has."""
 
     def __init__(self, spark: SparkSession, config: EngineConfig | None = None):
         self.spark, self.config, self.statistics = spark, config or EngineConfig(), Statistics()
+        self.prefix = f"engine_{uuid.uuid4().hex}_"
         self.versions: dict[str, int] = {}
         self.cache: OrderedDict[tuple, DataFrame] = OrderedDict()
         self.indexes: dict[tuple[str, tuple[str, ...], str], Index] = {}
@@ -266,7 +284,7 @@ class Engine:
     # Tables
 
     def register(self, name: str, df: DataFrame) -> None:
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(f"`{self.prefix}{name}`")
         self.versions[name] = self.versions.get(name, 0) + 1
         self._forget(name)
         if self.config.auto_index and df.columns:
@@ -281,10 +299,27 @@ class Engine:
     def tables(self) -> list[str]:
         return sorted(self.versions)
 
+    def table(self, name: str) -> DataFrame:
+        """A table of the engine, else of the session."""
+        return self.spark.table(f"`{self.prefix}{name}`" if name in self.versions else name)
+
+    def _own(self, text: str) -> str:
+        """The statement with the engine's tables as its first common tables, under their own names."""
+        try:
+            read = {n.lower() for n in relations(self.spark, text)}
+        except ParseException:
+            return text  # what is wrong with it is said when it is run
+        own = [n for n in self.versions if n.lower() in read]
+        if not own:
+            return text
+        first = ", ".join(f"`{n}` AS (SELECT * FROM `{self.prefix}{n}`)" for n in own)
+        # Common tables of the statement's own may hide those of the engine.
+        return f"WITH {first} SELECT * FROM ({text})" if re.match(r"\s*WITH\b", text, re.IGNORECASE) else f"WITH {first} {text}"
+
     def unload(self, name: str) -> bool:
         if name not in self.versions:
             return False
-        self.spark.catalog.dropTempView(name)
+        self.spark.catalog.dropTempView(f"{self.prefix}{name}")
         del self.versions[name]
         self._forget(name)
         for key in [k for k in self.indexes if k[0] == name]:
@@ -303,7 +338,7 @@ class Engine:
         text, seen = rewrite(sql, self.config.compat), set()
         while True:
             try:
-                return self.spark.sql(text)
+                return self.spark.sql(self._own(text))
             except AnalysisException as e:
                 name = ((e.getMessageParameters() or {}).get("objectName") or "").split("`.`")[-1].strip("`")
                 if not self.config.compat or not (e.getCondition() or "").startswith("UNRESOLVED_COLUMN") or (text, name) in seen:
@@ -312,14 +347,19 @@ class Engine:
                 text = without_column(text, name)
 
     def execute(self, sql: str) -> Result:
-        """Run a statement; an error after the timeout or beyond ``max_rows``. Equal text over equal table versions is a cache hit.
+        """A statement's result, with an error after the timeout or beyond ``max_rows``. Equal text over equal table versions is a cache hit.
 
-        Without the cache the result stays lazy and the limits act when its rows are fetched.
+        Nothing is computed before rows are asked for, unless a bound on rows is set together with the cache: then as many
+        rows as permitted are counted at once. A result is kept by what it computes when it is first read. Statements
+        over tables that aren't the engine's are never kept, as it doesn't know when these change.
         """
         began = time.monotonic()
         try:
-            key = (sql, tuple((n, self.versions.get(n, 0)) for n in names_in(self.spark, sql)))
-            if self.config.cache_results and key in self.cache:
+            names = names_in(self.spark, sql)
+            known = {n.lower(): n for n in self.versions}
+            key = (sql, tuple((known.get(n.lower(), n), self.versions.get(known.get(n.lower(), n), 0)) for n in names))
+            keeps = self.config.cache_results and all(n.lower() in known for n in names)
+            if keeps and key in self.cache:
                 self.cache.move_to_end(key)
                 self.statistics.hits += 1
                 self.statistics.executed += 1
@@ -327,25 +367,26 @@ class Engine:
             df, most = self.plan(sql), self.config.max_rows
             # One row more than permitted tells that there are too many; a limit is only planned where one is set.
             df = df if most is None else df.limit(most + 1)
-            if self.config.cache_results:
+            if keeps and most is not None:
                 df = df.persist()
                 try:
                     n = self._timed(df.count)
-                    if most is not None and n > most:
+                    if n > most:
                         raise TooManyRows(f"the result has more than {most} rows")
                 except Exception:
                     df.unpersist()
                     raise
-                self._keep(key, df)
             elif most is not None:
                 df = df.observe(watch := Observation(), F.count("*").alias("n"))
+            if keeps:
+                self._keep(key, df)
         except Exception:
             self.statistics.failed += 1
             raise
         self.statistics.misses += 1
         self.statistics.executed += 1
         self.statistics.seconds += time.monotonic() - began
-        if self.config.cache_results or most is None:
+        if keeps or most is None:
             return Result(df, time.monotonic() - began, False, self._timed)
 
         def within(run: Callable) -> object:
@@ -357,12 +398,12 @@ class Engine:
         return Result(df, time.monotonic() - began, False, within)
 
     def _keep(self, key: tuple, df: DataFrame) -> None:
-        """Into the cache unless it is too large for it; it is computed again then whenever it is read."""
+        """Into the cache unless its plan says that it may be too large for it; it is computed again then whenever it is read."""
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size > self.config.max_bytes:
             df.unpersist()
             return
-        self.cache[key] = df
+        self.cache[key] = df.persist()
         while len(self.cache) > self.config.cache_size:
             self.cache.popitem(last=False)[1].unpersist()
 
@@ -389,6 +430,17 @@ class Engine:
         """A function that statements can call: of Arrow batches (pandas Series to Series), or of single rows."""
         self.spark.udf.register(name, F.pandas_udf(function, returns) if vectorised else F.udf(function, returns))
 
+    def register_aggregate(self, name: str, function: Callable, returns: str = "double") -> None:
+        """An aggregate that statements can call with GROUP BY: of the Arrow arrays of a group to one value.
+
+        A group is handed over whole, so it is for groups of bounded size; :func:`grouped` is for others.
+        """
+        self.spark.udf.register(name, F.arrow_udf(function, returns, F.ArrowUDFType.GROUPED_AGG))
+
+    def register_table_function(self, name: str, handler: type, returns: str) -> None:
+        """A table function that statements can call, also LATERAL: a class whose ``eval`` yields rows."""
+        self.spark.udtf.register(name, F.udtf(handler, returnType=returns))
+
     def explain(self, sql: str, mode: str = "formatted") -> str:
         return self.spark._jvm.PythonSQLUtils.explainString(self.plan(sql)._jdf.queryExecution(), mode)
 
@@ -398,9 +450,13 @@ class Engine:
 
     # Indexes
 
-    def create_index(self, table: str, columns: tuple[str, ...], kind: str = "hash") -> Index:
-        """A written copy of the table laid out for lookups; ``fulltext`` is an inverted index of one column's tokens beside a copy with row numbers."""
-        df, columns, name = self.spark.table(table), tuple(columns), None
+    def create_index(self, table: str, columns: tuple[str, ...], kind: str = "hash", options: dict[str, str] | None = None) -> Index:
+        """A written copy of the table laid out for lookups; ``options`` are those of the Parquet writer.
+
+        ``fulltext`` and ``trigram`` are posting lists of one column's tokens or trigrams beside a copy with row numbers.
+        ``bloom`` leaves the rows as they lie and writes a Bloom filter of each column into every row group.
+        """
+        df, columns, name, options = self.table(table), tuple(columns), None, options or {}
         path = f"{staging.shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
         places = [path]
         if kind in ("hash", "composite"):
@@ -413,11 +469,17 @@ class Engine:
         elif kind == "btree":
             df.repartitionByRange(*columns).sortWithinPartitions(*columns).write.parquet(path)
             data = self.spark.read.schema(df.schema).parquet(path)
-        elif kind == "fulltext":
+        elif kind == "bloom":
+            filters = {f"parquet.bloom.filter.{k}#{c}": "true" for c in columns for k in ("enabled", "adaptive.enabled")}
+            df.write.options(**filters, **options).parquet(path)
+            data = self.spark.read.schema(df.schema).parquet(path)
+        elif kind in ("fulltext", "trigram"):
             row = staging.fresh(df.columns, "row_id")
-            df.withColumn(row, F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+            df.withColumn(row, F.monotonically_increasing_id()).write.options(**options).parquet(f"{path}/rows")
             copy = self.spark.read.parquet(f"{path}/rows")
-            inverted_index(copy, row, columns[0]).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{path}/tokens")
+            # A frequent token or trigram is many rows; the row number parts it into ranges.
+            lists, by = (inverted_index(copy, row, columns[0]), "token") if kind == "fulltext" else (text_index.postings(copy, row, columns[0]), "gram")
+            lists.repartitionByRange(by, "row_id").sortWithinPartitions(by, "row_id").write.parquet(f"{path}/tokens")
             data = self.spark.read.parquet(f"{path}/tokens")
         else:
             raise ValueError(f"no index kind {kind!r}")
@@ -455,11 +517,11 @@ class Engine:
 
     def _rows_for(self, table: str, columns: list[str], equal: bool) -> DataFrame:
         """The copy that serves best, else the table; stale copies aren't used. A bucketed copy needs all its columns by value, a sorted one its first."""
-        for kinds in (("hash", "composite"), ("btree",)) if equal else (("btree",),):
+        for kinds in (("hash", "composite"), ("btree",), ("bloom",)) if equal else (("btree",),):
             for (t, cols, kind), index in self.indexes.items():
-                if t == table and kind in kinds and index.version == self.versions.get(table, 0) and (set(cols) <= {*columns} if index.name else cols[0] in columns):
+                if t == table and kind in kinds and index.version == self.versions.get(table, 0) and (set(cols) <= {*columns} if index.name else {*cols} & {*columns} if kind == "bloom" else cols[0] in columns):
                     return index.data
-        return self.spark.table(table)
+        return self.table(table)
 
     def lookup(self, table: str, column: str | tuple[str, ...], value) -> DataFrame:
         """Rows where the column has the value, or all columns have theirs."""
@@ -470,7 +532,14 @@ class Engine:
         return self._rows_for(table, [column], False).where(F.col(column).between(low, high))
 
     def lookup_pattern(self, table: str, column: str, pattern: str) -> DataFrame:
-        """Rows whose text matches; what stands before the first special character of an anchored pattern is a range of the sorted copy."""
+        """Rows whose text matches.
+
+        What stands before the first special character of an anchored pattern is a range of the sorted copy. Of other
+        patterns the trigrams that every match holds are looked up where the column has a ``trigram`` index; what has them all is compared.
+        """
+        index = self.indexes.get((table, (column,), "trigram"))
+        if index and index.version == self.versions.get(table, 0) and (grams := text_index.required(pattern)):
+            return self._rows_of(index, text_index.rows_with(index.data, grams)).where(F.col(column).rlike(pattern))
         df, fixed = self._rows_for(table, [column], False), re.match(r"\^([A-Za-z0-9 _-]+)(?![*?{|])", pattern)
         if fixed and "|" not in pattern:
             df = df.where(F.col(column).startswith(fixed[1]))
@@ -481,10 +550,44 @@ class Engine:
         index = self.indexes.get((table, (column,), "fulltext"))
         if index is None or index.version != self.versions.get(table, 0):
             index = self.create_index(table, (column,), "fulltext")
-        df = self.spark.table(table)
-        row = staging.fresh(df.columns, "row_id")
-        rows = index.data.where(F.col("token") == token.lower()).select(F.col("row_id").alias(row))
-        return self.spark.read.parquet(f"{index.places[0]}/rows").join(rows, row, "left_semi").select(*df.columns)
+        return self._rows_of(index, index.data.where(F.col("token") == token.lower()).select("row_id"))
+
+    def _rows_of(self, index: Index, found: DataFrame) -> DataFrame:
+        """The rows of an index's copy by their numbers, in column ``row_id``."""
+        columns = self.table(index.table).columns
+        row = staging.fresh(columns, "row_id")
+        return self.spark.read.parquet(f"{index.places[0]}/rows").join(found.withColumnRenamed("row_id", row), row, "left_semi").select(*columns)
+
+
+def grouped(df: DataFrame, keys: list[str], partial: Callable, merge: Callable, state: str) -> DataFrame:
+    """``keys`` and the columns of DDL ``state``: an aggregate in mergeable states, for groups of any size.
+
+    ``partial`` takes the rows of a group in one batch as a pandas table and returns a state as a tuple, ``merge`` makes one
+    state of two. A task keeps a state for each of its groups, so what is shuffled is a state a group and task.
+    """
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [state])
+    names = [*keys, *(c.split()[0] for c in state.split(", "))]
+
+    def table(held: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*(None if pd.isna(k) else k for k in key), *s) for key, s in held.items()], columns=names)
+
+    def of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple] = {}
+        for rows in batches:
+            for key, group in rows.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                held[key] = merge(held[key], partial(group)) if key in held else partial(group)
+            if len(held) > HELD_GROUPS:
+                yield table(held)
+                held = {}
+        if held:
+            yield table(held)
+
+    def of_group(key: tuple, states: pd.DataFrame) -> pd.DataFrame:
+        return table({key: reduce(merge, states[names[len(keys) :]].itertuples(index=False, name=None))})
+
+    return df.mapInPandas(of_task, schema).groupBy(*keys).applyInPandas(of_group, schema)
 
 
 def inverted_index(df: DataFrame, id_col: str, text_col: str, kind: str = "standard") -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_sha256
@@ -265,3 +265,15 @@ def merge_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows in, rows out, share removed."""
     a, b = before.agg(F.count("*").alias("rows_in")), after.agg(F.count("*").alias("rows_out"))
     return a.crossJoin(b).withColumn("removed_share", F.when(F.col("rows_in") > 0, 1 - F.col("rows_out") / F.col("rows_in")).otherwise(0.0))  # two single rows
+
+
+def counted(sources: list[Source], config: MergeConfig = MergeConfig(), source_column: str | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """The merged table, and a function that says how many rows each source gave (after its filters) and how many came out.
+
+    The rows are counted by the job that writes or reads the merged table, which the function waits for; nothing is read twice for it.
+    """
+    watches = [Observation() for _ in range(len(sources) + 1)]
+    watched = [replace(s, rows=s.prepared().observe(w, F.count("*").alias("n")), row_filter=None, exclude={}, renames={}) for s, w in zip(sources, watches, strict=False)]
+    out = merge(watched, config, source_column).observe(watches[-1], F.count("*").alias("n"))
+    names = [s.name for s in sources]
+    return out, lambda: dict(zip([*names, "merged"], (w.get["n"] for w in watches), strict=True))

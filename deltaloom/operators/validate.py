@@ -93,10 +93,10 @@ def is_empty(v: Column) -> Column:
     return v.isin(*EMPTY_WORDS)
 
 
-def _error(f: Field, position: int, v: Column, bad: Column, message: str, expected: str, severity: str = "ERROR") -> Column:
+def _error(v: Column, bad: Column, severity: str, field: str, position: int, message: str, expected: str) -> Column:
     """An array of the error, or an empty one: arrays are joined in compiled code, which a filter over one array isn't."""
-    error = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(f.name).alias("field"), F.lit(position).alias("position"), F.lit(message).alias("message"), v.alias("actual"), F.lit(expected).alias("expected")))
-    return F.when(F.coalesce(bad, F.lit(True)), error).otherwise(F.array().cast(ERROR_TYPE))
+    error = F.array(F.struct(F.lit(severity).alias("severity"), F.lit(field).alias("field"), F.lit(position).alias("position"), F.lit(message).alias("message"), v.alias("actual"), F.lit(expected).alias("expected")))
+    return F.when(bad, error).otherwise(F.array().cast(ERROR_TYPE))
 
 
 def _number_checks(f: Field, kind: str) -> list[tuple[Callable[[Column], Column], str, str]]:
@@ -154,23 +154,47 @@ def header_errors(columns: list[str], schema: Schema) -> list[dict]:
     return out + [{"severity": severity, "field": c, "message": "column is unknown"} for c in columns if c not in known]
 
 
+def _faults(df: DataFrame, schema: Schema) -> tuple[list[Column], list[tuple[Column, tuple]]]:
+    """The trimmed cells, as ``v0, v1, ...``, and every check over them: what is wrong, and (severity, field, position, message, expected)."""
+    values, found = [], []
+    for k, f in enumerate(schema.fields):
+        name = _column(df, f)
+        values.append(trimmed(F.col(f"`{name}`")).alias(f"v{k}") if name else F.lit("").alias(f"v{k}"))
+        each = [(lambda v: is_empty(v), "required value is missing", "a value")] if f.required and f.default is None else []
+        each += [(lambda v, bad=bad: ~is_empty(v) & bad(v), message, expected) for bad, message, expected in checks(f)]
+        found += [(lambda of, bad=bad, k=k: F.coalesce(bad(of(k)), F.lit(True)), ("ERROR", f.name, k, message, expected)) for bad, message, expected in each]
+    return values, found
+
+
+def _coded(df: DataFrame, schema: Schema, cells: str, code: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """A row for each error with its number ``code``, and what a number stands for: errors are small numbers until they are few."""
+    values, found = _faults(df, schema)
+    of = lambda k: F.col(f"{cells}.v{k}")
+    rows = df.withColumn(cells, F.struct(*values)) if found else df.where("false").withColumn(cells, F.struct(F.lit("").alias("v0")))
+    numbers = [F.when(bad(of), F.lit(n)) for n, (bad, _) in enumerate(found)] or [F.lit(None).cast("int")]
+    out = rows.withColumn(code, F.explode(F.array(*numbers))).where(F.col(code).isNotNull())
+    parts = ("severity", "field", "position", "message", "expected")
+
+    def part(name: str) -> Column:
+        if name == "actual":
+            return F.get(F.array(*(of(k) for k in range(max(1, len(values))))), part("position"))
+        told = [t[parts.index(name)] for _, t in found]
+        return F.get(F.array(*map(F.lit, told)) if told else F.array().cast("array<int>" if name == "position" else "array<string>"), F.col(code))
+
+    return out, part
+
+
 def with_errors(df: DataFrame, schema: Schema, into: str = "errors") -> DataFrame:
     """``df`` with the array ``into``, empty for a valid row. A missing column counts as empty cells.
 
     Cells are trimmed and tested for emptiness once, in a projection of their own.
     """
     cells = fresh([*df.columns, into], "cells")
-    found, values = [], []
-    for k, f in enumerate(schema.fields):
-        name = _column(df, f)
-        values.append(trimmed(F.col(f"`{name}`")).alias(f"v{k}") if name else F.lit("").alias(f"v{k}"))
-        v = F.col(f"{cells}.v{k}")
-        empty = is_empty(v)
-        if f.required and f.default is None:
-            found.append(_error(f, k, v, empty, "required value is missing", "a value"))
-        found += [_error(f, k, v, ~empty & bad(v), message, expected) for bad, message, expected in checks(f)]
-    if not found:
+    values, checked = _faults(df, schema)
+    if not checked:
         return df.withColumn(into, F.array().cast(ERROR_TYPE))
+    of = lambda k: F.col(f"{cells}.v{k}")
+    found = [_error(of(k), bad(of), severity, field, k, message, expected) for bad, (severity, field, k, message, expected) in checked]
     return df.withColumn(cells, F.struct(*values)).withColumn(into, F.concat(*found)).drop(cells)
 
 
@@ -184,8 +208,9 @@ def error_rows(df: DataFrame, schema: Schema, id_cols: list[str], severity: str
 
     The cap is met in each partition first, so no task sorts all errors of a field.
     """
-    into = fresh(df.columns, "errors")
-    out = with_errors(df, schema, into).select(*id_cols, F.explode(into).alias(into)).select(*id_cols, f"{into}.*")
+    cells, code = fresh(df.columns, "cells"), fresh(df.columns, "code")
+    out, part = _coded(df, schema, cells, code)
+    out = out.select(*id_cols, *(part(c).alias(c) for c in ("severity", "field", "position", "message", "actual", "expected")))
     if severity:
         out = out.where(F.col("severity") == severity)
     if most_per_field:
@@ -203,16 +228,21 @@ def first_error(df: DataFrame, schema: Schema, id_cols: list[str]) -> DataFrame:
 
 def summary(df: DataFrame, schema: Schema) -> DataFrame:
     """One row: rows, valid rows, errors, success percent."""
-    into = fresh(df.columns, "errors")
-    n = F.size(into)
-    out = with_errors(df, schema, into).agg(F.count("*").alias("rows"), F.count_if(n == 0).alias("valid_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("errors"))
+    cells, n = fresh(df.columns, "cells"), fresh(df.columns, "n")
+    values, found = _faults(df, schema)
+    of = lambda k: F.col(f"{cells}.v{k}")
+    counted = reduce(Column.__add__, (F.when(bad(of), 1).otherwise(0) for bad, _ in found), F.lit(0))
+    rows = df.withColumn(cells, F.struct(*values) if values else F.lit(None)).select(counted.alias(n))
+    out = rows.agg(F.count("*").alias("rows"), F.count_if(F.col(n) == 0).alias("valid_rows"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("errors"))
     return out.withColumn("success_percent", F.when(F.col("rows") > 0, 100.0 * F.col("valid_rows") / F.col("rows")).otherwise(100.0))
 
 
 def report(df: DataFrame, schema: Schema) -> DataFrame:
     """``field, message, n`` over all errors."""
-    into = fresh(df.columns, "errors")
-    return with_errors(df, schema, into).select(F.explode(into).alias("e")).groupBy("e.field", "e.message").agg(F.count("*").alias("n"))
+    cells, code = fresh(df.columns, "cells"), fresh(df.columns, "code")
+    out, part = _coded(df, schema, cells, code)
+    # Numbers are counted before they are given their names.
+    return out.groupBy(code).agg(F.count("*").alias("n")).select(part("field").alias("field"), part("message").alias("message"), "n").groupBy("field", "message").agg(F.sum("n").alias("n"))
 
 
 def _version(text: str) -> tuple[int, int, int]:

@@ -195,3 +195,25 @@ def decode_dictionary(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type")
     codes = e.dictionary(events, "event_type", 3)
     return e.decode(e.encode(events, "event_type", codes), "event_type", codes).select("event_id", "event_type")
+
+
+_WIDER = f"SELECT *, CASE WHEN id % 5 = 0 THEN 'rush' END AS note FROM ({_NEW})"
+
+
+@query(f"""SELECT CASE WHEN a.id IS NULL THEN 'INSERT' WHEN b.id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS op, coalesce(a.id, b.id) AS id, b.note AS new_note,
+CASE WHEN a.id IS NULL OR b.id IS NULL THEN '' ELSE concat_ws(',', CASE WHEN a.status <> b.status THEN '1' END, CASE WHEN b.note IS NOT NULL THEN '3' END) END AS changed
+FROM ({_OLD}) a FULL JOIN ({_WIDER}) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.status <> b.status OR b.note IS NOT NULL""")
+def diff_added_column(spark, sf):
+    """A column that only the new version has is a change of the rows that fill it."""
+    old, new = versions(spark, sf)
+    changes = d.diff(old, new.withColumn("note", F.when(F.col("id") % 5 == 0, "rush")), d.DiffConfig("key_based"))
+    id_of = F.coalesce(F.get("old", F.lit(0)), F.get("new", F.lit(0))).cast("long")
+    return changes.select("op", id_of.alias("id"), F.get("new", F.lit(3)).alias("new_note"), F.array_join(F.transform("changed", lambda i: i.cast("string")), ",").alias("changed"))
+
+
+@query(f"SELECT id, note, status FROM ({_WIDER})")
+def diff_columns_apply(spark, sf):
+    """Changes between versions with other columns, applied: one is new, one is gone, and their order differs."""
+    old, new = versions(spark, sf)
+    wider = new.withColumn("note", F.when(F.col("id") % 5 == 0, "rush")).select("id", "note", "status")
+    return d.apply(old, d.diff(old, wider), wider)

@@ -146,3 +146,11 @@ def merge_custom(spark, sf):
     odd = [m.Source(s.name, s.rows.select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), F.col("name").alias("_row"), F.col("balance").alias("_ts"))) for s in sources(spark, sf)]
     greatest = lambda rows: rows.sort_values(["_ts", "_row"], ascending=[False, True]).head(1)
     return m.merge(odd, m.MergeConfig(resolve="custom", resolver=greatest)).select("id", "_row", F.round("_ts", 2).alias("_ts"))
+
+
+@query(f"SELECT 'a' AS source, count(*) AS rows FROM ({_A}) UNION ALL SELECT 'b', count(*) FROM ({_B}) UNION ALL SELECT 'merged', count(DISTINCT id) FROM ({_BOTH})")
+def merge_counters(spark, sf):
+    """Rows in and out, counted by the merging job itself."""
+    merged, told = m.counted(sources(spark, sf), m.MergeConfig(keys=("id",)))
+    merged.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(list(told().items()), "source string, rows long")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, staging
-from ..operators.engine import Engine, EngineConfig
+from ..operators import joins, sketches, staging
+from ..operators.closure import closure
+from ..operators.engine import Engine, EngineConfig, grouped
 from .registry import query, table
 
 
@@ -379,3 +380,100 @@ def indexed_pattern_lookup(spark, sf):
 @query("SELECT p_partkey FROM part WHERE list_contains(regexp_extract_all(lower(p_name), '[a-z0-9_]+'), 'part')")
 def indexed_token_lookup(spark, sf):
     return _indexed(spark, sf, "part", ("p_name",), "fulltext", lambda e: e.lookup_token("part", "p_name", "Part").select("p_partkey"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, 'token = \"[0-9a-f]+\"|Licensed under')")
+def pattern_lookup_branches(spark, sf):
+    """A pattern without a text that every match holds: the whole copy is read."""
+    return _indexed(spark, sf, "documents", ("text",), "btree", lambda e: e.lookup_pattern("documents", "text", 'token = "[0-9a-f]+"|Licensed under').select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '[a-z]+[.][0-9]+@mail[0-9]+[.]example[.]com')")
+def pattern_lookup_unanchored(spark, sf):
+    """Addresses in whole texts by the trigrams of what every one of them holds."""
+    return _indexed(spark, sf, "documents", ("text",), "trigram", lambda e: e.lookup_pattern("documents", "text", r"[a-z]+[.][0-9]+@mail[0-9]+[.]example[.]com").select("doc_id"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey = 77")
+def bloom_point_lookup(spark, sf):
+    """Equality on a column that the rows aren't sorted by: row groups are left out by their Bloom filters."""
+    return _indexed(spark, sf, "lineitem", ("l_partkey",), "bloom", lambda e: e.lookup("lineitem", "l_partkey", 77).select("l_orderkey", "l_linenumber", "l_quantity"))
+
+
+@query("SELECT o_custkey, round(count(*) / sum(1 / o_totalprice), 4) AS mean FROM orders GROUP BY o_custkey")
+def registered_aggregate(spark, sf):
+    """A harmonic mean of the user's own in SQL; a customer's orders are a small group."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def harmonic(prices: pa.Array) -> float:
+        return len(prices) / pc.sum(pc.divide(1.0, prices)).as_py()
+
+    engine = Engine(spark, EngineConfig(cache_results=False))
+    engine.register("orders", table(spark, sf, "orders"))
+    engine.register_aggregate("harmonic_mean", harmonic)
+    return engine.execute("SELECT o_custkey, round(harmonic_mean(o_totalprice), 4) AS mean FROM orders GROUP BY o_custkey").df
+
+
+@query("SELECT event_type, round(count(*) / sum(1 / (1 + value)), 4) AS mean FROM events GROUP BY event_type")
+def aggregate_in_states(spark, sf):
+    """The same over groups of any size: tasks hand on states, not rows."""
+    rows = table(spark, sf, "events").select("event_type", "value")
+    states = grouped(rows, ["event_type"], lambda g: (len(g), float((1 / (1 + g["value"])).sum())), lambda a, b: (int(a[0] + b[0]), float(a[1] + b[1])), "n long, total double")
+    return states.select("event_type", F.round(F.col("n") / F.col("total"), 4).alias("mean"))
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(len(string_split(p_name, ' '))))::INT AS place FROM part")
+def registered_table_function(spark, sf):
+    """Words of names by a table function of the user's own, joined laterally."""
+
+    class Words:
+        def eval(self, name: str):
+            for k, w in enumerate((name or "").split(" ")):
+                yield w, k
+
+    engine = Engine(spark, EngineConfig(cache_results=False))
+    engine.register("part", table(spark, sf, "part"))
+    engine.register_table_function("words_of", Words, "word string, place int")
+    return engine.execute("SELECT p_partkey, w.word, w.place FROM part, LATERAL words_of(p_name) w").df
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 300000")
+def compat_unknown_under_not(spark, sf):
+    """A condition on an unknown column is skipped under NOT as well."""
+    return _compat(spark, sf, "SELECT o_orderkey FROM orders WHERE NOT missing = 'a' AND NOT (also_missing LIKE 'x%') AND o_totalprice > 300000", "orders")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS parts, true AS within FROM lineitem GROUP BY ALL")
+def sketch_distinct_merged(spark, sf):
+    """Distinct parts by sketches that are stored by ship month and group, and merged later: within three standard errors of the exact count."""
+    line = table(spark, sf, "lineitem")
+    by_month = staging.staged(sketches.distinct_by(line.withColumn("month", F.trunc("l_shipdate", "month")), ["l_returnflag", "l_linestatus", "month"], "l_partkey"), "month-sketches")
+    merged = sketches.distinct_of(by_month, ["l_returnflag", "l_linestatus"])
+    exact = line.groupBy("l_returnflag", "l_linestatus").agg(F.count_distinct("l_partkey").alias("parts"))
+    return merged.join(exact, ["l_returnflag", "l_linestatus"]).select("l_returnflag", "l_linestatus", "parts", sketches.distinct_within(F.col("estimate"), F.col("parts")).alias("within"))
+
+
+@query("SELECT event_type, unnest([0.25, 0.5, 0.9, 0.99]::DOUBLE[]) AS q, true AS within FROM events GROUP BY event_type")
+def sketch_quantiles_merged(spark, sf):
+    """Quantiles by sketches stored by day and merged by kind of event: the rank of each lies within the bound of the one asked for."""
+    events = table(spark, sf, "events")
+    by_day = staging.staged(sketches.quantiles_by(events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "value"), "day-sketches")
+    asked = [0.25, 0.5, 0.9, 0.99]
+    found = sketches.quantiles_of(by_day, ["event_type"], asked)
+    ranks = events.join(F.broadcast(found.withColumnRenamed("event_type", "kind")), F.col("event_type") == F.col("kind"))  # four rows a kind of event
+    rank = ranks.groupBy("event_type", "q").agg(F.avg(F.when(F.col("value") < F.col("quantile"), 1.0).otherwise(0.0)).alias("below"), F.avg(F.when(F.col("value") <= F.col("quantile"), 1.0).otherwise(0.0)).alias("up_to"))
+    return rank.select("event_type", "q", sketches.rank_within(F.col("q"), F.col("below"), F.col("up_to")).alias("within"))
+
+
+_NEXT = """SELECT o_orderkey AS a, next AS b FROM (SELECT *, lead(o_orderkey) OVER w AS next, lead(o_orderdate) OVER w AS then_at FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) WHERE then_at <= o_orderdate + INTERVAL 60 DAY"""
+
+
+@query(f"WITH RECURSIVE links AS ({_NEXT}), c(a, b, steps) AS (SELECT a, b, 1 FROM links UNION SELECT c.a, l.b, c.steps + 1 FROM c JOIN links l ON c.b = l.a) SELECT a, b, min(steps)::INT AS steps FROM c GROUP BY a, b")
+def order_chains(spark, sf):
+    """Transitive closure: orders that lead to later ones of their customer, each within sixty days of the one before."""
+    of_customer = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")  # a customer's orders
+    orders = table(spark, sf, "orders").withColumns({"next": F.lead("o_orderkey").over(of_customer), "at": F.lead("o_orderdate").over(of_customer)})
+    links = orders.where(F.col("at") <= F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).select(F.col("o_orderkey").alias("a"), F.col("next").alias("b"))
+    return closure(links, "a", "b")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stage_graph as g
+from ..operators import staging
 from ..streaming import streams as s
 from .registry import query, table
 
@@ -95,3 +98,65 @@ def stream_files(spark, sf):
 def token_bucket(spark, sf):
     """Admission by user: state that SQL can't carry; tested against a plain loop."""
     return s.admit_batch(table(spark, sf, "events"), "user_id", "ts", s.Bucket(rate=1 / 3600, burst=3), "event_id")
+
+
+#: Events arrive in five parts of six days; one in ten comes two parts later than its time says.
+_PART = "least(4, (day(ts) - 1) // 6 + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END)"
+_LATE = f"""WITH e AS (SELECT *, {_PART} AS part, time_bucket(INTERVAL 6 HOUR, ts) AS w FROM events),
+p AS (SELECT part, max(ts) AS last FROM e GROUP BY part),
+m AS (SELECT q.part, (SELECT max(last) FROM p WHERE p.part < q.part) - INTERVAL 1 DAY AS mark FROM p q),
+f AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)"""
+
+
+def _arriving(spark: SparkSession, sf: str):
+    """The events in the order they arrive: one table of rows for each of five runs."""
+    late = F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+    events = table(spark, sf, "events").withColumn("part", F.least(F.lit(4), F.floor((F.dayofmonth("ts") - 1) / 6).cast("int") + late))
+    return [events.where(F.col("part") == k).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type") for k in range(5)]
+
+
+def _restarted(spark: SparkSession, sf: str, name: str, make) -> str:
+    """Runs of one stream over a growing folder: each is started from the checkpoint of the one before, and the last finds nothing new. Returns the folder of all."""
+    base = f"{staging.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for rows in [*_arriving(spark, sf), None]:
+        if rows is not None:
+            rows.write.mode("append").parquet(f"{base}/in")
+            schema = rows.schema
+        make(spark.readStream.schema(schema).parquet(f"{base}/in"), base)
+    return base
+
+
+@query(f"""{_LATE} SELECT w AS window_start, w + INTERVAL 6 HOUR AS window_end, count(*) FILTER (m.mark IS NULL OR w + INTERVAL 6 HOUR > m.mark) AS n,
+count(*) FILTER (w + INTERVAL 6 HOUR <= m.mark) AS late FROM e JOIN m USING (part), f WHERE w + INTERVAL 6 HOUR <= f.mark GROUP BY w
+HAVING count(*) FILTER (m.mark IS NULL OR w + INTERVAL 6 HOUR > m.mark) > 0""")
+def stream_restarts(spark, sf):
+    """Windows of six hours with a watermark of a day, in append mode, over a stream that is stopped after each part and started again; late rows are counted."""
+
+    def run(rows, base):
+        s.write_stream(s.windows(rows, "ts", "6 hours", late="1 day"), f"{base}/out", f"{base}/state").awaitTermination()
+
+    base = _restarted(spark, sf, "stream-restarts", run)
+    out = spark.read.schema("window_start timestamp, window_end timestamp, n long").parquet(f"{base}/out")
+    # Whatever came for a window that was written is counted or late.
+    came = s.windows(spark.read.parquet(f"{base}/in"), "ts", "6 hours").withColumnRenamed("n", "came")
+    both = out.join(came, ["window_start", "window_end"]).withColumn("late", F.col("came") - F.col("n")).drop("came")
+    found = staging.staged(both.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}), "restarts")
+    staging.drop(spark, base)
+    return found
+
+
+@query("SELECT 5::BIGINT AS batches, count(*) AS input_rows, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT event_id) AS written FROM events")
+def stream_counters(spark, sf):
+    """What a stream says of itself over all its runs, and what it wrote."""
+    with s.counted(spark) as counters:
+
+        def run(rows, base):
+            watched = rows.observe("run", F.count_if(F.col("event_type") == "error").alias("errors"))
+            counters.wait_for(s.write_stream(watched.select("event_id"), f"{base}/out", f"{base}/state"))
+
+        base = _restarted(spark, sf, "stream-counters", run)
+    written = spark.read.schema("event_id long").parquet(f"{base}/out").agg(F.count("*").alias("written"))
+    told = [F.lit(counters.total[k]).cast("long").alias(k) for k in ("batches", "input_rows", "errors")]
+    found = staging.staged(written.select(*told, "written"), "counters")
+    staging.drop(spark, base)
+    return found

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -81,6 +84,57 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, flush: Flush = Flush
     return writer.options(**flush.sink_options()).start()
 
 
+class RunCounters(StreamingQueryListener):
+    """Counters of the runs of streams, told by the engine while they run: no job of their own reads the rows again.
+
+    ``total`` sums what every batch reports: batches with rows, input rows, rows that operators with state dropped as late
+    (after they were combined by key in their tasks), and the observed metrics of the query by their names.
+    """
+
+    def __init__(self) -> None:
+        self.total: dict[str, int] = {"batches": 0, "input_rows": 0, "dropped": 0}
+        self.runs: set[str] = set()
+        self.ended = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.total["batches"] += p.numInputRows > 0
+        self.total["input_rows"] += p.numInputRows
+        self.total["dropped"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        for row in p.observedMetrics.values():
+            for k, v in row.asDict().items():
+                self.total[k] = self.total.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.ended:
+            self.runs.add(str(event.runId))
+            self.ended.notify_all()
+
+    def wait_for(self, query: StreamingQuery, seconds: float = 60.0) -> None:
+        """Until everything that the ended run of ``query`` reports has come in; an error if it doesn't."""
+        query.awaitTermination()
+        with self.ended:
+            if not self.ended.wait_for(lambda: str(query.runId) in self.runs, seconds):
+                raise TimeoutError("the run's counters didn't come in")
+
+
+@contextmanager
+def counted(spark: SparkSession) -> Iterator[RunCounters]:
+    """Counters of all streams that run inside."""
+    counters = RunCounters()
+    spark.streams.addListener(counters)
+    try:
+        yield counters
+    finally:
+        spark.streams.removeListener(counters)
+
+
 def each_batch(df: DataFrame, action: Callable[[DataFrame, int], None], checkpoint: str, flush: Flush = Flush(), mode: str = "append") -> StreamingQuery:
     """Call ``action`` with each micro-batch; raising in it stops the stream."""
     return df.writeStream.outputMode(mode).foreachBatch(action).option("checkpointLocation", checkpoint).trigger(**flush.trigger()).start()

@@ -128,7 +128,9 @@ def test_limits_and_unload(spark):
     lazy.register_function("slow", lambda x: (__import__("time").sleep(30), x)[1], "long")
     with pytest.raises(TimeoutError):
         lazy.execute("SELECT slow(id) AS id FROM lazy_r WHERE id < 1").rows()
-    assert "limit" not in Engine(spark).plan("SELECT id FROM lazy_r")._jdf.queryExecution().optimizedPlan().toString().lower()
+    plain = Engine(spark)
+    plain.register("lazy_r", spark.range(10))
+    assert "limit" not in plain.plan("SELECT id FROM lazy_r")._jdf.queryExecution().optimizedPlan().toString().lower()
     with pytest.raises(Exception, match="nothing"):
         e.execute("SELECT * FROM nothing")
     assert e.statistics.failed == 2 and e.unload("r") and not e.unload("r") and e.tables() == []

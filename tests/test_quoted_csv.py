@@ -73,5 +73,5 @@ def test_engine_loads_in_splits(spark, tmp_path, small_splits):
     small_splits(4000)
     engine = Engine(spark)
     engine.load("quoted_t", str(tmp_path / "t.csv"))
-    assert engine.execute("SELECT COUNT(*) AS n FROM quoted_t WHERE text LIKE '%next'").cell(0, 0) == "2000"
+    assert engine.execute("SELECT COUNT(*) AS n FROM quoted_t WHERE text LIKE '%next'").cell(0, "n") == 2000
     engine.unload("quoted_t")
