@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, lasting, new_path, table_chunks
+from .common import decoded, drop_staged, lasting, new_path, staged, table_chunks
 from .pretoken import ChunkCoder
 
 END_ID = 0
@@ -106,11 +106,11 @@ def train_dictionary(docs: DataFrame, vocabulary: str) -> bytes:
 
     def ids(batches):
         for rows in table_chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([piece for x in encode(vocabulary, [t or "" for t in rows["text"]]) for piece in spread(x)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([piece for x in encode(vocabulary, [decoded(t) or "" for t in rows["text"]]) for piece in spread(x)], pa.binary())], names=["ids"])
 
     # Only hashes are sorted; the texts of the chosen ones are looked up afterwards.
     chosen = docs.select(F.xxhash64("doc_id", "text").alias("key")).distinct().orderBy("key").limit(SAMPLE_DOCS)
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(F.broadcast(chosen), "key").dropDuplicates(["key"]).orderBy("key").select("text").limit(SAMPLE_DOCS)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(F.broadcast(chosen), "key").dropDuplicates(["key"]).orderBy("key").select(F.col("text").cast("binary").alias("text")).limit(SAMPLE_DOCS)
     samples = sorted(bytes(r["ids"]) for r in texts.mapInArrow(ids, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) > 7 else b""
@@ -129,34 +129,42 @@ def write_store(docs: DataFrame, vocabulary: str, path: str) -> None:
     name = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(name, bytearray(trained))], "dictionary string, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(trained), write_content_size=True).compress
+        for rows in table_chunks(batches, 256):
+            ids = encode(vocabulary, [decoded(t) or "" for t in rows["text"]])
+            columns = (rows["doc_id"], rows["key"], [pack(x) for x in ids], [len(x) // 4 for x in ids])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["doc_id", "key", "frame", "n"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, bytes, int]] = []
         size = 0
 
         def done() -> pa.RecordBatch:
-            ids, frames, counts = zip(*held, strict=True)
-            sizes = list(map(len, frames))
+            ids, packed, counts = zip(*held, strict=True)
+            sizes = list(map(len, packed))
             known = [x for x in ids if x is not None]
-            row = (part, block, before, name, b"".join(frames), list(ids), [0, *accumulate(sizes)][:-1], sizes, list(counts), min(known, default=None), max(known, default=None))
+            row = (part, block, before, name, b"".join(packed), list(ids), [0, *accumulate(sizes)][:-1], sizes, list(counts), min(known, default=None), max(known, default=None))
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 4, pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "before", "dictionary", "payload", "doc_ids", "offsets", "sizes", "counts", "first_id", "last_id"])
 
         for rows in table_chunks(batches, 256):
-            for doc_id, ids in zip(rows["doc_id"], encode(vocabulary, [t or "" for t in rows["text"]]), strict=True):
-                held.append((doc_id, pack(ids), len(ids) // 4))
-                size += len(held[-1][1])
+            for one in zip(rows["doc_id"], rows["frame"], rows["n"], strict=True):
+                held.append(one)
+                size += len(one[1])
                 if size >= BLOCK_BYTES or len(held) >= 8192:
                     yield done()
                     held, size, block, before = [], 0, block + 1, before + sum(k for _, _, k in held)
         if held:
             yield done()
 
-    # The ranges are found from a sample of the keys, which comes to the driver: a hash stands for the text there.
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    ordered = keyed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
-    ordered.select("doc_id", "text").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    # Texts are encoded where they lie; only their frames are written, cut into ranges and sorted. The ranges are found
+    # from a sample of the keys, which comes to the driver: a hash stands for the text there.
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    packed = staged(keyed.mapInArrow(frames, "doc_id long, key long, frame binary, n long"), "frames")
+    ordered = packed.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key", "frame")
+    ordered.select("doc_id", "frame", "n").mapInArrow(blocks, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _trained(spark, path: str) -> tuple[str, bytes]:
@@ -230,7 +238,7 @@ def stored_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def through() -> DataFrame:
         path = new_path(spark, "tokens")
-        write_store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.coalesce(F.col(text_col), F.lit(""))).alias("text")), vocabulary, path)
+        write_store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), vocabulary, path)
         return read_store(spark, path)
 
     return lasting(spark, "read_back", through)
