@@ -114,6 +114,26 @@ def decoded(data: bytes | None) -> str | None:
     return None if data is None else data.decode("utf-8", "replace")
 
 
+#: Long texts are cut into words in pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of bounded size that end between words; a longer word is a piece of its own with what stands before it."""
+    at = 0
+    while len(text) - at > PIECE_BYTES:
+        end = at + PIECE_BYTES
+        tail = text[at:end].rsplit(None, 1)
+        while len(tail) < 2 and not text[end - 1 : end].isspace() and end < len(text):
+            end = min(len(text), end + PIECE_BYTES)
+            tail = text[at:end].rsplit(None, 1)
+        if end < len(text) and not text[end - 1 : end].isspace() and not text[end : end + 1].isspace():
+            end -= len(tail[-1])
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def words_array(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WHITESPACE), lambda w: w != F.lit(""))

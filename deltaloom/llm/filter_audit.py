@@ -22,42 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lasting, staged, table_chunks
+from .common import lasting, pieces, staged, table_chunks
 
 FILTERS = "ABCDE"
 #: A: fewer words fail. B: a lower percentage of distinct words fails. C: a higher percentage of capitals fails.
 LEAST_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT = 200, 50, 2
 #: D: any of these fails.
 SYMBOLS = b"#$%&*|"
-#: Words of longer texts are gathered in pieces of about this many bytes.
-PIECE_BYTES = 1 << 20
 
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CONTINUED = bytes(range(0x80, 0xC0))
 _COPY = 1 << FILTERS.index("E")
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """``text`` in pieces that end between words."""
-    at = 0
-    while len(text) - at > PIECE_BYTES:
-        end = at + PIECE_BYTES
-        tail = text[at:end].rsplit(None, 1)
-        # A piece that is one long word is taken with what follows, up to the next white space.
-        while len(tail) < 2 and not text[at:end][-1:].isspace() and end < len(text):
-            end = min(len(text), end + PIECE_BYTES)
-            tail = text[at:end].rsplit(None, 1)
-        if end < len(text) and not text[end - 1 : end].isspace() and not text[end : end + 1].isspace():
-            end -= len(tail[-1])
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def mask(text: bytes) -> int:
     """Bits of the filters A to D that a whole text fails; words are split at ASCII white space."""
     n_words, distinct = 0, set()
-    for piece in _pieces(text):
+    for piece in pieces(text):
         words = piece.split()
         n_words += len(words)
         distinct.update(words)

@@ -8,8 +8,8 @@ each, under any order of all elements (prefix filter). The order used here puts
 sample, then goes by hash: it decides how many pairs are looked at, never which are found.
 
 Inside a block pairs are discarded whose sizes and positions rule the similarity out, then those whose pivot distances
-or fingerprints differ by more than :func:`radius`, which lies five standard deviations above what a pair at the
-threshold has. Survivors are verified on their whole sets.
+or fingerprints differ by more than :func:`radius` of the smaller set, which a pair at the threshold exceeds with a
+probability of LOST at most. Survivors are verified on their whole sets.
 
 A shingle that many texts share would give all their pairs. So each text is first verified against a few leaders of the
 blocks of its first shingles, where near copies nearly always meet. Blocks within one component are left out from then
@@ -30,11 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lasting, small, staged, utf8
+from .common import lasting, pieces, small, staged, table_chunks, utf8
 from .components import components
 from .simhash_dedup import distance_table, keep_found, print_of_digests, whole_tasks
 
 SHINGLE_WORDS, SIMILARITY, SEED, BITS = 5, 0.8, 42, 128
+#: Probability that a pair at the threshold is discarded by its fingerprints, and the size of sets from which on it is taken as that of this size.
+LOST, EXACT_SIZE = 1e-6, 128
 #: Least and most texts in the sample that orders the shingles (else an eighth), the least count in it that makes a shingle common, and how many are kept.
 SAMPLE_TEXTS, COMMON, COMMON_KEPT = (4_096, 32_768), 3, 100_000
 #: Shingles of a text whose blocks' leaders are tried first.
@@ -49,10 +51,45 @@ CHUNK, PAIRS_AT_ONCE = 1024, 1 << 19
 FEW_ROWS = 200_000
 
 
-def radius(similarity: float) -> int:
-    """Differing bits that a pair of the similarity (sets of one size, the worst case) has, and five standard deviations more."""
-    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return min(BITS, math.ceil(BITS * p + 5 * math.sqrt(BITS * p * (1 - p))))
+def differing(a: int, b: int, both: int) -> float:
+    """Probability that a bit of the fingerprints of two sets (sizes ``a`` and ``b``, ``both`` in common) differs, if bits of hashes are fair coins."""
+
+    def ones(n: int) -> np.ndarray:
+        k = np.arange(n + 1)
+        logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+        return np.exp(logs[n] - logs[k] - logs[n - k] - n * math.log(2))
+
+    common = ones(both)
+
+    def is_one(rest: int, size: int) -> np.ndarray:
+        """For each number of ones in common, the probability that over half of the set's bits are ones."""
+        above = np.concatenate((np.cumsum(ones(rest)[::-1])[::-1], [0.0]))  # at least k ones
+        least = np.clip(size // 2 + 1 - np.arange(both + 1), 0, rest + 1)
+        return above[least]
+
+    x, y = is_one(a - both, a), is_one(b - both, b)
+    return float((common * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@lru_cache(maxsize=8)
+def radius(similarity: float) -> np.ndarray:
+    """By the size of the smaller set (from EXACT_SIZE on the last): differing bits that a pair of the similarity exceeds with a probability of LOST at most.
+
+    Bits are independent of each other; what the probability of one is follows from the sizes, the worst larger set counts.
+    """
+    far = []
+    for n in range(EXACT_SIZE + 1):
+        worst = 0.0
+        for larger in range(n, math.floor(n / similarity + 1e-9) + 1) if n else ():
+            both = min(n, math.ceil(similarity / (1 + similarity) * (n + larger) - 1e-9))
+            worst = max(worst, *(differing(n, larger, c) for c in {both, min(n, both + 1)}))
+        bits = np.arange(BITS + 1)
+        logs = np.array([math.lgamma(BITS + 1) - math.lgamma(k + 1) - math.lgamma(BITS - k + 1) for k in bits])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chance = np.exp(logs + np.where(bits > 0, bits * np.log(worst), 0.0) + (BITS - bits) * np.log1p(-worst))
+        beyond = 1 - np.cumsum(chance)
+        far.append(int(np.argmax(beyond <= LOST)))
+    return np.array(far, np.int64)
 
 
 def text_key(text: str | bytes | None) -> int:
@@ -63,10 +100,18 @@ def text_key(text: str | bytes | None) -> int:
 
 def shingles(text: str | bytes | None, size: int = SHINGLE_WORDS) -> np.ndarray:
     """The distinct shingle hashes of a text in rising order; a text of fewer words is one shingle."""
-    words = utf8(text).lower().split()
     hashed = xxhash.xxh64_intdigest
-    found = {hashed(b" ".join(words[a : a + size]), SEED) for a in range(max(1, len(words) - size + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found))).view(np.int64)
+    found: list[np.ndarray] = []
+    carried: list[bytes] = []
+    for piece in pieces(utf8(text).lower()):
+        words = carried + piece.split()
+        n = len(words) - size + 1
+        if n > 0:
+            found.append(np.unique(np.fromiter((hashed(b" ".join(words[a : a + size]), SEED) for a in range(n)), np.uint64, n)))
+        carried = words[max(0, n) :] if n > 0 else words
+    if not found:
+        found = [np.array([hashed(b" ".join(carried), SEED)], np.uint64)]
+    return np.sort((found[0] if len(found) == 1 else np.unique(np.concatenate(found))).view(np.int64))
 
 
 def prefix_length(n: int, similarity: float) -> int:
@@ -74,14 +119,13 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def _map(df: DataFrame, schema: str, rows_of) -> DataFrame:
-    """``rows_of(*columns)`` gives a list of arrays for each slice of 256 rows."""
+    """``rows_of(*columns)`` gives a list of arrays for each slice of at most 256 rows and bounded bytes."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                got = rows_of(*(c.to_pylist() for c in batch.slice(at, 256).columns))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
+        for rows in table_chunks(batches, 256):
+            got = rows_of(*rows.values())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -171,12 +215,12 @@ def _nearest(x: np.ndarray, y: np.ndarray, key: np.ndarray, apart: np.ndarray, n
     return keep
 
 
-def _candidates(similarity: float, farthest: int, nth: int | None):
+def _candidates(similarity: float, nth: int | None):
     """Rows ``token, a, b, own, key, f0, f1, n, at, root`` sorted by task (token, a, b) -> pairs that are left to verify.
 
     With ``nth`` (a round) only the best few of each row, and rows (number of pairs left out, null).
     """
-    share = similarity / (1 + similarity)
+    share, far = similarity / (1 + similarity), radius(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in whole_tasks(batches, 3):
@@ -192,8 +236,9 @@ def _candidates(similarity: float, farthest: int, nth: int | None):
                 # What they share lies at or behind the first shared shingle, so the rest of the smaller side must be long enough.
                 keep &= np.minimum(n[x] - at[x], n[y] - at[y]) >= share * (n[x] + n[y]) - 1e-9
                 x, y = x[keep], y[keep]
+                farthest = far[np.minimum(np.minimum(n[x], n[y]), EXACT_SIZE)]
                 keep = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= farthest
-                x, y = x[keep], y[keep]
+                x, y, farthest = x[keep], y[keep], farthest[keep]
                 apart = np.bitwise_count(f0[x] ^ f0[y]).astype(np.int64) + np.bitwise_count(f1[x] ^ f1[y])
                 keep = apart <= farthest
                 found.append((x[keep], y[keep], apart[keep]))
@@ -238,7 +283,7 @@ def _candidates(similarity: float, farthest: int, nth: int | None):
     return run
 
 
-def _across(blocks: DataFrame, similarity: float, farthest: int, nth: int | None = None) -> DataFrame:
+def _across(blocks: DataFrame, similarity: float, nth: int | None = None) -> DataFrame:
     """Pairs ``a, b`` of keys of different roots in a block that may have the similarity; in a round, those of each chunk by itself, chunks dealt anew each time."""
     large = staged(blocks.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK).select(F.col("token").alias("large"), F.ceil(F.col("m") / CHUNK).alias("chunks")), "large")
     n_large = large.count()
@@ -247,15 +292,16 @@ def _across(blocks: DataFrame, similarity: float, farthest: int, nth: int | None
         cut = blocks.join(_few(large, n_large), blocks["token"] == large["large"], "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("key", F.lit(nth or 0)), F.col("chunks")), F.lit(0)))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("chunks") - 1, F.lit(0)))) if nth is None else F.col("own"))
     tasks = cut.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "key", "f0", "f1", "n", F.col("at").cast("long").alias("at"), "root")
-    return tasks.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_candidates(similarity, farthest, nth), "a long, b long")
+    return tasks.repartition("token", "a", "b").sortWithinPartitions("token", "a", "b").mapInArrow(_candidates(similarity, nth), "a long, b long")
 
 
-def _led(blocks: DataFrame, farthest: int) -> DataFrame:
+def _led(blocks: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs ``a, b``: each text and the least and greatest of the leaders of its blocks that may be like it.
 
     Leaders differ by block, so that a text which is unlike one of them can still meet another.
     """
-    led = blocks.groupBy("token").agg(F.min_by(F.struct("key", "root", "f0", "f1"), F.xxhash64("root", "key", "token")).alias("leader"))
+    led = blocks.groupBy("token").agg(F.min_by(F.struct("key", "root", "f0", "f1", "n"), F.xxhash64("root", "key", "token")).alias("leader"))
+    farthest = F.get(F.lit([int(x) for x in radius(similarity)]), F.least("n", "leader.n", F.lit(EXACT_SIZE)).cast("int"))
     apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("leader.f0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("leader.f1")))
     met = blocks.join(led, "token").where((F.col("root") != F.col("leader.root")) & (apart <= farthest))
     met = met.groupBy("key").agg(F.min("leader.key").alias("low"), F.max("leader.key").alias("high")).select("key", F.explode(F.array("low", "high")).alias("other"))
@@ -264,10 +310,9 @@ def _led(blocks: DataFrame, farthest: int) -> DataFrame:
 
 def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``a, b`` between the keys of the distinct ``texts`` (``id, text``; ``ids``: ``key, id``): every component is joined up."""
-    farthest = radius(similarity)
     held = staged(prefixes(texts, common_shingles(texts, n_texts, size), size, similarity), "prefixes")
-    first = held.select(F.explode(F.slice("tokens", 1, FIRST)).alias("token"), "key", "f0", "f1", F.col("key").alias("root"))
-    sure = verified(staged(_led(first, farthest), "pairs"), texts, ids, size, similarity)
+    first = held.select(F.explode(F.slice("tokens", 1, FIRST)).alias("token"), "key", "f0", "f1", "n", F.col("key").alias("root"))
+    sure = verified(staged(_led(first, similarity), "pairs"), texts, ids, size, similarity)
     roots = components(sure, "a", "b")
     rooted = held.join(roots, held["key"] == roots["node"], "left").select("key", "f0", "f1", "n", "rare", "tokens", F.coalesce("root", "key").alias("root"))
     rooted = staged(rooted, "rooted")
@@ -280,7 +325,7 @@ def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WO
     many = each.where("at >= rare").join(F.broadcast(often), F.col("token") == F.col("often"), "left_semi")
     blocks = staged(few.unionByName(many).drop("rare"), "blocks")
     for nth in range(ROUNDS):
-        asked = staged(_across(blocks, similarity, farthest, nth), "pairs")
+        asked = staged(_across(blocks, similarity, nth), "pairs")
         left = asked.where("b is null").agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
         more = verified(staged(asked.where("b is not null").distinct(), "pairs"), texts, ids, size, similarity)
         sure = sure.unionByName(more)
@@ -290,7 +335,7 @@ def links(texts: DataFrame, ids: DataFrame, n_texts: int, size: int = SHINGLE_WO
         blocks = staged(again.join(still, "token", "left_semi"), "blocks")
         if left <= LEFT_A_TEXT * n_texts or LEAST_GAIN * more.count() < n_texts:
             break
-    return sure.unionByName(verified(staged(_across(blocks, similarity, farthest).distinct(), "pairs"), texts, ids, size, similarity))
+    return sure.unionByName(verified(staged(_across(blocks, similarity).distinct(), "pairs"), texts, ids, size, similarity))
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float) -> DataFrame:

@@ -9,15 +9,17 @@ batches at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, utf8
+from .common import arrow_map, pieces, utf8
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their id.
 TRAIN_ROWS = 20_000
@@ -34,24 +36,45 @@ _HIGH = bytes(range(128, 256))
 
 
 def features(text: str | bytes | None) -> list[float]:
-    """The features of one whole text; all zero for a text without words."""
+    """The features of one whole text; all zero for a text without words.
+
+    Words are held as 64-bit hashes, so a text of any length takes some 20 bytes a word.
+    """
     data = utf8(text)
-    words = data.split()
-    n = len(words)
+    sizes, hashes = [], []
+    for piece in pieces(data):
+        words = piece.split()
+        sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+        hashes.append(np.fromiter(map(hash, words), np.int64, len(words)))
+    size, word = np.concatenate(sizes), np.concatenate(hashes)
+    n = len(word)
     if not n:
         return [0.0] * len(FEATURES)
-    size = np.fromiter(map(len, words), np.float64, n)
     total = float(size.sum())
-    lines = [x for x in data.split(b"\n") if x.strip()]
+    n_lines, lines = 0, set()
+    for line in _lines(data):
+        if line.strip():
+            n_lines += 1
+            lines.add(line if len(line) < 64 else xxhash.xxh3_128_digest(line))
     share = lambda chars: (len(data) - len(data.translate(None, chars))) / total
-    following = words[1:]
+    pairs = word[:-1] * np.int64(0x5851F42D4C957F2D) + word[1:]
+    distinct = lambda x: len(np.unique(x))
     return [
-        float(np.log1p(n)), total / n, float(size.std()), float((size <= 3).mean()), len(set(words)) / n, len(set(zip(words, following, strict=False))) / max(1, n - 1),
-        sum(map(bytes.__eq__, words, following)) / n, n / len(lines), 1 - len(set(lines)) / len(lines),
+        float(np.log1p(n)), total / n, float(size.astype(np.float64).std()), float((size <= 3).mean()), distinct(word) / n, distinct(pairs) / max(1, n - 1),
+        int((word[:-1] == word[1:]).sum()) / n, n / n_lines, 1 - len(lines) / n_lines,
         share(_UPPER), share(_DIGITS), data.count(b"!") / n, data.count(b"|") / n, share(_SYMBOLS), share(_STOPS), share(_HIGH),
     ]
 
 
+def _lines(data: bytes) -> Iterator[bytes]:
+    at = 0
+    while at <= len(data):
+        end = data.find(b"\n", at)
+        end = len(data) if end < 0 else end
+        yield data[at:end]
+        at = end + 1
+
+
 @dataclass
 class Gam:
     """Cut points, lookup tables and pair tables."""

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from deltaloom.llm import boosted_trees, filter_audit, merkle_manifest, pii_boosting
+from deltaloom.llm import boosted_trees, common, filter_audit, merkle_manifest, pii_boosting
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -65,8 +65,8 @@ def test_filter_audit(spark, odd_docs, no_docs, labels, no_labels):
 
 @pytest.mark.parametrize("text", ["", " ", "abc", "one two  three\n", "x" * 40 + " yy " + "z" * 9, "a b c d e f g h " * 5])
 def test_pieces_end_between_words(monkeypatch, text):
-    monkeypatch.setattr(filter_audit, "PIECE_BYTES", 8)
-    pieces = list(filter_audit._pieces(text.encode()))
+    monkeypatch.setattr(common, "PIECE_BYTES", 8)
+    pieces = list(common.pieces(text.encode()))
     assert b"".join(pieces) == text.encode()
     assert [w for p in pieces for w in p.split()] == text.encode().split()
 

@@ -184,3 +184,40 @@ def test_near_stage_finds_all_pairs_of_the_similarity(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
     monkeypatch.setattr(near_texts, "ROUNDS", 0)
     assert {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == want
+
+
+def test_fingerprints_of_small_sets_lose_no_pair_at_the_threshold():
+    """Texts of ``n`` shingles against the same with as many more as the similarity allows: similarity 0.8 or more, at any size of set."""
+    from deltaloom.llm import near_texts
+
+    rnd, far = random.Random(1), near_texts.radius(0.8)
+    for n in (4, 5, 8, 12, 20, 60):
+        for _ in range(2500):
+            text = [str(rnd.random()) for _ in range(n + 4 + n // 4)]
+            a, b = (near_texts.shingles(" ".join(text[:k])) for k in (n + 4, n + 4 + n // 4))
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+            apart = int(np.bitwise_count(np.array(near_texts.fingerprint(a)).view(np.uint64) ^ np.array(near_texts.fingerprint(b)).view(np.uint64)).sum())
+            assert apart <= far[min(len(a), near_texts.EXACT_SIZE)]
+    assert abs(near_texts.differing(4, 5, 4) - 3 / 16) < 1e-12 and near_texts.differing(9, 9, 9) == 0
+
+
+def test_shingles_of_pieces_are_those_of_the_whole(monkeypatch):
+    from deltaloom.llm import common, near_texts
+
+    rnd = random.Random(2)
+    texts = ["", " ", "one", "a b c d", "a b c d e", *(" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 9) for _ in range(n)) for n in (6, 40, 300))]
+    want = [near_texts.shingles(t).tolist() for t in texts]
+    monkeypatch.setattr(common, "PIECE_BYTES", 16)
+    assert [near_texts.shingles(t).tolist() for t in texts] == want
+
+
+def test_short_near_copies_are_found(spark):
+    from deltaloom.llm import near_texts
+
+    rnd = random.Random(3)
+    rows = []
+    for k in range(40):
+        words = [str(rnd.randrange(10**9)) for _ in range(9)]
+        rows += [(2 * k, " ".join(words[:8])), (2 * k + 1, " ".join(words))]
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}

@@ -3,6 +3,7 @@
 import math
 import os
 import re
+import zlib
 from difflib import SequenceMatcher
 
 import duckdb
@@ -98,6 +99,51 @@ def test_classifier_odd_rows(odd_docs, labels, no_docs, no_labels):
     assert quality_gam.keep_good(odd_docs, labels).columns == odd_docs.columns
 
 
+def _plain_features(text):
+    """The features by plain counting."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    if not words:
+        return [0.0] * 16
+    n, sizes, letters = len(words), [len(w) for w in words], sum(len(w) for w in words)
+    lines = [x for x in data.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    mean = letters / n
+    of = lambda pattern: len(re.findall(pattern, data))
+    return [
+        math.log1p(n), mean, math.sqrt(sum((s - mean) ** 2 for s in sizes) / n), sum(s <= 3 for s in sizes) / n, len({*words}) / n, len({*zip(words, words[1:])}) / max(1, n - 1),
+        sum(a == b for a, b in zip(words, words[1:])) / n, n / len(lines), 1 - len({*lines}) / len(lines), of(rb"[A-Z]") / letters, of(rb"[0-9]") / letters, data.count(b"!") / n, data.count(b"|") / n,
+        of(rb"[#*$%&<>]") / letters, of(rb"[.,;:?]") / letters, of(rb"[\x80-\xff]") / letters,
+    ]
+
+
+def _plain_score(model, x):
+    """One row by plain lookups."""
+    place = lambda cuts, v: sum(v >= c for c in cuts)
+    z = model.base + sum(model.tables[f][place(c, x[f])] for f, c in enumerate(model.cuts))
+    z += sum(t[place(model.coarse[a], x[a])][place(model.coarse[b], x[b])] for (a, b), t in zip(model.pairs, model.pair_tables, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_classifier_equals_plain_counting(spark, monkeypatch):
+    """Features, folds, scores and verdicts of a whole table by brute force over the fitted tables; long texts in pieces too."""
+    docs, told = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_gam.train(docs, told)
+    got = {r["doc_id"]: r for r in quality_gam.quality_scores(docs, told).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = _plain_features(r["text"])
+        assert quality_gam.features(r["text"]) == pytest.approx(x, rel=1e-12, abs=1e-12)
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and g["predicted"] == int(g["score"] >= 0.7)
+        assert g["score"] == pytest.approx(_plain_score(model, quality_gam.features(r["text"])), rel=1e-9)
+    from deltaloom.llm import common
+
+    monkeypatch.setattr(common, "PIECE_BYTES", 32)
+    for text in ("", "  ", "x" * 100, "a b\n a b\n\n c!" * 30, rows[0]["text"]):
+        assert quality_gam.features(text) == pytest.approx(_plain_features(text), rel=1e-12, abs=1e-12)
+
+
 def test_classifier_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, len(quality_gam.FEATURES)))
