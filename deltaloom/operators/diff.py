@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from . import staging
+from .moves import moved
 from ..functions.hashing import content_sha256
 
 OPS = {"INSERT": 1, "DELETE": 2, "UPDATE": 3, "MOVE": 4}
@@ -27,7 +28,9 @@ class DiffConfig:
     keys: tuple[str, ...] = ("id",)
     timestamp: str | None = None
     order: str | None = None
+    #: Positions that differ are moves: of the first of each content, or, with ``fewest_moves``, of as few rows as possible.
     detect_moves: bool = False
+    fewest_moves: bool = False
 
     def faults(self, columns: list[str]) -> list[str]:
         out = [] if self.mode in MODES else [f"mode must be one of {', '.join(MODES)}"]
@@ -130,6 +133,17 @@ def moves(old: DataFrame, new: DataFrame, old_order: str, new_order: str) -> Dat
     return both.select(F.lit("MOVE").alias("op"), "key", F.col("a.c").alias("old"), F.col("b.c").alias("new"), none.alias("changed"), F.col("a.p").alias("row_index"), F.col("b.p").alias("new_index"), F.col("key").alias("hash"), F.current_timestamp().alias("ts"))
 
 
+def fewest_moves(old: DataFrame, new: DataFrame, old_order: str, new_order: str) -> DataFrame:
+    """MOVE records of as few rows as possible, repeated contents too: the n-th copy stays the n-th copy (see :mod:`moves`)."""
+    cols = [c for c in old.columns if c not in (old_order, new_order)]
+    side = lambda df, o: _numbered(df, o, cols).select(F.sha2(F.to_json("c"), 256).alias("key"), "pos", "c")
+    a, b = (staging.staged(side(df, o), "sides") for df, o in ((old, old_order), (new, new_order)))
+    found = moved(a, b)
+    named = found.join(a.select(F.col("pos").alias("row_index"), F.col("c").alias("old")), "row_index")
+    none = F.array().cast("array<int>")
+    return named.select(F.lit("MOVE").alias("op"), "key", "old", F.col("old").alias("new"), none.alias("changed"), "row_index", "new_index", F.col("key").alias("hash"), F.current_timestamp().alias("ts"))
+
+
 def _later(a: Column, b: Column, kind) -> Column:
     """Compared as what the column is; text as numbers, else as timestamps, else as text, by what both cells can be read as."""
     forms = ["decimal(38,9)"] if isinstance(kind, NumericType) else ["timestamp"] if isinstance(kind, (DateType, TimestampType, TimestampNTZType)) else ["decimal(38,9)", "timestamp"]
@@ -186,7 +200,7 @@ def diff(old: DataFrame, new: DataFrame, config: DiffConfig = DiffConfig()) -> D
             newer = F.col("old").isNull() | F.col("new").isNull() | _later(F.get("new", F.lit(at)), F.get("old", F.lit(at)), old.schema[config.timestamp].dataType)
             out = out.where(F.coalesce(newer, F.lit(True)))
     if config.detect_moves and config.order:
-        out = out.unionByName(moves(old, new, config.order, config.order))
+        out = out.unionByName((fewest_moves if config.fewest_moves else moves)(old, new, config.order, config.order))
     return out
 
 

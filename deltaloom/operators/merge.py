@@ -189,12 +189,13 @@ def merge(sources: list[Source], config: MergeConfig = MergeConfig(), source_col
     if config.dedup == "none":
         out = rows
     else:
+        if config.dedup in ("fuzzy", "custom"):
+            # Written, so that a row keeps its number however often the sources are read.
+            numbered = staged(rows.withColumn(own_id, F.concat_ws(":", f"{tag}.ord", f"{tag}.row")), "numbered")
         if config.dedup == "fuzzy":
-            numbered = rows.withColumn(own_id, F.concat_ws(":", f"{tag}.ord", f"{tag}.row"))
             groups = fuzzy_clusters(numbered, own_id, data, list(config.block), config.threshold).withColumnRenamed("cluster", key)
             keyed = numbered.join(groups, own_id).drop(own_id)
         elif config.dedup == "custom":
-            numbered = rows.withColumn(own_id, F.concat_ws(":", f"{tag}.ord", f"{tag}.row"))
             a = numbered.select(F.col(own_id).alias("x"), F.struct(*data).alias("a"), merge_key(config.keys, config.case_sensitive, config.trim, config.phonetic).alias("block"))
             b = a.select(F.col("x").alias("y"), F.col("a").alias("b"), "block")
             links = a.join(b, "block").where("x < y").where(config.same("a", "b")).select("x", "y")

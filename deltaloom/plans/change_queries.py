@@ -217,3 +217,14 @@ def diff_columns_apply(spark, sf):
     old, new = versions(spark, sf)
     wider = new.withColumn("note", F.when(F.col("id") % 5 == 0, "rush")).select("id", "note", "status")
     return d.apply(old, d.diff(old, wider), wider)
+
+
+@query()
+def diff_fewest_moves(spark, sf):
+    """Orders of few contents, with rows put on top and every 97th taken to the end: as few moves as possible, which SQL can't find; tested against brute force."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.floor("o_totalprice").alias("price"))
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.col("price") % 5).otherwise(F.col("price"))  # contents that repeat
+    rows = o.select(F.col("o_orderkey").cast("long").alias("at"), price.alias("price"), "o_orderstatus")
+    top = rows.where("at % 50 = 1").select((-F.col("at")).alias("at"), F.lit(-1).cast("long").alias("price"), "o_orderstatus")
+    later = rows.withColumn("at", F.when(F.col("at") % 97 == 0, F.col("at") + (1 << 40)).otherwise(F.col("at")))
+    return d.fewest_moves(rows, top.unionByName(later), "at", "at").select("row_index", "new_index", F.get("old", F.lit(0)).alias("price"))

@@ -198,3 +198,70 @@ def test_changed_columns_of_two_versions(spark, config):
         assert by['{"id":"1"}'] == ("UPDATE", [2, 3]) and '{"id":"2"}' not in by and by['{"id":"3"}'][0] == "DELETE"
         with pytest.raises(ValueError):
             d.diff(old, new, d.DiffConfig("key_based", keys=("gone",)))
+
+
+def _least_moves(old, new):
+    """Matched rows less the longest increasing part, by the plain quadratic recurrence."""
+    nth, places = {}, {}
+    for k, v in enumerate(new):
+        places[v, nth.setdefault(v, 0)] = k
+        nth[v] += 1
+    nth, seq = {}, []
+    for v in old:
+        n = nth.setdefault(v, 0)
+        nth[v] += 1
+        if (v, n) in places:
+            seq.append(places[v, n])
+    best = []
+    for k, v in enumerate(seq):
+        best.append(1 + max((b for b, u in zip(best, seq[:k], strict=True) if u < v), default=0))
+    return len(seq) - max(best, default=0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fewest_moves(spark, seed, monkeypatch):
+    from deltaloom.operators import moves
+
+    rnd = random.Random(seed)
+    old = [rnd.choice("abcdefgh") + str(rnd.randrange(6)) for _ in range(90)]
+    new = [*(f"top{k}" for k in range(5)), *old]
+    for _ in range(seed * 6):
+        v = new.pop(rnd.randrange(len(new)))
+        new.insert(rnd.randrange(len(new)), v)
+    new = [v for v in new if rnd.random() > 0.05]
+    side = lambda rows: spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "pos long, v string").selectExpr("pos", "v")
+    got = d.fewest_moves(side(old), side(new), "pos", "pos").collect()
+    assert len(got) == _least_moves(old, new)
+    assert all(old[r["row_index"]] == new[r["new_index"]] == r["old"][0] for r in got)
+    # What stays is in the same order on both sides, also where ranges are thinned out by themselves.
+    monkeypatch.setattr(moves, "RUNS_A_TASK", 7)
+    gone = {(r["row_index"], r["new_index"]) for r in d.fewest_moves(side(old), side(new), "pos", "pos").collect()}
+    nth, places, stay = {}, {}, []
+    for k, v in enumerate(new):
+        places[v, nth.setdefault(v, 0)] = k
+        nth[v] += 1
+    nth = {}
+    for k, v in enumerate(old):
+        n = nth.setdefault(v, 0)
+        nth[v] += 1
+        if (v, n) in places and (k, places[v, n]) not in gone:
+            stay.append(places[v, n])
+    assert stay == sorted(stay)
+
+
+def test_an_insertion_at_the_top_moves_nothing(spark):
+    old = spark.range(0, 500).selectExpr("id AS pos", "id % 7 AS v")
+    new = spark.range(0, 501).selectExpr("id - 1 AS pos", "if(id = 0, -1, (id - 1) % 7) AS v")
+    assert d.fewest_moves(old, new, "pos", "pos").count() == 0
+    assert d.fewest_moves(old.limit(0), new, "pos", "pos").count() == 0
+    assert d.diff(old, new, d.DiffConfig("content_hash", order="pos", detect_moves=True, fewest_moves=True)).where("op = 'MOVE'").count() == 0
+
+
+def test_orders_moved_on_the_smallest_table(spark, sf):
+    from deltaloom.plans.registry import QUERIES
+
+    got = {(r["row_index"], r["new_index"]) for r in QUERIES["diff_fewest_moves"](spark, sf).collect()}
+    rows = sorted((r["o_orderkey"], int(r["o_totalprice"] // 1) % 5 if r["o_orderkey"] % 3 == 0 else int(r["o_totalprice"] // 1), r["o_orderstatus"]) for r in spark.read.parquet(f"{sf}/orders.parquet").collect())
+    old = [r[1:] for r in rows]
+    new = [r[1:] for r in sorted([(-k, -1, s) for k, _, s in rows if k % 50 == 1] + [(k + (1 << 40) if k % 97 == 0 else k, p, s) for k, p, s in rows], key=lambda r: r[0])]
+    assert len(got) == _least_moves(old, new)
