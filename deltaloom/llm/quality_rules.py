@@ -14,15 +14,17 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, staged, words_array
+from .common import fresh, small, staged, words_array
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 #: Distinct repeated windows of a text up to which they are looked up one by one; a matter of speed only.
 FEW_REPEATS = 24
+#: Texts of more bytes are counted as rows, in pieces of about so many characters.
+LONG_BYTES, PIECE_CHARS = 1 << 20, 1 << 17
 #: Permitted share of good documents rejected in a stratum, and the probability that this fails in any of them.
 RISK, ERROR = 0.03, 0.05
 #: A good holdout document that is rejected weighs as much as so many bad ones that are kept.
@@ -40,6 +42,50 @@ def _left(text: Column, chars: str) -> Column:
 def measured(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with the counts of column ``text`` in a struct column ``m``; a null text counts as empty.
 
+    Texts up to LONG_BYTES are measured where they are. Longer ones are written once and their words and windows counted
+    as rows, piece by piece, so that no task holds the words of a whole long text.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    number = fresh(rows, "number")
+    long = staged(rows.where(size > LONG_BYTES).withColumn(number, F.monotonically_increasing_id()), "long")
+    short = _measured_short(rows.where(size <= LONG_BYTES), text)
+    return short if long.isEmpty() else short.unionByName(_measured_long(long, text, number))
+
+
+def _measured_long(rows: DataFrame, text: str, number: str) -> DataFrame:
+    """The same counts by rows of pieces, lines and windows; ``rows`` is a written table and ``number`` tells its rows apart."""
+    texts = rows.select(F.col(number).alias("of"), F.col(text).alias("body"))
+    space = r"\x20\x09-\x0D"
+    # A piece ends before white space, and a longer word is a piece of its own.
+    cut = F.regexp_extract_all("body", F.lit(rf"(?s).{{1,{PIECE_CHARS}}}(?=[{space}]|\z)|.+?(?=[{space}]|\z)"), 0)
+    pieces = texts.select("of", F.posexplode(cut).alias("piece", "part"))
+    words = staged(pieces.select("of", "piece", words_array(F.col("part")).alias("w")), "words")
+    along = Window.partitionBy("of").orderBy("piece")  # the pieces of one text
+    counted = words.select("of", "piece", F.size("w").cast("long").alias("n"), F.length(F.array_join("w", "")).cast("long").alias("chars"), F.slice("w", 1, 2).alias("head"), F.size("w").alias("k")).where("k > 0")
+    # The windows of a piece run on into the next two words, which may lie in two pieces.
+    ahead = F.slice(F.concat(F.coalesce(F.lead("head", 1).over(along), F.array()), F.coalesce(F.lead("head", 2).over(along), F.array())), 1, 2)
+    placed = counted.withColumns({"before": F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "ahead": ahead}).select("of", "piece", "before", "ahead")
+    joined = words.join(placed, ["of", "piece"]).select("of", "before", F.concat("w", "ahead").alias("w"))
+    windows = joined.select("of", "before", F.posexplode(F.expr("if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])))")).alias("i", "h")).select("of", (F.col("before") + F.col("i")).alias("i"), "h")
+    again = windows.groupBy("of", "h").agg(F.count("*").alias("times"), F.min("i").alias("first"), F.max("i").alias("last")).where("times > 1")
+    # Windows found twice are known by their ends; only those found more often are looked up.
+    twice = again.select("of", F.explode(F.array("first", "last")).alias("i"))
+    often = windows.join(again.where("times > 2").select("of", "h"), ["of", "h"], "left_semi").select("of", "i")
+    repeated = twice.unionByName(often).select("of", F.explode(F.array(F.col("i"), F.col("i") + 1, F.col("i") + 2)).alias("i")).distinct().groupBy("of").agg(F.count("*").alias("n_repeat_words"))
+    lines = texts.select("of", F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").rlike(rf"[^{space}]"))
+    lines = lines.groupBy("of", F.sha2("line", 256).alias("line")).agg(F.count("*").alias("n")).groupBy("of").agg(F.sum("n").alias("n_lines"), (F.sum("n") - F.count("*")).alias("n_dup_lines"))
+    totals = counted.groupBy("of").agg(F.sum("n").alias("n_words"), F.sum("chars").alias("word_chars"))
+    left = texts.select("of", _left(F.col("body"), f"A-Z!{SYMBOLS}").alias("c"))
+    signs = left.select("of", *(F.length(_left(F.col("c"), k)).cast("long").alias(n) for n, k in (("n_symbols", SYMBOLS), ("n_upper", "A-Z"), ("n_bangs", "!"))))
+    every = signs.join(totals, "of", "left").join(lines, "of", "left").join(repeated, "of", "left")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs")
+    counts = staged(every.select(F.col("of").alias("of_row"), F.struct(*(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names)).alias("m")), "long-counts")
+    return rows.join(counts, F.col(number) == F.col("of_row")).select(*(c for c in rows.columns if c != number), "m")
+
+
+def _measured_short(rows: DataFrame, text: str) -> DataFrame:
+    """Counts of texts whose words fit into a task's memory many times.
+
     Repeated three-word windows are found by 64-bit hashes of the windows; only texts that hold a repeat are sorted.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -142,8 +188,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdict of every document.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``, one row for
-    each input row. A null or blank text has no words and fails the base rules; null ids stay null; a null language is
-    a stratum of its own. Further columns aren't returned. Empty tables give an empty result.
+    each input row. A null or blank text has no words and fails the base rules; null ids stay null; a null language
+    shares the stratum of the empty one. Texts of any length are counted whole. Further columns aren't returned. Empty tables give an empty result.
     """
     found = judged(docs.select("doc_id", "text", "lang"), staged(thresholds(docs, labels), "cutoffs"))
     return found.select("row.doc_id", *(f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")

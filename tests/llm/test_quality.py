@@ -535,3 +535,19 @@ def test_pipeline_stages_take_broken_utf8(spark, tmp_path, repeated):
             assert kept <= given
             assert any(h.endswith("20C3") for _, h in kept)
     assert docs.count()
+
+
+def test_long_texts_are_counted_as_rows(spark, monkeypatch):
+    """Every text by the way of long texts, in pieces of a few characters, against the way of short ones."""
+    import random
+
+    rnd = random.Random(1)
+    parts = ["a", "bb", "Ccc", "d#", "é!", "\n", " ", "\t x\n", "long" * 10]
+    rows = [(k, "".join(rnd.choice(parts) + rnd.choice([" ", "  ", "\n"]) for _ in range(rnd.choice([0, 1, 2, 3, 5, 50, 300])))) for k in range(60)]
+    rows += [(100, "x" * 5000), (101, None), (102, "y " * 500), (103, " ".join("z" * 40 for _ in range(30))), (100, "x" * 5000)]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("number", F.lit("clash"))
+    want = sorted((r["id"], r["m"]) for r in quality_rules._measured_short(df, "t").collect())
+    monkeypatch.setattr(quality_rules, "LONG_BYTES", 0)
+    monkeypatch.setattr(quality_rules, "PIECE_CHARS", 20)
+    got = quality_rules.measured(df, "t")
+    assert got.columns == ["id", "t", "number", "m"] and sorted((r["id"], r["m"]) for r in got.collect()) == want
