@@ -128,7 +128,7 @@ def read_records(spark: SparkSession, path: str | list[str], quote: str = '"') -
         raise ValueError(f"{n} splits; raise spark.sql.files.maxPartitionBytes")
     whole = records(lines, states, quote, False).select("first", F.col("record").cast("string").alias("record"))
     over = records(lines, states, quote, True).groupBy("file", "owner").agg(F.max("first").alias("first"), F.array_sort(F.collect_list(F.struct("split", F.col("record").cast("string").alias("record")))).alias("x"))
-    every = whole.unionByName(over.select("first", F.array_join("x.record", "\n").alias("record"))) if not states.where("inside").isEmpty() else whole
+    every = whole.unionByName(over.select("first", F.array_join("x.record", "\n").alias("record"))) if not states.where("inside or ends_inside").isEmpty() else whole
     return every.withColumn("record", F.regexp_replace("record", r"\r\z", ""))
 
 
