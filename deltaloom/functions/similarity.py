@@ -27,9 +27,26 @@ def bigram_jaccard(a: Column, b: Column) -> Column:
     return F.when(all_of == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / all_of)
 
 
+def bigram_codes(c: Column) -> Column:
+    """:func:`bigrams` as numbers, two code points each: made once a row, and cheap to compare with those of many others."""
+    return F.transform(bigrams(c), lambda g: F.shiftleft(F.ascii(g).cast("long"), 21).bitwiseOR(F.ascii(F.substr(g, F.lit(2))).cast("long")))
+
+
+def jaccard(x: Column, y: Column) -> Column:
+    """Common elements of two sets over all; 1 if both are empty."""
+    common = F.size(F.array_intersect(x, y))
+    all_of = F.size(x) + F.size(y) - common
+    return F.when(all_of == 0, F.lit(1.0)).otherwise(common / all_of)
+
+
 def blended(a: Column, b: Column) -> Column:
     """0.7 edit similarity and 0.3 bigram similarity; 1 for equal strings, 0 if one is empty."""
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(0.7 * levenshtein_similarity(a, b) + 0.3 * bigram_jaccard(a, b))
+    return blend(a, b, levenshtein_similarity(a, b), bigram_jaccard(a, b))
+
+
+def blend(a: Column, b: Column, edit: Column, grams: Column) -> Column:
+    """:func:`blended` of similarities that are known already."""
+    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(0.7 * edit + 0.3 * grams)
 
 
 def row_similarity(pairs: list[tuple[Column, Column]]) -> Column:

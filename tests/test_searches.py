@@ -126,6 +126,29 @@ def test_clicks_of_long_intervals_are_not_paired(spark, sf):
     assert joined and max(joined) < pairs / 2
 
 
+def test_pairs_of_blocks_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 500)
+    rows = [(None if k == 5 else k, None if k % 40 == 3 else k % 3 if k < 150 else 0, f"t{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, block long, p string")
+    pairs = joins.pairs_within(df, ["block"], "id")
+    got = [tuple(r) for r in pairs.select("p.id", "q.id", "p.p", "q.p").collect()]
+    want = [(a, c, x, y) for a, b, x in rows for c, d, y in rows if None not in (a, b, c, d) and b == d and a < c]
+    assert sorted(got) == sorted(want)
+    sizes = [r[0] for r in pairs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 5 and max(sizes) < len(want) / 3  # not a block a task
+    assert joins.pairs_within(df.limit(0), ["block"], "id").count() == 0
+
+
+def test_bigrams_as_numbers(spark):
+    from deltaloom.functions import similarity
+
+    words = ["", "a", "ab", "abab", "é𝄞é", "𝄞é", "hello", "yellow", "aa", "aaa"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    codes = similarity.jaccard(similarity.bigram_codes(F.col("a")), similarity.bigram_codes(F.col("b")))
+    assert df.where(codes != similarity.bigram_jaccard(F.col("a"), F.col("b"))).count() == 0
+
+
 def test_literals_of_patterns():
     assert text_index.literals("abc") == ["abc"] and text_index.literals("^ab(cd)+e?fg") == ["ab", "cd", "fg"]
     assert text_index.literals("a[.]b\\.c") == ["a.b.c"]
