@@ -14,6 +14,12 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def within_distance(a: Column, b: Column, least: float) -> Column:
+    """Whether the edit similarity can be ``least`` or more; the distance is followed no further than that allows."""
+    most = F.floor((1 - least) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)
+
+
 def bigrams(c: Column) -> Column:
     """The set of two-character substrings."""
     last = F.length(c) - 1

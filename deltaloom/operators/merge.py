@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_sha256
-from ..functions.similarity import mean_similarity
+from ..functions.similarity import mean_similarity, within_distance
 from ..functions.strings import trim_space
 from .clusters import clusters
+from .joins import pairs_within
 from .segments import LEAST, edit_candidates
 from .staging import fresh, staged
 
@@ -148,28 +149,40 @@ def merge_values(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return best.groupBy(key).agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).cast(types[c]).alias(c) for c in cols))
 
 
+#: Different rows of a block up to which they are compared by pairs, not by an index of segments.
+MOST_PAIRED = 8192
+
+
 def fuzzy_clusters(df: DataFrame, id_col: str, cols: list[str], block: list[str], threshold: float = 0.85) -> DataFrame:
     """``id_col, cluster``: rows of a block whose mean field similarity reaches the threshold, and what they reach through others.
 
-    Rows alike in every field are one before they are compared. A mean that reaches the threshold needs a field that does, so
-    only rows are compared that share a segment of one such field (see :mod:`segments`). A field with few values belongs into
-    the block: all rows alike in it are compared. Thresholds too low for segments compare all rows of a block.
+    Rows alike in every field are one before they are compared. A mean that reaches the threshold needs a field that does.
+    In blocks of up to MOST_PAIRED different rows every two are told apart by a bounded edit distance, dealt to tasks by
+    chunks, which costs less than an index of so few texts. In larger blocks only rows meet that share a segment of one such
+    field (see :mod:`segments`). A field with few values belongs into the block: all rows alike in it are compared.
+    Thresholds too low for segments compare all rows of a block.
     """
     fields = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols))
     # Rows whose block columns are all null are a block each.
     of_block = F.coalesce(F.when(reduce(Column.__or__, (F.col(b).isNotNull() for b in block)), F.to_json(F.array(*(F.col(b).cast("string") for b in block)))), F.concat(F.lit("null "), F.col(id_col).cast("string")))
     rows = df.select(F.col(id_col).alias("_id"), of_block.alias("_b"), fields.alias("_f"))
     alike = staged(rows.groupBy("_b", "_f").agg(F.min("_id").alias("_id")), "alike")
-    a, b = alike.select("_b", F.col("_f").alias("fa"), F.col("_id").alias("a")), alike.select(F.col("_b").alias("_b2"), F.col("_f").alias("fb"), F.col("_id").alias("b"))
-    near = mean_similarity([(F.col(f"fa.{c}"), F.col(f"fb.{c}")) for c in cols]) >= threshold
+    near = mean_similarity([(F.col(f"p._f.{c}"), F.col(f"q._f.{c}")) for c in cols]) >= threshold
     least = (threshold - 0.3) / 0.7  # edit similarity of a field that reaches the threshold
-    if least >= LEAST:
-        each = [alike.select(F.col("_id").alias("id"), F.col("_b").alias("block"), F.col(f"_f.{c}").alias("text")).where("text <> ''") for c in cols]
+    # A distance within a bound is cheap; what passes is compared in full. Fields that are both empty count as equal.
+    close = reduce(Column.__or__, (within_distance(F.col(f"p._f.{c}"), F.col(f"q._f.{c}"), least) for c in cols)) if least > 0 else F.lit(True)
+    blocks = alike.groupBy("_b").agg(F.count("*").alias("_n"))
+    if least >= LEAST and blocks.where(F.col("_n") > MOST_PAIRED).limit(1).count():
+        wide = blocks.where(F.col("_n") > MOST_PAIRED).select("_b")
+        crowded = staged(alike.join(wide, "_b", "left_semi"), "crowded")
+        each = [crowded.select(F.col("_id").alias("id"), F.col("_b").alias("block"), F.col(f"_f.{c}").alias("text")).where("text <> ''") for c in cols]
         found = reduce(DataFrame.union, (edit_candidates(v, least) for v in each))
-        links = (found.distinct() if len(each) > 1 else found).join(a, "a").join(b, "b")
+        p, q = (crowded.select(F.col("_id").alias(x), F.struct(*crowded.columns).alias(y)) for x, y in (("a", "p"), ("b", "q")))
+        indexed = (found.distinct() if len(each) > 1 else found).join(p, "a").join(q, "b").select("p", "q")
+        pairs = pairs_within(alike.join(wide, "_b", "left_anti"), ["_b"], "_id").union(indexed)
     else:
-        links = a.join(b, F.col("_b") == F.col("_b2")).where("a < b")
-    found = clusters(links.where(near).select("a", "b"), "a", "b")
+        pairs = pairs_within(alike, ["_b"], "_id")
+    found = clusters(pairs.where(close).where(near).select(F.col("p._id").alias("a"), F.col("q._id").alias("b")), "a", "b")
     named = alike.join(found, alike["_id"] == found["node"], "left").select("_b", "_f", F.coalesce("cluster", "_id").alias("cluster"))
     return rows.join(named, ["_b", "_f"]).select(F.col("_id").alias(id_col), "cluster")
 

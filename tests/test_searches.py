@@ -68,6 +68,20 @@ def test_fuzzy_clusters_of_several_fields(spark):
         assert got == want
 
 
+def test_fuzzy_clusters_alike_by_pairs_and_by_index(spark, monkeypatch):
+    """Names that all begin alike, so that an index of segments meets every pair many times: none of a small block are indexed."""
+    rnd = random.Random(9)
+    rows = [(k, k % 3 if k < 150 else 0, f"BRAND#{rnd.randint(1, 25)} {rnd.choice(['large', 'hot', 'small'])} {rnd.choice(['ring', 'bolt', 'gear'])}") for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, block long, name string")
+    want = sorted(map(tuple, merge.fuzzy_clusters(df, "id", ["name"], ["block"]).collect()))
+    monkeypatch.setattr(merge, "MOST_PAIRED", 60)  # some blocks by the index, some by pairs
+    assert sorted(map(tuple, merge.fuzzy_clusters(df, "id", ["name"], ["block"]).collect())) == want
+    assert 3 < len({c for _, c in want}) < len({(b, n) for _, b, n in rows})
+    monkeypatch.undo()
+    monkeypatch.setattr(merge, "edit_candidates", None)  # not called
+    assert sorted(map(tuple, merge.fuzzy_clusters(df, "id", ["name"], ["block"]).collect())) == want
+
+
 @pytest.mark.parametrize("kind", ["long", "double", "timestamp"])
 def test_range_join_over_any_length(spark, kind):
     rnd = random.Random(7)
