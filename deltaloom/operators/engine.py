@@ -26,7 +26,7 @@ from ..sources.sniff import file_size
 #: Groups whose states a task holds before it hands them on.
 HELD_GROUPS = 100_000
 #: About what a bucket of an index holds.
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 16 << 20
 
 _TOKEN = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`\\]|\\.)*`|[A-Za-z_][A-Za-z0-9_]*|\s+|.)""", re.S)
 

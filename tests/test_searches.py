@@ -163,6 +163,18 @@ def test_bigrams_as_numbers(spark):
     assert df.where(codes != similarity.bigram_jaccard(F.col("a"), F.col("b"))).count() == 0
 
 
+def test_buckets_grow_in_number_and_not_in_size(spark):
+    engine = Engine(spark)
+    engine.register("numbers", spark.range(0, 20_000_000, 1, 8))  # 160 MB, of which a task sorts a tenth
+    index = engine.create_index("numbers", ("id",), "hash")
+    try:
+        told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {index.name}").collect()}
+        assert int(told["Num Buckets"]) >= 9
+        assert engine.lookup("numbers", "id", 12_345_678).count() == 1
+    finally:
+        engine.drop_index("numbers", ("id",), "hash")
+
+
 def test_literals_of_patterns():
     assert text_index.literals("abc") == ["abc"] and text_index.literals("^ab(cd)+e?fg") == ["ab", "cd", "fg"]
     assert text_index.literals("a[.]b\\.c") == ["a.b.c"]
