@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +62,9 @@ class MergeConfig:
     block: tuple[str, ...] = ()
     same: Callable[[str, str], Column] | None = None
     resolver: Callable | None = None
+    #: Instead of ``resolver``: takes the rows of many whole groups and the name of the column that tells them apart, and
+    #: returns the rows that stay; for many small groups far cheaper than a call each.
+    resolve_many: Callable | None = None
 
     def faults(self) -> list[str]:
         out = []
@@ -74,7 +79,7 @@ class MergeConfig:
             out.append("fuzzy dedup needs block columns")
         if self.dedup == "custom" and self.same is None:
             out.append("custom dedup needs a condition")
-        if self.resolve == "custom" and self.resolver is None:
+        if self.resolve == "custom" and self.resolver is None and self.resolve_many is None:
             out.append("custom resolution needs a function")
         return out
 
@@ -149,6 +154,25 @@ def merge_values(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return best.groupBy(key).agg(*(F.max(F.when(F.col("c") == c, F.col("v"))).cast(types[c]).alias(c) for c in cols))
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """``frames`` of rows in order of ``key``, cut anew so that no group lies in two; one frame and one group are held at most."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        keys = frame[key].to_numpy()
+        opens = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1][key].iloc[-1] != keys[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        if len(opens):
+            yield pd.concat([*held, frame.iloc[: opens[-1]]], ignore_index=True)
+            held = []
+        held.append(frame.iloc[opens[-1] :] if len(opens) else frame)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 #: Different rows of a block up to which they are compared by pairs, not by an index of segments.
 MOST_PAIRED = 8192
 
@@ -224,7 +248,13 @@ def merge(sources: list[Source], config: MergeConfig = MergeConfig(), source_col
             # The function sees a group's rows with their tags in columns of their own; rows without a key have no group.
             flat = [F.col(f"{tag}.{n}").alias(fresh(every, f"_{n}")) for n in _TAGS]
             groups = keyed.where(F.col(key).isNotNull()).select(key, *data, *flat)
-            one = groups.groupBy(key).applyInPandas(lambda group: config.resolver(group.drop(columns=[key])), groups.drop(key).schema)
+            schema = groups.drop(key).schema
+            if config.resolve_many is not None:
+                many, names = config.resolve_many, schema.names  # tasks are sent these, not the sources of the whole merge
+                dealt = groups.repartition(key).sortWithinPartitions(key)
+                one = dealt.mapInPandas(lambda frames: (many(rows, key)[names] for rows in whole_groups(frames, key)), schema)
+            else:
+                one = groups.groupBy(key).applyInPandas(lambda group: config.resolver(group.drop(columns=[key])), schema)
             packed = F.struct(*(F.col(fresh(every, f"_{n}")).alias(n) for n in _TAGS)).alias(tag)
             out = one.select(*data, packed).unionByName(keyed.where(F.col(key).isNull()).select(*data, tag))
         else:

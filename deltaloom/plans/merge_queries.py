@@ -144,8 +144,8 @@ _ODD = f"SELECT CASE WHEN id % 10 = 0 THEN NULL ELSE id END AS id, name AS _row,
 def merge_custom(spark, sf):
     """A resolver of one's own: the greatest balance. Rows without a key stay, and columns named like the merge's own notes are kept."""
     odd = [m.Source(s.name, s.rows.select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), F.col("name").alias("_row"), F.col("balance").alias("_ts"))) for s in sources(spark, sf)]
-    greatest = lambda rows: rows.sort_values(["_ts", "_row"], ascending=[False, True]).head(1)
-    return m.merge(odd, m.MergeConfig(resolve="custom", resolver=greatest)).select("id", "_row", F.round("_ts", 2).alias("_ts"))
+    greatest = lambda rows, key: rows.sort_values([key, "_ts", "_row"], ascending=[True, False, True]).drop_duplicates(key)
+    return m.merge(odd, m.MergeConfig(resolve="custom", resolve_many=greatest)).select("id", "_row", F.round("_ts", 2).alias("_ts"))
 
 
 @query(f"SELECT 'a' AS source, count(*) AS rows FROM ({_A}) UNION ALL SELECT 'b', count(*) FROM ({_B}) UNION ALL SELECT 'merged', count(DISTINCT id) FROM ({_BOTH})")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from deltaloom.operators import diff as d
@@ -54,6 +55,23 @@ def test_exact_hash_custom_and_idempotence(spark):
     assert len(got(m.merge(s, m.MergeConfig(resolve="custom", resolver=longest)))) == 5  # rows without a key have no group
 
 
+def test_many_groups_are_resolved_in_one_call(spark):
+    rows = [(str(k % 40) if k % 9 else "", f"{k:03}") for k in range(400)] + [("7", f"x{k}") for k in range(300)]
+    s = [m.Source("a", frame(spark, "id,v", rows[:350])), m.Source("b", frame(spark, "id,v", rows[350:]))]
+    first = lambda group: group.sort_values("v").head(1)
+    of_many = lambda rows, key: rows.sort_values([key, "v"]).drop_duplicates(key)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # groups lie over batches
+    try:
+        assert got(m.merge(s, m.MergeConfig(resolve="custom", resolve_many=of_many))) == got(m.merge(s, m.MergeConfig(resolve="custom", resolver=first)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    keys = ["a"] * 5 + ["b"] + ["c"] * 9 + ["d"]
+    for size in (1, 2, 4, 30):
+        frames = [pd.DataFrame({"k": keys[n : n + size]}) for n in range(0, len(keys), size)]
+        whole = [list(f["k"]) for f in m.whole_groups(iter([frames[0].iloc[:0], *frames]), "k")]
+        assert sum(whole, []) == keys and all(a[-1] != b[0] for a, b in zip(whole, whole[1:], strict=False))
+
+
 def test_filters_renames_preview_and_statistics(spark):
     a = frame(spark, "key,v", [("1", "keep"), ("2", "drop me"), ("3", "keep")])
     s = m.Source("a", a, renames={"key": "id"}, exclude={"v": "^drop"}, row_filter=F.col("id") != "3")
