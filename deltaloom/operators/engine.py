@@ -477,9 +477,13 @@ class Engine:
             row = staging.fresh(df.columns, "row_id")
             df.withColumn(row, F.monotonically_increasing_id()).write.options(**options).parquet(f"{path}/rows")
             copy = self.spark.read.parquet(f"{path}/rows")
-            # A frequent token or trigram is many rows; the row number parts it into ranges.
-            lists, by = (inverted_index(copy, row, columns[0]), "token") if kind == "fulltext" else (text_index.postings(copy, row, columns[0]), "gram")
-            lists.repartitionByRange(by, "row_id").sortWithinPartitions(by, "row_id").write.parquet(f"{path}/tokens")
+            if kind == "fulltext":
+                # A frequent token is many rows; the row number parts it into ranges.
+                lists = inverted_index(copy, row, columns[0]).repartitionByRange("token", "row_id").sortWithinPartitions("token", "row_id")
+            else:
+                # A frequent trigram is a line for 64 rows. Dealt by a hash, as ranges would make all lines twice; blocks part a trigram.
+                lists = text_index.postings(copy, row, columns[0]).repartition("gram", F.shiftright("block", 16)).sortWithinPartitions("gram", "block")
+            lists.write.parquet(f"{path}/tokens")
             data = self.spark.read.parquet(f"{path}/tokens")
         else:
             raise ValueError(f"no index kind {kind!r}")

@@ -197,6 +197,24 @@ def test_trigram_lookup_equals_a_scan(spark, monkeypatch):
     engine.drop_index("texts", ("t",), "trigram")
 
 
+def test_trigrams_of_many_rows_share_a_line(spark):
+    """Lines of the index are some bits of 64 rows each, not a line a row; texts of broken UTF-8 and long ones are found, too."""
+    texts = ["the quick brown fox %d" % (k % 7) for k in range(1000)] + ["é" * 10 + "𝄞needle", "", None, "x" * 3_000_000 + "needle"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, t string").coalesce(1)
+    df = df.unionByName(spark.sql("SELECT 2000L AS id, CAST(X'FF6E6565646C65FE' AS STRING) AS t"))
+    rows = df.withColumn("row_id", F.monotonically_increasing_id())
+    lines = text_index.postings(rows, "row_id", "t")
+    pairs = sum(len({b[k : k + 3] for k in range(len(b) - 2)}) for b in (t.encode() for t in texts if t))
+    assert lines.count() < pairs / 10
+    engine = Engine(spark)
+    engine.register("many", df)
+    engine.create_index("many", ("t",), "trigram")
+    for pattern in ("needle", "𝄞need", "quick.*fox 3", "éé𝄞", "\ufffdneedle"):
+        got = sorted(r["id"] for r in engine.lookup_pattern("many", "t", pattern).select("id").collect())
+        assert got == sorted(r["id"] for r in df.where(F.col("t").rlike(pattern)).select("id").collect()) and got, pattern
+    engine.drop_index("many", ("t",), "trigram")
+
+
 def test_bloom_filters_leave_row_groups_out(spark):
     engine = Engine(spark)
     engine.register("keys", spark.range(0, 200_000, 1, 1).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("s"), "id"))
