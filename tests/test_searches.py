@@ -350,6 +350,24 @@ def test_fewest_moves(spark, seed, monkeypatch):
     assert stay == sorted(stay)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_fewest_moves_in_blocks(spark, seed, monkeypatch):
+    """More runs than one task looks at: as few moves as in one task, and the same ones."""
+    from deltaloom.operators import moves
+
+    rnd = random.Random(seed)
+    old = list(range(60))
+    new = old[:]
+    for _ in range(25):
+        new.insert(rnd.randrange(len(new)), new.pop(rnd.randrange(len(new))))
+    new = [v for v in new if v % 9] + [v for v in new if v % 9 == 0]
+    side = lambda rows: spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "pos long, v long").selectExpr("pos", "v")
+    found = lambda: {(r["row_index"], r["new_index"]) for r in d.fewest_moves(side(old), side(new), "pos", "pos").collect()}
+    whole = found()
+    monkeypatch.setattr(moves, "RUNS_A_TASK", 12)
+    assert found() == whole and len(whole) == _least_moves(old, new)
+
+
 def test_an_insertion_at_the_top_moves_nothing(spark):
     old = spark.range(0, 500).selectExpr("id AS pos", "id % 7 AS v")
     new = spark.range(0, 501).selectExpr("id - 1 AS pos", "if(id = 0, -1, (id - 1) % 7) AS v")
