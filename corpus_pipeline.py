@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm import best_fit_packing, exact_dedup, near_texts, quality_gam, quality_rules
-from deltaloom.llm.common import lasting, table
+from deltaloom.llm.common import lasting, table, table_if_any
 
 # Every stage takes null and repeated ids, null, empty and very long texts and broken UTF-8, further columns and empty tables; what it does with them
 # is stated by the operator that it calls.
@@ -23,8 +23,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The rules leave hardly any bad document to learn from, so the model learns from all labelled documents.
-    return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
+    # The rules leave hardly any bad document to learn from, so the model learns from all labelled documents. A stage may
+    # be given documents that the folder doesn't hold; where it has no such table, the model learns from those given.
+    return quality_gam.keep_good(docs, table(spark, sf_dir, "labels"), table_if_any(spark, sf_dir, "documents"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

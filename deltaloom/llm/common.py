@@ -11,6 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_if_any(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """The table, or None where the folder has none (no such path, or no file below it); any other fault is an error."""
+    try:
+        return table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is configured."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -537,6 +537,23 @@ def test_pipeline_stages_take_broken_utf8(spark, tmp_path, repeated):
     assert docs.count()
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_take_documents_from_elsewhere(spark, tmp_path, empty):
+    """A folder without documents, or with an empty one: stages read what they are given, and the classifier learns from that."""
+    marks = table(spark, SF01, "labels")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    if empty:
+        (tmp_path / "documents.parquet").mkdir()
+    docs = table(spark, SF01, "documents")
+    passed = corpus_pipeline.rules_stage(spark, docs, f"{tmp_path}")
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    # Given all documents the model is the one that the whole folder gives.
+    want = ids(corpus_pipeline.classifier_stage(spark, docs, SF01))
+    assert ids(corpus_pipeline.classifier_stage(spark, docs, f"{tmp_path}")) == want and 0 < len(want) < docs.count()
+    got = ids(corpus_pipeline.classifier_stage(spark, passed, f"{tmp_path}"))
+    assert got == ids(quality_gam.keep_good(passed, marks)) and got
+
+
 def test_long_texts_are_counted_as_rows(spark, monkeypatch):
     """Every text by the way of long texts, in pieces of a few characters, against the way of short ones."""
     import random
