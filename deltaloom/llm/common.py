@@ -174,6 +174,22 @@ def table_chunks(batches: Iterator[pa.RecordBatch], chunk_rows: int = CHUNK_ROWS
             at += n
 
 
+#: Bytes of an Arrow batch handed to Python, unless the session has its own bound.
+ARROW_BYTES_KEY, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to hand rows to Python in batches of bounded bytes, unless a bound is set there.
+
+    Spark's own bound is 10,000 rows or 64 MB. Whole texts then make vectors of tens of megabytes outside the heap, and
+    an executor's memory keeps growing by what the allocator holds back of them.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES_KEY, None) is None:
+        conf.set(ARROW_BYTES_KEY, str(ARROW_BYTES))
+    return df
+
+
 def arrow_map(df: DataFrame, schema: str, per_chunk: Callable[[dict[str, list]], dict[str, list]], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Apply ``per_chunk`` (columns in, columns out) to slices of bounded rows and bytes of each Arrow batch.
 
@@ -193,4 +209,4 @@ def arrow_map(df: DataFrame, schema: str, per_chunk: Callable[[dict[str, list]],
             got = per_chunk(rows)
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.select(*(F.col(f.name).cast("binary").alias(f.name) if f.name in texts else F.col(f.name) for f in df.schema)).mapInArrow(run, schema)
+    return df.select(*(F.col(f.name).cast("binary").alias(f.name) if f.name in texts else F.col(f.name) for f in bounded_batches(df).schema)).mapInArrow(run, schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lasting, pieces, small, staged, table_chunks, utf8
+from .common import bounded_batches, lasting, pieces, small, staged, table_chunks, utf8
 from .components import components
 from .simhash_dedup import distance_table, keep_found, print_of_digests, whole_tasks
 
@@ -127,7 +127,7 @@ def _map(df: DataFrame, schema: str, rows_of) -> DataFrame:
             got = rows_of(*rows.values())
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=names)
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def common_shingles(texts: DataFrame, n_texts: int, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces, utf8
+from .common import arrow_map, bounded_batches, pieces, utf8
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their id.
 TRAIN_ROWS = 20_000
@@ -214,7 +214,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     with all features zero. Null ids stay null. Only the text feeds the score. Without labels every text scores one half.
     """
     model = train(docs, labels)
-    rows = docs.select("doc_id", held_out().alias("held_out"), scored(model, F.col("text")).alias("score"))
+    rows = bounded_batches(docs).select("doc_id", held_out().alias("held_out"), scored(model, F.col("text")).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int"))
 
 
@@ -226,4 +226,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None =
     text is scored like any other; repeated rows stay or go together; an empty table gives an empty result. Without
     labels every text scores one half and nothing is kept.
     """
-    return docs.where(scored(train(docs if learn_from is None else learn_from, labels), F.col("text")) >= THRESHOLD)
+    return bounded_batches(docs).where(scored(train(docs if learn_from is None else learn_from, labels), F.col("text")) >= THRESHOLD)
