@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import compat, hashing, similarity, strings
+from ..functions import compat, hashing, strings, text_pairs
 from ..operators import joins, scoring, urls
 from ..operators.engine import inverted_index
 from ..operators.staging import shared_dir
@@ -113,13 +113,11 @@ _JACCARD = f"len(list_intersect({_GRAMS.format('x')}, {_GRAMS.format('y')})) / l
 @query(f"""SELECT a, b, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS edit, round({_JACCARD}, 6) AS grams,
 round(CASE WHEN x = y THEN 1 ELSE 0.7 * (1 - levenshtein(x, y) / greatest(length(x), length(y))) + 0.3 * {_JACCARD} END, 6) AS blend FROM ({_PAIRS})""")
 def name_similarity(spark, sf):
-    """All pairs of a block, whose number grows with the square of its rows; bigrams are made once a row."""
-    c = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name", similarity.bigram_codes(F.col("c_name")).alias("grams"))
-    x, y = F.col("p.c_name"), F.col("q.c_name")
-    pairs = joins.pairs_within(c, ["c_nationkey", "c_mktsegment"], "c_custkey")
-    each = pairs.select("p", "q", similarity.levenshtein_similarity(x, y).alias("edit"), similarity.jaccard(F.col("p.grams"), F.col("q.grams")).alias("grams"))
-    edit, grams = F.col("edit"), F.col("grams")
-    return each.select(F.col("p.c_custkey").alias("a"), F.col("q.c_custkey").alias("b"), F.round(edit, 6).alias("edit"), F.round(grams, 6).alias("grams"), F.round(similarity.blend(x, y, edit, grams), 6).alias("blend"))
+    """All pairs of a block, whose number grows with the square of its rows; similarities are made for all names of two chunks at once."""
+    c = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", F.col("c_name").cast("binary").alias("c_name"))
+    chunks = joins.chunks_within(c, ["c_nationkey", "c_mktsegment"], "c_custkey")
+    rows = [F.transform(side, lambda r: F.struct(r["c_custkey"].alias("id"), r["c_name"].alias("text"))).alias(side) for side in ("p", "q")]
+    return chunks.select(*rows, "same").mapInArrow(text_pairs.of_chunks, "a long, b long, edit double, grams double, blend double")
 
 
 @query("SELECT o_orderkey, md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS md5, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS sha FROM orders")

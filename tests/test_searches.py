@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from deltaloom.functions import text_pairs
 from deltaloom.operators import diff as d
 from deltaloom.operators import joins, merge, text_index
 from deltaloom.operators.closure import closure
@@ -163,6 +164,54 @@ def test_bigrams_as_numbers(spark):
     assert df.where(codes != similarity.bigram_jaccard(F.col("a"), F.col("b"))).count() == 0
 
 
+def test_distances_of_all_texts_at_once(monkeypatch):
+    rnd = random.Random(5)
+    for most, letters in ((8, "ab"), (16, "ab𝄞"), (32, "abcé"), (64, "ab"), (65, "abc"), (150, "ab")):
+        x, y = (["", "ab", letters[0] * most, *("".join(rnd.choice(letters + more) for _ in range(rnd.randint(0, most))) for _ in range(12))] for more in ("", "z"))
+        want = [[_distance(a, b) for b in y] for a in x]
+        assert text_pairs.distances(x, y).tolist() == want
+        with monkeypatch.context() as small:
+            small.setattr(text_pairs, "STEP_BYTES", 64)
+            small.setattr(text_pairs, "LETTER_BYTES", 64)
+            small.setattr(text_pairs, "BIGRAMS", 3)
+            assert text_pairs.distances(x, y).tolist() == want
+            grams = [[{t[k : k + 2] for k in range(len(t) - 1)} for t in side] for side in (x, y)]
+            common, n_x, n_y = text_pairs.common_bigrams(x, y)
+            assert common.tolist() == [[len(a & b) for b in grams[1]] for a in grams[0]] and [n_x.tolist(), n_y.tolist()] == [[*map(len, side)] for side in grams]
+    assert text_pairs.distances(["same"], ["same"]).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("chunk_rows", [7, 1024])
+def test_similarities_of_names_by_chunks(spark, tmp_path, monkeypatch, chunk_rows):
+    """As the built-in functions give them pair by pair, which are not called for each pair any more."""
+    from deltaloom.functions import similarity
+    from deltaloom.plans.registry import QUERIES
+
+    monkeypatch.setattr(joins, "CHUNK_ROWS", chunk_rows)
+    rnd = random.Random(6)
+    names = ["", "a", "b", None, "ab", "é𝄞é", "𝄞é", "x" * 200, "x" * 130 + "y", *(f"Customer#{rnd.randrange(10**9):09}" for _ in range(12))]
+    rows = [(None if k == 5 else k * 7919 % 401 - 100, rnd.choice(names), None if k % 40 == 3 else k % 2, "s" if k % 31 else None) for k in range(150)]
+    rows += [(900, "one", 0, "s"), (900, "two", 0, "s")]  # equal ids don't pair
+    c = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string")
+    c.write.parquet(f"{tmp_path}/customer.parquet")
+    x, y = F.col("p.c_name"), F.col("q.c_name")
+    pairs = c.alias("p").join(c.alias("q"), F.expr("p.c_nationkey = q.c_nationkey and p.c_mktsegment = q.c_mktsegment and p.c_custkey < q.c_custkey"))
+    known = x.isNotNull() & y.isNotNull()
+    want = pairs.select("p.c_custkey", "q.c_custkey", *(F.when(known, f(x, y)) for f in (similarity.levenshtein_similarity, similarity.bigram_jaccard, similarity.blended))).collect()
+    found = QUERIES["name_similarity"](spark, str(tmp_path))
+    assert "levenshtein" not in found._jdf.queryExecution().toString()
+
+    def key(r):
+        return r[0], r[1], [(v is None, v or 0.0) for v in r[2:]]
+
+    got, want = sorted(map(key, found.collect())), sorted(map(key, want))
+    assert len(got) == len(want) > 1000
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and all(m[0] == n[0] and abs(m[1] - n[1]) <= 1.01e-6 for m, n in zip(a[2], b[2], strict=True)), (a, b)
+    c.limit(0).write.parquet(f"{tmp_path}/none/customer.parquet")
+    assert QUERIES["name_similarity"](spark, f"{tmp_path}/none").count() == 0
+
+
 def test_buckets_grow_in_number_and_not_in_size(spark):
     engine = Engine(spark)
     engine.register("numbers", spark.range(0, 20_000_000, 1, 8))  # 160 MB, of which a task sorts a tenth
