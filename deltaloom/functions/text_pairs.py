@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of one array of a step; a handful of them stay in a core's cache. Bytes that the letters of patterns may take.
 STEP_BYTES, LETTER_BYTES = 1 << 17, 1 << 26
 #: Bigrams that are looked at together.
 BIGRAMS = 4096
-#: Pairs of rows that are handed on together.
-PAIRS_A_BATCH = 1 << 16
+#: Pairs of rows that are handed on as one row, which Spark holds all at once, and in one batch; at least those of one row with a chunk.
+PAIRS_A_ROW, PAIRS_A_BATCH = 1 << 12, 1 << 16
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -166,31 +168,58 @@ def _rounded(c: np.ndarray) -> np.ndarray:
     return whole
 
 
-def similarities(x: list[str | None], y: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edit similarity, Jaccard similarity of bigrams and their blend to six decimals, a row for each of ``x``; NaN where a text is null."""
+def similarities(x: list[str | None], y: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Edit similarity, Jaccard similarity of bigrams and their blend to six decimals, NaN where a text is null; as different values, and which of them each two texts have, a row for each of ``x``.
+
+    They rest on four small numbers, so values are far fewer than pairs.
+    """
     a, b = [t or "" for t in x], [t or "" for t in y]
     far = distances(a, b)
     common, n_a, n_b = common_bigrams(a, b)
     long_a, long_b = np.array([len(t) for t in a]), np.array([len(t) for t in b])
-    null_a, null_b = np.array([t is None for t in x]), np.array([t is None for t in y])
-    empty_a, empty_b = np.array([t == "" for t in x]), np.array([t == "" for t in y])
-    odd = (null_a.any() or empty_a.any()) or (null_b.any() or empty_b.any())
-    edit, grams, blend = out = tuple(np.empty(far.shape) for _ in range(3))
-    step = max(1, STEP_BYTES // 8 // len(y))
-    for r in (slice(s, s + step) for s in range(0, len(x), step)):
-        longer = np.maximum(long_a[r, None], long_b)
-        e = 1 - far[r] / np.maximum(longer, 1)
-        all_of = n_a[r, None] + n_b - common[r]
-        g = common[r] / np.maximum(all_of, 1)
-        g[all_of == 0] = 1.0
-        mixed = 0.7 * e + 0.3 * g
-        mixed[far[r] == 0] = 1.0
-        edit[r], grams[r], blend[r] = _rounded(e), _rounded(g), _rounded(mixed)
-        if odd:
-            blend[r][(empty_a[r, None] | empty_b) & (far[r] > 0)] = 0.0
-            null = null_a[r, None] | null_b
-            edit[r][null] = grams[r][null] = blend[r][null] = np.nan
-    return out
+    odd_a, odd_b = (np.array([2 if t is None else t == "" for t in side], np.int64) for side in (x, y))
+    lengths = np.unique([*long_a, *long_b])
+    rank_a, rank_b = np.searchsorted(lengths, long_a), np.searchsorted(lengths, long_b)
+    n_far, n_common, n_all = int(far.max()) + 1, int(common.max()) + 1, int(n_a.max() + n_b.max()) + 1
+    n_odd = 9 if odd_a.any() or odd_b.any() else 1
+    most = n_odd * n_far * len(lengths) * n_common * n_all
+    if most < 1 << 62:
+        key = np.empty(far.shape, np.int32 if most < 1 << 31 else np.int64)
+        step = max(1, STEP_BYTES // key.itemsize // len(y))
+        for r in (slice(s, s + step) for s in range(0, len(x), step)):
+            k = key[r]
+            np.maximum(rank_a[r, None], rank_b, out=k, casting="unsafe")
+            k *= n_far
+            k += far[r]
+            k *= n_common
+            k += common[r]
+            k *= n_all
+            k += (n_a[r, None] + n_b).astype(key.dtype)
+            if n_odd > 1:
+                k += ((odd_a[r, None] * 3 + odd_b) * (most // n_odd)).astype(key.dtype)
+        first, code = _different(key.ravel(), most)
+    else:  # texts of very many letters
+        first = code = np.arange(far.size)
+    r, c = np.divmod(first, len(y))
+    far, common, longer = far[r, c], common[r, c], np.maximum(long_a[r], long_b[c])
+    all_of = n_a[r] + n_b[c] - common
+    edit, grams = np.where(longer == 0, 1.0, 1 - far / np.maximum(longer, 1)), np.where(all_of == 0, 1.0, common / np.maximum(all_of, 1))
+    blend = np.where(far == 0, 1.0, np.where((odd_a[r] == 1) | (odd_b[c] == 1), 0.0, 0.7 * edit + 0.3 * grams))
+    null = (odd_a[r] == 2) | (odd_b[c] == 2)
+    return code.reshape(len(x), len(y)), [np.where(null, np.nan, _rounded(v)) for v in (edit, grams, blend)]
+
+
+def _different(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different key, of those below ``most``, stands once, and which of these each key is."""
+    if most > max(1 << 16, len(keys)):
+        _, first, code = np.unique(keys, return_index=True, return_inverse=True)
+        return first, code.astype(np.int32)
+    stands = np.full(most, -1, np.int32)
+    stands[keys] = np.arange(len(keys), dtype=np.int32)
+    found = np.flatnonzero(stands >= 0)
+    number = np.empty(most, np.int32)
+    number[found] = np.arange(len(found))
+    return stands[found], number[keys]
 
 
 def _rows(chunk: pa.ListScalar) -> tuple[np.ndarray, list[str | None], np.ndarray]:
@@ -203,24 +232,43 @@ def _rows(chunk: pa.ListScalar) -> tuple[np.ndarray, list[str | None], np.ndarra
     return ids[order], different, coded.indices.to_numpy()[order]
 
 
-def of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every two rows of two chunks (``p, q``: arrays of ``id, text``; ``same``: they are one), the lesser id first, with the similarities of their texts.
-
-    Similarities are symmetric, and are made once for each two different texts.
-    """
+def _of_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows of ``p`` with those of ``q``: ids, by pairs the place of the values or -1 for one that isn't a pair, and the values."""
     for batch in batches:
         for p, q, same in zip(*(batch.column(c) for c in ("p", "q", "same")), strict=True):
             (ids, texts, at), (others, other_texts, other_at) = _rows(p), _rows(q)
-            values = similarities(texts, other_texts)
-            nulls = None in texts or None in other_texts
-            step = max(1, PAIRS_A_BATCH // len(others))
+            code, values = similarities(texts, other_texts)
+            a_row = max(1, PAIRS_A_ROW // len(others))
+            step = a_row * max(1, PAIRS_A_BATCH // (a_row * len(others)))
             for s in range(0, len(ids), step):
-                a, b = np.broadcast_arrays(ids[s : s + step, None], others)
-                picked = [v[at[s : s + step, None], other_at] for v in values]
+                left, right = ids[s : s + step], others[s:] if same.as_py() else others
+                at_pairs, held = code[at[s : s + step, None], other_at[-len(right) :]], values
+                if len(values[0]) > at_pairs.size // 16:
+                    kept, at_pairs = np.unique(at_pairs, return_inverse=True)
+                    at_pairs, held = at_pairs.reshape(len(left), len(right)), [v[kept] for v in values]
+                at_pairs = at_pairs.astype(np.int32, copy=False)
                 if same.as_py():
-                    held = a < b
-                    a, b, *picked = (c[held] for c in (a, b, *picked))
-                else:
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                arrays = [pa.array(a.ravel()), pa.array(b.ravel()), *(pa.array(c.ravel(), from_pandas=nulls) for c in picked)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b", "edit", "grams", "blend"])
+                    at_pairs[left[:, None] >= right] = -1
+                starts = np.minimum(np.arange(0, len(left) + a_row, a_row), len(left))
+                n = len(starts) - 1
+                lists = [pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(left)), _repeated(right, n), pa.ListArray.from_arrays((starts * len(right)).astype(np.int32), pa.array(at_pairs.ravel()))]
+                yield pa.RecordBatch.from_arrays([*lists, *(_repeated(v, n) for v in held)], names=["p", "q", "at", "edit", "grams", "blend"])
+
+
+def _repeated(values: np.ndarray, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * np.int32(len(values)), pa.array(np.tile(values, n), from_pandas=True))
+
+
+def of_chunks(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``a, b, edit, grams, blend``: ids of every two rows of two chunks (``p, q, same`` of ``joins.chunks_within``; binary text), the lesser first, and the similarities of their texts.
+
+    Similarities are made once for each two different texts. Python hands on one number a pair, which place in a list of
+    values it has, and the rows are made of it by built-in functions.
+    """
+    rows = [F.transform(side, lambda r: F.struct(r[id_col].alias("id"), r[text_col].alias("text"))).alias(side) for side in ("p", "q")]
+    made = chunks.select(*rows, "same").mapInArrow(_of_chunks, "p array<long>, q array<long>, at array<int>, edit array<double>, grams array<double>, blend array<double>")
+    values = ("edit", "grams", "blend")
+    by_row = made.select("q", "at", *values, F.posexplode("p").alias("row", "id"))
+    each = by_row.select("id", "row", F.size("q").alias("n"), "at", *values, F.posexplode("q").alias("column", "other"))
+    placed = each.select("id", "other", *values, F.get("at", F.col("row") * F.col("n") + F.col("column")).alias("place")).where("place >= 0")
+    return placed.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), *(F.get(v, F.col("place")).alias(v) for v in values))

@@ -116,8 +116,7 @@ def name_similarity(spark, sf):
     """All pairs of a block, whose number grows with the square of its rows; similarities are made for all names of two chunks at once."""
     c = table(spark, sf, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", F.col("c_name").cast("binary").alias("c_name"))
     chunks = joins.chunks_within(c, ["c_nationkey", "c_mktsegment"], "c_custkey")
-    rows = [F.transform(side, lambda r: F.struct(r["c_custkey"].alias("id"), r["c_name"].alias("text"))).alias(side) for side in ("p", "q")]
-    return chunks.select(*rows, "same").mapInArrow(text_pairs.of_chunks, "a long, b long, edit double, grams double, blend double")
+    return text_pairs.of_chunks(chunks, "c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS md5, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority)) AS sha FROM orders")
